@@ -17,8 +17,9 @@ def col_(c) -> Column:
 
 
 def r4(c, digits: int = 4) -> Column:
-    """Report rounding used by every query output of a double."""
-    return F.round(col_(c).cast("double") + F.lit(ROUND_NUDGE), digits)
+    """Report rounding used by every query output of a double (zero unsigned)."""
+    r = F.round(col_(c).cast("double") + F.lit(ROUND_NUDGE), digits)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 def nan_to_null(c) -> Column:

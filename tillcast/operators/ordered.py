@@ -10,7 +10,9 @@ over many tasks; number rows inside each (partition, key) slice with a
 window; sum the weight of each slice (a table of at most partitions x keys
 rows); turn those sums into offsets with a window over the slices of a key;
 add the offset back. No step holds a whole key group or the whole table in
-one task, and nothing goes through the driver.
+one task, and nothing goes through the driver. The partitioned rows are
+written once (with their partition id) to the shared checkpoint folder so the
+two consumers of the partition id agree even if a task is re-run.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.operators.stage import stage
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -41,6 +45,9 @@ def prefix_before(df: DataFrame, order_cols: list[str], weight: str | None = Non
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in keys + list(order_cols)])
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_w", w.cast("long")))
+    # The partition id is not a function of the row: materialise it once so
+    # that the slice sums and the local numbering see the same assignment.
+    ranged = stage(ranged, "ranged")
     local_w = (Window.partitionBy("_pid", *keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, -1))
     ranged = ranged.withColumn("_local", F.coalesce(F.sum("_w").over(local_w), F.lit(0)))
