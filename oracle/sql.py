@@ -19,7 +19,9 @@ _FIX = os.path.join(os.path.dirname(__file__), "..", "fixtures", "weather_payloa
 
 
 def R(x: str) -> str:
-    r = f"round(CAST({x} AS DOUBLE) + 1e-7, 4)"
+    v = f"(CAST({x} AS DOUBLE) + 1e-7)"
+    r = (f"(CASE WHEN abs({v}) < 1e6 THEN round({v}, 4) WHEN abs({v}) < 1e8 THEN round({v}, 2) "
+         f"WHEN abs({v}) < 1e10 THEN round({v}, 0) ELSE round({v}, -2) END)")
     return f"(CASE WHEN {r} = 0 THEN CAST(0.0 AS DOUBLE) ELSE {r} END)"
 
 

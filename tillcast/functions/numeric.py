@@ -16,9 +16,21 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def r4(c, digits: int = 4) -> Column:
+# Decimals kept by magnitude: about ten significant digits, well inside double
+# precision, so the last-bit noise of sums in a different order cannot show.
+ROUND_STEPS = ((1e6, 4), (1e8, 2), (1e10, 0))
+ROUND_BEYOND = -2
+
+
+def r4(c) -> Column:
     """Report rounding used by every query output of a double (zero unsigned)."""
-    r = F.round(col_(c).cast("double") + F.lit(ROUND_NUDGE), digits)
+    x = col_(c).cast("double") + F.lit(ROUND_NUDGE)
+    a = F.abs(x)
+    r = None
+    for limit, digits in ROUND_STEPS:
+        r = (F.when(a < limit, F.round(x, digits)) if r is None
+             else r.when(a < limit, F.round(x, digits)))
+    r = r.otherwise(F.round(x, ROUND_BEYOND))
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 

@@ -62,7 +62,7 @@ def next_day_rows(last: DataFrame, ctx: DataFrame, qty: str, soh: str) -> DataFr
     """The last line of each material with the 20 forecast-day overrides
     (P23); every other column stays as on the last line (Q6)."""
     q, p = F.col(qty), F.col("PricePerUnit")
-    f = last.crossJoin(F.broadcast(ctx))
+    f = last.crossJoin(F.broadcast(ctx.select(*[c for c in ctx.columns if c.startswith("next_")])))
     over = {
         "TempXQty": F.col("w_temperature") * q, "TempXPrice": F.col("w_temperature") * p,
         "HumidXQty": F.col("w_humidity") * q, "RainXQty": F.col("w_rain_1h") * q,
