@@ -499,7 +499,7 @@ def oracle_sql() -> dict[str, str]:
     S["rolling_means"] = q("SELECT invoice_date, " + _same(["DailyRoll2", "DailyRoll3", "DailyRoll5", "DailyRoll7"]) + " FROM D")
     S["ewm_means"] = q("SELECT invoice_date, " + _same(["DailyEWM3", "DailyEWM5"]) + " FROM D")
     S["momentum_trend"] = q("SELECT invoice_date, " + _same(["DailyMomentum", "DailyTrend3v7"]) + " FROM D")
-    ev = ("ev AS (SELECT event_type, CAST(ts AS DATE) AS day, "
+    ev = ("ev AS (SELECT event_type, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, "
           "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS day_total FROM events GROUP BY 1, 2), "
           "evi AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS day_idx FROM ev)")
     S["events_rolling"] = (

@@ -277,7 +277,7 @@ def q_momentum_trend(spark, d):
 
 def _events_daily(spark, d):
     ev = load_table(spark, d, "events")
-    daily = (ev.groupBy("event_type", F.to_date("ts").alias("day"))
+    daily = (ev.groupBy("event_type", F.to_date("ts").cast("timestamp_ntz").alias("day"))
              .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("day_total")))
     return series.with_day_index(daily, "day", ["event_type"])
 
@@ -332,17 +332,22 @@ def sanitized_matrix(fp: FeaturePlan) -> DataFrame:
 
 
 def q_feature_matrix(spark, d):
-    """Per feature: rows, zeros, min and max of the sanitised matrix column."""
+    """Per feature: rows, zeros, min and max of the sanitised matrix column.
+
+    One pass with 4 aggregates per feature, then the single result row is
+    stacked into one row per feature (141 rows, built from one row)."""
     fp = plan(spark, d)
     m = sanitized_matrix(fp)
-    stack = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("feature"),
-                                         F.col(f"`{n}`").alias("x")) for i, n in enumerate(FEATURES)]))
-    long = m.select(stack.alias("s")).select("s.*")
-    return long.groupBy("pos", "feature").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum((F.col("x") == 0).cast("long")).alias("n_zero"),
-        r4(F.min("x")).alias("min_value"), r4(F.max("x")).alias("max_value")).select(
-        F.col("pos").cast("long").alias("pos"), "feature", "n_rows", "n_zero", "min_value", "max_value")
+    aggs = []
+    for i, n in enumerate(FEATURES):
+        x = F.col(f"`{n}`")
+        aggs += [F.sum((x == 0).cast("long")).alias(f"z{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    wide = m.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("pos"), F.lit(n).alias("feature"),
+                                        F.col(f"z{i}").alias("n_zero"), F.col(f"lo{i}").alias("lo"),
+                                        F.col(f"hi{i}").alias("hi")) for i, n in enumerate(FEATURES)]))
+    return wide.select("n_rows", rows.alias("s")).select(
+        "s.pos", "s.feature", "n_rows", "s.n_zero", r4("s.lo").alias("min_value"), r4("s.hi").alias("max_value"))
 
 
 # ---- last rows and next day ----------------------------------------------

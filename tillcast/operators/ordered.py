@@ -29,19 +29,47 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Largest key group (rows) that one task may number with a plain window. A
+# group above it goes through the range-partitioned path. The bound is
+# checked on the data first, like a broadcast size limit.
+SMALL_GROUP_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows in the largest key group (one partial aggregate, one number back)."""
+    if not keys:
+        return int(df.count())
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
+    return int(row[0] or 0)
+
+
 def prefix_before(df: DataFrame, order_cols: list[str], weight: str | None = None,
                   keys: list[str] | tuple = (), out: str = "_before",
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, small_group_rows: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` (1 per row if None) over the rows of the
     same ``keys`` whose ``order_cols`` sort strictly before this row's.
 
     Rows that tie on all ``order_cols`` are ordered arbitrarily among
     themselves; aggregate ties into one weighted row first when they must
-    count together.
+    count together. When every key group is at most ``small_group_rows``
+    rows (checked), a window per key does it; otherwise the distributed path.
     """
     keys = list(keys)
-    n = _partitions(df, partitions)
     w = F.col(weight) if weight else F.lit(1)
+    if small_group_rows is None:
+        conf = df.sparkSession.conf.get("tillcast.prefix.smallGroupRows", None)
+        small_group_rows = int(conf) if conf is not None else SMALL_GROUP_ROWS
+    limit = small_group_rows
+    if largest_group(df, keys) <= limit:
+        win = (Window.partitionBy(*keys).orderBy(*order_cols)
+               .rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn(out, F.coalesce(F.sum(w.cast("long")).over(win), F.lit(0)).cast("long"))
+    return _prefix_before_ranged(df, order_cols, w, keys, out, partitions)
+
+
+def _prefix_before_ranged(df: DataFrame, order_cols: list[str], w, keys: list[str], out: str,
+                          partitions: int | None) -> DataFrame:
+    n = _partitions(df, partitions)
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in keys + list(order_cols)])
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_w", w.cast("long")))
@@ -128,3 +156,42 @@ def dense_codes(df: DataFrame, value: str, out: str, keys: list[str] | tuple = (
     keys = list(keys)
     d = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
     return prefix_before(d, [value], None, keys, out, partitions)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def exact_medians(df: DataFrame, specs: list[tuple[str, str | None, str]],
+                  partitions: int | None = None) -> DataFrame:
+    """Several exact medians in one pass: ``specs`` is a list of
+    (name, key column or None for the whole table, value column).
+    Returns (_stat, _key, median) with the key as text ('' for the table)."""
+    parts = []
+    for name, key, value in specs:
+        k = F.col(key).cast("string") if key else F.lit("")
+        sel = df.select(F.lit(name).alias("_stat"), k.alias("_key"), F.col(value).cast("double").alias("_val"))
+        parts.append(sel.where(F.col("_key").isNotNull()))
+    return exact_median(_union(parts), ["_stat", "_key"], "_val", "median", partitions)
+
+
+def pct_ranks(parts: list[tuple[str, DataFrame, str, str | None]],
+              partitions: int | None = None) -> DataFrame:
+    """Several average-tie percent ranks in one pass: ``parts`` is a list of
+    (name, frame, value column, weight column or None).
+    Returns (_rk, _x, pct): join back on the value of rank ``_rk``."""
+    u = _union([f.select(F.lit(n).alias("_rk"), F.col(v).cast("double").alias("_x"),
+                         (F.col(w) if w else F.lit(1)).cast("long").alias("_wt"))
+                for n, f, v, w in parts])
+    return average_tie_pct_rank(u, "_x", "pct", weight="_wt", keys=["_rk"], partitions=partitions)
+
+
+def label_codes(df: DataFrame, specs: list[tuple[str, str]], partitions: int | None = None) -> DataFrame:
+    """Several label encodings in one pass: ``specs`` is a list of
+    (code name, text column). Returns (_cn, _val, code)."""
+    u = _union([df.select(F.lit(n).alias("_cn"), F.col(c).cast("string").alias("_val")) for n, c in specs])
+    d = u.where(F.col("_val").isNotNull()).distinct()
+    return prefix_before(d, ["_val"], None, ["_cn"], "code", partitions)

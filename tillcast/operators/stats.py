@@ -29,7 +29,8 @@ def exact_sum(value: str) -> Column:
 def group_stats(df: DataFrame, key: str | list[str], prefix: str, value: str, qty: str, price: str,
                 stats: tuple[str, ...] = ("AvgSale", "MedSale", "MaxSale", "SumSale",
                                           "AvgQty", "AvgPrice", "Count"),
-                extra: list[Column] | None = None) -> DataFrame:
+                extra: list[Column] | None = None,
+                medians: dict[str, DataFrame] | None = None) -> DataFrame:
     """Per-key statistics named ``{prefix}_{stat}``.
 
     AvgSale, MedSale, MaxSale, MinSale, StdSale, SumSale, Count of the value;
@@ -55,10 +56,14 @@ def group_stats(df: DataFrame, key: str | list[str], prefix: str, value: str, qt
     cols.append(F.count(F.lit(1)).alias(f"_{prefix}_rows"))
     cols.extend(extra or [])
     out = g.groupBy(*keys).agg(*cols)
-    if "MedSale" in stats:
-        out = out.join(exact_median(g, keys, value, f"{prefix}_MedSale"), keys, "left")
-    if "MedPrice" in stats:
-        out = out.join(exact_median(g, keys, price, f"{prefix}_MedPrice"), keys, "left")
+    medians = medians or {}
+    for stat, col in (("MedSale", value), ("MedPrice", price)):
+        if stat in stats:
+            name = f"{prefix}_{stat}"
+            med = medians.get(name)
+            if med is None:
+                med = exact_median(g, keys, col, name)
+            out = out.join(med, keys, "left")
     return out
 
 

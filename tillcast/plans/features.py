@@ -29,7 +29,7 @@ from tillcast.functions.numeric import log1p_, row_mean_skip_null, safe_div, saf
 from tillcast.operators import series, stats
 from tillcast.operators.clean import clean_sales, split_valid_target
 from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta
-from tillcast.operators.ordered import average_tie_pct_rank, dense_codes
+from tillcast.operators.ordered import exact_medians, label_codes, pct_ranks
 from tillcast.operators.stage import stage
 from tillcast.sources.sheets import Sheets
 
@@ -184,8 +184,57 @@ class FeaturePlan:
         )
 
     # ---- statistic tables --------------------------------------------------
+    MEDIANS = (("Mat_MedSale", "material", "value"), ("Mat_MedPrice", "material", "PricePerUnit"),
+               ("SKU_MedSale", "sku", "value"), ("Category_MedSale", "category", "value"))
+    CODES = (("Category_code", "category"), ("SKU_code", "sku"), ("VENDOR_code", "vendor"),
+             ("TYPE_code", "type"), ("ShortName_code", "short_name"), ("MaterialName_code", "material_name"))
+
+    def _col(self, role: str) -> str | None:
+        if role == "PricePerUnit":
+            return role
+        return getattr(self.cols, role, None)
+
+    @cached_property
+    def medians(self) -> DataFrame:
+        """All exact medians of the plan in one histogram pass (staged)."""
+        specs = [(n, self._col(k), self._col(v)) for n, k, v in self.MEDIANS if self._col(k)]
+        return self._stage(exact_medians(self.base, specs), "medians")
+
+    def median_table(self, name: str, key: str) -> DataFrame:
+        kt = self.base.schema[key].dataType
+        return (self.medians.where(F.col("_stat") == name)
+                .select(F.col("_key").cast(kt).alias(key), F.col("median").alias(name)))
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        """All label codes in one pass over the distinct texts (staged)."""
+        specs = [(n, self._col(c)) for n, c in self.CODES if self._col(c)]
+        return self._stage(label_codes(self.base, specs), "codes")
+
+    def code_table(self, name: str, col: str) -> DataFrame:
+        return (self.codes.where(F.col("_cn") == name)
+                .select(F.col("_val").alias(col), F.col("code").alias(name)))
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        """All four percent ranks in one pass (staged); MatAvg_rank is
+        weighted by each material's line count (a rank over lines)."""
+        c = self.cols
+        parts = [("SalQty_rank", self.base, c.qty, None), ("Price_rank", self.base, "PricePerUnit", None),
+                 ("QtyXPrice_rank", self.base, "QtyXPrice", None),
+                 ("MatAvg_rank", self.M_stats, "Mat_AvgSale", "_Mat_rows")]
+        return self._stage(pct_ranks(parts), "ranks")
+
+    def rank_table(self, name: str, col: str) -> DataFrame:
+        return (self.ranks.where(F.col("_rk") == name)
+                .select(F.col("_x").alias(col), F.col("pct").alias(name)))
+
     @cached_property
     def M(self) -> DataFrame:
+        return self.M_stats.join(self.rank_table("MatAvg_rank", "Mat_AvgSale"), "Mat_AvgSale", "left")
+
+    @cached_property
+    def M_stats(self) -> DataFrame:
         """Per material, one grouped pass: A1 stats, the per day-of-week and
         per season sums and counts (A6, A10) as 7- and 4-slot arrays, exact
         medians, and the row-weighted percent rank of the mean (W1)."""
@@ -200,10 +249,10 @@ class FeaturePlan:
         st = ("AvgSale", "MedSale", "MaxSale", "MinSale", "StdSale", "SumSale", "Count",
               "AvgQty", "AvgPrice", "MedPrice") if self.with_medians else \
             ("AvgSale", "MaxSale", "MinSale", "StdSale", "SumSale", "Count", "AvgQty", "AvgPrice")
-        m = stats.group_stats(self.base, c.material, "Mat", c.value, c.qty, "PricePerUnit", st, extra)
-        m = self._stage(m, "material")
-        rk = average_tie_pct_rank(m, "Mat_AvgSale", "MatAvg_rank", weight="_Mat_rows")
-        return m.join(rk, "Mat_AvgSale", "left")
+        meds = {n: self.median_table(n, c.material) for n in ("Mat_MedSale", "Mat_MedPrice")} \
+            if self.with_medians else {}
+        m = stats.group_stats(self.base, c.material, "Mat", c.value, c.qty, "PricePerUnit", st, extra, meds)
+        return self._stage(m, "material")
 
     def _keyed(self, key: str | None, prefix: str, st: tuple, code: str | None,
                extra: list[Column] | None = None) -> DataFrame | None:
@@ -211,10 +260,12 @@ class FeaturePlan:
             return None
         if not self.with_medians:
             st = tuple(s for s in st if s not in ("MedSale", "MedPrice"))
+        meds = {f"{prefix}_MedSale": self.median_table(f"{prefix}_MedSale", key)} \
+            if "MedSale" in st else {}
         g = stats.group_stats(self.base, key, prefix, self.cols.value, self.cols.qty,
-                              "PricePerUnit", st, extra)
+                              "PricePerUnit", st, extra, meds)
         if code:
-            g = g.join(dense_codes(self.base, key, code), key, "left")
+            g = g.join(self.code_table(code, key), key, "left")
         return g
 
     @cached_property
@@ -421,26 +472,22 @@ class FeaturePlan:
         qsn = q * F.coalesce(F.col("SN_AvgPrice"), F.lit(0.0))
         return f.select("*", qsn.alias("QtyXSNAvgPrice"), (v - qsn).alias("ResidFromSN"))
 
-    def rank_table(self, col: str, out: str) -> DataFrame:
-        return average_tie_pct_rank(self.base, col, out)
-
     def with_ranks(self, df: DataFrame) -> DataFrame:
         """F107-F110: average-tie percent ranks (MatAvg_rank comes with M)."""
         c = self.cols
         f = df
         for col, out in ((c.qty, "SalQty_rank"), ("PricePerUnit", "Price_rank"),
                          ("QtyXPrice", "QtyXPrice_rank")):
-            f = f.join(self.rank_table(col, out), col, "left")
+            f = f.join(self.rank_table(out, col), col, "left")
         return f
 
     def with_codes(self, df: DataFrame) -> DataFrame:
         """Label codes of TYPE and Material name (the other four come with
         their stat tables)."""
         c = self.cols
-        f = df.join(dense_codes(self.base, c.type, "TYPE_code"), c.type, "left")
+        f = df.join(self.code_table("TYPE_code", c.type), c.type, "left")
         if c.material_name:
-            f = f.join(dense_codes(self.base, c.material_name, "MaterialName_code"),
-                       c.material_name, "left")
+            f = f.join(self.code_table("MaterialName_code", c.material_name), c.material_name, "left")
         else:
             f = f.withColumn("MaterialName_code", F.lit(None).cast("long"))
         return f
@@ -465,6 +512,11 @@ class FeaturePlan:
 
     @cached_property
     def features(self) -> DataFrame:
+        """The feature table, written once (the model's input table)."""
+        return self._stage(self.features_plan, "features")
+
+    @cached_property
+    def features_plan(self) -> DataFrame:
         """The fact with every feature column (and the identifying columns)."""
         f = self.with_globals(self.base)
         f = self.with_material(f)

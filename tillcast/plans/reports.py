@@ -32,13 +32,15 @@ def round2(c) -> Column:
 
 
 def last_rows(features: DataFrame, material: str, order_cols: list[str] | tuple) -> DataFrame:
-    """Last line of each material in (date, tie-break) order (W7), as one
-    partial aggregate: max_by over the order struct."""
-    order = F.struct(*[F.col(c) for c in order_cols])
-    cols = [c for c in features.columns if c != material]
-    picked = (features.where(F.col(material).isNotNull()).groupBy(material)
-              .agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), order).alias("_r")))
-    return picked.select(material, *[F.col("_r").getField(c).alias(c) for c in cols])
+    """Last line of each material in (date, tie-break) order.
+
+    The largest order key per material is a partial aggregate (skew-safe);
+    the lines are then picked by an equi-join on (material, order key)."""
+    order = list(order_cols)
+    f = features.where(F.col(material).isNotNull())
+    last_key = f.groupBy(material).agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_k"))
+    last_key = last_key.select(material, *[F.col(f"_k.{c}").alias(c) for c in order])
+    return f.join(last_key, [material, *order], "left_semi")
 
 
 def next_day_context(spark, next_date: str, weather_row: DataFrame) -> DataFrame:
