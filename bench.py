@@ -26,7 +26,7 @@ def main():
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     from tillcast import catalog
     from tillcast.session import get_spark
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=2 * cpus)
     fns = {**catalog.CATALOG, **catalog.ML_CATALOG}
     times = {}
     t0 = time.time()

@@ -57,8 +57,11 @@ def is_festive(month, day) -> Column:
 
 
 def _dow_lookup(dow, table: list[float], default: float) -> Column:
-    m = F.create_map(*[x for i, v in enumerate(table) for x in (F.lit(i), F.lit(v))])
-    return F.coalesce(F.element_at(m, col_(dow)), F.lit(default))
+    d = col_(dow)
+    out = None
+    for i, v in enumerate(table):
+        out = F.when(d == i, F.lit(v)) if out is None else out.when(d == i, F.lit(v))
+    return out.otherwise(F.lit(default))
 
 
 def traffic_index(dow, rainy) -> Column:

@@ -77,7 +77,13 @@ def finite_or_zero(c) -> Column:
 
 
 def row_mean_skip_null(cols: list) -> Column:
-    """Mean across columns skipping NULLs; NULL when all are NULL."""
-    arr = F.filter(F.array(*[col_(c).cast("double") for c in cols]), lambda x: x.isNotNull())
-    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(arr) > 0, total / F.size(arr))
+    """Mean across columns skipping NULLs; NULL when all are NULL.
+
+    Plain arithmetic (no per-row array) so it stays in generated code."""
+    xs = [col_(c).cast("double") for c in cols]
+    total = F.lit(0.0)
+    n = F.lit(0)
+    for x in xs:
+        total = total + F.coalesce(x, F.lit(0.0))
+        n = n + x.isNotNull().cast("int")
+    return F.when(n > 0, total / n)

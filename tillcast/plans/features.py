@@ -30,6 +30,7 @@ from tillcast.operators import series, stats
 from tillcast.operators.clean import clean_sales, split_valid_target
 from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta
 from tillcast.operators.ordered import exact_medians, label_codes, pct_ranks
+from tillcast.operators.joins import join_checked
 from tillcast.operators.stage import stage
 from tillcast.sources.sheets import Sheets
 
@@ -98,6 +99,19 @@ def feature_column(name: str, cols: SalesColumns) -> str:
 V = "_v"  # sale value as double on each row
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give the wide, CPU-heavy feature stages at least one partition per core.
+
+    A table read from very few files (a small landing, one row group) would
+    otherwise run every row feature in one task. Checked at planning time; a
+    scan with enough splits (any cluster-sized input) is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(2 * cores)
+    return df
+
+
 class FeaturePlan:
     """Lazily built DataFrames of the feature pipeline for one set of sheets.
 
@@ -155,7 +169,7 @@ class FeaturePlan:
         c = self.cols
         q, dt = F.col(c.qty), F.col(c.date)
         soh, ind = F.col(c.soh), F.col(c.indent)
-        f = self.filled.withColumn(V, F.col(c.value).cast("double"))
+        f = spread(self.filled).withColumn(V, F.col(c.value).cast("double"))
         p = F.col(V) / safe_qty(q)
         f = f.withColumn("PricePerUnit", p)
         p = F.col("PricePerUnit")
@@ -231,7 +245,7 @@ class FeaturePlan:
 
     @cached_property
     def M(self) -> DataFrame:
-        return self.M_stats.join(self.rank_table("MatAvg_rank", "Mat_AvgSale"), "Mat_AvgSale", "left")
+        return join_checked(self.M_stats, self.rank_table("MatAvg_rank", "Mat_AvgSale"), "Mat_AvgSale")
 
     @cached_property
     def M_stats(self) -> DataFrame:
@@ -266,7 +280,7 @@ class FeaturePlan:
                               "PricePerUnit", st, extra, meds)
         if code:
             g = g.join(self.code_table(code, key), key, "left")
-        return g
+        return self._stage(g, prefix)
 
     @cached_property
     def K(self) -> DataFrame:
@@ -322,13 +336,13 @@ class FeaturePlan:
         if not keys:
             dow = F.broadcast(dow)   # at most 7 rows
         d = d.withColumn("DayOfWeek", F.weekday(c.date)).join(dow, keys + ["DayOfWeek"], "left")
-        return d.select(
+        return self._stage(d.select(
             *keys, c.date, "day_idx", "day_total", "day_qty", "day_count",
             "PrevDayTotalSale", "PrevDayTotalQty", "PrevDayRowCount",
             "DailyRoll2", "DailyRoll3", "DailyRoll5", "DailyRoll7", "DailyEWM3", "DailyEWM5",
             (F.col("PrevDayTotalSale") - F.col("DailyRoll3")).alias("DailyMomentum"),
             safe_div(F.col("DailyRoll3"), F.col("DailyRoll7") + 1).alias("DailyTrend3v7"),
-            F.col("DOW_AvgDailyTotal").alias("_dow_avg_total"))
+            F.col("DOW_AvgDailyTotal").alias("_dow_avg_total")), "daily")
 
     @cached_property
     def weather_row(self) -> DataFrame:
@@ -356,7 +370,7 @@ class FeaturePlan:
     def with_material(self, df: DataFrame) -> DataFrame:
         """F14-F36, F67-F68, F75-F78, F136-F141 (needs with_globals)."""
         c = self.cols
-        f = df.join(self.M.drop("_Mat_rows"), c.material, "left")
+        f = join_checked(df, self.M.drop("_Mat_rows"), c.material)
         q, v, p = F.col(c.qty), F.col(V), F.col("PricePerUnit")
         gm = F.col("global_mean")
         dow_i = F.col("DayOfWeek") + 1
@@ -406,9 +420,9 @@ class FeaturePlan:
     def with_groups(self, df: DataFrame) -> DataFrame:
         """F37-F63 (SKU, Category, VENDOR) and their label codes."""
         c = self.cols
-        f = df.join(self.K.drop("_SKU_rows"), c.sku, "left") \
-              .join(self.C.drop("_Category_rows"), c.category, "left") \
-              .join(self.V.drop("_VENDOR_rows"), c.vendor, "left")
+        f = join_checked(df, self.K.drop("_SKU_rows"), c.sku)
+        f = join_checked(f, self.C.drop("_Category_rows"), c.category)
+        f = join_checked(f, self.V.drop("_VENDOR_rows"), c.vendor)
         q, v, p = F.col(c.qty), F.col(V), F.col("PricePerUnit")
         return f.select(
             "*",
@@ -437,7 +451,7 @@ class FeaturePlan:
         """F72, F79-F100 (needs with_globals)."""
         c = self.cols
         keys = list(c.series_keys)
-        f = df.join(self.D.drop("day_idx"), keys + [c.date], "left")
+        f = join_checked(df, self.D.drop("day_idx"), keys + [c.date])
         q, v, p = F.col(c.qty), F.col(V), F.col("PricePerUnit")
         prev = F.col("PrevDayTotalSale")
         days = F.floor((F.unix_micros(F.col(c.date).cast("timestamp"))
@@ -468,7 +482,7 @@ class FeaturePlan:
                                  ("SN_AvgSale", "SN_SumSale", "SN_AvgPrice", "SN_AvgQty")],
                           F.lit(None).cast("long").alias("ShortName_code"))
         else:
-            f = df.join(self.N.drop("_SN_rows"), c.short_name, "left")
+            f = join_checked(df, self.N.drop("_SN_rows"), c.short_name)
         qsn = q * F.coalesce(F.col("SN_AvgPrice"), F.lit(0.0))
         return f.select("*", qsn.alias("QtyXSNAvgPrice"), (v - qsn).alias("ResidFromSN"))
 
@@ -478,16 +492,16 @@ class FeaturePlan:
         f = df
         for col, out in ((c.qty, "SalQty_rank"), ("PricePerUnit", "Price_rank"),
                          ("QtyXPrice", "QtyXPrice_rank")):
-            f = f.join(self.rank_table(out, col), col, "left")
+            f = join_checked(f, self.rank_table(out, col), col)
         return f
 
     def with_codes(self, df: DataFrame) -> DataFrame:
         """Label codes of TYPE and Material name (the other four come with
         their stat tables)."""
         c = self.cols
-        f = df.join(self.code_table("TYPE_code", c.type), c.type, "left")
+        f = join_checked(df, self.code_table("TYPE_code", c.type), c.type)
         if c.material_name:
-            f = f.join(self.code_table("MaterialName_code", c.material_name), c.material_name, "left")
+            f = join_checked(f, self.code_table("MaterialName_code", c.material_name), c.material_name)
         else:
             f = f.withColumn("MaterialName_code", F.lit(None).cast("long"))
         return f
@@ -497,14 +511,14 @@ class FeaturePlan:
         c = self.cols
         f = df.crossJoin(F.broadcast(self.weather_row))
         q, p = F.col(c.qty), F.col("PricePerUnit")
-        traffic = cal.traffic_index("DayOfWeek", "w_is_rainy")
+        f = f.withColumn("TrafficIndex", cal.traffic_index("DayOfWeek", "w_is_rainy"))
+        traffic = F.col("TrafficIndex")
         return f.select(
             "*",
             (F.col("w_temperature") * q).alias("TempXQty"),
             (F.col("w_temperature") * p).alias("TempXPrice"),
             (F.col("w_humidity") * q).alias("HumidXQty"),
             (F.col("w_rain_1h") * q).alias("RainXQty"),
-            traffic.alias("TrafficIndex"),
             cal.delay_index("DayOfWeek", "w_is_rainy").alias("DeliveryDelayIndex"),
             (traffic * q).alias("TrafficXQty"),
             (traffic * p).alias("TrafficXPrice"),

@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # the feature table is ~200 columns wide: keep its projections in
+    # whole-stage codegen instead of the interpreted fallback above 100 fields
+    "spark.sql.codegen.maxFields": "400",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -33,6 +36,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master and master.startswith("local"):
         # local mode runs every task in the driver JVM
         conf["spark.driver.memory"] = os.environ.get("TILLCAST_DRIVER_MEMORY", "16g")
+        # small test tables, CPU-heavy wide rows: favour task count over
+        # partition size (on a cluster the scan splits give the parallelism)
+        conf.setdefault("spark.sql.files.maxPartitionBytes", "16m")
+        conf.setdefault("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference runs one bounded batch per button press: no stream source,
+watermark, window, state or trigger exists in it, so nothing is built here.
+Landed sheets are read as batch tables (``tillcast.sources.sheets``); a new
+landing is a new batch run over the whole tables.
+"""
