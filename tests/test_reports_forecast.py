@@ -66,3 +66,14 @@ def test_forest_end_to_end(spark):
     assert len(imp) == 20 and imp["importance"].is_monotonic_decreasing
     oob = fc.oob_r2(bags=2).first()
     assert oob.n_oob_rows > 0
+
+
+def test_csv_sink_and_bundle(spark, tmp_path):
+    from tillcast.catalog import score_products
+    from tillcast.sources.sinks import EXPORT_COLUMNS, write_bundle, write_product_csv
+    p = score_products(spark, SF_SMALL)
+    path = write_product_csv(p, str(tmp_path / "export"), "2025-03-22", single_file=True)
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == EXPORT_COLUMNS and back.count() == p.count()
+    paths = write_bundle(str(tmp_path / "bundle"), {"products": p}, {"train_r2": 0.5})
+    assert spark.read.parquet(paths["metrics"]).first().train_r2 == 0.5
