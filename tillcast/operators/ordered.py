@@ -45,7 +45,8 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 def prefix_before(df: DataFrame, order_cols: list[str], weight: str | None = None,
                   keys: list[str] | tuple = (), out: str = "_before",
-                  partitions: int | None = None, small_group_rows: int | None = None) -> DataFrame:
+                  partitions: int | None = None, small_group_rows: int | None = None,
+                  group_rows: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` (1 per row if None) over the rows of the
     same ``keys`` whose ``order_cols`` sort strictly before this row's.
 
@@ -53,6 +54,9 @@ def prefix_before(df: DataFrame, order_cols: list[str], weight: str | None = Non
     themselves; aggregate ties into one weighted row first when they must
     count together. When every key group is at most ``small_group_rows``
     rows (checked), a window per key does it; otherwise the distributed path.
+    ``group_rows`` is a known upper bound of the largest group (callers that
+    aggregate first pass the row count of their input, which is cheaper to
+    measure than the aggregate itself).
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
@@ -60,7 +64,9 @@ def prefix_before(df: DataFrame, order_cols: list[str], weight: str | None = Non
         conf = df.sparkSession.conf.get("tillcast.prefix.smallGroupRows", None)
         small_group_rows = int(conf) if conf is not None else SMALL_GROUP_ROWS
     limit = small_group_rows
-    if largest_group(df, keys) <= limit:
+    if group_rows is None:
+        group_rows = largest_group(df, keys)
+    if group_rows <= limit:
         win = (Window.partitionBy(*keys).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, -1))
         return df.withColumn(out, F.coalesce(F.sum(w.cast("long")).over(win), F.lit(0)).cast("long"))
@@ -92,19 +98,30 @@ def _prefix_before_ranged(df: DataFrame, order_cols: list[str], w, keys: list[st
         "_pid", "_w", "_local", "_off")
 
 
+def _small_limit(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("tillcast.prefix.smallGroupRows", None)
+    return int(conf) if conf is not None else SMALL_GROUP_ROWS
+
+
 def exact_median(df: DataFrame, keys: list[str] | tuple, value: str, out: str,
                  partitions: int | None = None) -> DataFrame:
     """Exact interpolated median of ``value`` per key group (NULLs skipped).
 
-    Works on the value histogram: (key, value, count) with map-side partial
-    aggregation, then prefix counts locate the one or two middle values. A key
-    holding a third of the rows is spread over many tasks.
+    When every group is within the checked bound, Spark's exact ``median``
+    aggregate holds at most that many values per group and is used as it is.
+    A larger group goes through the value histogram: (key, value, count) with
+    map-side partial aggregation, then prefix counts locate the one or two
+    middle values, so a key holding a third of the rows spreads over tasks.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    hist = (df.where(v.isNotNull()).groupBy(*keys, v.alias("_v"))
-            .agg(F.count(F.lit(1)).alias("_c")))
-    hist = prefix_before(hist, ["_v"], "_c", keys, "_b", partitions)
+    rows = df.where(v.isNotNull())
+    biggest = largest_group(rows, keys)
+    if biggest <= _small_limit(df):
+        g = rows.groupBy(*keys) if keys else rows
+        return g.agg(F.median(v).alias(out))
+    hist = rows.groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = prefix_before(hist, ["_v"], "_c", keys, "_b", partitions, group_rows=biggest)
     n = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if not keys:
         n = F.broadcast(n)
@@ -133,9 +150,10 @@ def average_tie_pct_rank(df: DataFrame, value: str, out: str, weight: str | None
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
-    hist = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-            .agg(F.sum(w.cast("long")).alias("_c")))
-    hist = prefix_before(hist, [value], "_c", keys, "_b", partitions)
+    rows = df.where(F.col(value).isNotNull())
+    hist = rows.groupBy(*keys, value).agg(F.sum(w.cast("long")).alias("_c"))
+    hist = prefix_before(hist, [value], "_c", keys, "_b", partitions,
+                         group_rows=largest_group(rows, keys))
     tot = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if not keys:
         j = hist.crossJoin(F.broadcast(tot))
@@ -154,8 +172,9 @@ def dense_codes(df: DataFrame, value: str, out: str, keys: list[str] | tuple = (
     (keys..., value, out); the window runs over distinct values only.
     """
     keys = list(keys)
-    d = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
-    return prefix_before(d, [value], None, keys, out, partitions)
+    rows = df.select(*keys, value).where(F.col(value).isNotNull())
+    return prefix_before(rows.distinct(), [value], None, keys, out, partitions,
+                         group_rows=largest_group(rows, keys))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -193,5 +212,6 @@ def label_codes(df: DataFrame, specs: list[tuple[str, str]], partitions: int | N
     """Several label encodings in one pass: ``specs`` is a list of
     (code name, text column). Returns (_cn, _val, code)."""
     u = _union([df.select(F.lit(n).alias("_cn"), F.col(c).cast("string").alias("_val")) for n, c in specs])
-    d = u.where(F.col("_val").isNotNull()).distinct()
-    return prefix_before(d, ["_val"], None, ["_cn"], "code", partitions)
+    rows = u.where(F.col("_val").isNotNull())
+    return prefix_before(rows.distinct(), ["_val"], None, ["_cn"], "code", partitions,
+                         group_rows=largest_group(rows, ["_cn"]))

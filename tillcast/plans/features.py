@@ -160,8 +160,18 @@ class FeaturePlan:
 
     @cached_property
     def base(self) -> DataFrame:
-        """Filled lines + price, stock and calendar columns, staged once."""
-        return self._stage(self.base_plan, "base")
+        """Filled lines + price, stock and calendar columns, staged once.
+
+        The joined lines feed the SOH median and the fill; they are kept
+        (memory, then local disk) only while the staged table is written."""
+        if not self.staged:
+            return self.base_plan
+        from pyspark import StorageLevel
+        self.joined.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._stage(self.base_plan, "base")
+        finally:
+            self.joined.unpersist()
 
     @cached_property
     def base_plan(self) -> DataFrame:
