@@ -559,7 +559,17 @@ def q_kpi_row(spark, d):
     return forecast(spark, d).kpi_row()
 
 
+def q_rf_last_row_forecast(spark, d):
+    return forecast(spark, d).last_row_forecast()
+
+
+def q_rf_test_pairs(spark, d):
+    return forecast(spark, d).test_pairs()
+
+
 ML_CATALOG = {
+    "rf_last_row_forecast": q_rf_last_row_forecast,
+    "rf_test_pairs": q_rf_test_pairs,
     "rf_forecast": q_rf_forecast,
     "rf_metrics": q_rf_metrics,
     "rf_importance": q_rf_importance,

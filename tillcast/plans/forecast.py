@@ -173,6 +173,30 @@ class Forecast:
         return reports.product_frame(last, fp.meta, scored, ctx, fp.cols.material, fp.cols.value,
                                      fp.cols.qty, fp.cols.soh, fp.cols.indent)
 
+    def last_row_forecast(self) -> DataFrame:
+        """M7: forecast for the last line of the whole table with the same
+        forecast-day overrides (the script variant; a single number)."""
+        fp = self.fp
+        ctx = reports.next_day_context(fp.base.sparkSession, self.next_date, fp.weather_row)
+        order = list(fp.cols.order)
+        f = fp.features
+        last_key = f.agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_k")).select(
+            *[F.col(f"_k.{c}").alias(c) for c in order])
+        last = f.join(F.broadcast(last_key), order, "left_semi")   # one row: a proven small side
+        rows = reports.next_day_rows(last, ctx, fp.cols.qty, fp.cols.soh)
+        return self.full_model().transform(assembled(fp, rows)).select(
+            fp.cols.material, F.col("prediction").alias("last_row_forecast"))
+
+    def test_pairs(self) -> DataFrame:
+        """Actual and predicted values of the test lines, with the chart
+        bounds (min * 0.85, max * 1.08) on every row."""
+        s = self.scored().where(F.col("is_train") == 0).select(
+            F.col("_v").alias("actual"), F.col("prediction").alias("predicted"))
+        lo_hi = s.agg(F.least(F.min("actual"), F.min("predicted")).alias("_lo"),
+                      F.greatest(F.max("actual"), F.max("predicted")).alias("_hi"))
+        return s.crossJoin(F.broadcast(lo_hi.select((F.col("_lo") * 0.85).alias("axis_min"),
+                                                    (F.col("_hi") * 1.08).alias("axis_max"))))
+
     def daily_predicted(self) -> DataFrame:
         """Predicted total per day from the holdout model."""
         return (self.scored().groupBy("invoice_date")
