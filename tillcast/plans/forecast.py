@@ -39,6 +39,9 @@ class ForestConfig:
     max_bins: int = 32
     min_instances: int = 1
     seed: int = SEED
+    # split statistics per task and pass; tasks run side by side, so keep it
+    # small on a shared local heap and raise it on executors with real memory
+    max_memory_mb: int = 64
 
 
 def assembled(fp: FeaturePlan, df: DataFrame | None = None) -> DataFrame:
@@ -57,7 +60,7 @@ def forest(cfg: ForestConfig, weight_col: str | None = None, bootstrap: bool = T
                                numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins,
                                minInstancesPerNode=cfg.min_instances,
                                featureSubsetStrategy=FEATURE_FRACTION, seed=cfg.seed,
-                               bootstrap=bootstrap)
+                               bootstrap=bootstrap, maxMemoryInMB=cfg.max_memory_mb)
     if weight_col:
         rf.setWeightCol(weight_col)
     return rf
@@ -143,7 +146,8 @@ class Forecast:
         base = self.matrix.where(F.col("is_train") == 1).withColumn(
             "_rid", F.xxhash64("material_no", "invoice_date", F.col("features").cast("string")))
         preds = None
-        cfg1 = ForestConfig(1, self.cfg.max_depth, self.cfg.max_bins, self.cfg.min_instances, self.cfg.seed)
+        cfg1 = ForestConfig(1, self.cfg.max_depth, self.cfg.max_bins, self.cfg.min_instances, self.cfg.seed,
+                            self.cfg.max_memory_mb)
         for b in range(bags):
             u = (F.abs(F.xxhash64(F.col("_rid"), F.lit(b))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
             bag = base.withColumn("_row_w", poisson1(u).cast("double"))
