@@ -520,15 +520,22 @@ def oracle_sql() -> dict[str, str]:
         "\nSELECT max(CASE WHEN is_train = 1 THEN invoice_date END) AS last_train_date, "
         "min(CASE WHEN is_train = 0 THEN invoice_date END) AS first_test_date, "
         "CAST(sum(is_train) AS BIGINT) AS n_train, CAST(sum(1 - is_train) AS BIGINT) AS n_test FROM sp")
-    sel = ", ".join(f"{_sanitize(_feature_expr(n))} AS \"f{i}\"" for i, n in enumerate(FEATURES))
+    sel = ", ".join(f"{_sanitize(_feature_expr(n))} AS \"f{i}\", "
+                    f"CAST(({_feature_expr(n)}) IS NULL OR isnan(CAST({_feature_expr(n)} AS DOUBLE)) "
+                    f"OR isinf(CAST({_feature_expr(n)} AS DOUBLE)) AS DOUBLE) AS \"b{i}\""
+                    for i, n in enumerate(FEATURES))
     names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(FEATURES))
     S["feature_matrix"] = "WITH " + prelude() + f""",
 mx AS (SELECT {sel} FROM feat),
 lg AS (UNPIVOT mx ON COLUMNS(*) INTO NAME fname VALUE x),
-nm(pos, feature) AS (VALUES {names})
-SELECT CAST(nm.pos AS BIGINT) AS pos, nm.feature, count(*) AS n_rows, CAST(sum(CAST(x = 0 AS BIGINT)) AS BIGINT) AS n_zero,
-       {R('min(x)')} AS min_value, {R('max(x)')} AS max_value
-FROM lg JOIN nm ON lg.fname = 'f' || CAST(nm.pos AS VARCHAR) GROUP BY nm.pos, nm.feature"""
+nm(pos, feature) AS (VALUES {names}),
+vals AS (SELECT nm.pos, nm.feature, lg.x FROM lg JOIN nm ON lg.fname = 'f' || CAST(nm.pos AS VARCHAR)),
+bads AS (SELECT nm.pos, CAST(sum(lg.x) AS BIGINT) AS n_nonfinite FROM lg JOIN nm ON lg.fname = 'b' || CAST(nm.pos AS VARCHAR)
+         GROUP BY nm.pos)
+SELECT CAST(v.pos AS BIGINT) AS pos, v.feature, count(*) AS n_rows, any_value(b.n_nonfinite) AS n_nonfinite,
+       CAST(sum(CAST(v.x = 0 AS BIGINT)) AS BIGINT) AS n_zero,
+       {R('min(v.x)')} AS min_value, {R('max(v.x)')} AS max_value
+FROM vals v JOIN bads b ON v.pos = b.pos GROUP BY v.pos, v.feature"""
     S["last_row_per_material"] = q(
         f"SELECT material_no, CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, "
         f"CAST(l_suppkey AS BIGINT) AS l_suppkey, invoice_date, {R('v')} AS last_actual, {R('sal_qty')} AS SalQty, "

@@ -80,3 +80,12 @@ def test_weather_all_failed_defaults(spark):
     r = _ctx(spark, [("A", 500, "oops"), ("B", 200, "{not json")])
     assert (r.temperature, r.humidity, r.wind_speed, r.rain_1h, r.is_rainy) == (30.0, 68.0, 5.0, 0.0, 0)
     assert r.heat_index == pytest.approx(30 + 0.33 * (0.68 * 6.105 * 2.718281828459045 ** (17.27 * 30 / 267.7)) - 4)
+
+
+def test_forecast_day_context(spark):
+    from tillcast.plans.reports import forecast_day_context
+    df = spark.createDataFrame([("A", 200, _payload(30.0, 70, 4.0, 501, 1.0)), ("B", 200, _payload(20.0, 50, 2.0, 800))],
+                               "city string, status int, payload string")
+    r = forecast_day_context(weather_context(parse_weather(df)), "2025-03-22").first()
+    assert r.next_dow == 5 and r.next_season == "Summer" and r.next_festive == 0
+    assert r.next_traffic == pytest.approx(0.98) and r.city_temps == {"A": 30.0, "B": 20.0}

@@ -332,22 +332,29 @@ def sanitized_matrix(fp: FeaturePlan) -> DataFrame:
 
 
 def q_feature_matrix(spark, d):
-    """Per feature: rows, zeros, min and max of the sanitised matrix column.
+    """Per feature: rows, values that were NULL/NaN/inf before sanitising (Q11),
+    zeros, min and max of the sanitised matrix column.
 
-    One pass with 4 aggregates per feature, then the single result row is
+    One pass with 5 aggregates per feature; the single result row is then
     stacked into one row per feature (141 rows, built from one row)."""
+    from tillcast.functions.numeric import finite_or_zero
     fp = plan(spark, d)
-    m = sanitized_matrix(fp)
+    f = fp.features
     aggs = []
     for i, n in enumerate(FEATURES):
-        x = F.col(f"`{n}`")
-        aggs += [F.sum((x == 0).cast("long")).alias(f"z{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    wide = m.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+        raw = F.col(f"`{feature_column(n, fp.cols)}`").cast("double")
+        x = finite_or_zero(raw)
+        bad = raw.isNull() | F.isnan(raw) | (F.abs(raw) == float("inf"))
+        aggs += [F.sum(bad.cast("long")).alias(f"b{i}"), F.sum((x == 0).cast("long")).alias(f"z{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    wide = f.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("pos"), F.lit(n).alias("feature"),
-                                        F.col(f"z{i}").alias("n_zero"), F.col(f"lo{i}").alias("lo"),
-                                        F.col(f"hi{i}").alias("hi")) for i, n in enumerate(FEATURES)]))
+                                        F.col(f"b{i}").alias("n_nonfinite"), F.col(f"z{i}").alias("n_zero"),
+                                        F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+                               for i, n in enumerate(FEATURES)]))
     return wide.select("n_rows", rows.alias("s")).select(
-        "s.pos", "s.feature", "n_rows", "s.n_zero", r4("s.lo").alias("min_value"), r4("s.hi").alias("max_value"))
+        "s.pos", "s.feature", "n_rows", "s.n_nonfinite", "s.n_zero",
+        r4("s.lo").alias("min_value"), r4("s.hi").alias("max_value"))
 
 
 # ---- last rows and next day ----------------------------------------------

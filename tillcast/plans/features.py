@@ -553,5 +553,10 @@ class FeaturePlan:
         f = self.with_weather(f)
         return f
 
-    def feature_columns(self) -> list[str]:
-        return [feature_column(n, self.cols) for n in FEATURES]
+    def feature_columns(self, names: list[str] | None = None) -> list[str]:
+        """Fact columns of the features, first occurrence wins and only columns
+        that exist (P20, P21: the original lists one feature twice)."""
+        names = list(dict.fromkeys(names or FEATURES))
+        cols = [feature_column(n, self.cols) for n in names]
+        have = set(self.features_plan.columns)
+        return [c for c in cols if c in have]

@@ -60,6 +60,16 @@ def next_day_context(spark, next_date: str, weather_row: DataFrame) -> DataFrame
         cal.is_festive(mon, F.dayofmonth(F.col("next_date"))).alias("next_festive"))
 
 
+def forecast_day_context(weather_ctx: DataFrame, next_date: str) -> DataFrame:
+    """Y2: one row with the weather means, per-city temperatures, and the
+    forecast day's season, traffic, delay and festive flag."""
+    w = weather_ctx.select(F.col("temperature").alias("w_temperature"), F.col("humidity").alias("w_humidity"),
+                           F.col("wind_speed").alias("w_wind_speed"), F.col("rain_1h").alias("w_rain_1h"),
+                           F.col("is_rainy").alias("w_is_rainy"), F.col("heat_index").alias("w_heat_index"),
+                           "city_temps")
+    return next_day_context(w.sparkSession, next_date, w)
+
+
 def next_day_rows(last: DataFrame, ctx: DataFrame, qty: str, soh: str) -> DataFrame:
     """The last line of each material with the 20 forecast-day overrides
     (P23); every other column stays as on the last line (Q6)."""
