@@ -64,3 +64,21 @@ def test_pct_rank_range(spark):
     df = spark.range(500).select((F.col("id") % 37).cast("double").alias("x"))
     r = average_tie_pct_rank(df, "x", "pct").collect()
     assert all(0 < row.pct <= 1 for row in r)
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_pct_rank_matches_pandas_with_ties(spark, limit):
+    spark.conf.set("tillcast.prefix.smallGroupRows", str(limit))
+    try:
+        rnd = random.Random(11)
+        vals = [float(rnd.randint(0, 60)) if rnd.random() > 0.05 else None for _ in range(4000)]
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        r = {row.x: row.pct for row in average_tie_pct_rank(df, "x", "pct").collect()}
+        ref = pd.Series(vals, dtype="float64").rank(pct=True)
+        for v, p in zip(vals, ref):
+            if v is None:
+                assert p != p
+            else:
+                assert r[v] == pytest.approx(p, rel=1e-12)
+    finally:
+        spark.conf.unset("tillcast.prefix.smallGroupRows")
