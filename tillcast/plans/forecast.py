@@ -41,7 +41,7 @@ class ForestConfig:
     seed: int = SEED
     # split statistics per task and pass; tasks run side by side, so keep it
     # small on a shared local heap and raise it on executors with real memory
-    max_memory_mb: int = 64
+    max_memory_mb: int | None = None   # None: from the session's memory settings
 
 
 def assembled(fp: FeaturePlan, df: DataFrame | None = None) -> DataFrame:
@@ -55,12 +55,31 @@ def assembled(fp: FeaturePlan, df: DataFrame | None = None) -> DataFrame:
     return va.transform(m).select(*keep, "features")
 
 
+def _memory_gb(spark) -> float:
+    """Heap of one executor (or of the driver in local mode), from the conf."""
+    conf = spark.sparkContext.getConf()
+    text = conf.get("spark.executor.memory", None) if not spark.sparkContext.master.startswith("local") \
+        else conf.get("spark.driver.memory", None)
+    text = (text or "1g").strip().lower()
+    units = {"k": 1 / 1024 / 1024, "m": 1 / 1024, "g": 1.0, "t": 1024.0}
+    try:
+        return float(text[:-1]) * units[text[-1]] if text[-1] in units else float(text) / 1024 ** 3
+    except ValueError:
+        return 1.0
+
+
+def split_memory_mb(spark) -> int:
+    """Per-task memory for split statistics: MLlib's 256 MB default when the
+    heap is at least 4 GB, 64 MB on small heaps (more passes, no OOM)."""
+    return 256 if _memory_gb(spark) >= 4 else 64
+
+
 def forest(cfg: ForestConfig, weight_col: str | None = None, bootstrap: bool = True) -> RandomForestRegressor:
     rf = RandomForestRegressor(featuresCol="features", labelCol="_v", predictionCol="prediction",
                                numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins,
                                minInstancesPerNode=cfg.min_instances,
                                featureSubsetStrategy=FEATURE_FRACTION, seed=cfg.seed,
-                               bootstrap=bootstrap, maxMemoryInMB=cfg.max_memory_mb)
+                               bootstrap=bootstrap, maxMemoryInMB=cfg.max_memory_mb or 64)
     if weight_col:
         rf.setWeightCol(weight_col)
     return rf
@@ -105,6 +124,8 @@ class Forecast:
     def __init__(self, fp: FeaturePlan, cfg: ForestConfig | None = None, next_date: str = "2025-03-22"):
         self.fp = fp
         self.cfg = cfg or ForestConfig()
+        if self.cfg.max_memory_mb is None:
+            self.cfg.max_memory_mb = split_memory_mb(fp.base.sparkSession)
         self.next_date = next_date
         self._holdout = None
         self._full = None
