@@ -1,9 +1,11 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is executed in full with a ``noop`` write (nothing is collected to
-the driver). ``stage_fact`` is the shared first step (adapter joins, fills,
-row features written once to the checkpoint folder); the other timings
-reuse it, as a session running several reports would. Prints one JSON line.
+the driver). ``stage_fact`` (adapter joins, fills, row features), ``stage_stat_tables``
+(medians, ranks, label codes, per-key statistics, daily series) and
+``stage_features`` (the 141-feature table) are the shared steps, written once
+to the checkpoint folder; the query timings reuse them, as a session running
+several reports would. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -31,8 +33,15 @@ def main():
     times = {}
     t0 = time.time()
     fp = catalog.plan(spark, sf_dir)
-    fp.base  # noqa: B018  (staged once)
+    fp.base  # noqa: B018  (adapter joins, fills, row features: staged once)
     times["stage_fact"] = round(time.time() - t0, 3)
+    if not only:
+        t0 = time.time()
+        (fp.medians, fp.M, fp.ranks, fp.codes, fp.K, fp.C, fp.V, fp.N, fp.D)  # noqa: B018
+        times["stage_stat_tables"] = round(time.time() - t0, 3)
+        t0 = time.time()
+        fp.features  # noqa: B018  (the 141-feature model input, staged once)
+        times["stage_features"] = round(time.time() - t0, 3)
     for name in (only or HEADLINE):
         t = time.time()
         fns[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

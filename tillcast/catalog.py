@@ -331,30 +331,40 @@ def sanitized_matrix(fp: FeaturePlan) -> DataFrame:
                     F.col("_v").alias("label"), *fp.cols.order)
 
 
+FEATURE_CHUNK = 16   # features per aggregate: keeps each aggregate inside generated code
+
+
 def q_feature_matrix(spark, d):
     """Per feature: rows, values that were NULL/NaN/inf before sanitising (Q11),
     zeros, min and max of the sanitised matrix column.
 
-    One pass with 5 aggregates per feature; the single result row is then
-    stacked into one row per feature (141 rows, built from one row)."""
+    Features are aggregated in chunks (each chunk reads only its columns of
+    the staged table, one row out), and each chunk's row is stacked into one
+    row per feature."""
     from tillcast.functions.numeric import finite_or_zero
     fp = plan(spark, d)
     f = fp.features
-    aggs = []
-    for i, n in enumerate(FEATURES):
-        raw = F.col(f"`{feature_column(n, fp.cols)}`").cast("double")
-        x = finite_or_zero(raw)
-        bad = raw.isNull() | F.isnan(raw) | (F.abs(raw) == float("inf"))
-        aggs += [F.sum(bad.cast("long")).alias(f"b{i}"), F.sum((x == 0).cast("long")).alias(f"z{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    wide = f.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("pos"), F.lit(n).alias("feature"),
-                                        F.col(f"b{i}").alias("n_nonfinite"), F.col(f"z{i}").alias("n_zero"),
-                                        F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
-                               for i, n in enumerate(FEATURES)]))
-    return wide.select("n_rows", rows.alias("s")).select(
-        "s.pos", "s.feature", "n_rows", "s.n_nonfinite", "s.n_zero",
-        r4("s.lo").alias("min_value"), r4("s.hi").alias("max_value"))
+    parts = []
+    for start in range(0, len(FEATURES), FEATURE_CHUNK):
+        idx = range(start, min(start + FEATURE_CHUNK, len(FEATURES)))
+        aggs = []
+        for i in idx:
+            raw = F.col(f"`{feature_column(FEATURES[i], fp.cols)}`").cast("double")
+            x = finite_or_zero(raw)
+            bad = raw.isNull() | F.isnan(raw) | (F.abs(raw) == float("inf"))
+            aggs += [F.sum(bad.cast("long")).alias(f"b{i}"), F.sum((x == 0).cast("long")).alias(f"z{i}"),
+                     F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        wide = f.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+        rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("pos"), F.lit(FEATURES[i]).alias("feature"),
+                                            F.col(f"b{i}").alias("n_nonfinite"), F.col(f"z{i}").alias("n_zero"),
+                                            F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+                                   for i in idx]))
+        parts.append(wide.select("n_rows", rows.alias("s")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("s.pos", "s.feature", "n_rows", "s.n_nonfinite", "s.n_zero",
+                      r4("s.lo").alias("min_value"), r4("s.hi").alias("max_value"))
 
 
 # ---- last rows and next day ----------------------------------------------
