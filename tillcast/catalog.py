@@ -32,7 +32,7 @@ _PLANS: dict = {}
 def plan(spark: SparkSession, sf_dir: str) -> FeaturePlan:
     """Feature plan for a folder of tables (one per session and folder, so that
     the staged fact is written once and shared by the queries)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PLANS:
         sheets = tpch_sheets(spark, sf_dir)
         w = weather_context(parse_weather(read_weather(spark)))
@@ -542,7 +542,7 @@ _FORECASTS: dict = {}
 
 def forecast(spark, d):
     from tillcast.plans.forecast import Forecast
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _FORECASTS:
         _FORECASTS[key] = Forecast(plan(spark, d), next_date=NEXT_DATE)
     return _FORECASTS[key]
