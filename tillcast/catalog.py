@@ -15,6 +15,7 @@ from tillcast.functions.numeric import r4
 from tillcast.operators import series
 from tillcast.operators.clean import clean_indent
 from tillcast.operators.enrich import soh_median
+from tillcast.operators.joins import with_scalars
 from tillcast.operators.split import split_bounds as _split_bounds
 from tillcast.operators.split import time_split as _time_split
 from tillcast.operators.stats import group_stats
@@ -136,7 +137,7 @@ def q_shortname_stats(spark, d):
 
 def q_global_stats(spark, d):
     fp = plan(spark, d)
-    return fp.G.crossJoin(soh_median(fp.joined, fp.cols)).select(
+    return with_scalars(fp.G, soh_median(fp.joined, fp.cols), ["median_soh"]).select(
         r4("global_mean").alias("global_mean"), r4("median_soh").alias("median_soh"),
         "min_date", F.col("max_mat_count").cast("long").alias("max_mat_count"),
         F.col("row_count").cast("long").alias("row_count"))
@@ -231,7 +232,7 @@ def q_festive_flag(spark, d):
 def q_traffic_delay(spark, d):
     fp = plan(spark, d)
     dt = F.col("invoice_date")
-    f = _days(fp).crossJoin(F.broadcast(fp.weather_row.select("w_is_rainy")))
+    f = with_scalars(_days(fp), fp.weather_row, ["w_is_rainy"])
     return f.select("invoice_date",
                     r4(cal.traffic_index(cal.weekday(dt), F.col("w_is_rainy"))).alias("TrafficIndex"),
                     r4(cal.delay_index(cal.weekday(dt), F.col("w_is_rainy"))).alias("DeliveryDelayIndex"))
@@ -426,7 +427,7 @@ def score_products(spark, d, score: DataFrame | None = None) -> DataFrame:
     if score is None:
         from tillcast.operators.stats import smooth_encode
         from tillcast.plans.features import ALPHA_MAT
-        score = fp.M.crossJoin(F.broadcast(fp.G.select("global_mean"))).select(
+        score = with_scalars(fp.M, fp.G, ["global_mean"]).select(
             "material_no", smooth_encode(F.col("Mat_Count"), F.col("Mat_AvgSale"),
                                          F.col("global_mean"), ALPHA_MAT).alias("score"))
     ctx = reports.next_day_context(spark, NEXT_DATE, fp.weather_row)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillcast.columns import SalesColumns
 from tillcast.operators.clean import clean_crt_size, clean_indent, strip_text
+from tillcast.operators.joins import with_scalars
 from tillcast.operators.ordered import exact_median
 
 # Fill values after the joins (fixed values).
@@ -58,8 +59,7 @@ def soh_median(enriched: DataFrame, cols: SalesColumns) -> DataFrame:
 def fill_defaults(enriched: DataFrame, cols: SalesColumns) -> DataFrame:
     """Unmatched stock -> median SOH, Indent 0; crates 1; vendor and
     type defaults only where the vendor master had no row (Q1)."""
-    med = F.broadcast(soh_median(enriched, cols))
-    f = enriched.crossJoin(med)
+    f = with_scalars(enriched, soh_median(enriched, cols), ["median_soh"])
     unmatched = F.col("_sku_hit").isNull()
     return f.select(
         *[c for c in enriched.columns if c not in {cols.soh, cols.indent, cols.crt_size,

@@ -28,3 +28,11 @@ def checked_broadcast(small: DataFrame, max_cells: int | None = None) -> DataFra
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left",
                  max_cells: int | None = None) -> DataFrame:
     return big.join(checked_broadcast(small, max_cells), on, how)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Add columns of a one-row frame (global scalars, weather, forecast-day
+    context) to every row as scalar subqueries: evaluated once and inlined as
+    constants, no join. More than one row is an error, none gives NULL."""
+    cols = list(cols or one_row.columns)
+    return df.select("*", *[one_row.select(F.col(f"`{c}`")).scalar().alias(c) for c in cols])

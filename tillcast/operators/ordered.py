@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.operators.joins import with_scalars
 from tillcast.operators.stage import stage
 
 
@@ -124,8 +125,7 @@ def exact_median(df: DataFrame, keys: list[str] | tuple, value: str, out: str,
     hist = prefix_before(hist, ["_v"], "_c", keys, "_b", partitions, group_rows=biggest)
     n = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if not keys:
-        n = F.broadcast(n)
-        j = hist.crossJoin(n)
+        j = with_scalars(hist, n, ["_n"])
     else:
         j = hist.join(n, keys)
     k1 = F.floor((F.col("_n") - 1) / 2)
@@ -156,7 +156,7 @@ def average_tie_pct_rank(df: DataFrame, value: str, out: str, weight: str | None
                          group_rows=largest_group(rows, keys))
     tot = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if not keys:
-        j = hist.crossJoin(F.broadcast(tot))
+        j = with_scalars(hist, tot, ["_n"])
     else:
         j = hist.join(tot, keys)
     lo = F.col("_b") + 1

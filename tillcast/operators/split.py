@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.operators.joins import with_scalars
 from tillcast.operators.ordered import prefix_before
 
 TRAIN_FRACTION = 0.80  # fixed value of the reference
@@ -21,7 +22,7 @@ def time_split(df: DataFrame, date: str, order_cols: list[str] | tuple,
     days = df.groupBy(date).agg(F.count(F.lit(1)).alias("_day_n"))
     days = prefix_before(days, [date], "_day_n", (), "_day_before")
     cut = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(frac))).cast("long").alias("_cut"))
-    f = df.join(days, date, "left").crossJoin(F.broadcast(cut))
+    f = with_scalars(df.join(days, date, "left"), cut, ["_cut"])
     on_cut = (F.col("_day_before") < F.col("_cut")) & (F.col("_cut") < F.col("_day_before") + F.col("_day_n"))
     clear = f.where(~on_cut).withColumn(out, (F.col("_day_before") + F.col("_day_n") <= F.col("_cut")).cast("int"))
     bnd = prefix_before(f.where(on_cut), list(order_cols), None, (), "_pos")

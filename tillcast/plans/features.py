@@ -30,7 +30,7 @@ from tillcast.operators import series, stats
 from tillcast.operators.clean import clean_sales, split_valid_target
 from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta
 from tillcast.operators.ordered import exact_medians, label_codes, pct_ranks
-from tillcast.operators.joins import join_checked
+from tillcast.operators.joins import join_checked, with_scalars
 from tillcast.operators.stage import stage
 from tillcast.sources.sheets import Sheets
 
@@ -326,7 +326,7 @@ class FeaturePlan:
         counts = (self.base.where(F.col(c.material).isNotNull()).groupBy(c.material)
                   .agg(F.count(c.value).alias("_n")))
         mx = counts.agg(F.max("_n").alias("max_mat_count"))
-        return g.crossJoin(mx)
+        return with_scalars(g, mx, ["max_mat_count"])
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -375,7 +375,7 @@ class FeaturePlan:
 
     # ---- feature groups (each adds columns to a frame that has base) -------
     def with_globals(self, df: DataFrame) -> DataFrame:
-        return df.crossJoin(F.broadcast(self.G.select("global_mean", "min_date", "max_mat_count")))
+        return with_scalars(df, self.G, ["global_mean", "min_date", "max_mat_count"])
 
     def with_material(self, df: DataFrame) -> DataFrame:
         """F14-F36, F67-F68, F75-F78, F136-F141 (needs with_globals)."""
@@ -519,7 +519,7 @@ class FeaturePlan:
     def with_weather(self, df: DataFrame) -> DataFrame:
         """F117-F130: weather scalars on every row, traffic and delay indexes."""
         c = self.cols
-        f = df.crossJoin(F.broadcast(self.weather_row))
+        f = with_scalars(df, self.weather_row)
         q, p = F.col(c.qty), F.col("PricePerUnit")
         f = f.withColumn("TrafficIndex", cal.traffic_index("DayOfWeek", "w_is_rainy"))
         traffic = F.col("TrafficIndex")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions.numeric import finite_or_zero, r4
+from tillcast.operators.joins import with_scalars
 from tillcast.operators.split import time_split
 from tillcast.plans import reports
 from tillcast.plans.features import FEATURES, FeaturePlan, feature_column
@@ -155,9 +156,11 @@ class Forecast:
     def metrics(self) -> DataFrame:
         """train R2, test R2, test RMSE, test MAE (M5) as one row."""
         m = regression_metrics(self.scored(), "_v", "prediction", by="is_train")
-        tr = m.where(F.col("is_train") == 1).select(F.col("r2").alias("train_r2"))
-        te = m.where(F.col("is_train") == 0).select(F.col("r2").alias("test_r2"), "rmse", "mae")
-        return tr.crossJoin(te)
+        tr, te = F.col("is_train") == 1, F.col("is_train") == 0
+        return m.agg(F.max(F.when(tr, F.col("r2"))).alias("train_r2"),
+                     F.max(F.when(te, F.col("r2"))).alias("test_r2"),
+                     F.max(F.when(te, F.col("rmse"))).alias("rmse"),
+                     F.max(F.when(te, F.col("mae"))).alias("mae"))
 
     def oob_r2(self, bags: int = 4) -> DataFrame:
         """M9: out-of-bag R2. Each bag draws Poisson(1) row weights from a hash
@@ -219,8 +222,8 @@ class Forecast:
             F.col("_v").alias("actual"), F.col("prediction").alias("predicted"))
         lo_hi = s.agg(F.least(F.min("actual"), F.min("predicted")).alias("_lo"),
                       F.greatest(F.max("actual"), F.max("predicted")).alias("_hi"))
-        return s.crossJoin(F.broadcast(lo_hi.select((F.col("_lo") * 0.85).alias("axis_min"),
-                                                    (F.col("_hi") * 1.08).alias("axis_max"))))
+        return with_scalars(s, lo_hi.select((F.col("_lo") * 0.85).alias("axis_min"),
+                                            (F.col("_hi") * 1.08).alias("axis_max")))
 
     def daily_predicted(self) -> DataFrame:
         """Predicted total per day from the holdout model."""
@@ -244,5 +247,6 @@ class Forecast:
     def kpi_row(self, bags: int = 4) -> DataFrame:
         """Total forecast, metrics, OOB R2, feature count."""
         total = self.next_day_products().agg(F.sum("predicted_sale").alias("total_forecast"))
-        return (total.crossJoin(self.metrics()).crossJoin(self.oob_r2(bags).select("oob_r2"))
-                .withColumn("n_features", F.lit(len(FEATURES))))
+        row = with_scalars(total, self.metrics())
+        row = with_scalars(row, self.oob_r2(bags), ["oob_r2"])
+        return row.withColumn("n_features", F.lit(len(FEATURES)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions import calendar as cal
 from tillcast.functions.numeric import col_
+from tillcast.operators.joins import with_scalars
 
 # Labels used when a material has no master row (fixed values).
 UNKNOWN_LABEL = "Unknown"
@@ -74,7 +75,7 @@ def next_day_rows(last: DataFrame, ctx: DataFrame, qty: str, soh: str) -> DataFr
     """The last line of each material with the 20 forecast-day overrides
     (P23); every other column stays as on the last line (Q6)."""
     q, p = F.col(qty), F.col("PricePerUnit")
-    f = last.crossJoin(F.broadcast(ctx.select(*[c for c in ctx.columns if c.startswith("next_")])))
+    f = with_scalars(last, ctx, [c for c in ctx.columns if c.startswith("next_")])
     over = {
         "TempXQty": F.col("w_temperature") * q, "TempXPrice": F.col("w_temperature") * p,
         "HumidXQty": F.col("w_humidity") * q, "RainXQty": F.col("w_rain_1h") * q,
@@ -93,8 +94,8 @@ def product_frame(last: DataFrame, meta: DataFrame, score: DataFrame, ctx: DataF
                   score_col: str = "score") -> DataFrame:
     """M6 output fields, one row per material. ``score`` is (material, score)."""
     f = (last.join(score, material, "left")
-         .join(meta.withColumn("_meta_hit", F.lit(1)), material, "left")
-         .crossJoin(F.broadcast(ctx.select("next_season", "next_festive", "next_traffic", "next_delay"))))
+         .join(meta.withColumn("_meta_hit", F.lit(1)), material, "left"))
+    f = with_scalars(f, ctx, ["next_season", "next_festive", "next_traffic", "next_delay"])
     hit = F.col("_meta_hit").isNotNull()
     avg_price = F.col("Mat_AvgPrice")
     pred = F.col(score_col)
