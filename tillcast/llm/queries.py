@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op5_packing
+from . import op1_quality_rules, op5_packing
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules.query,
     "op5_packing": op5_packing.query,
 }
 
