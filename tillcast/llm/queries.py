@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op5_packing
+from . import op1_quality_rules, op5_packing, op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
     "op5_packing": op5_packing.query,
+    "op6_toxicity": op6_toxicity.query,
 }
 
 ORACLE_SQL = {}
