@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op5_packing, op6_toxicity
+from . import op1_quality_rules, op4_url_filters, op5_packing, op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
+    "op4_url_filters": op4_url_filters.query,
     "op5_packing": op5_packing.query,
     "op6_toxicity": op6_toxicity.query,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op4_url_filters": op4_url_filters.ORACLE_SQL,
+}
