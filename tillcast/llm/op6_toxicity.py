@@ -93,13 +93,14 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
 def shared_model(spark: SparkSession, trigrams: DataFrame, discount: float = 0.75) -> DataFrame:
     """P(b | a) for all 65,536 pairs, from the number of different contexts."""
+    import pyarrow as pa
     pairs = np.zeros((256, 256))
-    for r in trigrams.groupBy((F.col("gram") % 65536).alias("pair")).count().collect():  # 65,536 rows at most
-        pairs[r[0] >> 8, r[0] & 255] = r[1]
+    found = trigrams.groupBy((F.col("gram") % 65536).alias("pair")).count().toArrow()  # 65,536 rows at most
+    pairs.ravel()[found.column(0).to_numpy()] = found.column(1).to_numpy()
     one = ((pairs > 0).sum(0) + 0.5) / ((pairs > 0).sum() + 128)
     total = pairs.sum(1, keepdims=True)
     p = np.where(total > 0, (np.maximum(pairs - discount, 0) + np.minimum(pairs, discount).sum(1, keepdims=True) * one) / np.maximum(total, 1), one)
-    return spark.createDataFrame(list(zip(range(65536), p.ravel().tolist())), "gram long, p double")
+    return spark.createDataFrame(pa.table({"gram": np.arange(65536), "p": p.ravel()}))
 
 
 def log_ratios(top: DataFrame, shared: DataFrame, discounts: dict[int, float]) -> DataFrame:
@@ -116,7 +117,7 @@ def log_ratios(top: DataFrame, shared: DataFrame, discounts: dict[int, float]) -
         d = [discounts[k] * max(1.0, t / max(min(totals), 1)) for t in totals]
         grams = by_order[k].withColumns({"context": F.shiftright("gram", 8), "suffix": F.col("gram") % (1 << 8 * (k - 1))})
         left = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(d[c]))).alias(f"l{c}") for c in (0, 1)]
-        contexts = grams.groupBy("context").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)], *left)
+        contexts = stage(grams.groupBy("context").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)], *left), f"toxicity-contexts{k}")
         share = [F.when(F.col(f"s{c}") > 0, F.col(f"l{c}") / F.col(f"s{c}")).otherwise(1.0) for c in (0, 1)]
         seen = [F.when(F.col(f"s{c}") > 0, F.greatest(F.col(f"n{c}") - F.lit(d[c]), F.lit(0.0)) / F.col(f"s{c}")).otherwise(0.0) for c in (0, 1)]
         lower = stage(grams.join(contexts, "context").join(lower.withColumnRenamed("gram", "suffix"), "suffix")
@@ -187,13 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20000, top_di
     top = stage(class_counts(learnt.where("not fitted")), "toxicity-counts")
     shared = shared_model(spark, shared_counts(docs))
     discounts = {k: top_discount if k == ORDER else discount for k in range(SHARED + 1, ORDER + 1)}
-    ratios = log_ratios(top, shared, discounts).select("kind", "bucket", F.col("value").cast("float")).toPandas()  # 8 x BUCKETS rows at most
+    ratios = stage(log_ratios(top, shared, discounts).select("kind", F.col("bucket").cast("int").alias("bucket"), F.col("value").cast("float").alias("value")), "toxicity-ratios")
     tables = {}
     for k in range(SHARED + 1, ORDER + 1):
         for kind, empty in ((k, np.nan), (10 + k, 0)):
+            part = ratios.where(F.col("kind") == kind).select("bucket", "value").toArrow()  # BUCKETS rows at most
             tables[kind] = np.full(BUCKETS, empty, np.float32)
-            part = ratios[ratios.kind == kind]
-            tables[kind][part.bucket.to_numpy()] = part.value.to_numpy()
+            tables[kind][part.column(0).to_numpy()] = part.column(1).to_numpy()
     tables = spark.sparkContext.broadcast(tables)
     seen = likelihood_ratio(learnt.where("fitted"), tables).join(learnt.select("id", "mark"), "id").where("n > 0").toPandas()
     if seen.mark.nunique() < 2:
