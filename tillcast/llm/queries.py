@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_sharding, op4_url_filters, op5_packing, op6_toxicity, op9_mixing
+from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op9_mixing
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
     "op2_sharding": op2_sharding.query,
+    "op3_quality_classifier": op3_quality_classifier.query,
     "op4_url_filters": op4_url_filters.query,
     "op5_packing": op5_packing.query,
     "op6_toxicity": op6_toxicity.query,
