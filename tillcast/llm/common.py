@@ -71,17 +71,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def in_blocks(df: DataFrame, key: str, row: Column, block: int) -> DataFrame:
+def in_blocks(df: DataFrame, key: str, row: Column, block: int, weight: Column | None = None) -> DataFrame:
     """Deals the rows of each key that has two or more to groups ``_g`` of about
-    2 x ``block`` rows at most, so that any two rows of a key meet in exactly one group.
+    2 x ``block`` rows (or sums of ``weight``) at most, so that any two rows of a key meet in exactly one group.
 
-    A key with more than ``block`` rows is cut into k chunks by a hash of
+    A key with more than ``block`` is cut into k chunks by a hash of
     ``row``, and each pair of chunks is a group (``_i`` <= ``_j``; ``_c`` is
     the row's own chunk): in group (i, i) compare all rows, in (i, j) only rows
     of different chunks."""
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    df = (df.join(n, key).withColumn("_k", F.ceil(F.col("_n") / block).cast("int"))
-          .withColumn("_c", F.pmod(F.xxhash64(row), F.col("_k")).cast("int")).drop("_n"))
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.lit(1) if weight is None else weight).alias("_w")).where("_n > 1")
+    df = (df.join(n, key).withColumn("_k", F.ceil(F.col("_w") / block).cast("int"))
+          .withColumn("_c", F.pmod(F.xxhash64(row), F.col("_k")).cast("int")).drop("_n", "_w"))
     one = df.where("_k = 1").withColumns({"_i": F.lit(0), "_j": F.lit(0)})
     c = F.col("_c")
     many = (df.where("_k > 1").withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op9_mixing
+from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op9_mixing
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_url_filters": op4_url_filters.query,
     "op5_packing": op5_packing.query,
     "op6_toxicity": op6_toxicity.query,
+    "op7_ngram_jaccard": op7_ngram_jaccard.query,
     "op9_mixing": op9_mixing.query,
 }
 
 ORACLE_SQL = {
     "op4_url_filters": op4_url_filters.ORACLE_SQL,
+    "op7_ngram_jaccard": op7_ngram_jaccard.ORACLE_SQL,
 }
