@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillcast.operators.stage import stage
 
-__all__ = ["chunks", "components", "first_columns", "in_blocks", "local_components", "mixed", "number_within",
+__all__ = ["chunks", "compared", "components", "first_columns", "in_blocks", "local_components", "mixed", "number_within",
            "stage", "table", "whole_groups", "word_hashes"]
 
 #: ASCII white space: \x20 and \x09 to \x0D. Everything else belongs to a word.
@@ -133,6 +133,32 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lab
 
 
+def compared(rows: DataFrame, most: int) -> DataFrame:
+    """From rows (node, id, b0, b1): edges (a, b) of a spanning forest over the
+    rows of each node whose sketches of 128 bits differ in ``most`` at most. Nodes are small."""
+    def run(batches):
+        import pyarrow as pa
+        for t in whole_groups(batches, "node"):
+            node, ids = t.column("node").to_numpy(), t.column("id").to_numpy()
+            b0, b1 = (t.column(c).to_numpy().view(np.uint64) for c in ("b0", "b1"))
+            left, right, step, alive = [], [], 1, np.arange(len(node))
+            while True:
+                alive = alive[alive + step < len(node)]
+                alive = alive[node[alive] == node[alive + step]]
+                if not len(alive):
+                    break
+                other = alive + step
+                near = np.bitwise_count(b0[alive] ^ b0[other]).astype(int) + np.bitwise_count(b1[alive] ^ b1[other]) <= most
+                left.append(alive[near])
+                right.append(other[near])
+                step += 1
+            if left:
+                lab = local_components(len(node), np.concatenate(left), np.concatenate(right))
+                at = np.flatnonzero(lab != np.arange(len(lab)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[lab[at]])], names=["a", "b"])
+    return rows.select("node", "id", "b0", "b1").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, components, first_columns, in_blocks, local_components, mixed, stage, table, whole_groups, word_hashes
+from .common import chunks, compared, components, first_columns, in_blocks, local_components, mixed, stage, table, whole_groups, word_hashes
 
 COORDINATES = 128
 
@@ -102,33 +102,6 @@ def runs_needed(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-def compared(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) of a spanning forest over the sets of each small bucket
-    whose sketches suggest a similarity of ``least`` or more."""
-    def run(batches):
-        import pyarrow as pa
-        for t in whole_groups(batches, "node"):
-            node, ids = t.column("node").to_numpy(), t.column("id").to_numpy()
-            b0, b1 = (t.column(c).to_numpy().view(np.uint64) for c in ("b0", "b1"))
-            left, right, step, alive = [], [], 1, np.arange(len(node))
-            while True:
-                alive = alive[alive + step < len(node)]
-                alive = alive[node[alive] == node[alive + step]]
-                if not len(alive):
-                    break
-                other = alive + step
-                apart = np.bitwise_count(b0[alive] ^ b0[other]).astype(int) + np.bitwise_count(b1[alive] ^ b1[other])
-                near = 1 - 2 * apart / COORDINATES >= least
-                left.append(alive[near])
-                right.append(other[near])
-                step += 1
-            if left:
-                lab = local_components(len(node), np.concatenate(left), np.concatenate(right))
-                at = np.flatnonzero(lab != np.arange(len(lab)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[lab[at]])], names=["a", "b"])
-    return rows.select("node", "id", "b0", "b1").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
-
-
 def candidates(texts: DataFrame, threshold: float, recall: float, leaf: int, depth: int, seed: int) -> DataFrame:
     """Edges (a, b) that connect all pairs of sets met in the buckets."""
     rng = np.random.default_rng(seed)
@@ -151,7 +124,7 @@ def candidates(texts: DataFrame, threshold: float, recall: float, leaf: int, dep
             mine = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < int(chance * (1 << 20)))
             nodes = F.transform(mine, lambda i: F.xxhash64("node", i, F.get("sig", i)))
             rows = rows.drop("size", "low").join(texts.select("id", "sig"), "id").select("id", "b0", "b1", F.explode(nodes).alias("node"))
-    return compared(small, least).unionAll(out)
+    return compared(small, int((1 - least) / 2 * COORDINATES)).unionAll(out)
 
 
 def intersections(groups: list[np.ndarray]):

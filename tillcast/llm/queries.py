@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op9_mixing
+from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op9_mixing, op10_embedding_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op6_toxicity": op6_toxicity.query,
     "op7_ngram_jaccard": op7_ngram_jaccard.query,
     "op9_mixing": op9_mixing.query,
+    "op10_embedding_dedup": op10_embedding_dedup.query,
 }
 
 ORACLE_SQL = {
     "op4_url_filters": op4_url_filters.ORACLE_SQL,
     "op7_ngram_jaccard": op7_ngram_jaccard.ORACLE_SQL,
+    "op10_embedding_dedup": op10_embedding_dedup.ORACLE_SQL,
 }
