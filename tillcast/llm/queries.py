@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op9_mixing, op10_embedding_dedup
+from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op8_html_text, op9_mixing, op10_embedding_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": op5_packing.query,
     "op6_toxicity": op6_toxicity.query,
     "op7_ngram_jaccard": op7_ngram_jaccard.query,
+    "op8_html_text": op8_html_text.query,
     "op9_mixing": op9_mixing.query,
     "op10_embedding_dedup": op10_embedding_dedup.query,
 }
