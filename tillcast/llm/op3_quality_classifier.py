@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, first_columns, mixed, stage, table
 from .lines import measure
@@ -34,13 +35,19 @@ LANGUAGES, SOURCES, LENGTHS = 16, 64, 24
 METADATA = LANGUAGES + SOURCES + LENGTHS
 
 
-def views(docs: DataFrame) -> DataFrame:
-    """Rows (id, text array<double>, meta array<int>): the numbers of the text
-    view, and which metadata indicators are on."""
+def views(docs: DataFrame, text_col: str, lang_col: str, source_col: str, length_col: str) -> DataFrame:
+    """Adds ``_text`` (numbers of the text view) and ``_meta`` (which metadata indicators are on) to the rows of ``docs``."""
+    length = F.when(F.col(length_col) >= 0, F.least(F.floor(F.log2(F.col(length_col) + 1.0)), F.lit(LENGTHS - 2)) + 1).otherwise(0)
+    meta = F.array(F.pmod(F.xxhash64(lang_col), F.lit(LANGUAGES)), LANGUAGES + F.pmod(F.xxhash64(source_col), F.lit(SOURCES)), LANGUAGES + SOURCES + length).cast("array<int>")
+    docs = docs.withColumn("_meta", meta)
+    text_at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_text", T.ArrayType(T.DoubleType()))])
+    names = schema.fieldNames()
+
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            for row, data, ends in chunks(batch.column(1)):
+            for row, data, ends in chunks(batch.column(text_at)):
                 got = measure(data, ends)
                 n, doc = len(ends), got["line_doc"]
                 words = np.maximum(got["n_words"], 1)
@@ -50,23 +57,19 @@ def views(docs: DataFrame) -> DataFrame:
                 different = np.bincount(got["word_doc"][first], minlength=n) / words
                 view = np.column_stack([x[:, :8], np.log1p(got["n_words"]), got["word_chars"] / words, x[:, 11], x[:, 12], x[:, 13], got["n_repeat_words"] / words,
                                         different, np.log(words / np.maximum(np.bincount(doc, got["line_words"] > 0, minlength=n), 1))])
-                flat = pa.array(view.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * view.shape[1]), flat),
-                                                  batch.column(2).slice(row, n)], names=["id", "text", "meta"])
-    length = F.when(F.col("length") >= 0, F.least(F.floor(F.log2(F.col("length") + 1.0)), F.lit(LENGTHS - 2)) + 1).otherwise(0)
-    meta = F.array(F.pmod(F.xxhash64("lang"), F.lit(LANGUAGES)), LANGUAGES + F.pmod(F.xxhash64("source"), F.lit(SOURCES)), LANGUAGES + SOURCES + length).cast("array<int>")
-    ids = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", meta.alias("meta")).mapInArrow(run, f"id {ids}, text array<double>, meta array<int>")
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * view.shape[1]), pa.array(view.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns, flat], names=names)
+    return docs.mapInArrow(run, schema)
 
 
 def text_logit(w, mean, scale):
     """Log odds of the text view as a column."""
-    return sum((F.lit(float(a / s)) * (F.col("text")[i] - F.lit(float(m))) for i, (a, m, s) in enumerate(zip(w[:-1], mean, scale))), F.lit(float(w[-1])))
+    return sum((F.lit(float(a / s)) * (F.col("_text")[i] - F.lit(float(m))) for i, (a, m, s) in enumerate(zip(w[:-1], mean, scale))), F.lit(float(w[-1])))
 
 
 def meta_logit(w):
     weights = F.array(*[F.lit(float(a)) for a in w[:-1]])
-    return sum((F.element_at(weights, F.col("meta")[j] + 1) for j in range(3)), F.lit(float(w[-1])))
+    return sum((F.element_at(weights, F.col("_meta")[j] + 1) for j in range(3)), F.lit(float(w[-1])))
 
 
 def on(meta: np.ndarray) -> np.ndarray:
@@ -84,14 +87,14 @@ def train(seen: DataFrame, labels: DataFrame, max_labelled: int = 20000, rounds:
     if fit.mark.nunique() < 2 or rest.mark.nunique() < 2:
         return None
     stack = lambda frame, name: np.array([list(x) for x in frame[name]])
-    mean, scale = stack(fit, "text").mean(0), stack(fit, "text").std(0) + 1e-6
+    mean, scale = stack(fit, "_text").mean(0), stack(fit, "_text").std(0) + 1e-6
     pool = seen.join(F.broadcast(marks.select("id")), "id", "left_anti")
     extra = {"text": [], "meta": []}  # pseudo-labels given to each view
     given: set = set()
     for step in range(rounds + 1):
-        xt = np.array([list(t) for t in fit["text"]] + [r.text for r, _ in extra["text"]])
+        xt = np.array([list(t) for t in fit["_text"]] + [r._text for r, _ in extra["text"]])
         yt = np.concatenate([fit.mark.to_numpy(), [y for _, y in extra["text"]]])
-        xm = on(np.array([list(m) for m in fit["meta"]] + [r.meta for r, _ in extra["meta"]]))
+        xm = on(np.array([list(m) for m in fit["_meta"]] + [r._meta for r, _ in extra["meta"]]))
         ym = np.concatenate([fit.mark.to_numpy(), [y for _, y in extra["meta"]]])
         wt = logistic((xt - mean) / scale, yt, np.ones(len(yt)))
         wm = logistic(xm, ym, np.ones(len(ym)))
@@ -101,41 +104,53 @@ def train(seen: DataFrame, labels: DataFrame, max_labelled: int = 20000, rounds:
         for logit, other in ((text_logit(wt, mean, scale), "meta"), (meta_logit(wm), "text")):
             for y, sign in ((1, 1), (0, -1)):
                 # the most confident of all documents, ties by hash; what was handed over before stays so
-                best = pool.withColumn("z", logit * sign).where(F.col("z") >= bound).orderBy(F.desc("z"), F.xxhash64("id"), "id").limit(exchange * (step + 1)).select("id", "text", "meta").collect()
+                best = pool.withColumn("z", logit * sign).where(F.col("z") >= bound).orderBy(F.desc("z"), F.xxhash64("id"), "id").limit(exchange * (step + 1)).select("id", "_text", "_meta").collect()
                 for r in best:
                     if (other, r.id) not in given:
                         given.add((other, r.id))
                         extra[other].append((r, y))
     # calibration of each view on documents kept from the fits
     y = rest.mark.to_numpy()
-    zt = (stack(rest, "text") - mean) / scale @ wt[:-1] + wt[-1]
-    zm = on(stack(rest, "meta")) @ wm[:-1] + wm[-1]
+    zt = (stack(rest, "_text") - mean) / scale @ wt[:-1] + wt[-1]
+    zm = on(stack(rest, "_meta")) @ wm[:-1] + wm[-1]
     ct, cm = (logistic(z[:, None] / 4, y, np.ones(len(y)), ridge=1e-4) for z in (np.clip(zt, -20, 20), np.clip(zm, -20, 20)))
     prior = (y.sum() + 0.5) / (len(y) + 1)
     return {"text": (wt, mean, scale), "meta": wm, "calibration": (ct.tolist(), cm.tolist()), "prior": float(np.log(prior / (1 - prior))),
             "handed": {k: len(v) for k, v in extra.items()}}
 
 
-def score(seen: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, content_score and metadata_score (each view's calibrated
-    probability of good quality), score (both combined) and kept."""
-    if model is None:
-        one = F.lit(1.0)
-        return seen.select(F.col("id").alias("doc_id"), one.alias("content_score"), one.alias("metadata_score"), one.alias("score"), F.lit(True).alias("kept"))
+def scores(model: dict) -> tuple:
+    """(content, metadata, combined) probabilities of good quality as columns of the views."""
     clip = lambda z: F.greatest(F.least(z, F.lit(20.0)), F.lit(-20.0))
     odds = lambda z: 1 / (1 + F.exp(-z))
     (at, bt), (am, bm) = model["calibration"]
-    out = seen.select("id", (clip(text_logit(*model["text"])) / 4 * at + bt).alias("t"), (clip(meta_logit(model["meta"])) / 4 * am + bm).alias("m"))
-    out = out.select(F.col("id").alias("doc_id"), odds(F.col("t")).alias("content_score"), odds(F.col("m")).alias("metadata_score"),
-                     odds(F.col("t") + F.col("m") - model["prior"]).alias("score"))
+    t, m = clip(text_logit(*model["text"])) / 4 * at + bt, clip(meta_logit(model["meta"])) / 4 * am + bm
+    return odds(t), odds(m), odds(t + m - model["prior"])
+
+
+COLUMNS = {"text_col": "text", "lang_col": "lang", "source_col": "source", "length_col": "n_chars"}
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", columns: dict = COLUMNS, **options) -> tuple[DataFrame, dict | None]:
+    """The written views (id, _text, _meta) of all documents and the model learnt from rows (id, mark) of ``labels``."""
+    short = first_columns(docs, id=id_col, text=columns["text_col"], lang=columns["lang_col"], source=columns["source_col"], length=columns["length_col"])
+    seen = stage(views(short, "text", "lang", "source", "length").select("id", "_text", "_meta"), "quality-views")
+    return seen, train(seen, labels, **options)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, columns: dict = COLUMNS, **options) -> DataFrame:
+    """doc_id, content_score, metadata_score, score and kept of all documents."""
+    seen, model = learn(docs, labels, id_col, columns, **options)
+    content, metadata, both = scores(model) if model else [F.lit(1.0)] * 3
+    out = seen.select(F.col("id").alias("doc_id"), content.alias("content_score"), metadata.alias("metadata_score"), both.alias("score"))
     return out.withColumn("kept", F.col("score") >= threshold)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-             length_col: str = "n_chars", threshold: float = 0.5, **options) -> DataFrame:
-    """Scores of all documents, learnt from rows (id, mark) of ``labels``."""
-    seen = stage(views(first_columns(docs, id=id_col, text=text_col, lang=lang_col, source=source_col, length=length_col)), "quality-views")
-    return score(seen, train(seen, labels, **options), threshold)
+def good(docs: DataFrame, model: dict | None, threshold: float = 0.5, columns: dict = COLUMNS) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    if model is None:
+        return docs
+    return views(docs, **columns).where(scores(model)[2] >= threshold).drop("_text", "_meta")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

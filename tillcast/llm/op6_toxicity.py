@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, first_columns, stage, table
 
@@ -128,13 +129,17 @@ def log_ratios(top: DataFrame, shared: DataFrame, discounts: dict[int, float]) -
     return out.groupBy("kind", (F.col("gram") % BUCKETS).alias("bucket")).agg(F.avg("value").alias("value"))
 
 
-def likelihood_ratio(docs: DataFrame, tables) -> DataFrame:
-    """Adds ``ratio`` (log-likelihood difference a character) and ``n`` (characters) to the rows of (id, text)."""
+def likelihood_ratio(docs: DataFrame, tables, text_col: str = "text") -> DataFrame:
+    """Adds ``_ratio`` (log-likelihood difference a character) and ``_n`` (characters) to the rows of ``docs``."""
+    text_at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_ratio", T.DoubleType()), T.StructField("_n", T.LongType())])
+    names = schema.fieldNames()
+
     def run(batches):
         import pyarrow as pa
         t = tables.value
         for batch in batches:
-            for row, data, ends in chunks(batch.column(1)):
+            for row, data, ends in chunks(batch.column(text_at)):
                 g, doc = sequences(data, ends)
                 total, at = np.zeros(len(g)), np.arange(len(g))
                 for k in range(ORDER, SHARED, -1):
@@ -144,8 +149,8 @@ def likelihood_ratio(docs: DataFrame, tables) -> DataFrame:
                     at = at[missing]
                 n = np.bincount(doc, minlength=len(ends))
                 n[np.bincount(doc, low(g, 1) != 32, minlength=len(ends)) == 0] = 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(ends)), pa.array(np.bincount(doc, total, minlength=len(ends)) / np.maximum(n, 1)), pa.array(n.astype(np.int64))], names=["id", "ratio", "n"])
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, ratio double, n long")
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(ends)).columns, pa.array(np.bincount(doc, total, minlength=len(ends)) / np.maximum(n, 1)), pa.array(n.astype(np.int64))], names=names)
+    return docs.mapInArrow(run, schema)
 
 
 def features(ratio, n, sqrt, log):
@@ -196,27 +201,37 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20000, top_di
             tables[kind] = np.full(BUCKETS, empty, np.float32)
             tables[kind][part.column(0).to_numpy()] = part.column(1).to_numpy()
     tables = spark.sparkContext.broadcast(tables)
-    seen = likelihood_ratio(learnt.where("fitted"), tables).join(learnt.select("id", "mark"), "id").where("n > 0").toPandas()
+    seen = likelihood_ratio(learnt.where("fitted").select("id", "mark", "text"), tables).where("_n > 0").select("id", "mark", "_ratio", "_n").toPandas()
     if seen.mark.nunique() < 2:
         return None
     seen = seen.sort_values(["id"])
     weight = seen.mark.map({m: size[m] / (seen.mark == m).sum() for m in (0, 1)}).to_numpy()
-    ratio, n = seen.ratio.to_numpy(), seen.n.to_numpy().astype(float)
+    ratio, n = seen._ratio.to_numpy(), seen._n.to_numpy().astype(float)
     w = logistic(np.column_stack(features(ratio, n, np.sqrt, np.log)), seen.mark.to_numpy(), weight / weight.mean())
     return {"tables": tables, "weights": w.tolist(), "share": size[1] / (size[0] + size[1])}
 
 
+def probability(model: dict):
+    """The score as a column, of ``_ratio`` and ``_n``."""
+    *w, bias = model["weights"]
+    z = sum((F.lit(a) * x for a, x in zip(w, features(F.col("_ratio"), F.col("_n"), F.sqrt, F.log))), F.lit(bias))
+    return F.when(F.col("_n") > 0, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).otherwise(model["share"])
+
+
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """doc_id, score (probability that the text is toxic), predicted, ratio and n of each document."""
-    docs = first_columns(docs, id=id_col, text=text_col)
+    """doc_id, score (probability that the text is toxic) and predicted (1 from ``threshold`` on) of each document."""
+    docs = first_columns(docs, doc_id=id_col, text=text_col)
     if model is None:
-        return docs.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("ratio"), F.length("text").cast("long").alias("n"))
-    out = likelihood_ratio(docs, model["tables"])
-    *w, bias = model["weights"]
-    z = sum((F.lit(a) * x for a, x in zip(w, features(F.col("ratio"), F.col("n"), F.sqrt, F.log))), F.lit(bias))
-    p = F.when(F.col("n") > 0, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).otherwise(model["share"])
-    return out.select(F.col("id").alias("doc_id"), p.alias("score"), "ratio", "n").select(
-        "doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "ratio", "n")
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    out = likelihood_ratio(docs, model["tables"]).select("doc_id", probability(model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def clean(docs: DataFrame, model: dict | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    if model is None:
+        return docs
+    return likelihood_ratio(docs, model["tables"], text_col).where(probability(model) < threshold).drop("_ratio", "_n")
 
 
 def held_out(id_column):
