@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillcast.operators.stage import stage
 
-__all__ = ["chunks", "compared", "components", "first_columns", "in_blocks", "local_components", "mixed", "number_within",
+__all__ = ["chunks", "compared", "components", "first_columns", "free_name", "in_blocks", "local_components", "mixed", "number_within",
            "stage", "table", "whole_groups", "word_hashes"]
 
 #: ASCII white space: \x20 and \x09 to \x0D. Everything else belongs to a word.
@@ -28,6 +28,14 @@ def first_columns(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in cols.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, n_rows: int,
                   rows_per_block: int = 4000) -> DataFrame:
     """Adds ``name``: a gapless number from 0 for each row among the rows of
@@ -116,20 +124,12 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the edges (a, b)."""
     lab = np.arange(n)
     while len(a):
-        low = np.minimum(lab[a], lab[b])
-        new = lab.copy()
-        np.minimum.at(new, lab[a], low)
-        np.minimum.at(new, lab[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == lab).all():
-            break
-        lab = new
+        # the larger root of each edge hooks onto the smallest root it meets; then all point at roots again
+        np.minimum.at(lab, np.maximum(lab[a], lab[b]), np.minimum(lab[a], lab[b]))
+        while (lab[lab] != lab).any():
+            lab = lab[lab]
         keep = lab[a] != lab[b]
         a, b = a[keep], b[keep]
-    while (lab[lab] != lab).any():
-        lab = lab[lab]
     return lab
 
 

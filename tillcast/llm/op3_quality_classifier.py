@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, first_columns, mixed, stage, table
+from .common import chunks, first_columns, free_name, mixed, stage, table
 from .lines import measure
 from .op6_toxicity import logistic
 
@@ -35,14 +35,14 @@ LANGUAGES, SOURCES, LENGTHS = 16, 64, 24
 METADATA = LANGUAGES + SOURCES + LENGTHS
 
 
-def views(docs: DataFrame, text_col: str, lang_col: str, source_col: str, length_col: str) -> DataFrame:
-    """Adds ``_text`` (numbers of the text view) and ``_meta`` (which metadata indicators are on) to the rows of ``docs``."""
+def views(docs: DataFrame, text_col: str, lang_col: str, source_col: str, length_col: str, names: tuple[str, str] = ("_text", "_meta")) -> DataFrame:
+    """Adds the columns ``names``: numbers of the text view, and which metadata indicators are on."""
     length = F.when(F.col(length_col) >= 0, F.least(F.floor(F.log2(F.col(length_col) + 1.0)), F.lit(LENGTHS - 2)) + 1).otherwise(0)
     meta = F.array(F.pmod(F.xxhash64(lang_col), F.lit(LANGUAGES)), LANGUAGES + F.pmod(F.xxhash64(source_col), F.lit(SOURCES)), LANGUAGES + SOURCES + length).cast("array<int>")
-    docs = docs.withColumn("_meta", meta)
+    docs = docs.withColumn(names[1], meta)
     text_at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_text", T.ArrayType(T.DoubleType()))])
-    names = schema.fieldNames()
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.DoubleType()))])
+    fields = schema.fieldNames()
 
     def run(batches):
         import pyarrow as pa
@@ -58,18 +58,18 @@ def views(docs: DataFrame, text_col: str, lang_col: str, source_col: str, length
                 view = np.column_stack([x[:, :8], np.log1p(got["n_words"]), got["word_chars"] / words, x[:, 11], x[:, 12], x[:, 13], got["n_repeat_words"] / words,
                                         different, np.log(words / np.maximum(np.bincount(doc, got["line_words"] > 0, minlength=n), 1))])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * view.shape[1]), pa.array(view.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns, flat], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns, flat], names=fields)
     return docs.mapInArrow(run, schema)
 
 
-def text_logit(w, mean, scale):
+def text_logit(w, mean, scale, name: str = "_text"):
     """Log odds of the text view as a column."""
-    return sum((F.lit(float(a / s)) * (F.col("_text")[i] - F.lit(float(m))) for i, (a, m, s) in enumerate(zip(w[:-1], mean, scale))), F.lit(float(w[-1])))
+    return sum((F.lit(float(a / s)) * (F.col(name)[i] - F.lit(float(m))) for i, (a, m, s) in enumerate(zip(w[:-1], mean, scale))), F.lit(float(w[-1])))
 
 
-def meta_logit(w):
+def meta_logit(w, name: str = "_meta"):
     weights = F.array(*[F.lit(float(a)) for a in w[:-1]])
-    return sum((F.element_at(weights, F.col("_meta")[j] + 1) for j in range(3)), F.lit(float(w[-1])))
+    return sum((F.element_at(weights, F.col(name)[j] + 1) for j in range(3)), F.lit(float(w[-1])))
 
 
 def on(meta: np.ndarray) -> np.ndarray:
@@ -119,12 +119,12 @@ def train(seen: DataFrame, labels: DataFrame, max_labelled: int = 20000, rounds:
             "handed": {k: len(v) for k, v in extra.items()}}
 
 
-def scores(model: dict) -> tuple:
+def scores(model: dict, names: tuple[str, str] = ("_text", "_meta")) -> tuple:
     """(content, metadata, combined) probabilities of good quality as columns of the views."""
     clip = lambda z: F.greatest(F.least(z, F.lit(20.0)), F.lit(-20.0))
     odds = lambda z: 1 / (1 + F.exp(-z))
     (at, bt), (am, bm) = model["calibration"]
-    t, m = clip(text_logit(*model["text"])) / 4 * at + bt, clip(meta_logit(model["meta"])) / 4 * am + bm
+    t, m = clip(text_logit(*model["text"], names[0])) / 4 * at + bt, clip(meta_logit(model["meta"], names[1])) / 4 * am + bm
     return odds(t), odds(m), odds(t + m - model["prior"])
 
 
@@ -150,7 +150,8 @@ def good(docs: DataFrame, model: dict | None, threshold: float = 0.5, columns: d
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
     if model is None:
         return docs
-    return views(docs, **columns).where(scores(model)[2] >= threshold).drop("_text", "_meta")
+    names = free_name(docs, "_text"), free_name(docs, "_meta")
+    return views(docs, **columns, names=names).where(scores(model, names)[2] >= threshold).drop(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, first_columns, stage, table
+from .common import chunks, first_columns, free_name, stage, table
 
 ORDER, SHARED = 6, 2
 BUCKETS = 1048573  # a prime
@@ -129,10 +129,10 @@ def log_ratios(top: DataFrame, shared: DataFrame, discounts: dict[int, float]) -
     return out.groupBy("kind", (F.col("gram") % BUCKETS).alias("bucket")).agg(F.avg("value").alias("value"))
 
 
-def likelihood_ratio(docs: DataFrame, tables, text_col: str = "text") -> DataFrame:
-    """Adds ``_ratio`` (log-likelihood difference a character) and ``_n`` (characters) to the rows of ``docs``."""
+def likelihood_ratio(docs: DataFrame, tables, text_col: str = "text", ratio: str = "_ratio", n: str = "_n") -> DataFrame:
+    """Adds ``ratio`` (log-likelihood difference a character) and ``n`` (characters) to the rows of ``docs``."""
     text_at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_ratio", T.DoubleType()), T.StructField("_n", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(ratio, T.DoubleType()), T.StructField(n, T.LongType())])
     names = schema.fieldNames()
 
     def run(batches):
@@ -190,6 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20000, top_di
     # at most 2 x max_documents ids are sent to the tasks
     learnt = docs.join(F.broadcast(picked), "id").dropDuplicates(["id"])
     learnt = stage(learnt.select("id", "text", "mark", fitted.alias("fitted")), "toxicity-sample")
+    if learnt.select("mark", "fitted").distinct().count() < 4:  # both parts need both classes
+        return None
     top = stage(class_counts(learnt.where("not fitted")), "toxicity-counts")
     shared = shared_model(spark, shared_counts(docs))
     discounts = {k: top_discount if k == ORDER else discount for k in range(SHARED + 1, ORDER + 1)}
@@ -211,11 +213,11 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20000, top_di
     return {"tables": tables, "weights": w.tolist(), "share": size[1] / (size[0] + size[1])}
 
 
-def probability(model: dict):
-    """The score as a column, of ``_ratio`` and ``_n``."""
+def probability(model: dict, ratio: str = "_ratio", n: str = "_n"):
+    """The score as a column, of ``ratio`` and ``n``."""
     *w, bias = model["weights"]
-    z = sum((F.lit(a) * x for a, x in zip(w, features(F.col("_ratio"), F.col("_n"), F.sqrt, F.log))), F.lit(bias))
-    return F.when(F.col("_n") > 0, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).otherwise(model["share"])
+    z = sum((F.lit(a) * x for a, x in zip(w, features(F.col(ratio), F.col(n), F.sqrt, F.log))), F.lit(bias))
+    return F.when(F.col(n) > 0, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).otherwise(model["share"])
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -231,7 +233,8 @@ def clean(docs: DataFrame, model: dict | None, text_col: str = "text", threshold
     """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
     if model is None:
         return docs
-    return likelihood_ratio(docs, model["tables"], text_col).where(probability(model) < threshold).drop("_ratio", "_n")
+    ratio, n = free_name(docs, "_ratio"), free_name(docs, "_n")
+    return likelihood_ratio(docs, model["tables"], text_col, ratio, n).where(probability(model, ratio, n) < threshold).drop(ratio, n)
 
 
 def held_out(id_column):

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import free_name, stage, table
 
 SALTS = 64
 SPAN = 1 << 40
@@ -121,14 +121,15 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = 0, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as drawn, with
-    ``_shard``, in a random order within each shard of a partition."""
+    ``_shard`` (the last column), in a random order within each shard of a partition."""
+    own, row, home, copy, shard = (free_name(docs, x) for x in ("_own", "_row", "_home", "_copy", "_shard"))
     planned = plan(docs, id_col, seed=seed, **options)
     # rows equal in all columns are interchangeable: one of them stands for all their copies
-    drawn = planned.where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).agg(F.flatten(F.collect_list("shards")).alias("_shards"))
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).dropDuplicates(["_row", id_col])
-    out = keyed.alias("d").join(drawn.alias("p"), (F.col("d._row") == F.col("p._row")) & F.col(f"d.{id_col}").eqNullSafe(F.col("p._id")))
-    out = out.select("d.*", F.posexplode("p._shards").alias("_copy", "_shard"))
-    return out.sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_row", "_copy")).drop("_row", "_copy")
+    drawn = planned.where("copies > 0").groupBy(F.col("doc_id").alias(own), F.col("row_hash").alias(f"{row}_of")).agg(F.flatten(F.collect_list("shards")).alias(home))
+    keyed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).dropDuplicates([row, id_col])
+    out = keyed.join(drawn, (F.col(row) == F.col(f"{row}_of")) & F.col(id_col).eqNullSafe(F.col(own)))
+    out = out.select(*[f"`{c}`" for c in docs.columns], row, F.posexplode(home).alias(copy, shard))
+    return out.sortWithinPartitions(shard, F.xxhash64(F.lit(seed), row, copy)).drop(row, copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
