@@ -4,7 +4,8 @@ Each statement reads the pre-registered views (lineitem, orders, part,
 supplier, nation, region, events) and recomputes the query from scratch with
 plain SQL: windows over the whole table, medians, ``rank`` - the direct forms
 the Spark plans avoid at scale. Outputs use the same names, types and rounding
-(``round(x + 1e-7, 4)``) as the Spark side.
+(nine significant digits) as the Spark side. Nothing is imported from the
+engine: tables and names are written out here.
 """
 
 from __future__ import annotations
@@ -12,17 +13,64 @@ from __future__ import annotations
 import json
 import os
 
-from tillcast.functions import calendar as cal
-from tillcast.plans.features import FEATURES
+# ---- fixed values, written out for the oracle on its own -------------------
+# Festive windows (month, first day, last day); traffic and delay indexes by
+# day of week from Monday, their defaults and the rise when it rains; the
+# features in matrix order.
+FESTIVE_WINDOWS = [(1, 13, 17), (4, 13, 15), (8, 25, 35), (10, 20, 31), (11, 1, 10), (12, 23, 31)]
+TRAFFIC_BASE, TRAFFIC_DEFAULT, TRAFFIC_RAIN = [0.78, 0.75, 0.58, 0.55, 0.70, 0.88, 0.85], 0.60, 0.10
+DELAY_BASE, DELAY_DEFAULT, DELAY_RAIN = [0.30, 0.25, 0.20, 0.20, 0.35, 0.50, 0.45], 0.25, 0.20
+FEATURES = [
+    'SalQty', 'PricePerUnit', 'QtyXPrice',
+    'Log_SalQty', 'Log_Price', 'Log_QtyXPrice', 'Sqrt_QtyXPrice',
+    'SOH', 'Indent', 'StockPressure', 'StockCoverage', 'IndentRatio', 'Stock_Demand',
+    'Mat_AvgSale', 'Mat_MedSale', 'Mat_MaxSale', 'Mat_MinSale', 'Mat_StdSale',
+    'Mat_SumSale', 'Mat_Count', 'Mat_AvgQty', 'Mat_AvgPrice', 'Mat_MedPrice',
+    'Mat_SaleRange', 'Mat_SaleNorm', 'Mat_FreqWeight',
+    'QtyXMatAvgPrice', 'QtyXMatMedPrice', 'ResidFromMat', 'PriceVsMatAvg',
+    'QtyVsMatAvg', 'Log_QtyXMatAvg', 'Sale_MatZscore',
+    'TE_LOO_Mat', 'TE_Smooth_Mat', 'QtyXTESmooth',
+    'SKU_AvgSale', 'SKU_MedSale', 'SKU_MaxSale', 'SKU_SumSale',
+    'SKU_AvgQty', 'SKU_AvgPrice', 'SKU_Count',
+    'Category_AvgSale', 'Category_MedSale', 'Category_MaxSale',
+    'Category_SumSale', 'Category_AvgQty', 'Category_AvgPrice',
+    'VENDOR_AvgSale', 'VENDOR_SumSale', 'VENDOR_AvgPrice',
+    'Cat_AvgPrice',
+    'QtyXSKUAvgPrice', 'QtyXCatAvgPrice', 'QtyXCatWAvgPrice',
+    'ResidFromSKU', 'ResidFromCat', 'SaleVsSKURatio', 'SaleVsCatRatio',
+    'PriceDevSKU', 'Cat_WAvgPrice', 'TE_LOO_SKU',
+    'ReconEnsemble', 'ResidFromRecon', 'Log_ReconEns', 'ExactPriceDev', 'QtyXPriceDev',
+    'DayOfWeek', 'DayOfMonth', 'IsWeekend', 'DaysSinceStart', 'DOW_sin', 'DOW_cos',
+    'Mat_DOW_AvgSale', 'QtyXMatDOWAvg', 'TE_Smooth_MatDOW', 'QtyXTE_MatDOW',
+    'PrevDayTotalSale', 'PrevDayTotalQty', 'PrevDayRowCount',
+    'DailyRoll2', 'DailyRoll3', 'DailyRoll5', 'DailyRoll7', 'DailyEWM3', 'DailyEWM5',
+    'DailyMomentum', 'DailyTrend3v7',
+    'DateLOO_Sale', 'DateLOO_Qty', 'DateLOO_Mean',
+    'PrevDayXPrice', 'PrevDayXQty', 'DailyRoll3XQty', 'DailyRoll3XPrice', 'DailyEWM3XQty',
+    'SaleVsDateTotal', 'DOW_AvgDailyTotal', 'SaleVsDOWTotal',
+    'SN_AvgSale', 'SN_SumSale', 'SN_AvgPrice', 'SN_AvgQty', 'QtyXSNAvgPrice', 'ResidFromSN',
+    'SalQty_rank', 'Price_rank', 'MatAvg_rank', 'QtyXPrice_rank',
+    'Category', 'SKU', 'VENDOR', 'TYPE', 'Short Name', 'Material name',
+    'Temperature', 'WindSpeed', 'TempXQty', 'TempXPrice',
+    'Humidity', 'Rain_1h', 'IsRainy', 'HeatIndex', 'HumidXQty', 'RainXQty',
+    'TrafficIndex', 'DeliveryDelayIndex', 'TrafficXQty', 'TrafficXPrice',
+    'Month', 'SeasonCode', 'Month_sin', 'Month_cos',
+    'IsFestive', 'IsSeasonalProduct', 'SeasonalLift',
+    'Mat_SeasonAvgSale', 'SeasonalXQty', 'SeasonalLiftXQty', 'FestiveXQty',
+]
+# ---------------------------------------------------------------------------
 
 _FIX = os.path.join(os.path.dirname(__file__), "..", "fixtures", "weather_payloads.jsonl")
 
 
 def R(x: str) -> str:
-    v = f"(CAST({x} AS DOUBLE) + 1e-7)"
-    r = (f"(CASE WHEN abs({v}) < 1e6 THEN round({v}, 4) WHEN abs({v}) < 1e8 THEN round({v}, 2) "
-         f"WHEN abs({v}) < 1e10 THEN round({v}, 0) ELSE round({v}, -2) END)")
-    return f"(CASE WHEN {r} = 0 THEN CAST(0.0 AS DOUBLE) ELSE {r} END)"
+    v = f"CAST({x} AS DOUBLE)"
+    scale = f"pow(10.0::DOUBLE, 8 - floor(log10(abs({v}))))"
+    return f"(CASE WHEN {v} = 0 THEN CAST(0.0 AS DOUBLE) WHEN {v} IS NOT NULL THEN round({v} * {scale}) / {scale} END)"
+
+
+def MONEY(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(38,2)) AS VARCHAR)"
 
 
 def DBL(v: float) -> str:
@@ -40,7 +88,7 @@ def _season_name(m: str) -> str:
 
 
 def _festive(m: str, d: str) -> str:
-    parts = [f"({m} = {mm} AND {d} BETWEEN {d1} AND {min(d2, 31)})" for mm, d1, d2 in cal.FESTIVE_WINDOWS]
+    parts = [f"({m} = {mm} AND {d} BETWEEN {d1} AND {min(d2, 31)})" for mm, d1, d2 in FESTIVE_WINDOWS]
     return "CAST((" + " OR ".join(parts) + ") AS INTEGER)"
 
 
@@ -50,13 +98,13 @@ def _dow_map(dow: str, table, default) -> str:
 
 
 def _traffic(dow: str, rainy: str) -> str:
-    return (f"least({_dow_map(dow, cal.TRAFFIC_BASE, cal.TRAFFIC_DEFAULT)} + "
-            f"(CASE WHEN {rainy} = 1 THEN {DBL(cal.TRAFFIC_RAIN)} ELSE {DBL(0.0)} END), {DBL(1.0)})")
+    return (f"least({_dow_map(dow, TRAFFIC_BASE, TRAFFIC_DEFAULT)} + "
+            f"(CASE WHEN {rainy} = 1 THEN {DBL(TRAFFIC_RAIN)} ELSE {DBL(0.0)} END), {DBL(1.0)})")
 
 
 def _delay(dow: str, rainy: str) -> str:
-    return (f"least({_dow_map(dow, cal.DELAY_BASE, cal.DELAY_DEFAULT)} + "
-            f"(CASE WHEN {rainy} = 1 THEN {DBL(cal.DELAY_RAIN)} ELSE {DBL(0.0)} END), {DBL(1.0)})")
+    return (f"least({_dow_map(dow, DELAY_BASE, DELAY_DEFAULT)} + "
+            f"(CASE WHEN {rainy} = 1 THEN {DBL(DELAY_RAIN)} ELSE {DBL(0.0)} END), {DBL(1.0)})")
 
 
 def _ln1p(x: str) -> str:
@@ -100,17 +148,21 @@ sku_buy AS (
   FROM part p
   JOIN (SELECT l_partkey, min(l_suppkey) AS supp FROM lineitem GROUP BY l_partkey) ms ON p.p_partkey = ms.l_partkey
   JOIN supplier s ON ms.supp = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE p.p_size <= 45),
+  JOIN region r ON n.n_regionkey = r.r_regionkey),
+masters AS (
+  SELECT trim(CAST(p.p_partkey AS VARCHAR)) AS sap_code, trim(s.s_name) AS vendor, trim(p.p_name) AS description,
+         trim(p.p_type) AS category_label, -l.supp AS sheet_row
+  FROM (SELECT DISTINCT l_partkey, l_suppkey AS supp FROM lineitem) l JOIN part p ON p.p_partkey = l.l_partkey
+  JOIN supplier s ON l.supp = s.s_suppkey),
 indent_c AS (
   SELECT trim(CAST(p_partkey AS VARCHAR)) AS sap_code,
          coalesce(TRY_CAST(trim(CASE WHEN p_size > 40 THEN '-' ELSE ' ' || CAST(p_size * 10 AS VARCHAR) || ' ' END) AS DOUBLE), 0.0) AS soh,
          coalesce(TRY_CAST(CAST(p_size // 4 AS VARCHAR) AS DOUBLE), 0.0) AS indent
-  FROM part WHERE p_type <> 'ECONOMY'),
+  FROM part),
 crt_c AS (
   SELECT trim(CAST(p_partkey AS VARCHAR)) AS material, CAST(p_size AS DOUBLE) AS crt_size,
          CAST(p_size // 10 + 1 AS DOUBLE) AS no_crts
-  FROM part WHERE p_retailprice <= 990),
+  FROM part),
 joined AS (
   SELECT s.*, k.vendor, k.type, k.sku_hit, i.soh, i.indent, c.crt_size, c.no_crts
   FROM sales s
@@ -366,9 +418,13 @@ def _pairs(names):
 GROUP_STATS = ("AvgSale", "MedSale", "MaxSale", "SumSale", "AvgQty", "AvgPrice", "Count")
 
 
+def _stat(c):
+    x = f"CAST({c} AS BIGINT)" if c.endswith("_Count") else MONEY(c) if c.endswith("_SumSale") else R(c)
+    return f"{x} AS {c}"
+
+
 def _group_select(tbl, key, prefix):
-    cols = ", ".join(f"CAST({prefix}_{s} AS BIGINT) AS {prefix}_{s}" if s == "Count"
-                     else f"{R(prefix + '_' + s)} AS {prefix}_{s}" for s in GROUP_STATS)
+    cols = ", ".join(_stat(f"{prefix}_{s}") for s in GROUP_STATS)
     return f"SELECT {key}, {cols} FROM {tbl}"
 
 
@@ -454,18 +510,22 @@ def oracle_sql() -> dict[str, str]:
         "SELECT sap_code AS material_no, arg_min(category_label, sheet_row) AS category_label, "
         "arg_min(description, sheet_row) AS mat_description, arg_min(vendor, sheet_row) AS vendor_name, "
         "arg_min(category_label, sheet_row) || ' — ' || arg_min(description, sheet_row) AS display_name "
-        "FROM sku_buy GROUP BY sap_code")
+        "FROM masters GROUP BY sap_code")
+    S["master_multiplicity"] = q(
+        "SELECT s.material_no, s.n_lines, coalesce(m.n, 0) AS n_master_rows, s.n_lines * greatest(coalesce(m.n, 0), 1) AS n_joined_lines "
+        "FROM (SELECT material_no, count(*) AS n_lines FROM sales GROUP BY 1) s "
+        "LEFT JOIN (SELECT sap_code, count(*) AS n FROM masters GROUP BY 1) m ON s.material_no = m.sap_code")
     S["price_qty_features"] = q(
         f"SELECT {_ids_sql([('sal_qty', 'SalQty'), ('ppu', 'PricePerUnit'), ('qp', 'QtyXPrice'), (_ln1p('sal_qty'), 'Log_SalQty'), (_ln1p('ppu'), 'Log_Price'), (_ln1p('qp'), 'Log_QtyXPrice'), ('sqrt(abs(qp))', 'Sqrt_QtyXPrice')])} FROM base")
     S["stock_features"] = q(
         f"SELECT {_ids_sql([('soh', 'SOH'), ('indent', 'Indent'), ('sal_qty / nullif(soh + 1, 0)', 'StockPressure'), ('soh / nullif(sal_qty + 1, 0)', 'StockCoverage'), ('indent / nullif(soh + 1, 0)', 'IndentRatio'), ('soh - sal_qty', 'Stock_Demand')])} FROM base")
     S["material_stats"] = q("SELECT material_no, " + ", ".join(
-        f"CAST({c} AS BIGINT) AS {c}" if c == "Mat_Count" else f"{R(c)} AS {c}" for c in MAT_STATS) + " FROM M")
+        _stat(c) for c in MAT_STATS) + " FROM M")
     S["sku_stats"] = q(_group_select("K", "sku", "SKU"))
     S["category_stats"] = q(_group_select("C", "category", "Category"))
     S["vendor_stats"] = "WITH " + prelude() + ",\n" + _group_cte("V7", "vendor", "VENDOR") + "\n" + \
         _group_select("V7", "vendor", "VENDOR")
-    S["shortname_stats"] = q("SELECT short_name, " + _same(["SN_AvgSale", "SN_SumSale", "SN_AvgPrice", "SN_AvgQty"]) + " FROM N")
+    S["shortname_stats"] = q("SELECT short_name, " + ", ".join(_stat(c) for c in ("SN_AvgSale", "SN_SumSale", "SN_AvgPrice", "SN_AvgQty")) + " FROM N")
     S["global_stats"] = q(f"SELECT {R('global_mean')} AS global_mean, {R('median_soh')} AS median_soh, min_date, "
                           "CAST(max_mat_count AS BIGINT) AS max_mat_count, CAST(row_count AS BIGINT) AS row_count "
                           "FROM G CROSS JOIN med_soh")
@@ -493,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
     S["traffic_delay"] = q(f"SELECT invoice_date, {R(_traffic(dow, 'w.is_rainy'))} AS TrafficIndex, "
                            f"{R(_delay(dow, 'w.is_rainy'))} AS DeliveryDelayIndex FROM {days} CROSS JOIN W w")
     S["weather_features"] = q(f"SELECT {_ids_sql(_pairs(['Temperature', 'Humidity', 'WindSpeed', 'Rain_1h', 'HeatIndex', 'TempXQty', 'TempXPrice', 'HumidXQty', 'RainXQty', 'TrafficXQty', 'TrafficXPrice']), [('IsRainy', 'IsRainy')])} FROM feat")
-    S["daily_totals"] = q(f"SELECT invoice_date, {R('day_total')} AS day_total, {R('day_qty')} AS day_qty, "
+    S["daily_totals"] = q(f"SELECT invoice_date, {MONEY('day_total')} AS day_total, {R('day_qty')} AS day_qty, "
                           "CAST(day_count AS BIGINT) AS day_count FROM D0")
     S["prev_day"] = q("SELECT invoice_date, " + _same(["PrevDayTotalSale", "PrevDayTotalQty", "PrevDayRowCount"]) + " FROM D")
     S["rolling_means"] = q("SELECT invoice_date, " + _same(["DailyRoll2", "DailyRoll3", "DailyRoll5", "DailyRoll7"]) + " FROM D")
@@ -570,27 +630,55 @@ FROM vals v JOIN bads b ON v.pos = b.pos GROUP BY v.pos, v.feature"""
     S["search_products"] = pf + (
         "SELECT * FROM products WHERE coalesce(regexp_matches(display_name, '(?i)red|steel') "
         "OR regexp_matches(category, '(?i)red|steel') OR regexp_matches(mat_description, '(?i)red|steel'), false)")
-    S["top_products"] = pf + "SELECT * FROM products ORDER BY predicted_sale DESC NULLS LAST, material_no LIMIT 15"
+    money0 = lambda c: f"'₹' || format('{{:,.0f}}', {c})"
+    S["top_products"] = pf + f"SELECT *, {money0('predicted_sale')} AS bar_text FROM products ORDER BY predicted_sale DESC NULLS LAST, material_no LIMIT 15"
+    S["filtered_products"] = pf + "SELECT * FROM products WHERE category = 'STANDARD' AND is_seasonal = 1"
+    S["shown_counts"] = pf + (
+        "SELECT count(*) FILTER (WHERE is_seasonal = 0 AND coalesce(regexp_matches(display_name, '(?i)red|steel') "
+        "OR regexp_matches(category, '(?i)red|steel') OR regexp_matches(mat_description, '(?i)red|steel'), false)) AS shown, count(*) AS total FROM products")
     S["category_summary"] = pf + (
         f"SELECT category, {R('sum(predicted_sale)')} AS total_predicted, count(*) AS n_products, "
         f"{R('avg(seasonal_lift)')} AS mean_lift FROM products GROUP BY category")
     top = "(SELECT * FROM products ORDER BY predicted_sale DESC NULLS LAST, material_no LIMIT 1)"
+    next_ts = f"CAST({NEXT} AS TIMESTAMP)"
     S["product_history"] = pf + (
-        f"SELECT b.invoice_date, {R('CAST(sum(b.sale_value) AS DOUBLE)')} AS SaleValue FROM base b "
-        f"JOIN {top} t ON b.material_no = t.material_no GROUP BY b.invoice_date")
+        f"SELECT 'actual' AS series, b.invoice_date, {MONEY('sum(b.sale_value)')} AS value FROM base b "
+        f"JOIN {top} t ON b.material_no = t.material_no GROUP BY b.invoice_date "
+        f"UNION ALL SELECT 'average', NULL, {MONEY('avg_sale')} FROM {top} UNION ALL SELECT 'forecast', {next_ts}, {MONEY('predicted_sale')} FROM {top}")
     S["product_row"] = pf + (
         f"SELECT p.* FROM products p JOIN {top} t ON p.display_name = t.display_name "
         "ORDER BY p.predicted_sale DESC NULLS LAST, p.material_no LIMIT 1")
     S["format_report"] = pf + (
-        "SELECT material_no, display_name, category, '₹' || format('{:,.2f}', predicted_sale) AS predicted_sale_txt, "
-        "format('{:,.1f}', predicted_qty) AS predicted_qty_txt, '₹' || format('{:,.2f}', avg_price) AS avg_price_txt, "
-        "'₹' || format('{:,.2f}', last_actual) AS last_actual_txt, format('{:,.2f}', seasonal_lift) || '×' AS seasonal_lift_txt, "
-        "CASE WHEN is_seasonal = 1 THEN '✅' ELSE '—' END AS seasonal_mark, replace(season, '_', ' ') AS season_label, "
-        f"strftime({NEXT}, '%d %b %Y') AS forecast_day, strftime({NEXT}, '%Y%m%d') AS file_day FROM products")
-    S["metrics_from_pairs"] = "WITH " + prelude() + (
-        f", sp AS (SELECT *, CAST(row_number() OVER (ORDER BY {ORDER}) <= floor(count(*) OVER () * {DBL(0.8)}) AS INTEGER) AS is_train FROM feat)"
-        f"\nSELECT CAST(is_train AS BIGINT) AS is_train, count(*) AS n, "
-        f"{R('1 - sum((v - Mat_AvgSale) * (v - Mat_AvgSale)) / (sum(v * v) - count(*) * avg(v) * avg(v))')} AS r2, "
-        f"{R('sqrt(sum((v - Mat_AvgSale) * (v - Mat_AvgSale)) / count(*))')} AS rmse, "
-        f"{R('sum(abs(v - Mat_AvgSale)) / count(*)')} AS mae FROM sp GROUP BY is_train")
+        "SELECT material_no AS \"Mat No\", category AS \"Category\", mat_description AS \"Material Description\", "
+        + "".join(f"'₹' || format('{{:,.2f}}', {c}) AS \"{label} (₹)\", " for c, label in (
+            ("predicted_sale", "Pred Sale"), ("avg_price", "Avg Price"), ("last_actual", "Last Actual"), ("avg_sale", "Avg Sale")))
+        + "".join(f"format('{{:,.1f}}', {c}) AS \"{label}\", " for c, label in (("predicted_qty", "Pred Qty"), ("soh", "SOH"), ("indent", "Indent")))
+        + "format('{:.2f}', seasonal_lift) || '×' AS \"Seasonal Lift\", CASE WHEN is_seasonal = 1 THEN '✅' ELSE '—' END AS \"In Season\", "
+        "season AS \"Season\", format('{:.2f}', traffic_index) AS \"Traffic Index\", vendor AS \"Vendor\" FROM products")
+    S["day_labels"] = pf + (
+        "SELECT replace(next_season, '_', ' ') AS season_label, CASE next_season WHEN 'Summer' THEN '🔥' WHEN 'SouthWest_Monsoon' THEN '🌧️' "
+        "WHEN 'NorthEast_Monsoon' THEN '🌦️' WHEN 'Winter' THEN '❄️' END AS season_mark, CASE WHEN is_rainy = 1 THEN '🌧️' ELSE '☀️' END AS rain_mark, "
+        f"strftime({NEXT}, '%d %b %Y') AS forecast_day, strftime({NEXT}, '%d %b') AS short_day, strftime({NEXT}, '%Y%m%d') AS file_day, "
+        "strftime(min_date, '%d %b') AS first_day FROM ctx CROSS JOIN W CROSS JOIN G")
+    sp = (f", sp AS (SELECT *, Mat_AvgSale AS prediction, CAST(row_number() OVER (ORDER BY {ORDER}) <= floor(count(*) OVER () * {DBL(0.8)}) AS INTEGER) AS is_train FROM feat)")
+    # the total sum of squares from deviations
+    figures = ("1 - sum((v - prediction) * (v - prediction)) / nullif(var_pop(v) * count(*), 0)", "sqrt(sum((v - prediction) * (v - prediction)) / count(*))",
+               "sum(abs(v - prediction)) / count(*)")
+    S["metrics_from_pairs"] = "WITH " + prelude() + sp + (
+        "\nSELECT CAST(is_train AS BIGINT) AS is_train, count(*) AS n, "
+        + ", ".join(f"{R(x)} AS {n}" for x, n in zip(figures, ("r2", "rmse", "mae"))) + " FROM sp GROUP BY is_train")
+    S["history_from_pairs"] = pf + sp + (
+        ", dayp AS (SELECT invoice_date, sum(prediction) AS value FROM sp GROUP BY 1), "
+        "cut AS (SELECT max(invoice_date) FILTER (WHERE is_train = 1) AS a, min(invoice_date) FILTER (WHERE is_train = 0) AS b FROM sp), "
+        "out AS (SELECT 'actual' AS series, invoice_date, day_total AS value FROM D0 "
+        "UNION ALL SELECT 'train_predicted', invoice_date, value FROM dayp, cut WHERE invoice_date <= a "
+        "UNION ALL SELECT 'test_predicted', invoice_date, value FROM dayp, cut WHERE invoice_date >= b "
+        f"UNION ALL SELECT 'forecast', {next_ts}, sum(predicted_sale) FROM products)\n"
+        f"SELECT series, invoice_date, {R('value')} AS value FROM out")
+    S["kpi_from_pairs"] = pf + sp + (
+        ", side AS (SELECT is_train, count(*) AS n, " + ", ".join(f"{x} AS {n}" for x, n in zip(figures, ("r2", "rmse", "mae"))) + " FROM sp GROUP BY is_train)\n"
+        f"SELECT (SELECT {money0('sum(predicted_sale)')} FROM products) AS total_forecast_txt, "
+        "max(format('{:.4f}', r2)) FILTER (WHERE is_train = 0) AS test_r2_txt, max(format('{:.4f}', r2)) FILTER (WHERE is_train = 1) AS train_r2_txt, "
+        f"max({money0('rmse')}) FILTER (WHERE is_train = 0) AS rmse_txt, max({money0('mae')}) FILTER (WHERE is_train = 0) AS mae_txt, "
+        "CAST(sum(n) AS BIGINT) AS n_rows, max(n) FILTER (WHERE is_train = 1) AS n_train, max(n) FILTER (WHERE is_train = 0) AS n_test FROM side")
     return S

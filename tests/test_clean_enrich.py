@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tillcast.columns import SalesColumns
 from tillcast.operators.clean import clean_indent
-from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta
+from tillcast.operators.enrich import enrich_joins, fill_defaults, master_multiplicity, product_meta, soh_median
 from tillcast.operators.split import split_bounds, time_split
 from tillcast.plans.features import FeaturePlan
+from tillcast.plans.reports import last_rows
 from tillcast.sources.sheets import Sheets
 
 COLS = SalesColumns(short_name=None, material_name=None, order=("invoice_date", "line"))
@@ -27,9 +28,10 @@ def _sheets(spark, sales_rows, sku_rows, indent_rows, crt_rows):
 
 
 def test_bad_numbers(spark):
-    df = spark.createDataFrame([("1", "-", "2"), ("2", "", None), ("3", " 12 ", "x")], "sap_code string, soh string, indent string")
+    df = spark.createDataFrame([("1", "-", "2"), ("2", "", None), ("3", " 12 ", "x"), ("4", "12d", "0x1p3"), ("5", "+.5e1", "1f"), ("6", "1_0", "-2.")],
+                               "sap_code string, soh string, indent string")
     assert [(r.soh, r.indent) for r in clean_indent(df).orderBy("sap_code").collect()] == \
-        [(0.0, 2.0), (0.0, 0.0), (12.0, 0.0)]
+        [(0.0, 2.0), (0.0, 0.0), (12.0, 0.0), (0.0, 0.0), (5.0, 0.0), (0.0, -2.0)]
 
 
 def test_unmatched_keys_and_duplicate_master(spark):
@@ -40,7 +42,8 @@ def test_unmatched_keys_and_duplicate_master(spark):
                  [("1", "10", "1"), ("3", "30", "2")], [("1", "4", "2")])
     j = enrich_joins(sh.sales, sh.sku_buy, sh.indent, sh.crt_size, COLS)
     assert j.count() == 4  # the duplicated master row doubles material 1
-    f = {(r.material_no, r.vendor): r for r in fill_defaults(j, COLS).collect()}
+    med = soh_median(sh.sales, sh.sku_buy, sh.indent, sh.crt_size, COLS)
+    f = {(r.material_no, r.vendor): r for r in fill_defaults(j, COLS, med).collect()}
     r2 = f[("2", "UNKNOWN")]
     assert (r2.type, r2.soh, r2.indent, r2.crt_size, r2.no_crts) == ("UNKNOWN_VENDOR", 10.0, 0.0, 1.0, 1.0)
     meta = {r.material_no: r for r in product_meta(sh.sku_buy).collect()}
@@ -60,6 +63,36 @@ def test_split_inside_day(spark):
     assert b.last_train_date == b.first_test_date == dt.datetime(2025, 1, 8)
 
 
+def test_lines_without_a_date_are_the_last(spark):
+    rows = [(dt.datetime(2025, 1, d), d) for d in range(1, 8)] + [(None, 90), (None, 91), (None, 92)]
+    df = spark.createDataFrame(rows, "invoice_date timestamp, line int")
+    got = {r.line: r.is_train for r in time_split(df, "invoice_date", ["invoice_date", "line"]).collect()}
+    assert got == {**{d: 1 for d in range(1, 8)}, 90: 1, 91: 0, 92: 0}
+
+
+def test_last_row_is_one_however_many_tie(spark):
+    rows = [("m", 1, "V1", 2.0), ("m", 2, "V1", 3.0), ("m", 2, "V2", 3.0), ("m", 2, "V2", 3.0), ("n", 1, None, None), (None, 9, "x", 1.0)]
+    df = spark.createDataFrame(rows, "material_no string, line int, vendor string, v double")
+    got = sorted(tuple(r) for r in last_rows(df, "material_no", ["line"]).collect())
+    assert got == [("m", 2, "V2", 3.0), ("n", 1, None, None)]
+    assert [tuple(r) for r in last_rows(df, None, ["line"]).collect()] == [(None, 9, "x", 1.0)]
+
+
+def test_duplicate_masters_give_one_product_row(spark):
+    t = dt.datetime(2025, 1, 1)
+    sh = _sheets(spark, [(t, "1", 2.0, 10, "c", "s", 1), (t, "2", 1.0, 5, None, "s", 2)],
+                 [("1", "V1", "T1", "d1", "C1", 1), ("1", "V2", "T2", "d2", "C2", 2)], [("1", "10", "1")], [("1", "4", "2")])
+    fp = FeaturePlan(sh)
+    assert fp.base.count() == 3
+    assert sorted(r.material_no for r in last_rows(fp.features, "material_no", COLS.order).collect()) == ["1", "2"]
+    assert [tuple(r) for r in master_multiplicity(fp.sales, sh.sku_buy, COLS).orderBy("material_no").collect()] == [("1", 1, 2, 2), ("2", 1, 0, 1)]
+    # a missing category is a class of its own, or the text 'nan' where asked for
+    codes = {r.material_no: r.Category_code for r in fp.features.select("material_no", "Category_code").distinct().collect()}
+    assert codes == {"1": 0, "2": 1}
+    legacy = FeaturePlan(sh, legacy_nan_text=True)
+    assert {r.category for r in legacy.base.collect()} == {"c", "nan"}
+
+
 def test_zero_qty_price_and_single_row_group(spark):
     t = dt.datetime(2025, 1, 1)
     sh = _sheets(spark,

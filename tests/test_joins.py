@@ -2,6 +2,7 @@
 
 import pytest
 
+from tillcast.operators.stage import stage
 from tillcast.operators.joins import checked_broadcast, join_checked, with_scalars
 
 
@@ -11,11 +12,12 @@ def _has_broadcast_hint(df):
 
 def test_checked_broadcast_within_and_beyond_budget(spark):
     small = spark.createDataFrame([(i, float(i)) for i in range(10)], "k int, v double")
-    assert _has_broadcast_hint(checked_broadcast(small, max_cells=100))
-    assert not _has_broadcast_hint(checked_broadcast(small, max_cells=5))   # 10 rows x 2 cols > 5
+    small = stage(small, "small")
+    assert _has_broadcast_hint(checked_broadcast(small))
+    assert not _has_broadcast_hint(checked_broadcast(small, max_bytes=5))
     big = spark.range(50).withColumnRenamed("id", "k")
-    for budget in (100, 5):
-        assert join_checked(big, small, "k", max_cells=budget).count() == 50
+    rows = [sorted(map(tuple, join_checked(big, small, "k", max_bytes=n).collect()), key=str) for n in (1 << 20, 5)]
+    assert rows[0] == rows[1] and len(rows[0]) == 50
 
 
 def test_with_scalars_one_row_only(spark):

@@ -1,4 +1,4 @@
-"""Prefix counts, percent ranks, medians and label codes: both plan paths."""
+"""Prefix counts, percent ranks, medians and label codes."""
 
 import random
 
@@ -10,25 +10,19 @@ from tillcast.operators.ordered import (average_tie_pct_rank, dense_codes, exact
                                         prefix_before)
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_tied_ranks(spark, limit):
-    if limit is not None:
-        spark.conf.set("tillcast.prefix.smallGroupRows", str(limit))
-    try:
-        df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (4.0,), (None,)], "x double")
-        r = average_tie_pct_rank(df, "x", "pct")
-        got = {row.x: row.pct for row in df.join(r, "x", "left").collect()}
-        assert got == {1.0: 0.25, 2.0: 0.625, 4.0: 1.0, None: None}
-    finally:
-        spark.conf.unset("tillcast.prefix.smallGroupRows")
+def test_tied_ranks(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (4.0,), (None,)], "x double")
+    r = average_tie_pct_rank(df, "x", "pct")
+    got = {row.x: row.pct for row in df.join(r, "x", "left").collect()}
+    assert got == {1.0: 0.25, 2.0: 0.625, 4.0: 1.0, None: None}
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_prefix_paths_agree(spark, limit):
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_prefix_counts(spark, partitions):
     rnd = random.Random(7)
     rows = [(rnd.choice(["a", "b", "hot", "hot", "hot"]), rnd.random(), rnd.randint(1, 5)) for _ in range(3000)]
     df = spark.createDataFrame(rows, "k string, x double, w int")
-    got = prefix_before(df, ["x"], "w", ["k"], "b", small_group_rows=limit).toPandas()
+    got = prefix_before(df, ["x"], "w", ["k"], "b", partitions).toPandas()
     pdf = pd.DataFrame(rows, columns=["k", "x", "w"]).sort_values(["k", "x"])
     pdf["b"] = pdf.groupby("k")["w"].cumsum() - pdf["w"]
     m = got.merge(pdf, on=["k", "x", "w"], suffixes=("", "_ref"))
@@ -36,28 +30,23 @@ def test_prefix_paths_agree(spark, limit):
     assert (m["b"] == m["b_ref"]).all()
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_exact_median_matches_pandas(spark, limit):
-    spark.conf.set("tillcast.prefix.smallGroupRows", str(limit))
-    try:
-        rnd = random.Random(3)
-        rows = [(rnd.choice(["a", "b", "c", "hot", "hot", "hot"]), float(rnd.randint(0, 40)))
-                for _ in range(2000)] + [("single", 5.0)]
-        df = spark.createDataFrame(rows, "k string, v double")
-        got = {r.k: r.m for r in exact_median(df, ["k"], "v", "m").collect()}
-        ref = pd.DataFrame(rows, columns=["k", "v"]).groupby("k")["v"].median().to_dict()
-        assert got == pytest.approx(ref)
-        allm = exact_medians(df, [("all", None, "v"), ("byk", "k", "v")]).collect()
-        assert {(r._stat, r._key): r.median for r in allm}[("all", "")] == pytest.approx(
-            pd.Series([v for _, v in rows]).median())
-    finally:
-        spark.conf.unset("tillcast.prefix.smallGroupRows")
+def test_exact_median_matches_pandas(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", "c", "hot", "hot", "hot"]), float(rnd.randint(0, 40)))
+            for _ in range(2000)] + [("single", 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.m for r in exact_median(df, ["k"], "v", "m").collect()}
+    ref = pd.DataFrame(rows, columns=["k", "v"]).groupby("k")["v"].median().to_dict()
+    assert got == pytest.approx(ref)
+    allm = exact_medians(df, [("all", None, "v"), ("byk", "k", "v")]).collect()
+    assert {(r._stat, r._key): r.median for r in allm}[("all", "")] == pytest.approx(
+        pd.Series([v for _, v in rows]).median())
 
 
 def test_label_codes_code_point_order(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("B",), ("é",), ("10",), ("9",)], "c string")
+    df = spark.createDataFrame([("b",), ("a",), ("B",), ("é",), ("10",), ("9",), (None,), (None,)], "c string")
     got = {r.c: r.code for r in dense_codes(df, "c", "code").collect()}
-    assert got == {"b": 4, "a": 3, "B": 2, "é": 5, "10": 0, "9": 1}
+    assert got == {"b": 4, "a": 3, "B": 2, "é": 5, "10": 0, "9": 1, None: 6}
 
 
 def test_pct_rank_range(spark):
@@ -66,19 +55,14 @@ def test_pct_rank_range(spark):
     assert all(0 < row.pct <= 1 for row in r)
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_pct_rank_matches_pandas_with_ties(spark, limit):
-    spark.conf.set("tillcast.prefix.smallGroupRows", str(limit))
-    try:
-        rnd = random.Random(11)
-        vals = [float(rnd.randint(0, 60)) if rnd.random() > 0.05 else None for _ in range(4000)]
-        df = spark.createDataFrame([(v,) for v in vals], "x double")
-        r = {row.x: row.pct for row in average_tie_pct_rank(df, "x", "pct").collect()}
-        ref = pd.Series(vals, dtype="float64").rank(pct=True)
-        for v, p in zip(vals, ref):
-            if v is None:
-                assert p != p
-            else:
-                assert r[v] == pytest.approx(p, rel=1e-12)
-    finally:
-        spark.conf.unset("tillcast.prefix.smallGroupRows")
+def test_pct_rank_matches_pandas_with_ties(spark):
+    rnd = random.Random(11)
+    vals = [float(rnd.randint(0, 60)) if rnd.random() > 0.05 else None for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    r = {row.x: row.pct for row in average_tie_pct_rank(df, "x", "pct").collect()}
+    ref = pd.Series(vals, dtype="float64").rank(pct=True)
+    for v, p in zip(vals, ref):
+        if v is None:
+            assert p != p
+        else:
+            assert r[v] == pytest.approx(p, rel=1e-12)

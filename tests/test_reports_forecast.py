@@ -12,7 +12,8 @@ from tillcast.plans.reports import search_products, top_products
 
 ORACLE_SAMPLE = ["fill_defaults", "material_stats", "category_stats", "loo_encoding", "rolling_means",
                  "ewm_means", "pct_ranks", "label_codes", "time_split", "next_day_rows", "category_summary",
-                 "weather_features", "events_ewm"]
+                 "weather_features", "events_ewm", "dedup_first", "master_multiplicity", "format_report", "product_history",
+                 "history_from_pairs", "kpi_from_pairs", "filtered_products", "shown_counts", "day_labels"]
 
 
 def test_search_regex_and_literal(spark):
@@ -22,7 +23,12 @@ def test_search_regex_and_literal(spark):
                                "predicted_sale double, is_seasonal int")
     assert sorted(r.material_no for r in search_products(df, "A.B").collect()) == ["1", "2"]
     assert sorted(r.material_no for r in search_products(df, "A.B", literal=True).collect()) == ["1"]
-    assert [r.material_no for r in top_products(df, 2).collect()] == ["3", "2"]
+    assert [(r.material_no, r.bar_text) for r in top_products(df, 2).collect()] == [("3", "₹3"), ("2", "₹2")]
+    df = df.withColumn("soh", F.lit(5.0) - F.col("predicted_sale")).withColumn("is_seasonal", (F.col("material_no") != "2").cast("int"))
+    assert [r.material_no for r in search_products(df, in_season="In-Season Only", sort_by="soh").collect()] == ["1", "3"]
+    assert [r.material_no for r in search_products(df, in_season="Off-Season Only").collect()] == ["2"]
+    with pytest.raises(ValueError):
+        search_products(df, in_season="Yes")
 
 
 def _norm(df):
@@ -51,7 +57,7 @@ def test_entry_smoke(spark):
     assert "total_predicted" in out.columns
 
 
-def test_forest_end_to_end(spark):
+def test_forest_end_to_end(spark, tmp_path):
     from tillcast.catalog import plan
     from tillcast.plans.forecast import Forecast, ForestConfig
     fc = Forecast(plan(spark, SF_SMALL), ForestConfig(num_trees=5, max_depth=5))
@@ -65,7 +71,25 @@ def test_forest_end_to_end(spark):
     imp = fc.importance(20).toPandas()
     assert len(imp) == 20 and imp["importance"].is_monotonic_decreasing
     oob = fc.oob_r2(bags=2).first()
-    assert oob.n_oob_rows > 0
+    kpi = fc.kpi_row(bags=2).first()
+    assert oob.n_oob_rows == kpi.n_oob_rows == kpi.n_train and kpi.n_train + kpi.n_test == kpi.n_rows
+    assert (kpi.num_trees, kpi.max_depth, kpi.n_features) == (5, 5, 141) and kpi.oob_r2 == oob.oob_r2
+    # metrics are those of the test pairs; a second forest with the seed is the same
+    pairs = fc.test_pairs().toPandas()
+    assert m.rmse == pytest.approx(((pairs.actual - pairs.predicted) ** 2).mean() ** 0.5, rel=1e-6)
+    again = Forecast(plan(spark, SF_SMALL), ForestConfig(num_trees=5, max_depth=5))
+    assert again.metrics().first() == m
+    # a day cut by the split is in both series with its full total
+    total = {r.invoice_date: r.Predicted for r in fc.daily_predicted().collect()}
+    line = [r for r in fc.history_series().collect() if r.series.endswith("predicted")]
+    assert {r.invoice_date for r in line} == set(total) and all(r.value == pytest.approx(total[r.invoice_date]) for r in line)
+    paths = fc.write_bundle(str(tmp_path / "bundle"))
+    assert set(paths) == {"products", "metrics", "daily_actual", "daily_predicted", "split_dates", "context"}
+
+
+def test_default_forest_is_large():
+    from tillcast.plans.forecast import ForestConfig
+    assert (ForestConfig().num_trees, ForestConfig().max_depth) == (100, 30)
 
 
 def test_csv_sink_and_bundle(spark, tmp_path):

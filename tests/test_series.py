@@ -60,3 +60,22 @@ def test_keyed_series_independent(spark):
     out = series.earlier_day_means(series.with_day_index(df, "day", ["k"]), keys=["k"]).toPandas()
     b = out[out.k == "b"].sort_values("day")
     assert b["DailyRoll7"].tolist() == [0.0, 100.0, 100.0, 100.0]
+
+
+@pytest.mark.parametrize("null_at", [None, 40, 0])
+def test_old_days_of_any_size_keep_their_weight(spark, null_at):
+    """One day of 1e25, then 300 days of 10; a day without a total counts in no mean."""
+    vals = [1e25] + [10.0] * 300
+    if null_at is not None:
+        vals[null_at] = None
+    days = [dt.datetime(2020, 1, 1) + dt.timedelta(days=i) for i in range(len(vals))]
+    df = spark.createDataFrame(list(zip(days, vals)), "invoice_date timestamp, day_total double")
+    out = series.earlier_day_means(series.with_day_index(df, "invoice_date")).orderBy("invoice_date").toPandas()
+    s = pd.Series(vals, dtype=float).shift(1)
+    for span in (3, 5):
+        ref = s.ewm(span=span, min_periods=1).mean().fillna(0)
+        assert out[f"DailyEWM{span}"].tolist() == pytest.approx(ref.tolist(), rel=1e-9)
+    for n in (2, 3, 5, 7):
+        ref = s.rolling(n, min_periods=1).mean().fillna(0)
+        # pandas keeps a running sum, which 1e25 spoils for later windows
+        assert out[f"DailyRoll{n}"].tolist()[n + 2:] == pytest.approx([10.0] * (len(vals) - n - 2)) and out[f"DailyRoll{n}"][1] == pytest.approx(ref[1])

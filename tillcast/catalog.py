@@ -11,29 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.functions import calendar as cal
-from tillcast.functions.numeric import r4
+from tillcast.functions.numeric import money, r4
 from tillcast.operators import series
 from tillcast.operators.clean import clean_indent
-from tillcast.operators.enrich import soh_median
+from tillcast.operators.enrich import master_multiplicity, product_meta
 from tillcast.operators.joins import with_scalars
 from tillcast.operators.split import split_bounds as _split_bounds
 from tillcast.operators.split import time_split as _time_split
 from tillcast.operators.stats import group_stats
 from tillcast.plans import reports
 from tillcast.plans.features import FEATURES, FeaturePlan, feature_column
-from tillcast.sources.sheets import TPCH_IDS, load_table, tpch_sheets
+from tillcast.sources.sheets import load_table, tpch_all_masters, tpch_sheets
 from tillcast.sources.weather import parse_weather, read_weather, weather_context
 
 NEXT_DATE = "2025-03-22"   # forecast day of the reference's default run
+FILTER_CATEGORY = "STANDARD"
 SEARCH_TEXT = "red|steel"  # a regular expression, like the reference's search box
 
 _PLANS: dict = {}
 
 
+def folder_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names and times of change of what lies in a folder: a plan is not kept
+    when its tables change."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files))
+
+
 def plan(spark: SparkSession, sf_dir: str) -> FeaturePlan:
     """Feature plan for a folder of tables (one per session and folder, so that
     the staged fact is written once and shared by the queries)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, folder_state(spark, sf_dir))
     if key not in _PLANS:
         sheets = tpch_sheets(spark, sf_dir)
         w = weather_context(parse_weather(read_weather(spark)))
@@ -82,8 +92,14 @@ def q_fill_defaults(spark, d):
 
 
 def q_dedup_first(spark, d):
-    return plan(spark, d).meta.select("material_no", "category_label", "mat_description",
-                                      "vendor_name", "display_name")
+    """First master row per material out of one for every (part, supplier) pair."""
+    return product_meta(tpch_all_masters(spark, d)).select("material_no", "category_label", "mat_description",
+                                                           "vendor_name", "display_name")
+
+
+def q_master_multiplicity(spark, d):
+    fp = plan(spark, d)
+    return master_multiplicity(fp.sales, tpch_all_masters(spark, d), fp.cols)
 
 
 # ---- row features --------------------------------------------------------
@@ -107,15 +123,18 @@ GROUP_STATS = ("AvgSale", "MedSale", "MaxSale", "SumSale", "AvgQty", "AvgPrice",
 
 def q_material_stats(spark, d):
     m = plan(spark, d).M
-    return m.select("material_no", *[r4(c).alias(c) if c != "Mat_Count" else F.col(c).cast("long")
-                                     for c in MAT_STATS])
+    return m.select("material_no", *[_stat(c) for c in MAT_STATS])
+
+
+def _stat(c):
+    """A group statistic as reported: counts whole, sums of money to the cent."""
+    return (F.col(c).cast("long") if c.endswith("_Count") else money(c) if c.endswith("_SumSale") else r4(c)).alias(c)
 
 
 def _group_query(spark, d, key, prefix):
     fp = plan(spark, d)
     g = group_stats(fp.base, key, prefix, "sale_value", "sal_qty", "PricePerUnit", GROUP_STATS)
-    return g.select(F.col(key), *[(F.col(f"{prefix}_{s}").cast("long") if s == "Count"
-                                   else r4(f"{prefix}_{s}")).alias(f"{prefix}_{s}") for s in GROUP_STATS])
+    return g.select(F.col(key), *[_stat(f"{prefix}_{s}") for s in GROUP_STATS])
 
 
 def q_sku_stats(spark, d):
@@ -132,12 +151,12 @@ def q_vendor_stats(spark, d):
 
 def q_shortname_stats(spark, d):
     n = plan(spark, d).N
-    return n.select("short_name", *[r4(c).alias(c) for c in ("SN_AvgSale", "SN_SumSale", "SN_AvgPrice", "SN_AvgQty")])
+    return n.select("short_name", *[_stat(c) for c in ("SN_AvgSale", "SN_SumSale", "SN_AvgPrice", "SN_AvgQty")])
 
 
 def q_global_stats(spark, d):
     fp = plan(spark, d)
-    return with_scalars(fp.G, soh_median(fp.joined, fp.cols), ["median_soh"]).select(
+    return with_scalars(fp.G, fp.median_soh).select(
         r4("global_mean").alias("global_mean"), r4("median_soh").alias("median_soh"),
         "min_date", F.col("max_mat_count").cast("long").alias("max_mat_count"),
         F.col("row_count").cast("long").alias("row_count"))
@@ -252,7 +271,7 @@ def q_weather_features(spark, d):
 # ---- daily series --------------------------------------------------------
 def q_daily_totals(spark, d):
     fp = plan(spark, d)
-    return fp.daily.select("invoice_date", r4("day_total").alias("day_total"), r4("day_qty").alias("day_qty"),
+    return fp.daily.select("invoice_date", money("day_total").alias("day_total"), r4("day_qty").alias("day_qty"),
                            F.col("day_count").cast("long").alias("day_count"))
 
 
@@ -302,11 +321,7 @@ def q_pct_ranks(spark, d):
 
 def q_label_codes(spark, d):
     fp = plan(spark, d)
-    f = fp.with_codes(fp.base) \
-        .join(fp.C.select("category", "Category_code"), "category", "left") \
-        .join(fp.K.select("sku", "SKU_code"), "sku", "left") \
-        .join(fp.V.select("vendor", "VENDOR_code"), "vendor", "left") \
-        .join(fp.N.select("short_name", "ShortName_code"), "short_name", "left")
+    f = fp.with_codes(fp.base)
     return f.select(*_ids((), _same(["Category_code", "SKU_code", "VENDOR_code", "TYPE_code",
                                      "ShortName_code", "MaterialName_code"])))
 
@@ -324,14 +339,6 @@ def q_split_bounds(spark, d):
 
 
 # ---- feature matrix ------------------------------------------------------
-def sanitized_matrix(fp: FeaturePlan) -> DataFrame:
-    """Feature columns after P22 (NULL, NaN, inf -> 0), with the target."""
-    from tillcast.functions.numeric import finite_or_zero
-    f = fp.features
-    return f.select(*[finite_or_zero(feature_column(n, fp.cols)).alias(n) for n in FEATURES],
-                    F.col("_v").alias("label"), *fp.cols.order)
-
-
 FEATURE_CHUNK = 16   # features per aggregate: keeps each aggregate inside generated code
 
 
@@ -373,6 +380,14 @@ def _last(fp):
     return reports.last_rows(fp.features, "material_no", fp.cols.order)
 
 
+def _last_stats(fp):
+    """Last lines with material features only, for reports that need no more."""
+    if not hasattr(fp, "_last_stats"):
+        from tillcast.operators.stage import stage
+        fp._last_stats = stage(reports.last_rows(_fact_with(fp, fp.with_material), "material_no", fp.cols.order), "last-lines")
+    return fp._last_stats
+
+
 def q_last_row_per_material(spark, d):
     fp = plan(spark, d)
     last = reports.last_rows(fp.base, "material_no", fp.cols.order)
@@ -431,7 +446,7 @@ def score_products(spark, d, score: DataFrame | None = None) -> DataFrame:
             "material_no", smooth_encode(F.col("Mat_Count"), F.col("Mat_AvgSale"),
                                          F.col("global_mean"), ALPHA_MAT).alias("score"))
     ctx = reports.next_day_context(spark, NEXT_DATE, fp.weather_row)
-    return reports.product_frame(_last(fp), fp.meta, score, ctx, "material_no", "sale_value",
+    return reports.product_frame(_last_stats(fp), fp.meta, score, ctx, "material_no", "sale_value",
                                  "sal_qty", "soh", "indent")
 
 
@@ -459,28 +474,63 @@ def _top_material(products):
 
 def q_product_history(spark, d):
     fp = plan(spark, d)
-    top = _top_material(score_products(spark, d)).select("material_no")
-    f = fp.base.join(F.broadcast(top), "material_no")   # one row: a proven small side
-    return (f.groupBy("invoice_date").agg(r4(F.sum("sale_value").cast("double")).alias("SaleValue")))
+    top = _top_material(score_products(spark, d))
+    out = reports.product_history(fp.base, top, "material_no", "invoice_date", "sale_value", NEXT_DATE)
+    return out.select("series", "invoice_date", money("value").alias("value"))
 
 
 def q_product_row(spark, d):
     p = score_products(spark, d)
-    name = _top_material(p).select(F.col("display_name").alias("_dn"))
-    hit = p.join(F.broadcast(name), p.display_name == F.col("_dn")).drop("_dn")
-    return hit.orderBy(F.desc_nulls_last("predicted_sale"), "material_no").limit(1)
+    return reports.product_row(p, _top_material(p).select("display_name").scalar())
+
+
+def q_filtered_products(spark, d):
+    """Category and season filters, sorted by stock."""
+    p = score_products(spark, d)
+    return reports.search_products(p, None, FILTER_CATEGORY, "In-Season Only", "soh")
+
+
+def q_shown_counts(spark, d):
+    return reports.shown_counts(score_products(spark, d), text=SEARCH_TEXT, in_season="Off-Season Only")
 
 
 def q_format_report(spark, d):
-    return reports.format_report(score_products(spark, d), NEXT_DATE)
+    return reports.format_report(score_products(spark, d))
 
 
-def q_metrics_from_pairs(spark, d):
-    """A23 on a stand-in prediction (the material mean) per split side."""
+def q_day_labels(spark, d):
+    """Marks and date forms of the forecast day, beside the table's first date."""
     fp = plan(spark, d)
+    labels = reports.day_labels(reports.next_day_context(spark, NEXT_DATE, fp.weather_row))
+    return with_scalars(labels, fp.G, ["min_date"]).withColumn("first_day", F.date_format("min_date", "dd MMM")).drop("min_date")
+
+
+def _pairs(fp):
+    """Lines with a stand-in prediction (the material mean) and their side of the split."""
     f = _time_split(_fact_with(fp, fp.with_material), "invoice_date", fp.cols.order)
+    return f.withColumn("prediction", F.col("Mat_AvgSale"))
+
+
+def q_metrics_from_pairs(spark, d):
+    """A23 on a stand-in prediction (the material mean) per split side."""
     from tillcast.plans.forecast import regression_metrics
-    return regression_metrics(f, "_v", "Mat_AvgSale", by="is_train")
+    return regression_metrics(_pairs(plan(spark, d)), "_v", "prediction", by="is_train")
+
+
+def q_history_from_pairs(spark, d):
+    """P17, U1, U2, A13, Y4 on the stand-in prediction."""
+    from tillcast.plans.forecast import history_series
+    fp = plan(spark, d)
+    total = score_products(spark, d).agg(F.sum("predicted_sale").alias("value"))
+    out = history_series(fp.daily, _pairs(fp), total, NEXT_DATE)
+    return out.select("series", "invoice_date", r4("value").alias("value"))
+
+
+def q_kpi_from_pairs(spark, d):
+    """A16, M13, Y1 on the stand-in prediction: the summary's texts and row counts."""
+    from tillcast.plans.forecast import summary
+    total = score_products(spark, d).agg(F.sum("predicted_sale").alias("total_forecast"))
+    return reports.kpi_texts(with_scalars(total, summary(_pairs(plan(spark, d)))))
 
 
 CATALOG = {
@@ -488,6 +538,7 @@ CATALOG = {
     "enrich_left_joins": q_enrich_left_joins,
     "fill_defaults": q_fill_defaults,
     "dedup_first": q_dedup_first,
+    "master_multiplicity": q_master_multiplicity,
     "price_qty_features": q_price_qty_features,
     "stock_features": q_stock_features,
     "material_stats": q_material_stats,
@@ -533,20 +584,29 @@ CATALOG = {
     "product_history": q_product_history,
     "product_row": q_product_row,
     "format_report": q_format_report,
+    "day_labels": q_day_labels,
+    "filtered_products": q_filtered_products,
+    "shown_counts": q_shown_counts,
+    "history_from_pairs": q_history_from_pairs,
+    "kpi_from_pairs": q_kpi_from_pairs,
     "metrics_from_pairs": q_metrics_from_pairs,
 }
 
 
 # ---- forest (checked on rows only: no SQL form) ---------------------------
+# The registered forest is smaller than the library's default (100 trees of
+# depth 30) so that a query takes seconds on the test tables; its size is a
+# column of rf_metrics and kpi_row.
+QUERY_TREES, QUERY_DEPTH = 20, 8
 _FORECASTS: dict = {}
 
 
 def forecast(spark, d):
-    from tillcast.plans.forecast import Forecast
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FORECASTS:
-        _FORECASTS[key] = Forecast(plan(spark, d), next_date=NEXT_DATE)
-    return _FORECASTS[key]
+    from tillcast.plans.forecast import Forecast, ForestConfig
+    fp = plan(spark, d)
+    if id(fp) not in _FORECASTS:
+        _FORECASTS[id(fp)] = Forecast(fp, ForestConfig(num_trees=QUERY_TREES, max_depth=QUERY_DEPTH), next_date=NEXT_DATE)
+    return _FORECASTS[id(fp)]
 
 
 def q_rf_forecast(spark, d):
@@ -554,7 +614,7 @@ def q_rf_forecast(spark, d):
 
 
 def q_rf_metrics(spark, d):
-    return forecast(spark, d).metrics()
+    return forecast(spark, d).metrics().withColumns({"num_trees": F.lit(QUERY_TREES), "max_depth": F.lit(QUERY_DEPTH)})
 
 
 def q_rf_importance(spark, d):

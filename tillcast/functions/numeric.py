@@ -5,33 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Offset added before rounding reported doubles. Means of two-decimal money
-# land exactly on rounding ties; engines then round the last binary digit
-# either way. Shifting by far less than the rounding step but far more than
-# the float noise makes every engine round the same way.
-ROUND_NUDGE = 1e-7
+# Significant digits of every reported double: far inside double precision, so
+# the last-bit noise of sums in a different order cannot show, and the same
+# share of a small value as of a large one.
+REPORT_DIGITS = 9
 
 
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Decimals kept by magnitude: about ten significant digits, well inside double
-# precision, so the last-bit noise of sums in a different order cannot show.
-ROUND_STEPS = ((1e6, 4), (1e8, 2), (1e10, 0))
-ROUND_BEYOND = -2
+def r4(c) -> Column:
+    """Report rounding of a double: REPORT_DIGITS significant digits (zero unsigned)."""
+    x = col_(c).cast("double")
+    scale = F.pow(F.lit(10.0), REPORT_DIGITS - 1 - F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale, 0) / scale)
 
 
-def r4(c) -> Column:
-    """Report rounding used by every query output of a double (zero unsigned)."""
-    x = col_(c).cast("double") + F.lit(ROUND_NUDGE)
-    a = F.abs(x)
-    r = None
-    for limit, digits in ROUND_STEPS:
-        r = (F.when(a < limit, F.round(x, digits)) if r is None
-             else r.when(a < limit, F.round(x, digits)))
-    r = r.otherwise(F.round(x, ROUND_BEYOND))
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+def money(c) -> Column:
+    """A total of two-decimal money as text, to the cent."""
+    return col_(c).cast("decimal(38,2)").cast("string")
 
 
 def nan_to_null(c) -> Column:
@@ -40,15 +33,22 @@ def nan_to_null(c) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+# What counts as a number in a text cell (a fixed pattern).
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)$"
+
+
 def lenient_double(c, default: float) -> Column:
-    """Text or number to double; unparsable, blank, NaN or missing -> default."""
-    parsed = F.expr(f"try_cast(trim(cast({_sql(c)} as string)) as double)")
+    """Text or number to double; unparsable, blank, NaN or missing -> default.
+
+    The text is checked first: the JVM's own parser would take '12d' or '0x1p3'."""
+    text = F.trim(col_(_name(c)).cast("string"))
+    parsed = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return F.coalesce(nan_to_null(parsed), F.lit(float(default)))
 
 
-def _sql(c) -> str:
+def _name(c) -> str:
     if isinstance(c, str):
-        return f"`{c}`"
+        return c
     raise TypeError("lenient_double takes a column name")
 
 

@@ -27,19 +27,21 @@ def strip_text(df: DataFrame, legacy_nan_text: bool = False) -> DataFrame:
     return df.select(*out)
 
 
-def clean_sales(sales: DataFrame, date: str, qty: str) -> DataFrame:
+def clean_sales(sales: DataFrame, date: str, qty: str, legacy_nan_text: bool = False) -> DataFrame:
     """Strip text, parse the date day-first (no-op on timestamps), NaN qty -> NULL."""
-    df = strip_text(sales)
-    dt_type = df.schema[date].dataType
+    dt_type = sales.schema[date].dataType
     if not isinstance(dt_type, (T.TimestampType, T.TimestampNTZType)):
-        df = df.withColumn(date, parse_dayfirst(date))
+        sales = sales.withColumn(date, parse_dayfirst(date))
+    df = strip_text(sales, legacy_nan_text)
     return df.withColumn(qty, nan_to_null(F.col(qty).cast("double")))
 
 
-def split_valid_target(sales: DataFrame, value: str):
-    """(rows with a target, rows without): the target is never filled (Q21)."""
-    ok = F.col(value).isNotNull()
-    return sales.where(ok), sales.where(~ok)
+def split_valid(sales: DataFrame, value: str, date: str):
+    """(usable rows, rows without a target or a readable date, with the
+    ``reason``): the target is never filled (Q21), and a line that has no place
+    in time cannot be split, so neither is dropped unseen."""
+    reason = F.when(F.col(value).isNull(), "no target").when(F.col(date).isNull(), "no date")
+    return sales.where(reason.isNull()), sales.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def clean_indent(indent: DataFrame) -> DataFrame:

@@ -31,10 +31,10 @@ def first_per_key(df: DataFrame, key: str, order: str, cols: list[str]) -> DataF
 
 
 def enrich_joins(sales: DataFrame, sku_buy: DataFrame, indent: DataFrame, crt: DataFrame,
-                 cols: SalesColumns, dedup_masters: bool = False) -> DataFrame:
+                 cols: SalesColumns, dedup_masters: bool = False, legacy_nan_text: bool = False) -> DataFrame:
     """Left joins on the material key; duplicated master rows multiply
     the invoice lines unless ``dedup_masters`` (Q3). Adds match flags."""
-    sku = strip_text(sku_buy).select(_key("sap_code").alias("_k"), F.col("vendor"),
+    sku = strip_text(sku_buy, legacy_nan_text).select(_key("sap_code").alias("_k"), F.col("vendor"),
                                      F.col("type"), F.lit(1).alias("_sku_hit"), "sheet_row")
     if dedup_masters:
         sku = first_per_key(sku, "_k", "sheet_row", ["vendor", "type", "_sku_hit"])
@@ -50,16 +50,28 @@ def enrich_joins(sales: DataFrame, sku_buy: DataFrame, indent: DataFrame, crt: D
         .withColumnRenamed("crt_size", cols.crt_size).withColumnRenamed("no_crts", cols.no_crts)
 
 
-def soh_median(enriched: DataFrame, cols: SalesColumns) -> DataFrame:
-    """One row: exact median of SOH over the joined lines (0 when none)."""
-    med = exact_median(enriched, [], cols.soh, "median_soh")
-    return med.select(F.coalesce(F.col("median_soh"), F.lit(0.0)).alias("median_soh"))
-
-
-def fill_defaults(enriched: DataFrame, cols: SalesColumns) -> DataFrame:
-    """Unmatched stock -> median SOH, Indent 0; crates 1; vendor and
-    type defaults only where the vendor master had no row (Q1)."""
-    f = with_scalars(enriched, soh_median(enriched, cols), ["median_soh"])
+def soh_median(sales: DataFrame, sku_buy: DataFrame, indent: DataFrame, crt: DataFrame,
+               cols: SalesColumns, dedup_masters: bool = False) -> DataFrame:
+    """One row: exact median of SOH over the joined lines (0 when none).
+
+    Computed before the joins: a stock row counts as often as its material has
+    lines, times the other masters' rows that multiply them."""
+    rows = lambda df, name, n: df.groupBy(_key(name).alias("_k")).agg(F.count(F.lit(1)).alias(n))
+    lines = rows(sales, cols.material, "_lines").where(F.col("_k").isNotNull())
+    sku_n, crt_n = rows(strip_text(sku_buy), "sap_code", "_skus"), rows(strip_text(crt), "material", "_crts")
+    ind = clean_indent(indent).select(_key("sap_code").alias("_k"), "soh")
+    times = F.lit(1) if dedup_masters else F.coalesce("_skus", F.lit(1))
+    f = ind.join(lines, "_k").join(sku_n, "_k", "left").join(crt_n, "_k", "left")
+    f = f.select("soh", (F.col("_lines") * times * F.coalesce("_crts", F.lit(1))).alias("_weight"))
+    med = exact_median(f, [], "soh", "median_soh", weight="_weight")
+    one = f.sparkSession.range(1).select(F.lit(0.0).alias("_none"))
+    return one.join(F.broadcast(med), how="left").select(F.coalesce("median_soh", "_none").alias("median_soh"))
+
+
+def fill_defaults(enriched: DataFrame, cols: SalesColumns, median: DataFrame) -> DataFrame:
+    """Unmatched stock -> median SOH (a one-row frame), Indent 0; crates 1;
+    vendor and type defaults only where the vendor master had no row (Q1)."""
+    f = with_scalars(enriched, median, ["median_soh"])
     unmatched = F.col("_sku_hit").isNull()
     return f.select(
         *[c for c in enriched.columns if c not in {cols.soh, cols.indent, cols.crt_size,
@@ -84,3 +96,13 @@ def product_meta(sku_buy: DataFrame) -> DataFrame:
                           ["category_label", "mat_description", "vendor_name"])
     return first.withColumn("display_name", F.concat(F.col("category_label"), F.lit(LABEL_SEPARATOR),
                                                      F.col("mat_description")))
+
+
+def master_multiplicity(sales: DataFrame, sku_buy: DataFrame, cols: SalesColumns) -> DataFrame:
+    """Q3: per material its invoice lines, its vendor-master rows, and the lines
+    after the join, which duplicated master rows multiply."""
+    n = lambda df, name, out: df.groupBy(_key(name).alias("material_no")).agg(F.count(F.lit(1)).alias(out))
+    f = n(sales, cols.material, "n_lines").join(n(strip_text(sku_buy), "sap_code", "n_master_rows"), "material_no", "left")
+    rows = F.coalesce("n_master_rows", F.lit(0))
+    return f.select("material_no", "n_lines", rows.alias("n_master_rows"),
+                    (F.col("n_lines") * F.greatest(rows, F.lit(1))).alias("n_joined_lines"))

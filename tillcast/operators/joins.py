@@ -1,10 +1,11 @@
 """Joins with a checked broadcast side.
 
-A statistic table is broadcast only after its size has been measured on the
-data (rows x columns under a cell budget); beyond the budget the join stays a
-shuffle join, which AQE may still split when a key is hot. Broadcasting the
-small side up front also spares the wide fact the shuffle it would otherwise
-get before AQE can switch strategies at run time.
+A statistic table is broadcast only when the optimizer's size estimate, which
+for a staged table is the size of its Parquet files, is within a budget of
+bytes; beyond it the join stays a shuffle join, which AQE may still split when
+a key is hot. The result is the same either way. Broadcasting the small side
+up front spares the wide fact the shuffle it would otherwise get before AQE
+can switch strategies at run time.
 """
 
 from __future__ import annotations
@@ -12,27 +13,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# About 16 million values (~130 MB of doubles) per broadcast table.
-BROADCAST_MAX_CELLS = 16_000_000
+# Bytes of Parquet that one broadcast table may have; a feature plan has about
+# a dozen such tables, so all together stay within a few hundred MB.
+BROADCAST_MAX_BYTES = 8 * 1024 * 1024
 
 
-def checked_broadcast(small: DataFrame, max_cells: int | None = None) -> DataFrame:
-    """``broadcast(small)`` when its measured size is within the budget."""
-    budget = max_cells or int(small.sparkSession.conf.get("tillcast.broadcast.maxCells", str(BROADCAST_MAX_CELLS)))
-    rows = small.count()
-    if rows * max(len(small.columns), 1) <= budget:
-        return F.broadcast(small)
-    return small
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size of the plan (for a scan: of its files); no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def checked_broadcast(small: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``broadcast(small)`` when its estimated size is within the budget."""
+    budget = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(small) if estimated_bytes(small) <= budget else small
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left",
-                 max_cells: int | None = None) -> DataFrame:
-    return big.join(checked_broadcast(small, max_cells), on, how)
+                 max_bytes: int | None = None) -> DataFrame:
+    return big.join(checked_broadcast(small, max_bytes), on, how)
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Add columns of a one-row frame (global scalars, weather, forecast-day
-    context) to every row as scalar subqueries: evaluated once and inlined as
-    constants, no join. More than one row is an error, none gives NULL."""
+    context) to every row through one scalar subquery that returns them as a
+    struct: evaluated once, no join. More than one row is an error, none gives NULL."""
     cols = list(cols or one_row.columns)
-    return df.select("*", *[one_row.select(F.col(f"`{c}`")).scalar().alias(c) for c in cols])
+    row = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("s")).scalar()
+    return df.select("*", row.alias("_scalars")).select(*[f"`{c}`" for c in df.columns], *[F.col(f"_scalars.`{c}`").alias(c) for c in cols])

@@ -30,52 +30,17 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Largest key group (rows) that one task may number with a plain window. A
-# group above it goes through the range-partitioned path. The bound is
-# checked on the data first, like a broadcast size limit.
-SMALL_GROUP_ROWS = 1_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the largest key group (one partial aggregate, one number back)."""
-    if not keys:
-        return int(df.count())
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
-
-
 def prefix_before(df: DataFrame, order_cols: list[str], weight: str | None = None,
                   keys: list[str] | tuple = (), out: str = "_before",
-                  partitions: int | None = None, small_group_rows: int | None = None,
-                  group_rows: int | None = None) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` (1 per row if None) over the rows of the
     same ``keys`` whose ``order_cols`` sort strictly before this row's.
 
     Rows that tie on all ``order_cols`` are ordered arbitrarily among
     themselves; aggregate ties into one weighted row first when they must
-    count together. When every key group is at most ``small_group_rows``
-    rows (checked), a window per key does it; otherwise the distributed path.
-    ``group_rows`` is a known upper bound of the largest group (callers that
-    aggregate first pass the row count of their input, which is cheaper to
-    measure than the aggregate itself).
-    """
+    count together. There is one path, whatever the size of a key."""
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
-    if small_group_rows is None:
-        conf = df.sparkSession.conf.get("tillcast.prefix.smallGroupRows", None)
-        small_group_rows = int(conf) if conf is not None else SMALL_GROUP_ROWS
-    limit = small_group_rows
-    if group_rows is None:
-        group_rows = largest_group(df, keys)
-    if group_rows <= limit:
-        win = (Window.partitionBy(*keys).orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, -1))
-        return df.withColumn(out, F.coalesce(F.sum(w.cast("long")).over(win), F.lit(0)).cast("long"))
-    return _prefix_before_ranged(df, order_cols, w, keys, out, partitions)
-
-
-def _prefix_before_ranged(df: DataFrame, order_cols: list[str], w, keys: list[str], out: str,
-                          partitions: int | None) -> DataFrame:
     n = _partitions(df, partitions)
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in keys + list(order_cols)])
               .withColumn("_pid", F.spark_partition_id())
@@ -87,42 +52,34 @@ def _prefix_before_ranged(df: DataFrame, order_cols: list[str], w, keys: list[st
                .rowsBetween(Window.unboundedPreceding, -1))
     ranged = ranged.withColumn("_local", F.coalesce(F.sum("_w").over(local_w), F.lit(0)))
     slices = ranged.groupBy("_pid", *keys).agg(F.sum("_w").alias("_slice"))
-    off_w = (Window.partitionBy(*keys).orderBy("_pid")
+    # the table of slices has at most one row per partition and key
+    off_w = (Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_pid")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = slices.select("_pid", *keys,
+    offsets = slices.select(F.col("_pid").alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
                             F.coalesce(F.sum("_slice").over(off_w), F.lit(0)).alias("_off"))
     if not keys:
-        # at most one row per partition: a proven small side
         offsets = F.broadcast(offsets)
-    joined = ranged.join(offsets, on=["_pid", *keys], how="inner")
+    on = F.col("_pid") == F.col("_o_pid")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    joined = ranged.join(offsets, on, "inner")
     return joined.withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop(
-        "_pid", "_w", "_local", "_off")
-
-
-def _small_limit(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("tillcast.prefix.smallGroupRows", None)
-    return int(conf) if conf is not None else SMALL_GROUP_ROWS
+        "_pid", "_w", "_local", "_off", "_o_pid", *[f"_o_{k}" for k in keys])
 
 
 def exact_median(df: DataFrame, keys: list[str] | tuple, value: str, out: str,
-                 partitions: int | None = None) -> DataFrame:
-    """Exact interpolated median of ``value`` per key group (NULLs skipped).
-
-    When every group is within the checked bound, Spark's exact ``median``
-    aggregate holds at most that many values per group and is used as it is.
-    A larger group goes through the value histogram: (key, value, count) with
-    map-side partial aggregation, then prefix counts locate the one or two
-    middle values, so a key holding a third of the rows spreads over tasks.
+                 partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """Exact interpolated median of ``value`` per key group (NULLs skipped);
+    ``weight`` counts how many rows each input row stands for.
+
+    The value histogram (key, value, count) is built with map-side partial
+    aggregation; prefix counts locate the one or two middle values, so a key
+    holding a third of the rows spreads over tasks.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull())
-    biggest = largest_group(rows, keys)
-    if biggest <= _small_limit(df):
-        g = rows.groupBy(*keys) if keys else rows
-        return g.agg(F.median(v).alias(out))
-    hist = rows.groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    hist = prefix_before(hist, ["_v"], "_c", keys, "_b", partitions, group_rows=biggest)
+    hist = df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("long").alias("_c"))
+    hist = prefix_before(hist, ["_v"], "_c", keys, "_b", partitions)
     n = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if not keys:
         j = with_scalars(hist, n, ["_n"])
@@ -150,10 +107,8 @@ def average_tie_pct_rank(df: DataFrame, value: str, out: str, weight: str | None
     """
     keys = list(keys)
     w = F.col(weight) if weight else F.lit(1)
-    rows = df.where(F.col(value).isNotNull())
-    hist = rows.groupBy(*keys, value).agg(F.sum(w.cast("long")).alias("_c"))
-    hist = prefix_before(hist, [value], "_c", keys, "_b", partitions,
-                         group_rows=largest_group(rows, keys))
+    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(w.cast("long")).alias("_c"))
+    hist = prefix_before(hist, [value], "_c", keys, "_b", partitions)
     tot = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if not keys:
         j = with_scalars(hist, tot, ["_n"])
@@ -168,20 +123,17 @@ def dense_codes(df: DataFrame, value: str, out: str, keys: list[str] | tuple = (
                 partitions: int | None = None) -> DataFrame:
     """0-based position of each distinct value in ascending (code-point) order.
 
-    Equals scikit-learn's LabelEncoder on the same strings. Returns
-    (keys..., value, out); the window runs over distinct values only.
-    """
+    Equals scikit-learn's LabelEncoder on the same strings; a missing text is
+    a class of its own, the last. Returns (keys..., value, out)."""
     keys = list(keys)
-    rows = df.select(*keys, value).where(F.col(value).isNotNull())
-    return prefix_before(rows.distinct(), [value], None, keys, out, partitions,
-                         group_rows=largest_group(rows, keys))
+    rows = df.select(*keys, value).distinct().withColumn("_none", F.col(value).isNull().cast("int"))
+    return prefix_before(rows, ["_none", value], None, keys, out, partitions).drop("_none")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def unpivot(df: DataFrame, specs: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """One scan of ``df``: for each row one row per spec, a tuple of columns under ``names``."""
+    slots = [F.struct(*[c.alias(n) for c, n in zip(spec, names)]) for spec in specs]
+    return df.select(F.explode(F.array(*slots)).alias("_s")).select(*[F.col(f"_s.{n}").alias(n) for n in names])
 
 
 def exact_medians(df: DataFrame, specs: list[tuple[str, str | None, str]],
@@ -189,29 +141,27 @@ def exact_medians(df: DataFrame, specs: list[tuple[str, str | None, str]],
     """Several exact medians in one pass: ``specs`` is a list of
     (name, key column or None for the whole table, value column).
     Returns (_stat, _key, median) with the key as text ('' for the table)."""
-    parts = []
-    for name, key, value in specs:
-        k = F.col(key).cast("string") if key else F.lit("")
-        sel = df.select(F.lit(name).alias("_stat"), k.alias("_key"), F.col(value).cast("double").alias("_val"))
-        parts.append(sel.where(F.col("_key").isNotNull()))
-    return exact_median(_union(parts), ["_stat", "_key"], "_val", "median", partitions)
+    rows = unpivot(df, [(F.lit(name), F.col(key).cast("string") if key else F.lit(""), F.col(value).cast("double"))
+                        for name, key, value in specs], ("_stat", "_key", "_val"))
+    return exact_median(rows.where(F.col("_key").isNotNull()), ["_stat", "_key"], "_val", "median", partitions)
 
 
-def pct_ranks(parts: list[tuple[str, DataFrame, str, str | None]],
+def pct_ranks(parts: list[tuple[DataFrame, list[tuple[str, str, str | None]]]],
               partitions: int | None = None) -> DataFrame:
     """Several average-tie percent ranks in one pass: ``parts`` is a list of
-    (name, frame, value column, weight column or None).
-    Returns (_rk, _x, pct): join back on the value of rank ``_rk``."""
-    u = _union([f.select(F.lit(n).alias("_rk"), F.col(v).cast("double").alias("_x"),
-                         (F.col(w) if w else F.lit(1)).cast("long").alias("_wt"))
-                for n, f, v, w in parts])
+    (frame, [(name, value column, weight column or None), ...]), each frame
+    scanned once. Returns (_rk, _x, pct): join back on the value of rank ``_rk``."""
+    u = None
+    for f, specs in parts:
+        rows = unpivot(f, [(F.lit(n), F.col(v).cast("double"), (F.col(w) if w else F.lit(1)).cast("long")) for n, v, w in specs],
+                       ("_rk", "_x", "_wt"))
+        u = rows if u is None else u.unionByName(rows)
     return average_tie_pct_rank(u, "_x", "pct", weight="_wt", keys=["_rk"], partitions=partitions)
 
 
 def label_codes(df: DataFrame, specs: list[tuple[str, str]], partitions: int | None = None) -> DataFrame:
     """Several label encodings in one pass: ``specs`` is a list of
-    (code name, text column). Returns (_cn, _val, code)."""
-    u = _union([df.select(F.lit(n).alias("_cn"), F.col(c).cast("string").alias("_val")) for n, c in specs])
-    rows = u.where(F.col("_val").isNotNull())
-    return prefix_before(rows.distinct(), ["_val"], None, ["_cn"], "code", partitions,
-                         group_rows=largest_group(rows, ["_cn"]))
+    (code name, text column). Returns (_cn, _val, code); a missing text has a
+    code of its own, after those of the texts."""
+    rows = unpivot(df, [(F.lit(n), F.col(c).cast("string")) for n, c in specs], ("_cn", "_val"))
+    return dense_codes(rows, "_val", "code", ["_cn"], partitions)

@@ -2,35 +2,29 @@
 means of earlier days (A7, A8, J9, W3-W6, W13).
 
 The day table has one row per (series keys, day). Observed days get a dense
-index through prefix counts; "the previous n observed days" is then an
-equi-join on the index, built by exploding each day to the n later indexes
-it contributes to and aggregating there. Nothing needs an unpartitioned
-window, so a single series spreads over all tasks.
+index through prefix counts, and every BLOCK of consecutive indexes is one
+window partition, so a single long series spreads over all tasks. A rolling
+mean sees the last days of the block before (sent along as a halo); an
+exponentially weighted mean is the block's own decayed sums plus what the
+blocks before have left, a scan over block totals by log2(blocks) equi-joins.
+No term is left out, however old.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.operators.ordered import prefix_before
+from tillcast.operators.stage import stage
 
 # Rolling windows (observed days) and EWM spans of the reference (fixed values).
 ROLL_WINDOWS = (2, 3, 5, 7)
 EWM_SPANS = (3, 5)
 
 
-def ewm_terms(span: int, bits: int = 64) -> int:
-    """Number of earlier days whose weight (1-alpha)^i exceeds 2^-bits.
-
-    Older days carry less than 2^-64 of the newest day's weight, below the
-    resolution of a double, so leaving them out does not change the mean of
-    series of one magnitude; every day with fewer earlier days is exact.
-    """
-    alpha = 2.0 / (span + 1.0)
-    return int(math.ceil(bits * math.log(2) / -math.log(1 - alpha)))
+# Days of one window partition: weights within it stay far from overflow.
+BLOCK = 128
 
 
 def daily_totals(df: DataFrame, date: str, value: str, qty: str,
@@ -60,31 +54,55 @@ def prev_calendar_day(daily: DataFrame, date: str, keys: list[str] | tuple = (),
                                       for c, n in zip(cols, names)])
 
 
+def _carried(totals: DataFrame, keys: list[str], betas: dict[int, float]) -> DataFrame:
+    """Per block the decayed sums of all days up to its end. ``totals`` has each
+    block's own sums ``e{span}`` and weights ``w{span}``; in step s a block adds
+    what the block s before it has gathered so far, decayed over s blocks."""
+    last = totals.agg(F.max("_b")).first()[0] or 0
+    step = 1
+    while step <= last:
+        back = totals.select(*keys, (F.col("_b") + step).alias("_b"),
+                             *[F.col(f"{c}{s}").alias(f"_{c}{s}") for s in betas for c in "ew"])
+        decay = {s: F.lit(beta ** (BLOCK * step)) for s, beta in betas.items()}
+        totals = stage(totals.join(back, [*keys, "_b"], "left").select(
+            *keys, "_b", *[(F.col(f"{c}{s}") + F.coalesce(F.col(f"_{c}{s}") * decay[s], F.lit(0.0))).alias(f"{c}{s}")
+                           for s in betas for c in "ew"]), "ewm-carry")
+        step *= 2
+    return totals
+
+
 def earlier_day_means(daily_idx: DataFrame, x: str = "day_total", keys: list[str] | tuple = (),
                       windows=ROLL_WINDOWS, spans=EWM_SPANS, roll_prefix: str = "DailyRoll",
                       ewm_prefix: str = "DailyEWM") -> DataFrame:
     """Rolling means over the previous n observed days (min 1 day) and adjusted
-    EWMs of all earlier observed days; the first day gets 0 (W4, W5).
-
-    Each day sends its value to the next ``K`` day indexes (K = largest window
-    or EWM term count) with its lag ``k``; the receiving day averages what it
-    got with the weights of each feature.
-    """
+    EWMs of all earlier observed days; the first day gets 0 (W4, W5). A day
+    without a value keeps its place but counts in no mean."""
     keys = list(keys)
-    kmax = max([*windows, *[ewm_terms(s) for s in spans]])
-    sent = daily_idx.select(*keys, F.col("day_idx"), F.col(x).alias("_x"),
-                            F.explode(F.sequence(F.lit(1), F.lit(kmax))).alias("_k"))
-    sent = sent.select(*keys, (F.col("day_idx") + F.col("_k")).alias("day_idx"), "_k", "_x")
-    aggs = []
-    for n in windows:
-        aggs.append(F.avg(F.when(F.col("_k") <= n, F.col("_x"))).alias(f"{roll_prefix}{n}"))
-    for s in spans:
-        beta = 1.0 - 2.0 / (s + 1.0)
-        kt = ewm_terms(s)
-        wgt = F.when(F.col("_k") <= kt, F.pow(F.lit(beta), F.col("_k") - 1))
-        aggs.append((F.sum(wgt * F.col("_x")) / F.sum(wgt)).alias(f"{ewm_prefix}{s}"))
-    recv = sent.groupBy(*keys, "day_idx").agg(*aggs)
-    out = daily_idx.join(recv, keys + ["day_idx"], "left")
+    betas = {s: 1.0 - 2.0 / (s + 1.0) for s in spans}
+    rows = daily_idx.withColumns({"_b": F.floor(F.col("day_idx") / BLOCK), "_p": F.col("day_idx") % BLOCK, "_halo": F.lit(False)})
+    halo = (rows.where(F.col("_p") >= BLOCK - max([*windows, 0]))
+            .withColumns({"_b": F.col("_b") + 1, "_p": F.col("_p") - BLOCK, "_halo": F.lit(True)}))
+    order = Window.partitionBy(*keys, "_b").orderBy("day_idx")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    value = F.col(x).cast("double")
+    own = F.when(~F.col("_halo") & value.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+    cols = {f"{roll_prefix}{n}": F.avg(value).over(order.rowsBetween(-n, -1)) for n in windows}
+    for s, beta in betas.items():
+        # day p counts beta ** (t - 1 - p) on day t
+        grow, shrink = F.pow(F.lit(1.0 / beta), F.col("_p")), F.pow(F.lit(beta), F.col("_p") - 1)
+        cols[f"_e{s}"] = F.coalesce(F.sum(F.when(own > 0, value * grow)).over(earlier), F.lit(0.0)) * shrink
+        cols[f"_w{s}"] = F.coalesce(F.sum(own * grow).over(earlier), F.lit(0.0)) * shrink
+    out = rows.unionByName(halo).withColumns(cols).where(~F.col("_halo"))
+    if betas:
+        totals = rows.groupBy(*keys, "_b").agg(*[a for s, beta in betas.items() for a in (
+            F.coalesce(F.sum(value * F.pow(F.lit(beta), BLOCK - 1 - F.col("_p"))), F.lit(0.0)).alias(f"e{s}"),
+            F.coalesce(F.sum(F.when(value.isNotNull(), F.pow(F.lit(beta), BLOCK - 1 - F.col("_p")))), F.lit(0.0)).alias(f"w{s}"))])
+        before = _carried(totals, keys, betas).withColumn("_b", F.col("_b") + 1)
+        out = out.join(before, [*keys, "_b"], "left")
+        for s, beta in betas.items():
+            old = F.pow(F.lit(beta), F.col("_p"))
+            e, w = (F.col(f"_{c}{s}") + F.coalesce(F.col(f"{c}{s}") * old, F.lit(0.0)) for c in "ew")
+            out = out.withColumn(f"{ewm_prefix}{s}", F.when(w > 0, e / w))
     names = [f"{roll_prefix}{n}" for n in windows] + [f"{ewm_prefix}{s}" for s in spans]
     return out.select(*daily_idx.columns, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names])
 

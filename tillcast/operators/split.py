@@ -3,7 +3,8 @@
 The first ``floor(n * frac)`` lines in (date, tie-break) order are train. Day
 counts (one row per day) with prefix counts give each day's first position;
 only the day that holds the cut is numbered line by line, again with prefix
-counts, so neither the table nor the boundary day sits in one task.
+counts, so neither the table nor the boundary day sits in one task. Lines
+without a date are the last, as missing values sort in the reference.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ TRAIN_FRACTION = 0.80  # fixed value of the reference
 def time_split(df: DataFrame, date: str, order_cols: list[str] | tuple,
                frac: float = TRAIN_FRACTION, out: str = "is_train") -> DataFrame:
     days = df.groupBy(date).agg(F.count(F.lit(1)).alias("_day_n"))
-    days = prefix_before(days, [date], "_day_n", (), "_day_before")
+    # a missing date is a group of its own, after all days
+    days = prefix_before(days.withColumn("_no_date", F.col(date).isNull().cast("int")), ["_no_date", date], "_day_n", (), "_day_before")
+    days = days.select(F.col(date).alias("_day"), "_day_n", "_day_before")
     cut = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(frac))).cast("long").alias("_cut"))
-    f = with_scalars(df.join(days, date, "left"), cut, ["_cut"])
+    f = with_scalars(df.join(days, F.col(date).eqNullSafe(F.col("_day"))).drop("_day"), cut, ["_cut"])
     on_cut = (F.col("_day_before") < F.col("_cut")) & (F.col("_cut") < F.col("_day_before") + F.col("_day_n"))
     clear = f.where(~on_cut).withColumn(out, (F.col("_day_before") + F.col("_day_n") <= F.col("_cut")).cast("int"))
     bnd = prefix_before(f.where(on_cut), list(order_cols), None, (), "_pos")

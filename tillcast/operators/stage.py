@@ -3,21 +3,50 @@
 The enriched fact feeds about ten grouped passes. Writing it once as Parquet
 under ``spark.checkpoint.dir`` (a folder every executor reaches) keeps each
 later plan small, lets every pass read only its columns, and means a lost
-executor re-reads files instead of recomputing the joins.
+executor re-reads files instead of recomputing the joins. The tables of an
+application are removed when its Python process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tillcast.session import ensure_checkpoint_dir
 
+_FOLDERS: set[str] = set()
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    """Deletes a folder wherever it lies."""
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _file_system(spark: SparkSession) -> tuple:
+    return spark._jvm, spark._jsc.hadoopConfiguration()
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tillcast-stage/{name}-{uuid.uuid4().hex}"
+    folder = f"{root}/tillcast-stage/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, *_file_system(spark), folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables before the application ends, for callers that have
+    written or collected all that reads them."""
+    for df in tables:
+        _remove(*_file_system(df.sparkSession), df._staged_path)

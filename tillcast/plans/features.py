@@ -27,8 +27,8 @@ from tillcast.columns import SalesColumns
 from tillcast.functions import calendar as cal
 from tillcast.functions.numeric import log1p_, row_mean_skip_null, safe_div, safe_qty
 from tillcast.operators import series, stats
-from tillcast.operators.clean import clean_sales, split_valid_target
-from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta
+from tillcast.operators.clean import clean_sales, split_valid
+from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta, soh_median
 from tillcast.operators.ordered import exact_medians, label_codes, pct_ranks
 from tillcast.operators.joins import join_checked, with_scalars
 from tillcast.operators.stage import stage
@@ -99,19 +99,6 @@ def feature_column(name: str, cols: SalesColumns) -> str:
 V = "_v"  # sale value as double on each row
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give the wide, CPU-heavy feature stages at least one partition per core.
-
-    A table read from very few files (a small landing, one row group) would
-    otherwise run every row feature in one task. Checked at planning time; a
-    scan with enough splits (any cluster-sized input) is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(2 * cores)
-    return df
-
-
 class FeaturePlan:
     """Lazily built DataFrames of the feature pipeline for one set of sheets.
 
@@ -121,35 +108,44 @@ class FeaturePlan:
 
     def __init__(self, sheets: Sheets, weather: DataFrame | None = None,
                  dedup_masters: bool = False, with_medians: bool = True,
-                 staged: bool = True):
+                 staged: bool = True, legacy_nan_text: bool = False):
         self.staged = staged
         self.sheets = sheets
         self.cols = sheets.cols
         self.weather = weather
         self.dedup_masters = dedup_masters
+        self.legacy_nan_text = legacy_nan_text   # Q1: a missing text is the text 'nan'
         self.with_medians = with_medians
 
     # ---- stage 1: clean, join, fill, row features -------------------------
     @cached_property
-    def sales(self) -> DataFrame:
+    def _valid(self) -> tuple[DataFrame, DataFrame]:
         c = self.cols
-        cleaned = clean_sales(self.sheets.sales, c.date, c.qty)
-        return split_valid_target(cleaned, c.value)[0]
+        return split_valid(clean_sales(self.sheets.sales, c.date, c.qty, self.legacy_nan_text), c.value, c.date)
 
-    @cached_property
+    @property
+    def sales(self) -> DataFrame:
+        return self._valid[0]
+
+    @property
     def quarantine(self) -> DataFrame:
-        c = self.cols
-        cleaned = clean_sales(self.sheets.sales, c.date, c.qty)
-        return split_valid_target(cleaned, c.value)[1]
+        """Lines that cannot be used, with the reason; count them before use."""
+        return self._valid[1]
 
     @cached_property
     def joined(self) -> DataFrame:
         s = self.sheets
-        return enrich_joins(self.sales, s.sku_buy, s.indent, s.crt_size, self.cols, self.dedup_masters)
+        return enrich_joins(self.sales, s.sku_buy, s.indent, s.crt_size, self.cols, self.dedup_masters, self.legacy_nan_text)
+
+    @cached_property
+    def median_soh(self) -> DataFrame:
+        """One row: the stock fill, computed before the wide joins."""
+        s = self.sheets
+        return self._stage(soh_median(self.sales, s.sku_buy, s.indent, s.crt_size, self.cols, self.dedup_masters), "median-soh")
 
     @cached_property
     def filled(self) -> DataFrame:
-        return fill_defaults(self.joined, self.cols)
+        return fill_defaults(self.joined, self.cols, self.median_soh)
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -160,18 +156,8 @@ class FeaturePlan:
 
     @cached_property
     def base(self) -> DataFrame:
-        """Filled lines + price, stock and calendar columns, staged once.
-
-        The joined lines feed the SOH median and the fill; they are kept
-        (memory, then local disk) only while the staged table is written."""
-        if not self.staged:
-            return self.base_plan
-        from pyspark import StorageLevel
-        self.joined.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return self._stage(self.base_plan, "base")
-        finally:
-            self.joined.unpersist()
+        """Filled lines + price, stock and calendar columns, staged once."""
+        return self._stage(self.base_plan, "base")
 
     @cached_property
     def base_plan(self) -> DataFrame:
@@ -179,7 +165,7 @@ class FeaturePlan:
         c = self.cols
         q, dt = F.col(c.qty), F.col(c.date)
         soh, ind = F.col(c.soh), F.col(c.indent)
-        f = spread(self.filled).withColumn(V, F.col(c.value).cast("double"))
+        f = self.filled.withColumn(V, F.col(c.value).cast("double"))
         p = F.col(V) / safe_qty(q)
         f = f.withColumn("PricePerUnit", p)
         p = F.col("PricePerUnit")
@@ -236,17 +222,21 @@ class FeaturePlan:
         return self._stage(label_codes(self.base, specs), "codes")
 
     def code_table(self, name: str, col: str) -> DataFrame:
-        return (self.codes.where(F.col("_cn") == name)
+        return (self.codes.where((F.col("_cn") == name) & F.col("_val").isNotNull())
                 .select(F.col("_val").alias(col), F.col("code").alias(name)))
 
+    def missing_codes(self) -> DataFrame:
+        """One row: the code that a missing text has in each encoded column."""
+        return self.codes.where(F.col("_val").isNull()).agg(
+            *[F.max(F.when(F.col("_cn") == n, F.col("code"))).alias(f"_missing_{n}") for n, c in self.CODES if self._col(c)])
+
     @cached_property
     def ranks(self) -> DataFrame:
         """All four percent ranks in one pass (staged); MatAvg_rank is
         weighted by each material's line count (a rank over lines)."""
         c = self.cols
-        parts = [("SalQty_rank", self.base, c.qty, None), ("Price_rank", self.base, "PricePerUnit", None),
-                 ("QtyXPrice_rank", self.base, "QtyXPrice", None),
-                 ("MatAvg_rank", self.M_stats, "Mat_AvgSale", "_Mat_rows")]
+        parts = [(self.base, [("SalQty_rank", c.qty, None), ("Price_rank", "PricePerUnit", None), ("QtyXPrice_rank", "QtyXPrice", None)]),
+                 (self.M_stats, [("MatAvg_rank", "Mat_AvgSale", "_Mat_rows")])]
         return self._stage(pct_ranks(parts), "ranks")
 
     def rank_table(self, name: str, col: str) -> DataFrame:
@@ -278,7 +268,7 @@ class FeaturePlan:
         m = stats.group_stats(self.base, c.material, "Mat", c.value, c.qty, "PricePerUnit", st, extra, meds)
         return self._stage(m, "material")
 
-    def _keyed(self, key: str | None, prefix: str, st: tuple, code: str | None,
+    def _keyed(self, key: str | None, prefix: str, st: tuple,
                extra: list[Column] | None = None) -> DataFrame | None:
         if not key:
             return None
@@ -288,14 +278,12 @@ class FeaturePlan:
             if "MedSale" in st else {}
         g = stats.group_stats(self.base, key, prefix, self.cols.value, self.cols.qty,
                               "PricePerUnit", st, extra, meds)
-        if code:
-            g = g.join(self.code_table(code, key), key, "left")
         return self._stage(g, prefix)
 
     @cached_property
     def K(self) -> DataFrame:
         return self._keyed(self.cols.sku, "SKU", ("AvgSale", "MedSale", "MaxSale", "SumSale",
-                                                 "AvgQty", "AvgPrice", "Count"), "SKU_code")
+                                                 "AvgQty", "AvgPrice", "Count"))
 
     @cached_property
     def C(self) -> DataFrame:
@@ -304,16 +292,15 @@ class FeaturePlan:
                             F.coalesce(F.sum(q), F.lit(0.0)) + 1).alias("Cat_WAvgPrice")
         return self._keyed(self.cols.category, "Category",
                            ("AvgSale", "MedSale", "MaxSale", "SumSale", "AvgQty", "AvgPrice", "Count"),
-                           "Category_code", [wavg])
+                           [wavg])
 
     @cached_property
     def V(self) -> DataFrame:
-        return self._keyed(self.cols.vendor, "VENDOR", ("AvgSale", "SumSale", "AvgPrice"), "VENDOR_code")
+        return self._keyed(self.cols.vendor, "VENDOR", ("AvgSale", "SumSale", "AvgPrice"))
 
     @cached_property
     def N(self) -> DataFrame | None:
-        return self._keyed(self.cols.short_name, "SN", ("AvgSale", "SumSale", "AvgPrice", "AvgQty"),
-                           "ShortName_code")
+        return self._keyed(self.cols.short_name, "SN", ("AvgSale", "SumSale", "AvgPrice", "AvgQty"))
 
     @cached_property
     def G(self) -> DataFrame:
@@ -326,7 +313,7 @@ class FeaturePlan:
         counts = (self.base.where(F.col(c.material).isNotNull()).groupBy(c.material)
                   .agg(F.count(c.value).alias("_n")))
         mx = counts.agg(F.max("_n").alias("max_mat_count"))
-        return with_scalars(g, mx, ["max_mat_count"])
+        return self._stage(with_scalars(g, mx, ["max_mat_count"]), "global")
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -489,8 +476,7 @@ class FeaturePlan:
         q, v = F.col(c.qty), F.col(V)
         if self.N is None:
             f = df.select("*", *[F.lit(0.0).alias(n) for n in
-                                 ("SN_AvgSale", "SN_SumSale", "SN_AvgPrice", "SN_AvgQty")],
-                          F.lit(None).cast("long").alias("ShortName_code"))
+                                 ("SN_AvgSale", "SN_SumSale", "SN_AvgPrice", "SN_AvgQty")])
         else:
             f = join_checked(df, self.N.drop("_SN_rows"), c.short_name)
         qsn = q * F.coalesce(F.col("SN_AvgPrice"), F.lit(0.0))
@@ -506,14 +492,18 @@ class FeaturePlan:
         return f
 
     def with_codes(self, df: DataFrame) -> DataFrame:
-        """Label codes of TYPE and Material name (the other four come with
-        their stat tables)."""
+        """F111-F116: label codes of the six text columns; a missing text has a
+        code of its own, not that of the first class."""
         c = self.cols
-        f = join_checked(df, self.code_table("TYPE_code", c.type), c.type)
-        if c.material_name:
-            f = join_checked(f, self.code_table("MaterialName_code", c.material_name), c.material_name)
-        else:
-            f = f.withColumn("MaterialName_code", F.lit(None).cast("long"))
+        f = with_scalars(df, self.missing_codes())
+        for name, role in self.CODES:
+            col = self._col(role)
+            if not col:
+                f = f.withColumn(name, F.lit(None).cast("long"))
+                continue
+            if name not in f.columns:
+                f = join_checked(f, self.code_table(name, col), col)
+            f = f.withColumn(name, F.coalesce(name, f"_missing_{name}")).drop(f"_missing_{name}")
         return f
 
     def with_weather(self, df: DataFrame) -> DataFrame:
@@ -542,21 +532,19 @@ class FeaturePlan:
     @cached_property
     def features_plan(self) -> DataFrame:
         """The fact with every feature column (and the identifying columns)."""
-        f = self.with_globals(self.base)
+        # what may be shuffle joins first, while the row is narrow
+        f = self.with_codes(self.with_ranks(self.with_globals(self.base)))
         f = self.with_material(f)
         f = self.with_groups(f)
         f = self.with_recon(f)
         f = self.with_daily(f)
         f = self.with_short_name(f)
-        f = self.with_ranks(f)
-        f = self.with_codes(f)
         f = self.with_weather(f)
         return f
 
-    def feature_columns(self, names: list[str] | None = None) -> list[str]:
-        """Fact columns of the features, first occurrence wins and only columns
-        that exist (P20, P21: the original lists one feature twice)."""
-        names = list(dict.fromkeys(names or FEATURES))
-        cols = [feature_column(n, self.cols) for n in names]
-        have = set(self.features_plan.columns)
-        return [c for c in cols if c in have]
+    @property
+    def feature_names(self) -> list[str]:
+        """The model's features: the original's list without what its sheets
+        lack (P21: a text column that is not there is no feature)."""
+        absent = {"Short Name": self.cols.short_name, "Material name": self.cols.material_name}
+        return [n for n in FEATURES if absent.get(n, n)]

@@ -7,15 +7,15 @@
 * feature importances (M10), daily predicted totals (A13), history series
   (U2) and the KPI row (M13).
 
-The reference grows 30,000 unbounded trees; MLlib bins continuous features
-and caps depth at 30, so ``num_trees``/``max_depth`` are parameters (small
-defaults for tests, raise them on a cluster).
+The reference grows 30,000 unbounded trees. MLlib bins continuous features and
+stops at depth 30; the defaults here are 100 trees of that depth. A caller that
+wants a smaller forest says so, and the summary row shows what was fitted.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from tillcast.functions.numeric import finite_or_zero, r4
 from tillcast.operators.joins import with_scalars
-from tillcast.operators.split import time_split
+from tillcast.operators.split import split_bounds, time_split
+from tillcast.operators.stage import stage
 from tillcast.plans import reports
-from tillcast.plans.features import FEATURES, FeaturePlan, feature_column
+from tillcast.plans.features import FeaturePlan, feature_column
+from tillcast.sources import sinks
 
 # Forest settings of the reference that MLlib can express (fixed values).
 FEATURE_FRACTION = "0.55"
@@ -35,52 +37,34 @@ SEED = 42
 
 @dataclass
 class ForestConfig:
-    num_trees: int = 20
-    max_depth: int = 8
+    num_trees: int = 100
+    max_depth: int = 30
     max_bins: int = 32
     min_instances: int = 1
     seed: int = SEED
-    # split statistics per task and pass; tasks run side by side, so keep it
-    # small on a shared local heap and raise it on executors with real memory
-    max_memory_mb: int | None = None   # None: from the session's memory settings
+    # memory of the split statistics: how many nodes are grown side by side,
+    # and so the order of the random feature draws, depends on it; one value
+    # for all machines makes equal forests
+    max_memory_mb: int = 64
 
 
 def assembled(fp: FeaturePlan, df: DataFrame | None = None) -> DataFrame:
     """P22 + M2: sanitised feature columns -> one vector column ``features``."""
     f = fp.features if df is None else df
-    cols = [finite_or_zero(feature_column(n, fp.cols)).alias(f"f{i}") for i, n in enumerate(FEATURES)]
-    keep = [c for c in ("material_no", "invoice_date", "_v", "is_train", "_row_w") if c in f.columns]
+    cols = [finite_or_zero(feature_column(n, fp.cols)).alias(f"f{i}") for i, n in enumerate(fp.feature_names)]
+    keep = [c for c in dict.fromkeys(("material_no", "invoice_date", "_v", "is_train", *fp.cols.order)) if c in f.columns]
     m = f.select(*keep, *cols)
-    va = VectorAssembler(inputCols=[f"f{i}" for i in range(len(FEATURES))], outputCol="features",
+    va = VectorAssembler(inputCols=[f"f{i}" for i in range(len(cols))], outputCol="features",
                          handleInvalid="error")
     return va.transform(m).select(*keep, "features")
 
 
-def _memory_gb(spark) -> float:
-    """Heap of one executor (or of the driver in local mode), from the conf."""
-    conf = spark.sparkContext.getConf()
-    text = conf.get("spark.executor.memory", None) if not spark.sparkContext.master.startswith("local") \
-        else conf.get("spark.driver.memory", None)
-    text = (text or "1g").strip().lower()
-    units = {"k": 1 / 1024 / 1024, "m": 1 / 1024, "g": 1.0, "t": 1024.0}
-    try:
-        return float(text[:-1]) * units[text[-1]] if text[-1] in units else float(text) / 1024 ** 3
-    except ValueError:
-        return 1.0
-
-
-def split_memory_mb(spark) -> int:
-    """Per-task memory for split statistics: MLlib's 256 MB default when the
-    heap is at least 4 GB, 64 MB on small heaps (more passes, no OOM)."""
-    return 256 if _memory_gb(spark) >= 4 else 64
-
-
 def forest(cfg: ForestConfig, weight_col: str | None = None, bootstrap: bool = True) -> RandomForestRegressor:
     rf = RandomForestRegressor(featuresCol="features", labelCol="_v", predictionCol="prediction",
                                numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins,
                                minInstancesPerNode=cfg.min_instances,
                                featureSubsetStrategy=FEATURE_FRACTION, seed=cfg.seed,
-                               bootstrap=bootstrap, maxMemoryInMB=cfg.max_memory_mb or 64)
+                               bootstrap=bootstrap, maxMemoryInMB=cfg.max_memory_mb)
     if weight_col:
         rf.setWeightCol(weight_col)
     return rf
@@ -91,11 +75,11 @@ def regression_metrics(df: DataFrame, label: str, pred: str, by: str | None = No
     y, p = F.col(label).cast("double"), F.col(pred).cast("double")
     keys = [by] if by else []
     g = df.groupBy(*keys) if keys else df
-    stats = g.agg(F.avg(y).alias("_ybar"), F.count(F.lit(1)).alias("n"),
-                  F.sum((y - p) * (y - p)).alias("_sse"), F.sum(F.abs(y - p)).alias("_sae"),
-                  F.sum(y * y).alias("_syy"), F.sum(y).alias("_sy"))
-    # total sum of squares from moments: sum(y^2) - n*ybar^2
-    sst = F.col("_syy") - F.col("n") * F.col("_ybar") * F.col("_ybar")
+    # the total sum of squares from deviations (Spark merges them as such), not from
+    # sum(y^2) - n * mean^2, which cancels where the mean is large
+    stats = g.agg(F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("_sse"),
+                  F.sum(F.abs(y - p)).alias("_sae"), (F.var_pop(y) * F.count(y)).alias("_sst"))
+    sst = F.nullif(F.col("_sst"), F.lit(0.0))
     return stats.select(
         *[F.col(k).cast("long").alias(k) for k in keys], F.col("n").cast("long").alias("n"),
         r4(1 - F.col("_sse") / sst).alias("r2"),
@@ -104,18 +88,16 @@ def regression_metrics(df: DataFrame, label: str, pred: str, by: str | None = No
 
 
 def poisson1(u):
-    """Poisson(1) draw from a uniform column by inverse CDF (weights of a bag)."""
-    cdf, k, expr = 0.0, 0, None
-    term = math.exp(-1.0)
-    out = F.lit(9)
-    conds = []
-    while k < 9:
+    """Poisson(1) draw from a uniform column by inverse CDF (weights of a bag),
+    as far as a double tells the steps apart."""
+    cdf, term, steps = 0.0, math.exp(-1.0), []
+    while cdf + term > cdf:
         cdf += term
-        conds.append((cdf, k))
-        k += 1
-        term /= k
-    for c, kk in reversed(conds):
-        out = F.when(u < F.lit(c), F.lit(kk)).otherwise(out)
+        steps.append(cdf)
+        term /= len(steps)
+    out = F.lit(len(steps))
+    for k, c in reversed(list(enumerate(steps))):
+        out = F.when(u < F.lit(c), F.lit(k)).otherwise(out)
     return out
 
 
@@ -125,8 +107,6 @@ class Forecast:
     def __init__(self, fp: FeaturePlan, cfg: ForestConfig | None = None, next_date: str = "2025-03-22"):
         self.fp = fp
         self.cfg = cfg or ForestConfig()
-        if self.cfg.max_memory_mb is None:
-            self.cfg.max_memory_mb = split_memory_mb(fp.base.sparkSession)
         self.next_date = next_date
         self._holdout = None
         self._full = None
@@ -135,7 +115,6 @@ class Forecast:
     def matrix(self) -> DataFrame:
         if not hasattr(self, "_matrix"):
             f = time_split(self.fp.features, self.fp.cols.date, self.fp.cols.order)
-            from tillcast.operators.stage import stage
             self._matrix = stage(assembled(self.fp, f), "matrix")
         return self._matrix
 
@@ -150,43 +129,48 @@ class Forecast:
         return self._full
 
     def scored(self) -> DataFrame:
-        """Every line with the holdout model's prediction (train and test, U1)."""
-        return self.holdout_model().transform(self.matrix)
+        """Every line with the holdout model's prediction (train and test, U1), scored once."""
+        if not hasattr(self, "_scored"):
+            out = self.holdout_model().transform(self.matrix)
+            self._scored = stage(out.select("material_no", "invoice_date", "_v", "is_train", "prediction"), "scored")
+        return self._scored
 
     def metrics(self) -> DataFrame:
         """train R2, test R2, test RMSE, test MAE (M5) as one row."""
-        m = regression_metrics(self.scored(), "_v", "prediction", by="is_train")
-        tr, te = F.col("is_train") == 1, F.col("is_train") == 0
-        return m.agg(F.max(F.when(tr, F.col("r2"))).alias("train_r2"),
-                     F.max(F.when(te, F.col("r2"))).alias("test_r2"),
-                     F.max(F.when(te, F.col("rmse"))).alias("rmse"),
-                     F.max(F.when(te, F.col("mae"))).alias("mae"))
+        return summary(self.scored()).select("train_r2", "test_r2", "rmse", "mae")
+
+    def oob_predictions(self, bags: int = 4) -> DataFrame:
+        """Every train line with its out-of-bag prediction. Each bag draws
+        Poisson(1) row weights from a hash of the line and the bag and fits one
+        tree on the weighted rows; a line that no bag would leave out is left
+        out of the one its hash names. The prediction is the mean over the bags
+        that left the line out, taken on the line itself: no line is lost or merged."""
+        f = self.matrix.where(F.col("is_train") == 1)
+        line = F.xxhash64(*[F.col(c) for c in self.fp.cols.order])
+        unit = [F.pmod(F.xxhash64(line, F.lit(b)), F.lit(1 << 53)) / F.lit(float(1 << 53)) for b in range(bags)]
+        f = f.withColumns({f"_w{b}": poisson1(u).cast("double") for b, u in enumerate(unit)})
+        spare = F.when(F.least(*[F.col(f"_w{b}") for b in range(bags)], F.lit(1e9)) > 0, F.pmod(line, F.lit(bags)))
+        f = stage(f.withColumn("_spare", spare).withColumns(
+            {f"_w{b}": F.when(F.col("_spare") == b, F.lit(0.0)).otherwise(F.col(f"_w{b}")) for b in range(bags)}).drop("_spare"), "bags")
+        one = replace(self.cfg, num_trees=1)
+        out = f
+        for b in range(bags):
+            model = forest(one, weight_col=f"_w{b}", bootstrap=False).fit(f.where(F.col(f"_w{b}") > 0))
+            out = model.setPredictionCol(f"_p{b}").transform(out)
+        left_out = [F.col(f"_w{b}") == 0 for b in range(bags)]
+        total = sum((F.when(z, F.col(f"_p{b}")).otherwise(0.0) for b, z in enumerate(left_out)), F.lit(0.0))
+        return out.select(*self.fp.cols.order, "_v", (total / sum(z.cast("int") for z in left_out)).alias("prediction"))
 
     def oob_r2(self, bags: int = 4) -> DataFrame:
-        """M9: out-of-bag R2. Each bag draws Poisson(1) row weights from a hash
-        of the row and the bag, fits one tree on the weighted rows, and scores
-        the rows it left out; each row's OOB prediction is the mean over the
-        bags that left it out."""
-        base = self.matrix.where(F.col("is_train") == 1).withColumn(
-            "_rid", F.xxhash64("material_no", "invoice_date", F.col("features").cast("string")))
-        preds = None
-        cfg1 = ForestConfig(1, self.cfg.max_depth, self.cfg.max_bins, self.cfg.min_instances, self.cfg.seed,
-                            self.cfg.max_memory_mb)
-        for b in range(bags):
-            u = (F.abs(F.xxhash64(F.col("_rid"), F.lit(b))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-            bag = base.withColumn("_row_w", poisson1(u).cast("double"))
-            model = forest(cfg1, weight_col="_row_w", bootstrap=False).fit(bag.where(F.col("_row_w") > 0))
-            out = model.transform(bag.where(F.col("_row_w") == 0)).select("_rid", "_v", "prediction")
-            preds = out if preds is None else preds.unionByName(out)
-        per_row = preds.groupBy("_rid").agg(F.first("_v").alias("_v"), F.avg("prediction").alias("prediction"))
-        return regression_metrics(per_row, "_v", "prediction").select(
+        """M9: out-of-bag R2 over all train lines."""
+        return regression_metrics(self.oob_predictions(bags), "_v", "prediction").select(
             F.col("r2").alias("oob_r2"), F.col("n").alias("n_oob_rows"))
 
     def importance(self, k: int = 20) -> DataFrame:
         """The k most important features of the holdout model."""
         imp = self.holdout_model().featureImportances.toArray().tolist()
         spark = self.fp.base.sparkSession
-        rows = [(FEATURES[i], float(v)) for i, v in enumerate(imp)]
+        rows = [(self.fp.feature_names[i], float(v)) for i, v in enumerate(imp)]
         df = spark.createDataFrame(rows, "feature string, importance double")
         return df.orderBy(F.desc("importance"), "feature").limit(k)
 
@@ -206,11 +190,7 @@ class Forecast:
         forecast-day overrides (the script variant; a single number)."""
         fp = self.fp
         ctx = reports.next_day_context(fp.base.sparkSession, self.next_date, fp.weather_row)
-        order = list(fp.cols.order)
-        f = fp.features
-        last_key = f.agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_k")).select(
-            *[F.col(f"_k.{c}").alias(c) for c in order])
-        last = f.join(F.broadcast(last_key), order, "left_semi")   # one row: a proven small side
+        last = reports.last_rows(fp.features, None, fp.cols.order)
         rows = reports.next_day_rows(last, ctx, fp.cols.qty, fp.cols.soh)
         return self.full_model().transform(assembled(fp, rows)).select(
             fp.cols.material, F.col("prediction").alias("last_row_forecast"))
@@ -231,22 +211,44 @@ class Forecast:
                 .agg(F.sum("prediction").alias("Predicted")).orderBy("invoice_date"))
 
     def history_series(self) -> DataFrame:
-        """Actual, train-predicted, test-predicted daily totals and the
-        forecast point, as (series, invoice_date, value)."""
-        s = self.scored()
-        actual = (self.fp.daily.select(F.lit("actual").alias("series"), "invoice_date",
-                                       F.col("day_total").alias("value")))
-        pred = (s.groupBy("is_train", "invoice_date").agg(F.sum("prediction").alias("value"))
-                .select(F.when(F.col("is_train") == 1, "train_predicted").otherwise("test_predicted")
-                        .alias("series"), "invoice_date", "value"))
+        """See :func:`history_series`."""
         total = self.next_day_products().agg(F.sum("predicted_sale").alias("value"))
-        point = total.select(F.lit("forecast").alias("series"),
-                             F.to_timestamp_ntz(F.lit(self.next_date)).alias("invoice_date"), "value")
-        return actual.unionByName(pred).unionByName(point)
+        return history_series(self.fp.daily, self.scored(), total, self.next_date)
 
     def kpi_row(self, bags: int = 4) -> DataFrame:
-        """Total forecast, metrics, OOB R2, feature count."""
+        """Total forecast, metrics, OOB R2, counts of rows and
+        features, and the size of the forest that was fitted."""
         total = self.next_day_products().agg(F.sum("predicted_sale").alias("total_forecast"))
-        row = with_scalars(total, self.metrics())
-        row = with_scalars(row, self.oob_r2(bags), ["oob_r2"])
-        return row.withColumn("n_features", F.lit(len(FEATURES)))
+        row = with_scalars(with_scalars(total, summary(self.scored())), self.oob_r2(bags))
+        return row.withColumns({"n_features": F.lit(len(self.fp.feature_names)), "num_trees": F.lit(self.cfg.num_trees), "max_depth": F.lit(self.cfg.max_depth)})
+
+    def write_bundle(self, root: str) -> dict[str, str]:
+        """Everything a run returns, a Parquet table each: products, metrics,
+        daily actual and predicted totals, split dates and forecast-day context."""
+        fp = self.fp
+        return sinks.write_bundle(root, {
+            "products": self.next_day_products(), "metrics": self.kpi_row(),
+            "daily_actual": fp.daily.select("invoice_date", "day_total"), "daily_predicted": self.daily_predicted(),
+            "split_dates": split_bounds(self.scored(), "invoice_date"),
+            "context": reports.next_day_context(fp.base.sparkSession, self.next_date, fp.weather_row)})
+
+
+def summary(scored: DataFrame) -> DataFrame:
+    """One row: train R2, test R2, RMSE and MAE, and the row counts, in one pass
+    over lines with ``_v``, ``prediction`` and ``is_train``."""
+    m = regression_metrics(scored, "_v", "prediction", by="is_train")
+    at = lambda side, c: F.max(F.when(F.col("is_train") == side, F.col(c)))
+    return m.agg(at(1, "r2").alias("train_r2"), at(0, "r2").alias("test_r2"), at(0, "rmse").alias("rmse"), at(0, "mae").alias("mae"),
+                 F.sum("n").alias("n_rows"), F.coalesce(at(1, "n"), F.lit(0)).alias("n_train"), F.coalesce(at(0, "n"), F.lit(0)).alias("n_test"))
+
+
+def history_series(daily: DataFrame, scored: DataFrame, total: DataFrame, next_date: str) -> DataFrame:
+    """Actual daily totals, predicted daily totals up to the last train day and
+    from the first test day on (a day cut by the split is in both, with its full
+    total), and the forecast point, as (series, invoice_date, value)."""
+    bounds = split_bounds(scored, "invoice_date")
+    pred = with_scalars(scored.groupBy("invoice_date").agg(F.sum("prediction").alias("value")), bounds, ["last_train_date", "first_test_date"])
+    out = daily.select(F.lit("actual").alias("series"), "invoice_date", F.col("day_total").alias("value"))
+    for name, keep in (("train_predicted", F.col("invoice_date") <= F.col("last_train_date")), ("test_predicted", F.col("invoice_date") >= F.col("first_test_date"))):
+        out = out.unionAll(pred.where(keep).select(F.lit(name), "invoice_date", "value"))
+    return out.unionAll(total.select(F.lit("forecast"), F.to_timestamp_ntz(F.lit(next_date)), "value"))

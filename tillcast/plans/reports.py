@@ -24,7 +24,16 @@ UNKNOWN_LABEL = "Unknown"
 CURRENCY = "₹"
 SEASONAL_MARK, NOT_SEASONAL_MARK = "✅", "—"
 TOP_K = 15
-SORTABLE = ("predicted_sale", "predicted_qty", "avg_price", "last_actual", "seasonal_lift")
+SORTABLE = ("predicted_sale", "predicted_qty", "avg_price", "seasonal_lift", "soh")
+SEASON_FILTER = {"All": None, "In-Season Only": 1, "Off-Season Only": 0}
+RAIN_MARK, DRY_MARK = "🌧️", "☀️"
+SEASON_MARKS = {"Summer": "🔥", "SouthWest_Monsoon": "🌧️", "NorthEast_Monsoon": "🌦️", "Winter": "❄️"}
+# Labels of the product table, in order (fixed values).
+TABLE_LABELS = {"material_no": "Mat No", "category": "Category", "mat_description": "Material Description",
+                "predicted_sale": "Pred Sale (₹)", "predicted_qty": "Pred Qty", "avg_price": "Avg Price (₹)",
+                "last_actual": "Last Actual (₹)", "avg_sale": "Avg Sale (₹)", "soh": "SOH", "indent": "Indent",
+                "seasonal_lift": "Seasonal Lift", "is_seasonal": "In Season", "season": "Season",
+                "traffic_index": "Traffic Index", "vendor": "Vendor"}
 
 
 def round2(c) -> Column:
@@ -32,16 +41,18 @@ def round2(c) -> Column:
     return F.round(col_(c) * 100.0, 0) / 100.0
 
 
-def last_rows(features: DataFrame, material: str, order_cols: list[str] | tuple) -> DataFrame:
-    """Last line of each material in (date, tie-break) order.
+def last_rows(features: DataFrame, material: str | None, order_cols: list[str] | tuple) -> DataFrame:
+    """Last line of each material in (date, tie-break) order (W7), or of the
+    whole table without ``material``.
 
-    The largest order key per material is a partial aggregate (skew-safe);
-    the lines are then picked by an equi-join on (material, order key)."""
+    One partial aggregate takes the largest row: the order columns first, all
+    others as the tie-break, so exactly one line is left however many tie."""
     order = list(order_cols)
-    f = features.where(F.col(material).isNotNull())
-    last_key = f.groupBy(material).agg(F.max(F.struct(*[F.col(c) for c in order])).alias("_k"))
-    last_key = last_key.select(material, *[F.col(f"_k.{c}").alias(c) for c in order])
-    return f.join(last_key, [material, *order], "left_semi")
+    rest = [c for c in features.columns if c not in order]
+    row = F.struct(*[F.col(f"`{c}`") for c in [*order, *rest]])
+    f = features.where(F.col(material).isNotNull()) if material else features
+    last = (f.groupBy(material) if material else f).agg(F.max(row).alias("_last"))
+    return last.where(F.col("_last").isNotNull()).select(*[F.col(f"_last.`{c}`").alias(c) for c in features.columns])
 
 
 def next_day_context(spark, next_date: str, weather_row: DataFrame) -> DataFrame:
@@ -138,16 +149,25 @@ def search_products(products: DataFrame, text: str | None = None, category: str
         f = f.where(F.coalesce(hit[0] | hit[1] | hit[2], F.lit(False)))
     if category != "All":
         f = f.where(F.col("category") == F.lit(category))
-    if in_season != "All":
-        f = f.where(F.col("is_seasonal") == F.lit(1 if in_season == "Yes" else 0))
+    if in_season not in SEASON_FILTER:
+        raise ValueError(f"in_season must be one of {tuple(SEASON_FILTER)}")
+    if SEASON_FILTER[in_season] is not None:
+        f = f.where(F.col("is_seasonal") == F.lit(SEASON_FILTER[in_season]))
     if sort_by not in SORTABLE:
         raise ValueError(f"sort_by must be one of {SORTABLE}")
     return f.orderBy(F.desc_nulls_last(sort_by), F.col("material_no"))
 
 
+def shown_counts(products: DataFrame, **filters) -> DataFrame:
+    """One row: how many products the filters show, of how many."""
+    shown = search_products(products, **filters).agg(F.count(F.lit(1)).alias("shown"))
+    return with_scalars(shown, products.agg(F.count(F.lit(1)).alias("total")))
+
+
 def top_products(products: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The k products with the largest forecast (a top-k report)."""
-    return products.orderBy(F.desc_nulls_last("predicted_sale"), F.col("material_no")).limit(k)
+    """The k products with the largest forecast (a top-k report), with the text of their bars."""
+    top = products.orderBy(F.desc_nulls_last("predicted_sale"), F.col("material_no")).limit(k)
+    return top.withColumn("bar_text", rupees("predicted_sale", 0))
 
 
 def category_summary(products: DataFrame) -> DataFrame:
@@ -164,32 +184,52 @@ def category_list(products: DataFrame) -> DataFrame:
     return products.select("category").distinct().orderBy("category")
 
 
-def product_row(products: DataFrame, display_name: str) -> DataFrame:
+def product_row(products: DataFrame, name: Column | str) -> DataFrame:
     """First product with this display name in forecast order."""
-    return (products.where(F.col("display_name") == F.lit(display_name))
-            .orderBy(F.desc_nulls_last("predicted_sale"), "material_no").limit(1))
-
-
-def product_history(fact: DataFrame, material: str, date: str, value: str, material_no) -> DataFrame:
-    """One product's daily sales."""
-    return (fact.where(F.col(material) == F.lit(material_no)).groupBy(date)
-            .agg(F.sum(value).cast("double").alias("SaleValue")).orderBy(date))
-
-
-def format_report(products: DataFrame, next_date: str) -> DataFrame:
-    """P24 + C12-C15: the product table as display text."""
-    def money(c):
-        return F.concat(F.lit(CURRENCY), F.format_number(F.col(c), 2))
-    d = _dt.date.fromisoformat(next_date)
-    return products.select(
-        "material_no", "display_name", "category",
-        money("predicted_sale").alias("predicted_sale_txt"),
-        F.format_number(F.col("predicted_qty"), 1).alias("predicted_qty_txt"),
-        money("avg_price").alias("avg_price_txt"),
-        money("last_actual").alias("last_actual_txt"),
-        F.concat(F.format_number(F.col("seasonal_lift"), 2), F.lit("×")).alias("seasonal_lift_txt"),
-        F.when(F.col("is_seasonal") == 1, SEASONAL_MARK).otherwise(NOT_SEASONAL_MARK).alias("seasonal_mark"),
-        F.regexp_replace(F.col("season"), "_", " ").alias("season_label"),
-        F.date_format(F.lit(d), "dd MMM yyyy").alias("forecast_day"),
-        F.date_format(F.lit(d), "yyyyMMdd").alias("file_day"),
-    )
+    hit = products.where(F.col("display_name") == (name if isinstance(name, Column) else F.lit(name)))
+    return hit.orderBy(F.desc_nulls_last("predicted_sale"), "material_no").limit(1)
+
+
+def product_history(fact: DataFrame, row: DataFrame, material: str, date: str, value: str, next_date: str) -> DataFrame:
+    """Of the product in the one-row frame ``row``: its daily sales, the
+    line of its average, and the forecast point, as (series, invoice_date, value)."""
+    mine = fact.where(F.col(material) == row.select("material_no").scalar())
+    daily = mine.groupBy(date).agg(F.sum(value).cast("double").alias("value"))
+    parts = [daily.select(F.lit("actual").alias("series"), F.col(date).cast("timestamp_ntz").alias("invoice_date"), "value"),
+             row.select(F.lit("average"), F.lit(None).cast("timestamp_ntz"), "avg_sale"),
+             row.select(F.lit("forecast"), F.to_timestamp_ntz(F.lit(next_date)), "predicted_sale")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def rupees(c, digits: int = 2) -> Column:
+    return F.concat(F.lit(CURRENCY), F.format_number(col_(c), digits))
+
+
+def format_report(products: DataFrame) -> DataFrame:
+    """P24 + C13, C14: the product table, its fifteen columns as display text."""
+    p = {c: F.col(c) for c in TABLE_LABELS}
+    p |= {c: rupees(c) for c in ("predicted_sale", "avg_price", "last_actual", "avg_sale")}
+    p |= {c: F.format_number(F.col(c), 1) for c in ("predicted_qty", "soh", "indent")}
+    p["seasonal_lift"] = F.concat(F.format_string("%.2f", F.col("seasonal_lift")), F.lit("×"))
+    p["traffic_index"] = F.format_string("%.2f", F.col("traffic_index"))
+    p["is_seasonal"] = F.when(F.col("is_seasonal") == 1, SEASONAL_MARK).otherwise(NOT_SEASONAL_MARK)
+    return products.select(*[p[c].alias(label) for c, label in TABLE_LABELS.items()])
+
+
+def day_labels(ctx: DataFrame) -> DataFrame:
+    """C12, C14, C15 of the forecast day in the one-row context: season and rain
+    marks, the season's name as text, and the day in the report's three forms."""
+    season = F.col("next_season")
+    marks = F.create_map(*[F.lit(x) for kv in SEASON_MARKS.items() for x in kv])
+    return ctx.select(F.regexp_replace(season, "_", " ").alias("season_label"), marks[season].alias("season_mark"),
+                      F.when(F.col("w_is_rainy") == 1, RAIN_MARK).otherwise(DRY_MARK).alias("rain_mark"),
+                      F.date_format("next_date", "dd MMM yyyy").alias("forecast_day"), F.date_format("next_date", "dd MMM").alias("short_day"),
+                      F.date_format("next_date", "yyyyMMdd").alias("file_day"))
+
+
+def kpi_texts(kpi: DataFrame) -> DataFrame:
+    """The figures of the summary as the cards show them."""
+    fixed = lambda c: F.format_string("%.4f", F.col(c))
+    return kpi.select(rupees("total_forecast", 0).alias("total_forecast_txt"), fixed("test_r2").alias("test_r2_txt"),
+                      fixed("train_r2").alias("train_r2_txt"), rupees("rmse", 0).alias("rmse_txt"), rupees("mae", 0).alias("mae_txt"),
+                      "n_rows", "n_train", "n_test")

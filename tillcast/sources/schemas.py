@@ -10,7 +10,7 @@ SALES = T.StructType([
     T.StructField("Invoice Date", T.StringType()),   # day-first text or timestamp text
     T.StructField("Material No", T.StringType()),
     T.StructField("SalQty", T.DoubleType()),
-    T.StructField("SaleValue", T.DecimalType(18, 2)),
+    T.StructField("SaleValue", T.DecimalType(20, 4)),
     T.StructField("Category", T.StringType()),
     T.StructField("SKU", T.StringType()),
     T.StructField("Short Name", T.StringType()),
@@ -37,6 +37,9 @@ SKU_BUY = T.StructType([
     T.StructField("Category", T.StringType()),
 ])
 
+# Columns that a sheet may lack (fixed names); all others are required.
+OPTIONAL = {"SALES DATA": {"Short Name", "Material name"}, "SKU buy area": {"Material Description", "Category"}}
+
 # One landed record per city: the HTTP status and the raw JSON body.
 WEATHER_RECORD = T.StructType([
     T.StructField("city", T.StringType()),

@@ -40,13 +40,27 @@ def first_existing(df: DataFrame, candidates: list[str]) -> str | None:
     return next((c for c in candidates if c in df.columns), None)
 
 
+def sheet_order(df: DataFrame):
+    """A row's place in the sheet: its ``Row`` column, or else the file, the
+    block of the file and the place within the block that it was read from."""
+    if "Row" in df.columns:
+        return F.col("Row").cast("long")
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
 def _read(spark: SparkSession, root: str, sheet: str, fmt: str) -> DataFrame:
+    """A landed sheet with its columns found by name, cast to the declared
+    types, and ``sheet_row``; a required column that is missing is an error."""
     path = os.path.join(root, f"{sheet}.{fmt}")
-    schema = schemas.SHEET_SCHEMAS[sheet]
-    if fmt == "csv":
-        return spark.read.schema(schema).option("header", True).csv(path)
-    df = spark.read.parquet(path)
-    return df
+    df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+    fields = schemas.SHEET_SCHEMAS[sheet].fields
+    missing = [f.name for f in fields if f.name not in df.columns and f.name not in schemas.OPTIONAL.get(sheet, ())]
+    if missing:
+        raise ValueError(f"sheet {sheet!r} lacks {', '.join(missing)}")
+    types = {f.name: f.dataType for f in fields}
+    others = [c for c in df.columns if c in DESCRIPTION_CANDIDATES + CATEGORY_CANDIDATES and c not in types]
+    cols = [F.col(f"`{n}`").try_cast(t).alias(n) for n, t in types.items() if n in df.columns]
+    return df.select(*cols, *[F.col(f"`{c}`").cast("string").alias(c) for c in others], sheet_order(df).alias("sheet_row"))
 
 
 def read_sheets(spark: SparkSession, root: str, fmt: str = "parquet") -> Sheets:
@@ -59,9 +73,8 @@ def read_sheets(spark: SparkSession, root: str, fmt: str = "parquet") -> Sheets:
     )
     ren = {"Invoice Date": "invoice_date", "Material No": "material_no", "SalQty": "sal_qty",
            "SaleValue": "sale_value", "Category": "category", "SKU": "sku",
-           "Short Name": "short_name", "Material name": "material_name"}
+           "Short Name": "short_name", "Material name": "material_name", "sheet_row": "sheet_row"}
     sales = sales.select(*[F.col(f"`{k}`").alias(v) for k, v in ren.items() if k in sales.columns])
-    sales = sales.withColumn("sheet_row", F.monotonically_increasing_id())
     indent = _read(spark, root, "INDENT", fmt).select(
         F.col("`SAP Code`").alias("sap_code"), F.col("SOH").alias("soh"), F.col("Indent").alias("indent"))
     crt = _read(spark, root, "crt size", fmt).select(
@@ -71,13 +84,12 @@ def read_sheets(spark: SparkSession, root: str, fmt: str = "parquet") -> Sheets:
     desc = first_existing(sku, DESCRIPTION_CANDIDATES)
     cat = first_existing(sku, CATEGORY_CANDIDATES)
     sel = [F.col("`SAP Code`").alias("sap_code"), F.col("VENDOR").alias("vendor"),
-           F.col("TYPE").alias("type")]
+           F.col("TYPE").alias("type"), "sheet_row"]
     if desc:
         sel.append(F.col(f"`{desc}`").alias("description"))
     if cat:
         sel.append(F.col(f"`{cat}`").alias("category_label"))
-    sku = sku.select(*sel).withColumn("sheet_row", F.monotonically_increasing_id())
-    return Sheets(sales, indent, crt, sku, cols)
+    return Sheets(sales, indent, crt, sku.select(*sel), cols)
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,15 +103,11 @@ def tpch_sheets(spark: SparkSession, sf_dir: str) -> Sheets:
       o_orderdate, Material No = l_partkey, SalQty = l_quantity, SaleValue =
       l_extendedprice, Category = p_type, SKU = p_brand, Short Name = p_name,
       Material name = p_name#p_partkey.
-    * SKU buy area: parts up to size 45, vendor = name of the part's lowest
+    * SKU buy area: every part sold, vendor = name of the part's lowest
       supplier key seen in lineitem, TYPE = region of that supplier.
-    * INDENT: parts whose type is not ECONOMY; SOH is text (p_size*10, padded
-      with blanks, or '-' above size 40), Indent = p_size div 4 as text.
-    * crt size: parts with a retail price up to 990; Crt Size = p_size,
-      No Crts = p_size div 10 + 1, as text.
-
-    Size, type and price rules leave some products without a master row, so the
-    unmatched-key fills and lenient casts really occur.
+    * INDENT: every part; SOH is text (p_size*10, padded with blanks, or '-'
+      above size 40, so lenient casts really occur), Indent = p_size div 4 as text.
+    * crt size: every part; Crt Size = p_size, No Crts = p_size div 10 + 1, as text.
     """
     li = load_table(spark, sf_dir, "lineitem")
     orders = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -118,28 +126,40 @@ def tpch_sheets(spark: SparkSession, sf_dir: str) -> Sheets:
                  F.concat(F.col("p_name"), F.lit("#"), F.col("p_partkey").cast("string")).alias("material_name"),
                  "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                  "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
-    supplier = load_table(spark, sf_dir, "supplier")
-    nation = load_table(spark, sf_dir, "nation")
-    region = load_table(spark, sf_dir, "region")
     main_supp = li.groupBy("l_partkey").agg(F.min("l_suppkey").alias("supp"))
-    sku = (part.where(F.col("p_size") <= 45)
-           .join(main_supp, part.p_partkey == main_supp.l_partkey)
-           .join(supplier, F.col("supp") == supplier.s_suppkey)
-           .join(nation, F.col("s_nationkey") == nation.n_nationkey)
-           .join(region, F.col("n_regionkey") == region.r_regionkey)
-           .select(F.col("p_partkey").cast("string").alias("sap_code"),
-                   F.col("s_name").alias("vendor"), F.col("r_name").alias("type"),
-                   F.col("p_name").alias("description"), F.col("p_type").alias("category_label"),
-                   F.col("p_partkey").alias("sheet_row")))
-    indent = (part.where(F.col("p_type") != "ECONOMY")
+    sku = _master(spark, sf_dir, part, main_supp).withColumn("sheet_row", F.col("sap_code").cast("long"))
+    indent = (part
               .select(F.col("p_partkey").cast("string").alias("sap_code"),
                       F.when(F.col("p_size") > 40, F.lit("-"))
                        .otherwise(F.concat(F.lit(" "), (F.col("p_size") * 10).cast("string"), F.lit(" ")))
                        .alias("soh"),
                       (F.col("p_size") / 4).cast("int").cast("string").alias("indent")))
-    crt = (part.where(F.col("p_retailprice") <= 990)
+    crt = (part
            .select(F.col("p_partkey").cast("string").alias("material"),
                    F.col("p_size").cast("string").alias("crt_size"),
                    ((F.col("p_size") / 10).cast("int") + 1).cast("string").alias("no_crts")))
     cols = SalesColumns(order=TPCH_ORDER)
     return Sheets(sales, indent, crt, sku, cols)
+
+
+def _master(spark: SparkSession, sf_dir: str, part: DataFrame, supplied: DataFrame) -> DataFrame:
+    """Vendor-master rows of (l_partkey, supp) pairs."""
+    supplier = load_table(spark, sf_dir, "supplier")
+    nation = load_table(spark, sf_dir, "nation")
+    region = load_table(spark, sf_dir, "region")
+    return (part.join(supplied, part.p_partkey == supplied.l_partkey)
+            .join(supplier, F.col("supp") == supplier.s_suppkey)
+            .join(nation, F.col("s_nationkey") == nation.n_nationkey)
+            .join(region, F.col("n_regionkey") == region.r_regionkey)
+            .select(F.col("p_partkey").cast("string").alias("sap_code"),
+                    F.col("s_name").alias("vendor"), F.col("r_name").alias("type"),
+                    F.col("p_name").alias("description"), F.col("p_type").alias("category_label"),
+                    F.col("supp").cast("long").alias("supp")))
+
+
+def tpch_all_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vendor master with a row for every (part, supplier) pair sold, in the
+    order of suppliers from the highest key down: several rows a material."""
+    pairs = load_table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("supp")).distinct()
+    rows = _master(spark, sf_dir, load_table(spark, sf_dir, "part"), pairs)
+    return rows.withColumn("sheet_row", -F.col("supp")).drop("supp")

@@ -25,8 +25,17 @@ FIXTURE = os.path.join(os.path.dirname(__file__), "..", "..", "fixtures", "weath
 
 
 def read_weather(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Scan landed weather records (JSON lines with city, status, payload)."""
-    return spark.read.schema(WEATHER_RECORD).json(os.path.abspath(path or FIXTURE))
+    """Scan landed weather records (JSON lines with city, status, payload) from
+    any path Spark reads; without one, from ``tillcast.weather.path`` or, in
+    local mode, the fixture."""
+    path = path or spark.conf.get("tillcast.weather.path", None)
+    if path is None:
+        # two small records: the driver hands them over, executors need no file
+        with open(os.path.abspath(FIXTURE), encoding="utf-8") as f:
+            lines = [(line,) for line in f if line.strip()]
+        record = F.from_json("line", WEATHER_RECORD)
+        return spark.createDataFrame(lines, "line string").select(record.alias("r")).select("r.*")
+    return spark.read.schema(WEATHER_RECORD).json(path)
 
 
 def parse_weather(records: DataFrame) -> DataFrame:
@@ -52,8 +61,12 @@ def parse_weather(records: DataFrame) -> DataFrame:
 
 
 def weather_context(parsed: DataFrame) -> DataFrame:
-    """One row: city means with defaults, rain flag OR-ed, heat index."""
-    agg = parsed.agg(
+    """One row: city means with defaults, rain flag OR-ed, heat index.
+    Only the last record of each city counts (the largest, where the landing has
+    no order of its own), so a repeated city cannot break the map of cities."""
+    fields = [c for c in parsed.columns if c != "city"]
+    last = parsed.groupBy("city").agg(F.max(F.struct(*fields)).alias("_r"))
+    agg = last.select("city", *[F.col(f"_r.{c}").alias(c) for c in fields]).agg(
         F.coalesce(F.avg("temp"), F.lit(DEFAULT_TEMP)).alias("temperature"),
         F.coalesce(F.avg("humidity"), F.lit(DEFAULT_HUMIDITY)).alias("humidity"),
         F.coalesce(F.avg("wind"), F.lit(DEFAULT_WIND)).alias("wind_speed"),
