@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillcast.operators.stage import stage
+from tillcast.operators.stage import release, stage
 
 __all__ = ["chunks", "compared", "components", "first_columns", "free_name", "in_blocks", "local_components", "mixed", "number_within",
-           "stage", "table", "whole_groups", "word_hashes"]
+           "release", "stage", "table", "whole_groups", "word_hashes"]
 
 #: ASCII white space: \x20 and \x09 to \x0D. Everything else belongs to a word.
 SPACE = np.zeros(256, bool)
@@ -68,13 +68,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
+        files = math.ceil(mark[0] / 200_000)  # edges never become more
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        now = stage(small, f"{name}-round")
+        old, now = now, stage(small.coalesce(files), f"{name}-round")
+        release(old)
     return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionAll(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

@@ -2,14 +2,14 @@
 
 Every different text is a set of shingles of ``shingle`` words, with a signature
 of COORDINATES min-hashes. A run starts with all sets in one bucket and splits
-it recursively: a bucket draws each coordinate with probability
-1 / (threshold x COORDINATES), and every set goes on to one bucket for each
-drawn coordinate, that of its value there, that is of a sampled token it shares
-with the others. A pair at the threshold is expected once in the children of
-its bucket. Buckets of at most ``leaf`` sets are compared by brute force on
-one-bit sketches, and runs are repeated until a pair at the threshold is met
-with probability ``recall``. A bucket that is still larger at the last depth is
-taken as one candidate whole.
+it recursively: a bucket draws 1 / threshold coordinates on average, and every
+set goes on to one bucket for each drawn coordinate, that of its value there,
+that is of a sampled token it shares with the others. A pair at the threshold is
+expected once in the children of its bucket. After ``first`` splits, buckets of
+at most ``leaf`` sets are compared by brute force on one-bit sketches and larger
+ones split on; runs are repeated until a pair at the threshold is met with
+probability ``recall`` even at the last ``depth``. A bucket that is still larger
+there is taken as one candidate whole.
 
 Candidates are connected into components; then all pairs of each component are
 checked exactly on the shingles of the whole texts, in blocks of bounded size
@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, compared, components, first_columns, in_blocks, local_components, mixed, stage, table, whole_groups, word_hashes
+from .common import chunks, compared, components, first_columns, free_name, in_blocks, local_components, mixed, release, stage, table, whole_groups, word_hashes
 
 COORDINATES = 128
 
@@ -93,38 +93,58 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def runs_needed(recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has met in a bucket of ``depth``:
-    the children a pair shares are Poisson with mean one."""
+def draws(threshold: float) -> tuple[int, float]:
+    """Coordinates that a bucket draws: so many for sure, and one more with this chance."""
+    sure = int(1 / threshold)
+    return sure, 1 / threshold - sure
+
+
+def runs_needed(threshold: float, recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has met in a bucket of ``depth``
+    with probability ``recall``: a pair stays together in a child with the threshold's probability."""
+    sure, chance = draws(threshold)
     met = 1.0
     for _ in range(depth):
-        met = 1 - math.exp(-met)
+        met = 1 - (1 - threshold * met) ** sure * (1 - chance * threshold * met)
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-def candidates(texts: DataFrame, threshold: float, recall: float, leaf: int, depth: int, seed: int) -> DataFrame:
+def children(node: Column, threshold: float) -> Column:
+    """The buckets that a set of signature ``sig`` goes on to from its bucket ``node``."""
+    sure, chance = draws(threshold)
+
+    def child(draw: int):
+        drawn = F.pmod(F.xxhash64(node, F.lit(draw)), F.lit(COORDINATES)).cast("int")
+        return F.xxhash64(node, F.lit(draw), F.get("sig", drawn))
+    out = [child(d) for d in range(sure)]
+    if chance > 0:
+        out.append(F.when(F.pmod(F.xxhash64(node, F.lit(-1)), F.lit(1 << 20)) < int(chance * (1 << 20)), child(sure)))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def candidates(texts: DataFrame, threshold: float, recall: float, leaf: int, first: int, depth: int, seed: int) -> DataFrame:
     """Edges (a, b) that connect all pairs of sets met in the buckets."""
-    rng = np.random.default_rng(seed)
-    chance = 1 / (threshold * COORDINATES)
-    drawn = [(r, int(i)) for r in range(runs_needed(recall, depth)) for i in np.flatnonzero(rng.random(COORDINATES) < chance)]
-    first = F.array(*[F.xxhash64(F.lit(seed), F.lit(r), F.lit(i), F.col("sig")[i]) for r, i in drawn])
-    rows = texts.where("n > 0").select("id", "b0", "b1", F.explode(first).alias("node"))
+    runs = runs_needed(threshold, recall, depth)
+    nodes = F.array(*[F.xxhash64(F.lit(seed), F.lit(r)) for r in range(runs)])
+    for _ in range(first):
+        nodes = F.flatten(F.transform(nodes, lambda node: children(node, threshold)))
+    rows = texts.where("n > 0").select("id", "b0", "b1", F.explode(nodes).alias("node"))
     # a sketch of as many bits errs by this much at the threshold; four of them are allowed for
     least = threshold - 4 * 2 * math.sqrt((1 + threshold) / 2 * (1 - threshold) / 2 / COORDINATES)
-    small, out = None, None
-    for level in range(1, depth + 1):
+    small, written = None, []
+    for level in range(first, depth + 1):
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
         rows = stage(rows.join(counts, "node"), f"paths-level{level}")
+        written.append(rows)
         few = rows.where(F.col("size") <= leaf)
         small = few if small is None else small.unionByName(few)
-        rows = rows.where(F.col("size") > leaf)
-        if level == depth:
-            out = rows.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-        else:
-            mine = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < int(chance * (1 << 20)))
-            nodes = F.transform(mine, lambda i: F.xxhash64("node", i, F.get("sig", i)))
-            rows = rows.drop("size", "low").join(texts.select("id", "sig"), "id").select("id", "b0", "b1", F.explode(nodes).alias("node"))
-    return compared(small, int((1 - least) / 2 * COORDINATES)).unionAll(out)
+        rows = rows.where(F.col("size") > leaf).drop("size")
+        if level < depth:
+            rows = rows.join(texts.select("id", "sig"), "id").select("id", "b0", "b1", F.explode(children(F.col("node"), threshold)).alias("node"))
+    whole = rows.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    edges = stage(compared(small, int((1 - least) / 2 * COORDINATES)).unionAll(whole), "paths-edges")
+    release(*written)
+    return edges
 
 
 def intersections(groups: list[np.ndarray]):
@@ -185,18 +205,19 @@ def checked(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999,
-            leaf: int = 256, depth: int = 3, block: int = 512, seed: int = 0) -> DataFrame:
+            leaf: int = 256, first: int = 3, depth: int = 5, block: int = 512, seed: int = 0) -> DataFrame:
     """For each row of ``docs``: doc_id, k1, k2 (hashes of the text), class_id
     (smallest doc_id of its class), n_links (other documents at least
     ``threshold`` similar, copies included) and kept_key, the (doc_id, k1, k2)
     of the one document that stands for the class."""
     docs = first_columns(docs, doc_id=id_col, text=text_col)
-    every = stage(sets(docs, shingle), "paths-sets")
-    texts = every.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n"),
-                                          F.first("sig").alias("sig"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+    texts = sets(docs, shingle).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n"),
+                                                        F.first("sig").alias("sig"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
     # ids are numbers given at this one writing, and only read from then on
     texts = stage(texts.withColumn("id", F.monotonically_increasing_id()), "paths-texts")
-    near = stage(components(candidates(texts, threshold, recall, leaf, depth, seed), "paths-candidates"), "paths-components")
+    met = candidates(texts, threshold, recall, leaf, first, depth, seed)
+    near = stage(components(met, "paths-candidates"), "paths-components")
+    release(met)
     members = near.join(texts.select("id", "k1", "k2", "rep", "n_docs", "n"), "id")
     members = stage(in_blocks(members, "component", F.col("id"), block, F.greatest(F.lit(1.0), F.col("n") / 2000)), "paths-blocks")
     source = docs.select("doc_id", *text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
@@ -204,23 +225,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     found = stage(checked(texts_of.select("_g", "_i", "_j", "_c", "id", "n_docs", "text"), shingle, threshold), "paths-links")
     linked = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "paths-classes")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    texts = texts.select("id", "k1", "k2", "rep", "n_docs").join(linked, "id", "left").join(links, "id", "left")
-    texts = stage(texts.withColumn("component", F.coalesce("component", "id")), "paths-result")
+    result = texts.select("id", "k1", "k2", "rep", "n_docs").join(linked, "id", "left").join(links, "id", "left")
+    result = stage(result.withColumn("component", F.coalesce("component", "id")), "paths-result")
+    release(texts, near, members, found)
     lead = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "k1", "k2")
-    leads = texts.groupBy("component").agg(F.min(lead).alias("lead"))
-    out = texts.join(leads, "component").select("k1", "k2", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
-                                                F.col("lead.doc_id").alias("class_id"), F.struct("lead.doc_id", "lead.k1", "lead.k2").alias("kept_key"))
-    return every.select("doc_id", "k1", "k2").join(out, ["k1", "k2"]).select("doc_id", "k1", "k2", "class_id", "n_links", "kept_key")
+    leads = result.groupBy("component").agg(F.min(lead).alias("lead"))
+    out = result.join(leads, "component").select("k1", "k2", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+                                                 F.col("lead.doc_id").alias("class_id"), F.struct("lead.doc_id", "lead.k1", "lead.k2").alias("kept_key"))
+    return docs.select("doc_id", *text_key(F.col("text"))).join(out, ["k1", "k2"]).select("doc_id", "k1", "k2", "class_id", "n_links", "kept_key")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, one of each class: that of the smallest id."""
+    a, b, k1, k2, own = (free_name(docs, x) for x in ("_a", "_b", "_k1", "_k2", "_own"))
     kept = classes(docs, id_col, text_col, **options).select("kept_key.*").distinct()
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    k1, k2 = text_key(F.col(text_col))
-    keyed = docs.withColumns({"_a": k1, "_b": k2})
-    out = keyed.join(kept.hint("shuffle_hash"), keyed[id_col].eqNullSafe(kept["_id"]) & (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left_semi")
-    return out.dropDuplicates([id_col, "_a", "_b"]).select(*docs.columns)
+    kept = kept.select(F.col("doc_id").alias(own), F.col("k1").alias(k1), F.col("k2").alias(k2))
+    keyed = docs.withColumns(dict(zip((a, b), text_key(F.col(text_col)))))
+    out = keyed.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(own)) & (F.col(a) == F.col(k1)) & (F.col(b) == F.col(k2)), "left_semi")
+    return out.dropDuplicates([id_col, a, b]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
