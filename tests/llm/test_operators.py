@@ -495,3 +495,11 @@ def test_rotations_balance_bits():
     for p in projections:
         assert np.allclose(p.T @ p, np.eye(16), atol=1e-8)
         assert (abs(((x - mean) @ p >= 0).mean(0) - 0.5) < 0.06).all()
+
+
+def test_isotonic_fit_rises_and_pools():
+    z, y = np.arange(8.0), np.array([0, 0, 1, 0, 1, 1, 0, 1])
+    points = op6_toxicity.isotonic(z, y, np.ones(8))
+    p = [b for _, b in points]
+    assert p == sorted(p) and all(0 < x < 1 for x in p) and len(points) < 8
+    assert [a for a, _ in points] == sorted(a for a, _ in points)

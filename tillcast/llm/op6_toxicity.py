@@ -3,21 +3,22 @@
 Two interpolated Kneser-Ney models over lower-cased characters, one of toxic
 and one of ordinary labelled documents, give a text two log-likelihoods; their
 difference a character, and its size against the noise expected of the text's
-length, are turned into a probability by a logistic fit.
+length, are ranked by a logistic fit and turned into a probability by isotonic
+regression, which keeps the order.
 
-- The highest order (six characters) counts occurrences in the class, the
+- The highest order (five characters) counts occurrences in the class, the
   orders below it count in how many different contexts a sequence occurs.
 - Orders one and two are shared: their counts come from all documents, labelled
   or not, and both classes back off to them, so that an expression too rare to
   tell anything counts alike for both. The discount of the highest order is
   large for the same reason, and scaled to the size of each class.
 - Counts are grouped by Spark over exact sequences. For scoring, log ratios go
-  into tables of a fixed number of buckets (``BUCKETS`` for each of eight
+  into tables of a fixed number of buckets (``BUCKETS`` for each of six
   tables), the proven bound of what is broadcast.
 
 At most ``max_documents`` labelled documents of each class are learnt from (the
 first by hash of their id); a quarter of them is kept from the counts, and the
-logistic fit is made on that quarter.
+logistic and isotonic fits are made on that quarter.
 
 Edge cases: a null or empty text, or one without a letter or digit, gets the
 share of toxic documents among the labelled ones; contradicting or null labels
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, first_columns, free_name, stage, table
+from .common import chunks, first_columns, free_name, release, stage, table
 
-ORDER, SHARED = 6, 2
+ORDER, SHARED = 5, 2
 BUCKETS = 1048573  # a prime
 #: Lower case; white space and ASCII punctuation are blanks.
 LETTERS = np.arange(256, dtype=np.uint8)
@@ -43,7 +44,7 @@ LETTERS[[*range(33), *b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = 32
 
 def sequences(data: np.ndarray, ends: np.ndarray):
     """The last ORDER characters (bytes) up to each character of a run of
-    documents, packed into 48 bits with the latest lowest, and each one's
+    documents, packed into 40 bits with the latest lowest, and each one's
     document. Runs of blanks are one; a document begins after blanks."""
     s = LETTERS[data]
     blank = s == 32
@@ -104,18 +105,19 @@ def shared_model(spark: SparkSession, trigrams: DataFrame, discount: float = 0.7
     return spark.createDataFrame(pa.table({"gram": np.arange(65536), "p": p.ravel()}))
 
 
-def log_ratios(top: DataFrame, shared: DataFrame, discounts: dict[int, float]) -> DataFrame:
+def log_ratios(top: DataFrame, shared: DataFrame, discount: float) -> DataFrame:
     """Rows (kind, bucket, value): kind k holds log P1/P0 of the sequences of order
     k seen in either class, kind 10 + k the log ratio of what their contexts
     leave to the order below."""
-    by_order = {ORDER: top}
+    by_order, written = {ORDER: top}, []
     for k in range(ORDER - 1, SHARED, -1):  # in how many different contexts
         above = by_order[k + 1]
         by_order[k] = stage(above.groupBy((F.col("gram") % (1 << 8 * k)).alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("n0", "n1")]), f"toxicity-order{k}")
+        written.append(by_order[k])
     lower, out = shared.select("gram", F.col("p").alias("p0"), F.col("p").alias("p1")), None
     for k in range(SHARED + 1, ORDER + 1):
         totals = by_order[k].agg(F.sum("n0"), F.sum("n1")).first()
-        d = [discounts[k] * max(1.0, t / max(min(totals), 1)) for t in totals]
+        d = [discount * max(1.0, t / max(min(totals), 1)) for t in totals]
         grams = by_order[k].withColumns({"context": F.shiftright("gram", 8), "suffix": F.col("gram") % (1 << 8 * (k - 1))})
         left = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(d[c]))).alias(f"l{c}") for c in (0, 1)]
         contexts = stage(grams.groupBy("context").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)], *left), f"toxicity-contexts{k}")
@@ -123,10 +125,14 @@ def log_ratios(top: DataFrame, shared: DataFrame, discounts: dict[int, float]) -
         seen = [F.when(F.col(f"s{c}") > 0, F.greatest(F.col(f"n{c}") - F.lit(d[c]), F.lit(0.0)) / F.col(f"s{c}")).otherwise(0.0) for c in (0, 1)]
         lower = stage(grams.join(contexts, "context").join(lower.withColumnRenamed("gram", "suffix"), "suffix")
                       .select("gram", *[(seen[c] + share[c] * F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)]), f"toxicity-p{k}")
+        written += [contexts, lower]
         value = lower.select(F.lit(k).alias("kind"), "gram", F.log(F.col("p1") / F.col("p0")).alias("value")).unionAll(
             contexts.select(F.lit(10 + k), "context", F.log(share[1] / share[0])))
         out = value if out is None else out.unionAll(value)
-    return out.groupBy("kind", (F.col("gram") % BUCKETS).alias("bucket")).agg(F.avg("value").alias("value"))
+    ratios = out.groupBy("kind", (F.col("gram") % BUCKETS).cast("int").alias("bucket")).agg(F.avg("value").cast("float").alias("value"))
+    ratios = stage(ratios, "toxicity-ratios")
+    release(*written)
+    return ratios
 
 
 def likelihood_ratio(docs: DataFrame, tables, text_col: str = "text", ratio: str = "_ratio", n: str = "_n") -> DataFrame:
@@ -174,7 +180,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20000, top_discount: float = 4.0, discount: float = 0.75) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 100_000, discount: float = 0.75) -> dict | None:
     """The fitted model for the rows (id, mark) of ``labels`` and (id, text) of ``docs``; None without both classes."""
     spark = docs.sparkSession
     marks = labels.where("mark in (0, 1) and id is not null").groupBy("id").agg(F.min("mark").alias("mark"), F.max("mark").alias("_high")).where("mark = _high").select("id", F.col("mark").cast("int").alias("mark"))
@@ -194,8 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20000, top_di
         return None
     top = stage(class_counts(learnt.where("not fitted")), "toxicity-counts")
     shared = shared_model(spark, shared_counts(docs))
-    discounts = {k: top_discount if k == ORDER else discount for k in range(SHARED + 1, ORDER + 1)}
-    ratios = stage(log_ratios(top, shared, discounts).select("kind", F.col("bucket").cast("int").alias("bucket"), F.col("value").cast("float").alias("value")), "toxicity-ratios")
+    ratios = log_ratios(top, shared, discount)
+    release(top)
     tables = {}
     for k in range(SHARED + 1, ORDER + 1):
         for kind, empty in ((k, np.nan), (10 + k, 0)):
@@ -204,20 +210,53 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 20000, top_di
             tables[kind][part.column(0).to_numpy()] = part.column(1).to_numpy()
     tables = spark.sparkContext.broadcast(tables)
     seen = likelihood_ratio(learnt.where("fitted").select("id", "mark", "text"), tables).where("_n > 0").select("id", "mark", "_ratio", "_n").toPandas()
+    release(marks, learnt, ratios)
     if seen.mark.nunique() < 2:
         return None
     seen = seen.sort_values(["id"])
     weight = seen.mark.map({m: size[m] / (seen.mark == m).sum() for m in (0, 1)}).to_numpy()
     ratio, n = seen._ratio.to_numpy(), seen._n.to_numpy().astype(float)
-    w = logistic(np.column_stack(features(ratio, n, np.sqrt, np.log)), seen.mark.to_numpy(), weight / weight.mean())
-    return {"tables": tables, "weights": w.tolist(), "share": size[1] / (size[0] + size[1])}
+    x = np.column_stack(features(ratio, n, np.sqrt, np.log))
+    y = seen.mark.to_numpy()
+    w = logistic(x, y, weight / weight.mean())
+    steps = isotonic(np.column_stack([x, np.ones(len(x))]) @ w, y, weight)
+    return {"tables": tables, "weights": w.tolist(), "steps": steps, "share": size[1] / (size[0] + size[1])}
+
+
+def isotonic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[tuple[float, float]]:
+    """Points (z, probability) of the best rising fit of y: neighbours that fall
+    are pooled. A block's probability counts one further document of each class
+    shared out by weight, so that it is never 0 or 1."""
+    blocks: list[list[float]] = []  # sum of z, of y, of weight
+    prior = float((y * weight).sum() / weight.sum())
+    for i in np.argsort(z, kind="stable"):
+        blocks.append([z[i] * weight[i], y[i] * weight[i], weight[i]])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
+    unit = float(np.mean(weight))
+    points = [(b[0] / b[2], (b[1] + prior * unit) / (b[2] + unit)) for b in blocks]
+    high, out = 0.0, []
+    for at, p in points:
+        high = max(high, p)
+        out.append((float(at), float(high)))
+    return out
 
 
 def probability(model: dict, ratio: str = "_ratio", n: str = "_n"):
     """The score as a column, of ``ratio`` and ``n``."""
     *w, bias = model["weights"]
     z = sum((F.lit(a) * x for a, x in zip(w, features(F.col(ratio), F.col(n), F.sqrt, F.log))), F.lit(bias))
-    return F.when(F.col(n) > 0, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).otherwise(model["share"])
+    # between the points of the isotonic fit the probability rises in a line; a
+    # small share of the logistic fit keeps the order within its flat parts
+    (z0, p0), *rest = model["steps"]
+    p = F.when(z <= z0, F.lit(p0))
+    for z1, p1 in rest:
+        if z1 > z0:
+            p = p.when(z <= z1, p0 + (z - z0) * ((p1 - p0) / (z1 - z0)))
+        z0, p0 = z1, p1
+    flat = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return F.when(F.col(n) > 0, 0.99 * p.otherwise(F.lit(p0)) + 0.01 * flat).otherwise(model["share"])
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
