@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import first_columns, number_within, stage, table
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def load_vocabulary(path: str | None) -> dict:
@@ -53,14 +53,18 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary) -> DataFrame
         enc = tiktoken.Encoding("packing", pat_str=v["pattern"], mergeable_ranks=v["ranks"], special_tokens={})
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, text in enumerate(batch.column(1)):
                 ids = np.append(np.array(enc.encode_ordinary(text.as_py() or ""), "<u4"), np.uint32(end_id)).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                rows += [(doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+                rows += [(row, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                                             names=["doc_id", "piece", "start", "length", "ids_crc32"])
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+            of, *cols = (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *cols], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, {PIECES}")
+
+
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -140,7 +144,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             at = number - row[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(row[:, 3] + at // row[:, 2]), pa.array(row[:, 4] + at % row[:, 2] * length)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(put, PIECES + ", sequence_id long, offset long")
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(put, f"doc_id {id_type(cut)}, {PIECES}, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
