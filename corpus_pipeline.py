@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillcast.llm import op3_quality_classifier, op5_packing, op6_toxicity, op7_ngram_jaccard, op9_mixing
-from tillcast.llm.common import first_columns, stage, table
+from tillcast.llm.common import first_columns, release, stage, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers call good."""
     labels = first_columns(table(spark, sf_dir, "labels"), id="doc_id", mark="quality")
-    return op3_quality_classifier.good(docs, op3_quality_classifier.learn(docs, labels)[1])
+    views, model = op3_quality_classifier.learn(docs, labels)
+    release(views)
+    return op3_quality_classifier.good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import compared, components, first_columns, in_blocks, local_components, stage, table, whole_groups
+from .common import compared, components, first_columns, in_blocks, local_components, release, stage, table, whole_groups
 
 SKETCH = 128  # bits of a candidate test: the first two codes
 
@@ -141,13 +141,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     most = math.ceil(width * p + 4 * math.sqrt(width * p * (1 - p)))  # four deviations above what the threshold expects
     edges = compared(buckets.where(F.col("size") <= leaf), most).unionAll(
         buckets.where((F.col("size") > leaf) & (F.col("id") != F.col("low"))).select(F.col("id").alias("a"), F.col("low").alias("b")))
-    near = components(edges, "embeddings-candidates")
+    near = stage(components(edges, "embeddings-candidates"), "embeddings-members")
+    release(codes, buckets)
     members = in_blocks(near.join(distinct.select("id", "n_vectors"), "id"), "component", F.col("id"), block)
     found = stage(checked(members.join(distinct.select("id", "v"), "id"), dimension, threshold), "embeddings-links")
     linked = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "embeddings-components")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     result = distinct.select("id", "k1", "k2", "rep", "n_vectors").join(linked, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     result = stage(result, "embeddings-result")
+    release(distinct, near, found)
     leads = result.groupBy("component").agg(F.min("rep").alias("component_id"))
     result = result.join(leads, "component").select("k1", "k2", F.lit(True).alias("ok"), (F.col("n_vectors") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     # what cannot link takes no part in the join, so that many nulls meet in no task

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, first_columns, free_name, mixed, stage, table
+from .common import chunks, first_columns, free_name, mixed, release, stage, table
 from .lines import measure
 from .op6_toxicity import logistic
 
@@ -109,6 +109,7 @@ def train(seen: DataFrame, labels: DataFrame, max_labelled: int = 20000, rounds:
                     if (other, r.id) not in given:
                         given.add((other, r.id))
                         extra[other].append((r, y))
+    release(marks)
     # calibration of each view on documents kept from the fits
     y = rest.mark.to_numpy()
     zt = (stack(rest, "_text") - mean) / scale @ wt[:-1] + wt[-1]

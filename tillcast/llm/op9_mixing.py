@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stage, table
+from .common import free_name, release, stage, table
 
 SALTS = 64
 SPAN = 1 << 40
@@ -83,7 +83,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     source_size, target, copies, taken and shards (one for each copy)."""
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row_hash.alias("row_hash"))
-    rows = stage(rows.withColumn("h", F.xxhash64("row_hash", F.lit(seed))), "mixing-rows")
+    rows = read = stage(rows.withColumn("h", F.xxhash64("row_hash", F.lit(seed))), "mixing-rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goals = targets(sources, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -94,12 +94,15 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     rows = rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).alias("r").join(
         salted.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.salt") == F.col("s.salt")))
     rows = rows.select("doc_id", "size", "row_hash", "h", "sid", F.floor(F.pmod(F.col("h"), F.lit(SPAN)) / SPAN * F.col("blocks")).cast("long").alias("block"))
-    rows = stage(rows, "mixing-blocks")
+    dealt = stage(rows, "mixing-blocks")
+    release(read)
+    rows = dealt
 
     blocks = rows.groupBy("sid", "block").agg(F.sum("size").alias("block_size"))
     before = F.sum("block_size").over(Window.partitionBy("sid").orderBy("block")) - F.col("block_size")
     blocks = blocks.withColumn("before", before).join(goals.select("sid", "source_size", "target", "whole", "rest"), "sid")
     blocks = stage(blocks.withColumn("room", F.col("rest") - F.col("before")), "mixing-quotas")
+    release(goals)
     last = F.col("whole") + F.when(F.col("room") > 0, 1).otherwise(0)
     drawn = blocks.where(last > 0).select("sid", "block", F.explode(F.sequence(F.lit(0), last - 1)).alias("pass"))
     homes = split_tree(drawn, shards, seed).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("homes"))
