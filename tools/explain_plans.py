@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-QUERIES = ["loo_encoding", "material_stats", "rolling_means", "pct_ranks", "time_split",
+QUERIES = ["enrich_left_joins", "loo_encoding", "material_stats", "events_ewm", "rolling_means", "pct_ranks", "time_split",
            "category_summary", "feature_matrix"]
 
 
