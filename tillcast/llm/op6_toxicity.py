@@ -27,6 +27,8 @@ are not learnt from; without labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,9 +112,12 @@ def log_ratios(top: DataFrame, shared: DataFrame, discount: float) -> DataFrame:
     k seen in either class, kind 10 + k the log ratio of what their contexts
     leave to the order below."""
     by_order, written = {ORDER: top}, []
+    # no table of this function has more rows than the top one (contexts and lower orders are fewer)
+    files = max(1, math.ceil(top.count() / 200_000))
+    put = lambda df, name: stage(df.coalesce(files), name)
     for k in range(ORDER - 1, SHARED, -1):  # in how many different contexts
         above = by_order[k + 1]
-        by_order[k] = stage(above.groupBy((F.col("gram") % (1 << 8 * k)).alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("n0", "n1")]), f"toxicity-order{k}")
+        by_order[k] = put(above.groupBy((F.col("gram") % (1 << 8 * k)).alias("gram")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("n0", "n1")]), f"toxicity-order{k}")
         written.append(by_order[k])
     lower, out = shared.select("gram", F.col("p").alias("p0"), F.col("p").alias("p1")), None
     for k in range(SHARED + 1, ORDER + 1):
@@ -120,10 +125,10 @@ def log_ratios(top: DataFrame, shared: DataFrame, discount: float) -> DataFrame:
         d = [discount * max(1.0, t / max(min(totals), 1)) for t in totals]
         grams = by_order[k].withColumns({"context": F.shiftright("gram", 8), "suffix": F.col("gram") % (1 << 8 * (k - 1))})
         left = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(d[c]))).alias(f"l{c}") for c in (0, 1)]
-        contexts = stage(grams.groupBy("context").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)], *left), f"toxicity-contexts{k}")
+        contexts = put(grams.groupBy("context").agg(*[F.sum(f"n{c}").alias(f"s{c}") for c in (0, 1)], *left), f"toxicity-contexts{k}")
         share = [F.when(F.col(f"s{c}") > 0, F.col(f"l{c}") / F.col(f"s{c}")).otherwise(1.0) for c in (0, 1)]
         seen = [F.when(F.col(f"s{c}") > 0, F.greatest(F.col(f"n{c}") - F.lit(d[c]), F.lit(0.0)) / F.col(f"s{c}")).otherwise(0.0) for c in (0, 1)]
-        lower = stage(grams.join(contexts, "context").join(lower.withColumnRenamed("gram", "suffix"), "suffix")
+        lower = put(grams.join(contexts, "context").join(lower.withColumnRenamed("gram", "suffix"), "suffix")
                       .select("gram", *[(seen[c] + share[c] * F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)]), f"toxicity-p{k}")
         written += [contexts, lower]
         value = lower.select(F.lit(k).alias("kind"), "gram", F.log(F.col("p1") / F.col("p0")).alias("value")).unionAll(
@@ -198,7 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 100_000, disc
     learnt = stage(learnt.select("id", "text", "mark", fitted.alias("fitted")), "toxicity-sample")
     if learnt.select("mark", "fitted").distinct().count() < 4:  # both parts need both classes
         return None
-    top = stage(class_counts(learnt.where("not fitted")), "toxicity-counts")
+    # about 2,000 documents a task, so that a sequence is sent on by few tasks
+    tasks = max(1, math.ceil(sum(min(n, max_documents) for n in size.values()) / 2000))
+    top = stage(class_counts(learnt.where("not fitted").coalesce(tasks)), "toxicity-counts")
     shared = shared_model(spark, shared_counts(docs))
     ratios = log_ratios(top, shared, discount)
     release(top)
