@@ -29,6 +29,7 @@ from .common import first_columns, stage, table
 #: Suffixes of two labels under which names are registered; all others have one label. Fixed values.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx",
                       "com.sg", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk"]
+SALTS = 32
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -95,7 +96,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     """page_id, host, path, rule, verdict, and the host's posterior ``rate`` and ``bound``.
 
     Each different host is judged once: urls are grouped by host before the
-    tables of the levels are joined, so that a hot host is one row there."""
+    tables of the levels are joined, so that a hot host is one row there. Pages
+    meet their host's judgement by a salted join, SALTS rows for each host."""
     pages = first_columns(pages, page_id=id_col, url=url_col).select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     suffixes, domains, hosts, base = reputation(outcomes)
     names = pages.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
@@ -104,8 +106,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     weight = F.coalesce("host_weight", "domain_weight", "suffix_weight", F.lit(1.0))
     names = (names.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
              .select("host", rate.alias("rate"), (rate - z * F.sqrt(rate * (1 - rate) / (weight + 1))).alias("bound")))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return pages.join(names, "host").select(
+    return pages.join(names, ["host", "salt"]).select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("bound") > limit, "block").otherwise("allow")).alias("verdict"), "rate", "bound")
 
