@@ -339,6 +339,32 @@ def test_shared_model_is_a_distribution(spark):
     assert len(p) == 256 and all(abs(r.p - 1) < 1e-9 for r in p)
 
 
+def test_unseen_sequences_back_off_whatever_they_share_a_bucket_with(spark):
+    pack = lambda t: sum(b << (8 * i) for i, b in enumerate(reversed(t.encode())))
+    seen = "vermi"
+    abc = np.arange(97, 123)
+    every = sum((abc << (8 * k)).reshape([-1 if i == k else 1 for i in range(5)]) for k in range(5)).ravel()
+    other = next(int(g) for g in every if g != pack(seen) and g % 1048573 == pack(seen) % 1048573)
+    stranger = other.to_bytes(5, "big").decode()
+    ratios = spark.createDataFrame([(5, pack(seen), 3.0), (4, pack(stranger[1:]), 0.5), (15, pack(stranger[:4]), -0.25), (13, pack("v"), 0.125)], "kind int, gram long, value float")
+    docs = spark.createDataFrame([(1, seen), (2, stranger), (3, None), (4, "!!"), (5, seen + " " + seen)], "_row long, text string")
+    n = {1: 5, 2: 5, 3: 0, 4: 0, 5: 11}
+    for tables in (spark.sparkContext.broadcast(op6_toxicity.sorted_tables(ratios)), ratios):
+        got = {r._row: r for r in op6_toxicity.likelihood_ratio(docs, tables).collect()}
+        assert {i: r._n for i, r in got.items()} == n
+        assert abs(got[1]._ratio * 5 - 3.0) < 1e-6 and abs(got[2]._ratio * 5 - 0.25) < 1e-6 and abs(got[5]._ratio * 11 - 6.0) < 1e-6
+
+
+def test_toxicity_by_joins_is_that_by_broadcast(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)] + (["scoundrel"] * 2 if i % 4 == 0 else []))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sent, joined = (op6_toxicity.learn(docs, labels, **options) for options in ({}, {"broadcast": 0}))
+    a, b = ({r.doc_id: r.score for r in op6_toxicity.score(docs, model).collect()} for model in (sent, joined))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+
+
 # ---- 7
 def jaccard_classes(rows, threshold=0.8):
     grams = {}

@@ -12,9 +12,10 @@ regression, which keeps the order.
   or not, and both classes back off to them, so that an expression too rare to
   tell anything counts alike for both. The discount of the highest order is
   large for the same reason, and scaled to the size of each class.
-- Counts are grouped by Spark over exact sequences. For scoring, log ratios go
-  into tables of a fixed number of buckets (``BUCKETS`` for each of six
-  tables), the proven bound of what is broadcast.
+- Counts are grouped by Spark over exact sequences, and scoring looks exact
+  sequences up: one that was not seen backs off. Up to ``BROADCAST`` log ratios
+  are sent to the tasks as sorted arrays; more stay in a table, which is joined
+  with the different sequences of the texts.
 
 At most ``max_documents`` labelled documents of each class are learnt from (the
 first by hash of their id); a quarter of them is kept from the counts, and the
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from .common import chunks, first_columns, free_name, release, stage, table
 
 ORDER, SHARED = 5, 2
-BUCKETS = 1048573  # a prime
+BROADCAST = 4_000_000  # log ratios of 12 bytes that are sent to the tasks at most
 #: Lower case; white space and ASCII punctuation are blanks.
 LETTERS = np.arange(256, dtype=np.uint8)
 LETTERS[65:91] += 32
@@ -108,7 +109,7 @@ def shared_model(spark: SparkSession, trigrams: DataFrame, discount: float = 0.7
 
 
 def log_ratios(top: DataFrame, shared: DataFrame, discount: float) -> DataFrame:
-    """Rows (kind, bucket, value): kind k holds log P1/P0 of the sequences of order
+    """Rows (kind, gram, value): kind k holds log P1/P0 of the sequences of order
     k seen in either class, kind 10 + k the log ratio of what their contexts
     leave to the order below."""
     by_order, written = {ORDER: top}, []
@@ -134,14 +135,100 @@ def log_ratios(top: DataFrame, shared: DataFrame, discount: float) -> DataFrame:
         value = lower.select(F.lit(k).alias("kind"), "gram", F.log(F.col("p1") / F.col("p0")).alias("value")).unionAll(
             contexts.select(F.lit(10 + k), "context", F.log(share[1] / share[0])))
         out = value if out is None else out.unionAll(value)
-    ratios = out.groupBy("kind", (F.col("gram") % BUCKETS).cast("int").alias("bucket")).agg(F.avg("value").cast("float").alias("value"))
-    ratios = stage(ratios, "toxicity-ratios")
+    ratios = stage(out.select("kind", "gram", F.col("value").cast("float").alias("value")), "toxicity-ratios")
     release(*written)
     return ratios
 
 
+def sorted_tables(ratios: DataFrame) -> dict:
+    """For each kind the sequences, sorted, and their log ratios."""
+    tables = {}
+    for k in range(SHARED + 1, ORDER + 1):
+        for kind in (k, 10 + k):
+            part = ratios.where(F.col("kind") == kind).select("gram", "value").toArrow()  # BROADCAST rows at most in all
+            gram, value = (part.column(c).to_numpy() for c in (0, 1))
+            at = np.argsort(gram)
+            tables[kind] = gram[at], value[at]
+    return tables
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], gram: np.ndarray) -> np.ndarray:
+    """The values of sequences, NaN where the table does not hold them."""
+    keys, values = table
+    if not len(keys):
+        return np.full(len(gram), np.nan, np.float32)
+    at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+    return np.where(keys[at] == gram, values[at], np.float32(np.nan))
+
+
+def backed_off(tables: dict, gram: np.ndarray) -> np.ndarray:
+    """log P1/P0 of the last character of each sequence after the others: a
+    sequence not seen takes what its context leaves and the order below."""
+    total, at = np.zeros(len(gram)), np.arange(len(gram))
+    for k in range(ORDER, SHARED, -1):
+        found = looked_up(tables[k], low(gram[at], k))
+        missing = np.isnan(found)
+        total[at[~missing]] += found[~missing]
+        at = at[missing]
+        total[at] += np.nan_to_num(looked_up(tables[10 + k], low(gram[at] >> 8, k - 1)))
+    return total
+
+
+def joined_ratios(grams: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Rows (gram, value) for rows (gram) without repeats: ``backed_off`` as joins."""
+    out, missing = grams.withColumn("value", F.lit(0.0)), F.lit(True)
+    for k in range(ORDER, SHARED, -1):
+        of = [ratios.where(F.col("kind") == kind).select(F.col("gram").alias(f"key{kind}"), F.col("value").cast("double").alias(f"value{kind}")) for kind in (k, 10 + k)]
+        out = out.withColumns({f"key{k}": F.col("gram") % (1 << 8 * k), f"key{10 + k}": F.shiftright("gram", 8) % (1 << 8 * (k - 1))})
+        out = out.join(of[0], f"key{k}", "left").join(of[1], f"key{10 + k}", "left")
+        step = F.coalesce(F.col(f"value{k}"), F.col(f"value{10 + k}"), F.lit(0.0))
+        out = out.withColumn("value", F.col("value") + F.when(missing, step).otherwise(0.0))
+        missing = missing & F.col(f"value{k}").isNull()
+    return out.select("gram", "value")
+
+
+def characters(doc: np.ndarray, packed: np.ndarray, docs: int) -> np.ndarray:
+    """Characters of each document, 0 where none is a letter or digit."""
+    n = np.bincount(doc, minlength=docs)
+    n[np.bincount(doc, low(packed, 1) != 32, minlength=docs) == 0] = 0
+    return n.astype(np.int64)
+
+
+def joined_likelihood_ratio(docs: DataFrame, ratios: DataFrame, text_col: str, ratio: str, n: str) -> DataFrame:
+    """``likelihood_ratio`` by joins, for more log ratios than are sent to the tasks."""
+    row = free_name(docs, "_row")
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "toxicity-rows")
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for first, data, ends in chunks(batch.column(1)):
+                g, doc = sequences(data, ends)
+                size = characters(doc, g, len(ends))
+                order = np.lexsort((g, doc))
+                g, doc = g[order], doc[order]
+                new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))[:len(g)])
+                ids = batch.column(0).to_numpy()[first:first + len(ends)]
+                times = np.diff(np.append(new, len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]]), pa.array(g[new]), pa.array(times), pa.array(size[doc[new]])], names=["row", "gram", "times", "size"])
+
+    found = stage(docs.select(row, F.col(f"`{text_col}`")).mapInArrow(run, "row long, gram long, times long, size long"), "toxicity-sequences")
+    values = stage(joined_ratios(found.select("gram").distinct(), ratios), "toxicity-values")
+    # summed as decimals, so that the order of rows does not matter
+    sums = found.join(values, "gram").groupBy("row").agg(F.sum((F.col("value") * F.col("times")).cast("decimal(28,12)")).cast("double").alias("total"), F.max("size").alias("size"))
+    sums = stage(sums.select(F.col("row").alias(row), (F.col("total") / F.greatest(F.col("size"), F.lit(1))).alias("_total"), F.col("size").alias("_size")), "toxicity-sums")
+    release(found, values)
+    total, size = free_name(docs, "_total"), free_name(docs, "_size")
+    sums = sums.withColumnsRenamed({"_total": total, "_size": size})
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != row]
+    return docs.join(sums, row, "left").select(*kept, F.coalesce(total, F.lit(0.0)).alias(ratio), F.coalesce(size, F.lit(0)).cast("long").alias(n))
+
+
 def likelihood_ratio(docs: DataFrame, tables, text_col: str = "text", ratio: str = "_ratio", n: str = "_n") -> DataFrame:
-    """Adds ``ratio`` (log-likelihood difference a character) and ``n`` (characters) to the rows of ``docs``."""
+    """Adds ``ratio`` (log-likelihood difference a character) and ``n`` (characters) to the rows of
+    ``docs``; ``tables`` is a broadcast of ``sorted_tables`` or the table of ``log_ratios``."""
+    if isinstance(tables, DataFrame):
+        return joined_likelihood_ratio(docs, tables, text_col, ratio, n)
     text_at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ratio, T.DoubleType()), T.StructField(n, T.LongType())])
     names = schema.fieldNames()
@@ -152,15 +239,10 @@ def likelihood_ratio(docs: DataFrame, tables, text_col: str = "text", ratio: str
         for batch in batches:
             for row, data, ends in chunks(batch.column(text_at)):
                 g, doc = sequences(data, ends)
-                total, at = np.zeros(len(g)), np.arange(len(g))
-                for k in range(ORDER, SHARED, -1):
-                    found = t[k][low(g[at], k) % BUCKETS]
-                    missing = np.isnan(found)
-                    total[at] += np.where(missing, t[10 + k][low(g[at] >> 8, k - 1) % BUCKETS], found)
-                    at = at[missing]
-                n = np.bincount(doc, minlength=len(ends))
-                n[np.bincount(doc, low(g, 1) != 32, minlength=len(ends)) == 0] = 0
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(ends)).columns, pa.array(np.bincount(doc, total, minlength=len(ends)) / np.maximum(n, 1)), pa.array(n.astype(np.int64))], names=names)
+                different, of = np.unique(g, return_inverse=True)
+                total = backed_off(t, different)[of]
+                size = characters(doc, g, len(ends))
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(ends)).columns, pa.array(np.bincount(doc, total, minlength=len(ends)) / np.maximum(size, 1)), pa.array(size)], names=names)
     return docs.mapInArrow(run, schema)
 
 
@@ -185,7 +267,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 100_000, discount: float = 0.75) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 100_000, discount: float = 0.75, broadcast: int = BROADCAST) -> dict | None:
     """The fitted model for the rows (id, mark) of ``labels`` and (id, text) of ``docs``; None without both classes."""
     spark = docs.sparkSession
     marks = labels.where("mark in (0, 1) and id is not null").groupBy("id").agg(F.min("mark").alias("mark"), F.max("mark").alias("_high")).where("mark = _high").select("id", F.col("mark").cast("int").alias("mark"))
@@ -209,15 +291,10 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 100_000, disc
     shared = shared_model(spark, shared_counts(docs))
     ratios = log_ratios(top, shared, discount)
     release(top)
-    tables = {}
-    for k in range(SHARED + 1, ORDER + 1):
-        for kind, empty in ((k, np.nan), (10 + k, 0)):
-            part = ratios.where(F.col("kind") == kind).select("bucket", "value").toArrow()  # BUCKETS rows at most
-            tables[kind] = np.full(BUCKETS, empty, np.float32)
-            tables[kind][part.column(0).to_numpy()] = part.column(1).to_numpy()
-    tables = spark.sparkContext.broadcast(tables)
+    small = ratios.count() <= broadcast
+    tables = spark.sparkContext.broadcast(sorted_tables(ratios)) if small else ratios
     seen = likelihood_ratio(learnt.where("fitted").select("id", "mark", "text"), tables).where("_n > 0").select("id", "mark", "_ratio", "_n").toPandas()
-    release(marks, learnt, ratios)
+    release(marks, learnt, *([ratios] if small else []))
     if seen.mark.nunique() < 2:
         return None
     seen = seen.sort_values(["id"])
@@ -288,10 +365,10 @@ def held_out(id_column):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, **options) -> dict | None:
     """The model of the query and the pipeline: labels of rows that are not held out."""
     marks = first_columns(labels, id="doc_id", mark="toxic").where(~held_out(F.col("id")))
-    return train(first_columns(docs, id="doc_id", text="text"), marks)
+    return train(first_columns(docs, id="doc_id", text="text"), marks, **options)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
