@@ -515,6 +515,24 @@ def test_embedding_links_match_brute_force(spark):
     assert {r.kept for r in op10_embedding_dedup.near_duplicates(df.where("vec_id = 9100")).collect()} == {True}
 
 
+@pytest.mark.parametrize(("common", "options"), [(0.0, {}), (0.5, {"block": 64}), (0.5, {}), (0.7, {"block": 64})])
+def test_embedding_links_are_found_beside_a_common_part(spark, common, options):
+    rng = np.random.default_rng(3)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+    own = unit(np.pad(rng.normal(size=(1200, 32)), ((0, 0), (1, 0))))
+    x = np.sqrt(common) * np.eye(33)[0] + np.sqrt(1 - common) * own
+    turn = np.pad(rng.normal(size=(300, 32)), ((0, 0), (1, 0)))
+    turn = unit(turn - (turn * own[:300]).sum(1, keepdims=True) * own[:300])
+    near = (0.91 - common) / (1 - common)  # of the own parts
+    y = np.sqrt(common) * np.eye(33)[0] + np.sqrt(1 - common) * (near * own[:300] + np.sqrt(1 - near ** 2) * turn)
+    assert np.allclose((x[:300] * y).sum(1), 0.91)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([x, y]))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in op10_embedding_dedup.near_duplicates(df, **options).collect()}
+    assert np.mean([got[i] == got[1200 + i] for i in range(300)]) >= 0.98
+
+
 def test_rotations_balance_bits():
     x = np.random.default_rng(1).normal(size=(2000, 16)) + 3
     mean, projections = op10_embedding_dedup.learn_rotations(x, 2, 16)

@@ -5,9 +5,11 @@ first by hash), a rotation of the centred vectors' principal axes that brings
 them closest to the corners of a cube; the signs of the rotated vector are a
 balanced binary code. Several rotations, from different starts, give several
 codes. Their bits are cut into substrings of about log2(number of vectors)
-bits, each the key of a Hamming table: the multi-index. A pair at the
-threshold agrees in all bits of a substring with a known probability, which
-sets the number of tables for the ``recall`` asked for. All vectors are in all tables.
+bits, each the key of a Hamming table: the multi-index. Tables are added until
+pairs made at the threshold from the sample's vectors meet in one of them as
+often as ``recall`` asks. Where vectors share a common part, centring takes such
+pairs further apart and more tables are needed; where so many are needed that
+comparing all vectors in blocks is less work, that is done. All vectors are in all tables.
 
 Vectors that meet in a bucket and whose first codes are close are candidates;
 a bucket of more than ``leaf`` is a candidate whole. Components of candidates
@@ -23,6 +25,7 @@ no rows.
 from __future__ import annotations
 
 import math
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,22 +36,25 @@ from .common import compared, components, first_columns, in_blocks, local_compon
 SKETCH = 128  # bits of a candidate test: the first two codes
 
 
-def learn_rotations(sample: np.ndarray, codes: int, bits: int, seed: int = 0, steps: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(mean, projections of d x bits) by alternating between the codes of the
+def rotations(centred: np.ndarray, bits: int, seed: int = 0, steps: int = 30):
+    """Projections of d x bits without end, by alternating between the codes of the
     rotated sample and the rotation that best maps it to them."""
-    mean = sample.mean(0)
-    centred = sample - mean
     axes = np.linalg.svd(centred, full_matrices=len(centred) < centred.shape[1])[2][:bits].T
     reduced = centred @ axes
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(codes):
+    rng = np.random.default_rng(seed)
+    while True:
         turn = np.linalg.qr(rng.normal(size=(axes.shape[1], axes.shape[1])))[0]
         for _ in range(steps):
             corners = np.where(reduced @ turn >= 0, 1.0, -1.0)
             u, _, vt = np.linalg.svd(corners.T @ reduced)
             turn = (u @ vt).T
-        out.append(axes @ turn)
-    return mean, out
+        yield axes @ turn
+
+
+def learn_rotations(sample: np.ndarray, codes: int, bits: int, seed: int = 0, steps: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(mean, that many projections)."""
+    mean = sample.mean(0)
+    return mean, list(islice(rotations(sample - mean, bits, seed, steps), codes))
 
 
 def tables_needed(n: int, threshold: float, recall: float, dimension: int) -> tuple[int, int]:
@@ -59,6 +65,53 @@ def tables_needed(n: int, threshold: float, recall: float, dimension: int) -> tu
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def threshold_pairs(sample: np.ndarray, threshold: float, pairs: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two sets of pairs of unit vectors at cosine ``threshold``: a sample's
+    vector turned towards any direction, and along the difference of two others."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.permutation(np.resize(np.arange(len(sample)), pairs))]
+    a, b = (sample[rng.integers(len(sample), size=pairs)] for _ in range(2))
+    out = []
+    for turn in (rng.normal(size=x.shape), a - b):
+        turn = turn - (turn * x).sum(1, keepdims=True) * x
+        size = np.sqrt((turn * turn).sum(1))
+        fine = size > 1e-9
+        if fine.any():
+            out.append((x[fine], threshold * x[fine] + math.sqrt(1 - threshold ** 2) * turn[fine] / size[fine, None]))
+    return out
+
+
+def multi_index(sample: np.ndarray, n: int, threshold: float, recall: float, enough: int, seed: int = 0, pairs: int = 4096):
+    """(bits of a substring, substrings of a code, number of tables or None,
+    sketch distance, (mean, projections)) for ``n`` vectors: as many tables as
+    pairs at the threshold need to meet, one standard error on the safe side;
+    None where that is more than ``enough``, or than twice what vectors without a common part need."""
+    dimension = sample.shape[1]
+    width = min(64, dimension)
+    bits, least = tables_needed(n, threshold, recall, dimension)
+    each = max(1, width // bits)
+    made = threshold_pairs(sample, threshold, pairs, seed)
+    apart = [np.ones(len(x), bool) for x, _ in made]
+    distance = [np.zeros(len(x), int) for x, _ in made]
+    allowed = max(0.0, (1 - recall) - math.sqrt((1 - recall) / pairs))
+    mean, projections, tables = sample.mean(0), [], 0
+    for projection in rotations(sample - mean, width, seed):
+        projections.append(projection)
+        differ = [((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0) for x, y in made]
+        if len(projections) <= 2:
+            distance = [d + one.sum(1) for d, one in zip(distance, differ)]
+        for part in range(each):
+            if tables >= least and all(one.mean() <= allowed for one in apart):
+                break
+            apart = [one & d[:, part * bits:(part + 1) * bits].any(1) for one, d in zip(apart, differ)]
+            tables += 1
+        done = tables >= least and all(one.mean() <= allowed for one in apart)
+        if not done and tables >= max(enough, 2 * least):
+            return bits, each, None, 0, (mean, projections)
+        if done and len(projections) > 1:
+            return bits, each, tables, int(max((d.max() for d in distance), default=0)), (mean, projections)
+
+
 def usable(dimension: int):
     """Whether the column ``v`` holds a vector that can link."""
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -127,22 +180,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return alone
     sample = distinct.orderBy(F.xxhash64("k1", F.lit(seed)), "k1", "k2").limit(max_sample).select("v").toArrow()
     sample = unit(sample.column(0).combine_chunks().flatten().to_numpy(), dimension)
-    bits, tables = tables_needed(n, threshold, recall, dimension)
-    each = min(64, dimension) // bits  # substrings of a code
-    model = spark.sparkContext.broadcast(learn_rotations(sample, max(math.ceil(tables / each), 2), min(64, dimension), seed))
-
-    codes = stage(coded(distinct, model, dimension), "embeddings-codes")
-    cut = [(t // each, t % each) for t in range(tables)]
-    node = F.array(*[F.xxhash64(F.lit(t), F.shiftrightunsigned(F.col("codes")[c], part * bits).bitwiseAND((1 << bits) - 1)) for t, (c, part) in enumerate(cut)])
-    buckets = codes.select("id", F.col("codes")[0].alias("b0"), F.col("codes")[1].alias("b1"), F.explode(node).alias("node"))
-    counts = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
-    buckets = stage(buckets.join(counts, "node"), "embeddings-buckets")
-    p, width = math.acos(threshold) / math.pi, 2 * min(64, dimension)
-    most = math.ceil(width * p + 4 * math.sqrt(width * p * (1 - p)))  # four deviations above what the threshold expects
-    edges = compared(buckets.where(F.col("size") <= leaf), most).unionAll(
-        buckets.where((F.col("size") > leaf) & (F.col("id") != F.col("low"))).select(F.col("id").alias("a"), F.col("low").alias("b")))
-    near = stage(components(edges, "embeddings-candidates"), "embeddings-members")
-    release(codes, buckets)
+    # a table sends on a few numbers of each vector, a block the vector
+    bits, each, tables, most, model = multi_index(sample, n, threshold, recall, 8 * n // block, seed)
+    if tables is None:
+        near = stage(distinct.select("id", F.lit(0).cast("long").alias("component")), "embeddings-members")
+    else:
+        model = spark.sparkContext.broadcast(model)
+        codes = stage(coded(distinct, model, dimension), "embeddings-codes")
+        node = F.expr(f"transform(sequence(0, {tables - 1}), t -> xxhash64(t, shiftrightunsigned(codes[cast(t div {each} as int)], t % {each} * {bits}) & {(1 << bits) - 1}L))")
+        buckets = codes.select("id", F.col("codes")[0].alias("b0"), F.col("codes")[1].alias("b1"), F.explode(node).alias("node"))
+        counts = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
+        buckets = stage(buckets.join(counts, "node"), "embeddings-buckets")
+        edges = compared(buckets.where(F.col("size") <= leaf), most).unionAll(
+            buckets.where((F.col("size") > leaf) & (F.col("id") != F.col("low"))).select(F.col("id").alias("a"), F.col("low").alias("b")))
+        near = stage(components(edges, "embeddings-candidates"), "embeddings-members")
+        release(codes, buckets)
     members = in_blocks(near.join(distinct.select("id", "n_vectors"), "id"), "component", F.col("id"), block)
     found = stage(checked(members.join(distinct.select("id", "v"), "id"), dimension, threshold), "embeddings-links")
     linked = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "embeddings-components")
