@@ -432,6 +432,14 @@ def test_rendering(page, text):
     assert text is None or got == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<p class=a">visible one</p><p>two</p><a href="x">three</a>', "visible one\n\ntwo\n\nthree"),
+    ("<img alt=it's src=a> seen text <b>more</b> it's here <i>", "seen text more it's here"), ('<p "x>one</p><p title = "a>b">two</p>"', 'one\n\ntwo\n\n"'),
+    ("<a href=x/>one</a> <i class='a'title=\"<b>\">two</i> <b title='open>three</b> four", "one two three four"), ("<p ==\"y>z\" hidden>a</p><p a = hidden>b<p/hidden>c", "b")])
+def test_quotes_open_a_value_only_after_an_equals_sign(page, text):
+    assert op8_html_text.render(page) == text
+
+
 def test_all_visible_words_of_pages_come_out_in_order(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     pages = pages.unionByName(spark.createDataFrame([(-1, "u", None), (-2, "u", "")], pages.schema)).withColumn("text", F.lit(1))

@@ -43,8 +43,10 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 BOUNDARY = {"table", "td", "th", "caption", "button", "html"}
 MAX_DEPTH, MAX_WIDTH = 200, 60
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']|["'])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
+#: A quote opens a value only right after the equals sign, and only if it is closed; elsewhere it is a plain character.
+ONE = r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*"|'[^']*'|[^ \t\n\r\f>]*+))?+"""
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^ \t\n\r\f/>]*)((?:[ \t\n\r\f/]++|" + ONE.replace("([^", "(?:[^").replace('("[', '(?:"[') + r")*+)>", re.S)
+ATTRIBUTE = re.compile(ONE)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
 
@@ -59,7 +61,7 @@ class Element:
 def attributes(text: str) -> dict:
     if "=" not in text and not text.strip(" /"):
         return {}
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)}
+    return {k.lower(): html.unescape(v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v) for k, v in ATTRIBUTE.findall(text)}
 
 
 def build(page: str) -> tuple[Element, list[str]]:
