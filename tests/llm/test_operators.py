@@ -440,6 +440,20 @@ def test_quotes_open_a_value_only_after_an_equals_sign(page, text):
     assert op8_html_text.render(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<style>@media print { .nav { display:none } } @media (max-width: 600px){.w{display:none}}</style><p class=nav>a<p class=w>b", "a\n\nb"),
+    ("<style>@import 'x'; .a{display:none} @media screen{.b{display:none}} .c{display:none}</style><p class=a>a<p class=b>b<p class=c>c<p>d", "d"),
+    ("<style>.a{display:none} @media only screen and (min-width:48em){.a{display:block} .b{display:none}}</style><p class=a>a<p class=b>b", "a"),
+    ("<style>@media not print{.a{display:none}} @media print, screen{.b{display:none}} @supports (x:y){.c{display:none}}</style><p class=a>a<p class=b>b<p class=c>c", "c"),
+    ("<style media=print>.a{display:none}</style><style>.z::after{content:'}'} .b{display:none}</style><p class=a>a<p class=b>b<p>c", "a\n\nc"),
+    ("<style>@font-face{x:y} @keyframes k{from{display:none}} .a{color:red; .b{display:none}} .c{display:none</style><p class=a>a<p class=b>b<p class=c>c", "a\n\nb"),
+    ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b", "a x=1 2 b"),
+    ("a<svg><title>no</title><defs><text>no</text></defs>no<path d='m'/><g><text>Sales<tspan> up</tspan></text><text display=none>no</text></g><style/></svg>b<svg/>c", "a Sales up bc"),
+    ("<svg><path><p>shown</p><svg><foreignObject><p>html</p></foreignObject></svg>end", "shown\n\nhtml\n\nend")])
+def test_only_rules_for_a_screen_hide_and_formulas_and_labels_show(page, text):
+    assert op8_html_text.render(page) == text
+
+
 def test_all_visible_words_of_pages_come_out_in_order(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     pages = pages.unionByName(spark.createDataFrame([(-1, "u", None), (-2, "u", "")], pages.schema)).withColumn("text", F.lit(1))

@@ -9,6 +9,9 @@ text is emitted; what a browser would not show is not: scripts, styles, the
 head, templates, comments, elements hidden by attribute, inline style or a
 simple rule of the page's own style sheets (``tag``, ``.class``, ``#id`` or a
 tag with one of them), closed dialogs, and closed details but for their summary.
+Rules within at-rules count where they hold for a screen of ``SCREEN``; where
+that cannot be told, only what they show counts. Formulas are text like other,
+and of drawings (svg) the text elements and embedded HTML are.
 
 Edge cases: a null page gives a null text, an empty one or one without visible
 text an empty text; unclosed or misnested tags never lose text; below
@@ -29,7 +32,7 @@ from .common import first_columns, table
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
-HIDDEN = set("head script style title template noscript noembed noframes iframe datalist audio video canvas object svg math param".split())
+HIDDEN = set("head script style title template noscript noembed noframes iframe datalist audio video canvas object annotation annotation-xml param".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
             "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption colgroup".split())
 SPACED = set("blockquote dl figure form h1 h2 h3 h4 h5 h6 menu ol p pre table ul dir hr fieldset".split())
@@ -41,13 +44,20 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
         "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
         "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "body": ({"head"}, set()), "caption": ({"caption", "colgroup"}, {"table"})}
 BOUNDARY = {"table", "td", "th", "caption", "button", "html"}
+#: What of a drawing is not drawn in place; where HTML goes on within foreign elements; and the tags that end them.
+UNDRAWN = set("clippath defs desc filter lineargradient marker mask metadata pattern radialgradient script style symbol title".split())
+POINTS = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+                 "span strong strike sub sup table tt u ul var".split())
 MAX_DEPTH, MAX_WIDTH = 200, 60
+SCREEN = {"width": 1280, "height": 800}
 
 #: A quote opens a value only right after the equals sign, and only if it is closed; elsewhere it is a plain character.
 ONE = r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*"|'[^']*'|[^ \t\n\r\f>]*+))?+"""
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^ \t\n\r\f/>]*)((?:[ \t\n\r\f/]++|" + ONE.replace("([^", "(?:[^").replace('("[', '(?:"[') + r")*+)>", re.S)
 ATTRIBUTE = re.compile(ONE)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
+CSS = re.compile(r"""\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|[{};]""", re.S)
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
 
 
@@ -64,9 +74,9 @@ def attributes(text: str) -> dict:
     return {k.lower(): html.unescape(v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v) for k, v in ATTRIBUTE.findall(text)}
 
 
-def build(page: str) -> tuple[Element, list[str]]:
-    """The tree of a page, and its style sheets."""
-    root, sheets = Element("html", {}), []
+def build(page: str) -> tuple[Element, list[tuple[str, bool | None]]]:
+    """The tree of a page, and its style sheets, each with whether it holds for a screen."""
+    root, sheets, drawn = Element("html", {}), [], False
     open_, at, size = [root], 0, len(page)
 
     def close(to: int):
@@ -82,6 +92,15 @@ def build(page: str) -> tuple[Element, list[str]]:
                 break
         return got
 
+    def foreign() -> int:
+        """Index of the open svg or math that the present element is a foreign part of, or 0."""
+        for i in range(len(open_) - 1, 0, -1):
+            if open_[i].tag in ("svg", "math"):
+                return i
+            if open_[i].tag in POINTS:
+                break
+        return 0
+
     def push(tag: str, attrs: dict):
         node = Element(tag, attrs)
         open_[-1].children.append(node)
@@ -118,6 +137,19 @@ def build(page: str) -> tuple[Element, list[str]]:
         if tag == "html":
             root.attributes.update(attrs)
             continue
+        if drawn and (i := foreign()):
+            if tag in BREAKS_OUT:
+                close(i)
+            elif tag not in RAW or m[3].endswith("/"):
+                if m[3].endswith("/"):
+                    open_[-1].children.append(Element(tag, attrs))
+                else:
+                    push(tag, attrs)
+                continue
+        if tag in ("svg", "math"):
+            drawn = True
+            if m[3].endswith("/"):
+                continue
         if tag in CLOSES_P and (i := find({"p"}, BOUNDARY)):
             close(i)
         if tag in ENDS and (i := find(*ENDS[tag])):
@@ -129,7 +161,7 @@ def build(page: str) -> tuple[Element, list[str]]:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             if tag == "style":
-                sheets.append(page[at:end.start()])
+                sheets.append((page[at:end.start()], holds(attrs.get("media", ""))))
             elif tag in ("textarea", "xmp"):
                 node = Element("pre", attrs)
                 node.children.append(html.unescape(page[at:end.start()]) if tag == "textarea" else page[at:end.start()])
@@ -146,14 +178,93 @@ def declared(style: str) -> dict:
     return {k.strip().lower(): v.strip().lower().split("!")[0].strip() for k, _, v in (d.partition(":") for d in style.split(";")) if v}
 
 
-def rules(sheets: list[str]) -> dict:
+def both(parts: list) -> bool | None:
+    """Whether all of ``parts`` hold; None where that cannot be told."""
+    return False if False in parts else None if None in parts else True
+
+
+def negated(x: bool | None) -> bool | None:
+    return None if x is None else not x
+
+
+def feature(text: str) -> bool | None:
+    """Whether one media feature, without its brackets, holds for ``SCREEN``."""
+    name, _, value = (x.strip() for x in text.partition(":"))
+    if name == "orientation":
+        return value == "landscape" if value in ("landscape", "portrait") else None
+    low, _, of = name.rpartition("-")
+    number = re.fullmatch(r"(\d+(?:\.\d+)?|\.\d+)(px|em|rem)", value)
+    if of not in SCREEN or low not in ("min", "max") or not number:
+        return None
+    size = float(number[1]) * (1 if number[2] == "px" else 16)
+    return SCREEN[of] >= size if low == "min" else SCREEN[of] <= size
+
+
+def holds(queries: str) -> bool | None:
+    """Whether a list of media queries holds for a screen; None where that cannot be told."""
+    found = []
+    for query in queries.lower().split(","):
+        parts = re.split(r"\s+and\s+|\s+and(?=\()|(?<=\))and\s+", query.strip())
+        first = parts[0].split()
+        invert = len(first) > 1 and first[0] == "not"
+        if len(first) > 1 and first[0] in ("not", "only"):
+            parts[0] = " ".join(first[1:])
+        got = []
+        for part in parts:
+            if part in ("", "all", "screen"):
+                got.append(True)
+            elif re.fullmatch(r"[a-z-]+", part):
+                got.append(False)
+            else:
+                inner = re.fullmatch(r"\(([^()]*)\)", part)
+                got.append(feature(inner[1]) if inner else None)
+        found.append(negated(both(got)) if invert else both(got))
+    return negated(both([negated(x) for x in found]))
+
+
+def style_rules(sheet: str, hold: bool | None):
+    """(selectors, body, whether it holds) of each style rule, in order; at-rules are entered by the depth of braces."""
+    open_, at, start, depth = [], 0, 0, 0
+    for m in CSS.finditer(sheet):
+        if m[0] == ";":
+            if not depth and sheet[start:m.start()].lstrip().startswith("@"):
+                start = m.end()
+        elif m[0] == "{":
+            head = sheet[start:m.start()].strip()
+            if not depth and head.startswith("@"):
+                name, _, rest = head[1:].replace("(", " (", 1).partition(" ")
+                name = name.lower()
+                own = holds(rest) if name == "media" else True if name == "layer" else None if name in ("supports", "container", "scope") else False
+                open_.append(hold)
+                hold, start = both([hold, own]), m.end()
+            else:
+                if not depth:
+                    at = m.end()
+                depth += 1
+        elif m[0] == "}":
+            if depth:
+                depth -= 1
+                if not depth:
+                    yield sheet[start:at - 1], sheet[at:m.start()], hold
+                    start = m.end()
+            else:
+                hold, start = open_.pop() if open_ else hold, m.end()
+    if depth:  # the end of a sheet closes what is open
+        yield sheet[start:at - 1], sheet[at:], hold
+
+
+def rules(sheets: list[tuple[str, bool | None]]) -> dict:
     """display and visibility by simple selector; later rules win."""
     out: dict = {}
-    for sheet in sheets:
-        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
-        for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", sheet):
+    for sheet, hold in sheets:
+        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S).replace("<!--", " ").replace("-->", " ")
+        for selectors, body, holding in style_rules(sheet, hold):
+            while "{" in body and (flat := re.sub(r"[^{};]*\{[^{}]*\}", "", body)) != body:  # rules within a rule
+                body = flat
             set_ = {k: v for k, v in declared(body).items() if k in ("display", "visibility")}
-            if set_:
+            if holding is None:
+                set_ = {k: v for k, v in set_.items() if v not in ("none", "hidden", "collapse")}
+            if set_ and holding is not False:
                 for s in selectors.split(","):
                     if (m := SELECTOR.match(s.strip())) and s.strip():
                         out.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(set_)
@@ -299,6 +410,23 @@ def table_lines(node: Element, sheet: dict, visible: bool) -> list[str]:
     return out
 
 
+def draw(node: Element, flow: Flow, sheet: dict, visible: bool) -> None:
+    """Lays the text elements of a drawing out, apart by blanks."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in UNDRAWN:
+            continue
+        style = {k: v for k, v in child.attributes.items() if k in ("display", "visibility")} | styled(child, sheet)
+        if style.get("display") == "none":
+            continue
+        see = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility"), visible)
+        if child.tag in ("text", "foreignobject"):
+            flow.text(" ")
+            lay(child, flow, sheet, see, False, 0)
+            flow.text(" ")
+        else:
+            draw(child, flow, sheet, see)
+
+
 def lay(node, flow: Flow, sheet: dict, visible: bool, preserved: bool, depth: int) -> None:
     """Lays a node out at the end of ``flow``."""
     if isinstance(node, str):
@@ -339,6 +467,9 @@ def lay(node, flow: Flow, sheet: dict, visible: bool, preserved: bool, depth: in
         flow.rows(table_lines(node, sheet, visible))
         flow.block(1)
         return
+    if tag == "svg":
+        draw(node, flow, sheet, visible)
+        return
     block = (tag in BLOCK and display != "inline") or display in ("block", "flex", "grid", "list-item")
     if block:
         flow.block(1 if tag in SPACED and not (depth and tag in ("ul", "ol", "menu", "dir")) else 0)
@@ -365,6 +496,10 @@ def lay(node, flow: Flow, sheet: dict, visible: bool, preserved: bool, depth: in
             flow.indent, flow.mark = indent, ""
         else:
             lay(child, flow, sheet, visible, preserved, inside)
+            if tag == "mfrac" or tag == "mtr":
+                flow.text(" ")
+            elif tag == "mtable":
+                flow.line()
     flow.indent = indent
     if block:
         flow.block(1 if tag in SPACED and not (depth and tag in ("ul", "ol", "menu", "dir")) else 0)
