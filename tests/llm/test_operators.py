@@ -273,6 +273,20 @@ def test_tokens_of_awkward_texts_are_those_of_the_file():
         assert enc.encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_in_a_text_are_one_id(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    texts = ["end <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n a", "<|endoftext |> <|ENDOFTEXT|>", "it<|endoftext|>'s  <|endoftext|", "  <|endoftext|>  ", "no marker"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", "endoftext", *" abé漢😀'1.\n\t"]) for _ in range(40)) for _ in range(200)]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [437, 220, 50256, 2124]
+    got = {r.doc_id: r for r in op5_packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), text
+
+
 def test_fullest_is_the_best_subset_sum():
     rng = random.Random(2)
     for _ in range(200):
