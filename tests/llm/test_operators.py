@@ -217,6 +217,32 @@ def test_co_training_separates_good_from_bad(spark, docs, labels, empty):
     assert seen.count() == len(ROWS)
 
 
+def test_each_source_and_language_has_its_own_weight(spark):
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(6000):
+        k = i % 301
+        source, good = (None, 0) if k == 300 else (f"site{k}", 1 - k % 2)
+        rows.append((i, " ".join(prose(rng, 12)), rng.choice(["en", "fr", None]), source, 60))
+        marks.append((i, good))
+    rows += [(9000, "a few words", "en", "never seen", 60), (9001, "a few words", "zz", "", 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame(marks[:5400], "id long, mark int")
+    got = {r.doc_id: r.metadata_score for r in op3_quality_classifier.classify(docs, labels, rounds=1).collect()}
+    assert len(got) == len(rows)
+    assert all((got[i] > 0.5) == (good == 1) for i, good in marks[5400:])
+    assert max(got[i] for i, good in marks[5400:] if not good) < got[9000] < min(got[i] for i, good in marks[5400:] if good)
+
+
+def test_sparse_logistic_is_the_dense_one():
+    rng = np.random.default_rng(1)
+    on = np.column_stack([rng.integers(0, 5, 400), rng.integers(5, 40, 400), rng.integers(40, 64, 400)])
+    dense = np.zeros((400, 64))
+    np.put_along_axis(dense, on, 1.0, axis=1)
+    y = (rng.random(400) < on[:, 1] / 40).astype(int)
+    assert np.allclose(op3_quality_classifier.indicator_logistic(on, 64, y), op6_toxicity.logistic(dense, y, np.ones(400)), atol=1e-5)
+
+
 # ---- 4
 def test_url_filter_rules_and_parts(spark):
     urls = {1: "HTTPS://WWW.Example.COM/de/1?x#y", 2: "http://a.example.net/en/5", 3: "http://example.net/en", 4: None, 5: "no url", 6: "http://x.org/fr/", 7: "http://xorg/fr/",
