@@ -1,12 +1,13 @@
 """Operator 6: toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models over lower-cased characters, one of toxic
+Two interpolated Kneser-Ney models over the bytes of UTF-8 (ASCII lower-cased;
+"character" below means one such byte), one of toxic
 and one of ordinary labelled documents, give a text two log-likelihoods; their
 difference a character, and its size against the noise expected of the text's
 length, are ranked by a logistic fit and turned into a probability by isotonic
 regression, which keeps the order.
 
-- The highest order (five characters) counts occurrences in the class, the
+- The highest order (five bytes, which is few letters in other scripts than Latin) counts occurrences in the class, the
   orders below it count in how many different contexts a sequence occurs.
 - Orders one and two are shared: their counts come from all documents, labelled
   or not, and both classes back off to them, so that an expression too rare to
