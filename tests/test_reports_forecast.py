@@ -57,6 +57,16 @@ def test_entry_smoke(spark):
     assert "total_predicted" in out.columns
 
 
+def test_out_of_bag_has_as_many_bags_as_trees(spark, monkeypatch):
+    from tillcast.catalog import plan
+    from tillcast.plans import forecast
+    fitted, forest = [], forecast.forest
+    monkeypatch.setattr(forecast, "forest", lambda *a, **k: fitted.append(k.get("weight_col")) or forest(*a, **k))
+    fc = forecast.Forecast(plan(spark, SF_SMALL), forecast.ForestConfig(num_trees=6, max_depth=2))
+    got = fc.oob_r2().first()
+    assert fitted == [f"_w{b}" for b in range(6)] and got.n_oob_rows == fc.matrix.where("is_train = 1").count()
+
+
 def test_forest_end_to_end(spark, tmp_path):
     from tillcast.catalog import plan
     from tillcast.plans.forecast import Forecast, ForestConfig

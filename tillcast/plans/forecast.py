@@ -139,12 +139,14 @@ class Forecast:
         """train R2, test R2, test RMSE, test MAE (M5) as one row."""
         return summary(self.scored()).select("train_r2", "test_r2", "rmse", "mae")
 
-    def oob_predictions(self, bags: int = 4) -> DataFrame:
+    def oob_predictions(self, bags: int | None = None) -> DataFrame:
         """Every train line with its out-of-bag prediction. Each bag draws
         Poisson(1) row weights from a hash of the line and the bag and fits one
         tree on the weighted rows; a line that no bag would leave out is left
         out of the one its hash names. The prediction is the mean over the bags
-        that left the line out, taken on the line itself: no line is lost or merged."""
+        that left the line out, taken on the line itself: no line is lost or merged.
+        There are as many bags as the forest has trees, if not told otherwise."""
+        bags = self.cfg.num_trees if bags is None else bags
         f = self.matrix.where(F.col("is_train") == 1)
         line = F.xxhash64(*[F.col(c) for c in self.fp.cols.order])
         unit = [F.pmod(F.xxhash64(line, F.lit(b)), F.lit(1 << 53)) / F.lit(float(1 << 53)) for b in range(bags)]
@@ -161,7 +163,7 @@ class Forecast:
         total = sum((F.when(z, F.col(f"_p{b}")).otherwise(0.0) for b, z in enumerate(left_out)), F.lit(0.0))
         return out.select(*self.fp.cols.order, "_v", (total / sum(z.cast("int") for z in left_out)).alias("prediction"))
 
-    def oob_r2(self, bags: int = 4) -> DataFrame:
+    def oob_r2(self, bags: int | None = None) -> DataFrame:
         """M9: out-of-bag R2 over all train lines."""
         return regression_metrics(self.oob_predictions(bags), "_v", "prediction").select(
             F.col("r2").alias("oob_r2"), F.col("n").alias("n_oob_rows"))
@@ -215,7 +217,7 @@ class Forecast:
         total = self.next_day_products().agg(F.sum("predicted_sale").alias("value"))
         return history_series(self.fp.daily, self.scored(), total, self.next_date)
 
-    def kpi_row(self, bags: int = 4) -> DataFrame:
+    def kpi_row(self, bags: int | None = None) -> DataFrame:
         """Total forecast, metrics, OOB R2, counts of rows and
         features, and the size of the forest that was fitted."""
         total = self.next_day_products().agg(F.sum("predicted_sale").alias("total_forecast"))
