@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered operators, their queries and SQL.
+"""Training-data operators: numbered operators, their queries and SQL.
 
 Nothing outside this folder imports it; ``__spark_entry__.py`` adds its
 queries when it is present. Functions that run inside tasks are pickled by

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op8_html_text, op9_mixing, op10_embedding_dedup
+from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op8_html_text, op9_mixing, op10_embedding_dedup, op11_token_alignment
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": op8_html_text.query,
     "op9_mixing": op9_mixing.query,
     "op10_embedding_dedup": op10_embedding_dedup.query,
+    "op11_token_alignment": op11_token_alignment.query,
 }
 
 ORACLE_SQL = {
