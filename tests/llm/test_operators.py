@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tillcast.llm import (op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity,
                           op7_ngram_jaccard, op8_html_text, op9_mixing, op10_embedding_dedup)
 from tillcast.llm.common import components, in_blocks, local_components, number_within, word_hashes
+from tillcast.llm.tokens import byte_bpe, load_byte_bpe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Columns that an operator might use itself.
@@ -286,17 +287,28 @@ def test_packing_is_a_round_trip_of_the_public_tokenizer(docs, empty):
 
 def test_tokens_of_awkward_texts_are_those_of_the_file():
     public_tokenizers = pytest.importorskip("public_tokenizers")
-    import tiktoken
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    v = op5_packing.load_vocabulary(None)
-    enc = tiktoken.Encoding("t", pat_str=v["pattern"], mergeable_ranks=v["ranks"], special_tokens={})
     rng = random.Random(5)
     texts = ["<|endoftext|> x", " \n\n  a", "it's we'll I'M", "\t\t", "é\u0301 漢字 😀👍🏽", "\x00\x7f", "1234567 12.5e3", "a" * 5000, "\u2028 \u3000x", "  trailing  "]
     texts += ["".join(rng.choice(" abé漢😀'1.\n\t-") for _ in range(60)) for _ in range(300)]
+    for special in (True, False):
+        tokenizer.encode_special_tokens = not special
+        encode = byte_bpe(load_byte_bpe(None), special)
+        for text in texts:
+            assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_very_long_runs_of_blanks_are_tokenised_too(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t" * 700_000 + "<|endoftext|> end", "short"]
+    encode = byte_bpe(load_byte_bpe(None), True)
     for text in texts:
-        assert enc.encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    got = op5_packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
 
 
 def test_added_tokens_in_a_text_are_one_id(spark):

@@ -15,34 +15,16 @@ empty table gives no rows; repeated rows are packed as often as they occur.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import first_columns, number_within, stage, table
+from .tokens import byte_bpe, load_byte_bpe
 
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
-def load_vocabulary(path: str | None) -> dict:
-    """The byte-level BPE file as {"ranks": bytes -> id, "pattern": split pattern,
-    "special": added token -> id}: an added token in a text is one id."""
-    import public_tokenizers
-    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        model = json.load(f)
-    # byte-level vocabularies write each byte as a visible character: printable
-    # ones as themselves, the others from U+0100 on in order
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
-    if any(t.get(flag) for t in model.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
-        raise ValueError("added tokens that take in blanks or stand as words only are not supported")
-    ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return {"ranks": ranks, "pattern": public_tokenizers.PATTERN, "special": special}
-
-
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary) -> DataFrame:
     """One row per piece of (doc_id, text): documents longer than ``capacity``
     are cut into full pieces, of which only the first may be shorter."""
@@ -50,14 +32,11 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary) -> DataFrame
         import zlib
 
         import pyarrow as pa
-        import tiktoken
-        v = vocabulary.value
-        # the same ids as the tokenizers library gives for this file, four times as fast
-        enc = tiktoken.Encoding("packing", pat_str=v["pattern"], mergeable_ranks=v["ranks"], special_tokens=v["special"])
+        encode = byte_bpe(vocabulary.value, special=True)
         for batch in batches:
             rows = []
             for row, text in enumerate(batch.column(1)):
-                ids = np.append(np.array(enc.encode(text.as_py() or "", allowed_special="all"), "<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.array(encode(text.as_py() or ""), "<u4"), np.uint32(end_id)).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 rows += [(row, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -131,7 +110,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """Packs all documents: one row per piece with doc_id, piece, start, length,
     ids_crc32, sequence_id and offset (the piece's place in its sequence)."""
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(load_vocabulary(tokenizer_path))
+    vocabulary = spark.sparkContext.broadcast(load_byte_bpe(tokenizer_path))
     cut = stage(pieces(first_columns(docs, doc_id=id_col, text=text_col), capacity, end_id, vocabulary), "packing-pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     plan = spark.sparkContext.broadcast(places(minimum_bin_slack(counts, capacity)))
