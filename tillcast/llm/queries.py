@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op8_html_text, op9_mixing, op10_embedding_dedup, op11_token_alignment
+from . import op1_quality_rules, op2_sharding, op3_quality_classifier, op4_url_filters, op5_packing, op6_toxicity, op7_ngram_jaccard, op8_html_text, op9_mixing, op10_embedding_dedup, op11_token_alignment, op12_suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": op9_mixing.query,
     "op10_embedding_dedup": op10_embedding_dedup.query,
     "op11_token_alignment": op11_token_alignment.query,
+    "op12_suffix_dedup": op12_suffix_dedup.query,
 }
 
 ORACLE_SQL = {
