@@ -309,13 +309,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH usable AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x
+         list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
-         CAST(list_sum(list_transform(range(1, len(a.x) + 1), i -> a.x[i] * b.x[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])) AS BIGINT) AS score
   FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
   WHERE a.vec_id % 100 = 0),
 positives AS (
