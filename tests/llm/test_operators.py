@@ -407,6 +407,16 @@ def test_unseen_sequences_back_off_whatever_they_share_a_bucket_with(spark):
         assert abs(got[1]._ratio * 5 - 3.0) < 1e-6 and abs(got[2]._ratio * 5 - 0.25) < 1e-6 and abs(got[5]._ratio * 11 - 6.0) < 1e-6
 
 
+def test_tallies_are_exact_and_bounded():
+    rng = np.random.default_rng(3)
+    runs = [np.sort(rng.integers(0, 300, rng.integers(0, 200))) for _ in range(60)]
+    got, parts = Counter(), list(op6_toxicity.tallied(iter(runs), most=100))
+    for keys, n in parts:
+        assert len(keys) == len(set(keys.tolist())) <= 300
+        got.update(dict(zip(keys.tolist(), n.tolist())))
+    assert got == Counter(x for r in runs for x in r.tolist()) and len(parts) > 1
+
+
 def test_toxicity_by_joins_is_that_by_broadcast(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)] + (["scoundrel"] * 2 if i % 4 == 0 else []))) for i in range(400)]

@@ -69,16 +69,45 @@ def low(packed, k: int):
     return packed & ((1 << 8 * k) - 1)
 
 
+def tallied(runs, most: int = 1 << 20):
+    """From sorted arrays of keys: (keys, counts) summed over as many runs as have
+    ``most`` different keys at most, so that a task holds no more."""
+    def summed(held):
+        keys, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[new], np.add.reduceat(counts[order], new)
+    held, size = [], 0
+    for keys in runs:
+        if not len(keys):
+            continue
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        held.append((keys[new], np.diff(np.append(new, len(keys)))))
+        size += len(new)
+        if size > most:
+            held = [summed(held)]
+            size = len(held[0][0])
+            if size > most // 2:
+                yield held.pop()
+                size = 0
+    if held:
+        yield summed(held)
+
+
 def class_counts(docs: DataFrame) -> DataFrame:
     """Exact counts (gram, n0, n1) of sequences in the texts of ``mark`` 0 and 1."""
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            mark = batch.column(0).to_numpy()
-            for row, data, ends in chunks(batch.column(1), 4 << 20):
-                g, doc = sequences(data, ends)
-                both, n = np.unique(g * 2 + mark[row:row + len(ends)][doc], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(np.where(both & 1, 0, n)), pa.array(np.where(both & 1, n, 0))], names=["gram", "n0", "n1"])
+
+        def runs():
+            for batch in batches:
+                mark = batch.column(0).to_numpy()
+                for row, data, ends in chunks(batch.column(1)):
+                    g, doc = sequences(data, ends)
+                    yield np.sort(g * 2 + mark[row:row + len(ends)][doc])
+        for both, n in tallied(runs()):
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(np.where(both & 1, 0, n)), pa.array(np.where(both & 1, n, 0))], names=["gram", "n0", "n1"])
     return docs.select("mark", "text").mapInArrow(run, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -86,14 +115,9 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     """Counts (gram, n) of three-character sequences in all documents."""
     def run(batches):
         import pyarrow as pa
-        total = np.zeros(1 << 24, np.int64)
-        for batch in batches:
-            for _, data, ends in chunks(batch.column(0)):
-                total += np.bincount(low(sequences(data, ends)[0], 3), minlength=1 << 24) if len(data) > 1 << 18 else 0
-                if len(data) <= 1 << 18:
-                    np.add.at(total, low(sequences(data, ends)[0], 3), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+        runs = (np.sort(low(sequences(data, ends)[0], 3).astype(np.uint32)) for batch in batches for _, data, ends in chunks(batch.column(0)))
+        for gram, n in tallied(runs):
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], names=["gram", "n"])
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
