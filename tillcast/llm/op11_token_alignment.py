@@ -22,6 +22,8 @@ and null ids are documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +41,10 @@ def cut(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     index_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
     index_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
     common = sorted(index_a.keys() & index_b.keys())
-    return (np.fromiter(map(index_a.__getitem__, common), np.int64, len(common)),
-            np.fromiter(map(index_b.__getitem__, common), np.int64, len(common)))
+    if len(common) < 2:  # itemgetter gives one item bare
+        return np.array([index_a[e] for e in common], np.int64), np.array([index_b[e] for e in common], np.int64)
+    pick = itemgetter(*common)
+    return np.array(pick(index_a)), np.array(pick(index_b))
 
 
 def links(ends_a: list[int], ends_b: list[int], cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,24 +69,22 @@ def links(ends_a: list[int], ends_b: list[int], cut_a: np.ndarray, cut_b: np.nda
     return a, b
 
 
-def shown(ids: np.ndarray) -> np.ndarray:
-    """Ids as text of fixed width, padded with NUL."""
-    return np.char.mod(b"%d", ids).astype("S8")
+def shown(n: int, mark: bytes) -> np.ndarray:
+    """Ids below n (seven digits at most) as text with a mark behind, each in eight bytes filled up with NUL."""
+    return np.char.add(np.char.mod(b"%d", np.arange(n)), mark).astype("S8").view(np.uint64)
 
 
-def digest(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, names: tuple[np.ndarray, np.ndarray]) -> str:
+def digest(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, names: tuple) -> str:
     """SHA-256 of `a1,a2|b1;a3|b2,b3`."""
     import hashlib
-    out = np.empty((len(a) + len(b), 9), np.uint8)
-    size_a, size_b = np.diff(np.append(0, cut_a)), np.diff(np.append(0, cut_b))
-    at_a = np.arange(len(a)) + np.repeat(np.append(0, cut_b[:-1]), size_a)
-    at_b = np.arange(len(b)) + np.repeat(cut_a, size_b)
-    out[at_a, :8] = names[0][a]
-    out[at_b, :8] = names[1][b]
-    out[:, 8] = ord(",")
-    out[at_a[cut_a - 1], 8] = ord("|")
-    out[at_b[cut_b - 1], 8] = ord(";")
-    return hashlib.sha256(out.tobytes().replace(b"\0", b"")[:-1]).hexdigest()
+    inner_a, last_a, inner_b, last_b = names
+    out = np.empty(len(a) + len(b), np.uint64)
+    before_a, before_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
+    at_a = np.arange(len(a)) + np.repeat(before_b, cut_a - before_a)
+    at_b = np.arange(len(b)) + np.repeat(cut_a, cut_b - before_b)
+    out[at_a], out[at_b] = inner_a[a], inner_b[b]
+    out[at_a[cut_a - 1]], out[at_b[cut_b - 1]] = last_a[a[cut_a - 1]], last_b[b[cut_b - 1]]
+    return hashlib.sha256(out.tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 class Aligner:
@@ -96,7 +98,8 @@ class Aligner:
         self.bytes_a = [of_a.get(i, b"") for i in range(max(of_a) + 1)]
         self.bytes_b = piece_bytes(self.encode_b)
         self.length_a, self.length_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
-        self.names = tuple(shown(np.arange(len(x))).view(np.uint8).reshape(-1, 8) for x in (self.bytes_a, self.bytes_b))
+        n_a, n_b = len(self.bytes_a), len(self.bytes_b)
+        self.names = shown(n_a, b","), shown(n_a, b"|"), shown(n_b, b","), shown(n_b, b";")
 
     def __call__(self, text: str | None):
         """(ids A, ids B, group ends in A, group ends in B, links A, links B), or None without tokens."""
