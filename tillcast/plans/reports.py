@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions import calendar as cal
 from tillcast.functions.numeric import col_
-from tillcast.operators.joins import with_scalars
+from tillcast.operators.joins import checked_broadcast, with_scalars
 
 # Labels used when a material has no master row (fixed values).
 UNKNOWN_LABEL = "Unknown"
@@ -45,14 +45,23 @@ def last_rows(features: DataFrame, material: str | None, order_cols: list[str] |
     """Last line of each material in (date, tie-break) order (W7), or of the
     whole table without ``material``.
 
-    One partial aggregate takes the largest row: the order columns first, all
-    others as the tie-break, so exactly one line is left however many tie."""
-    order = list(order_cols)
-    rest = [c for c in features.columns if c not in order]
-    row = F.struct(*[F.col(f"`{c}`") for c in [*order, *rest]])
+    Only the first order column is aggregated over all lines (a hash aggregate,
+    combined before the shuffle); the lines that have it are fetched by a join. Of those
+    the last by the other order columns is taken, before the shuffle where
+    a task holds several; all other columns are the tie-break, so exactly one
+    line is left however many tie."""
+    first = f"`{order_cols[0]}`"
+    keyed = [f"`{material}`"] if material else []
     f = features.where(F.col(material).isNotNull()) if material else features
-    last = (f.groupBy(material) if material else f).agg(F.max(row).alias("_last"))
-    return last.where(F.col("_last").isNotNull()).select(*[F.col(f"_last.`{c}`").alias(c) for c in features.columns])
+    top = f.groupBy(*keyed).agg(F.max(first).alias("_last"))
+    if material:
+        top = top.withColumnRenamed(material, "_of")
+        near = f.join(checked_broadcast(top), (F.col(f"`{material}`") == F.col("_of")) & F.col(first).eqNullSafe(F.col("_last")))
+    else:
+        near = with_scalars(f, top, ["_last"]).where(F.col(first).eqNullSafe(F.col("_last")))
+    every = [f"`{c}`" for c in features.columns]
+    w = Window.partitionBy(*keyed or [F.lit(0)]).orderBy(*[F.desc(f"`{c}`") for c in order_cols], F.desc(F.struct(*[c for c in every if c.strip("`") not in order_cols])))
+    return near.select(*every, F.row_number().over(w).alias("_nth")).where("_nth = 1").select(*every)
 
 
 def next_day_context(spark, next_date: str, weather_row: DataFrame) -> DataFrame:
