@@ -67,6 +67,31 @@ def test_out_of_bag_has_as_many_bags_as_trees(spark, monkeypatch):
     assert fitted == [f"_w{b}" for b in range(6)] and got.n_oob_rows == fc.matrix.where("is_train = 1").count()
 
 
+def test_bag_weights_are_poisson_and_leave_every_line_out_somewhere(spark):
+    from pyspark.sql import functions as F
+    from tillcast.plans.forecast import bag_weight, left_out, spare_bag
+    bags = 3
+    line = F.xxhash64("id")
+    f = spark.range(20000).select(line.alias("_line")).withColumn("_spare", spare_bag(F.col("_line"), bags))
+    f = f.select("_spare", *[bag_weight(F.col("_line"), F.col("_spare"), b).alias(f"w{b}") for b in range(bags)],
+                 *[left_out(F.col("_line"), F.col("_spare"), F.lit(b)).alias(f"o{b}") for b in range(bags)]).toPandas()
+    for b in range(bags):
+        assert ((f[f"w{b}"] == 0) == f[f"o{b}"]).all()
+    assert f[[f"o{b}" for b in range(bags)]].any(axis=1).all()
+    taken = f[f._spare.isna()]
+    # lines without a spare bag: Poisson(1), given that not all three take them
+    assert abs((f._spare.notna()).mean() - (1 - 0.36788) ** 3) < 0.02
+    assert set(taken.w0.unique()) >= {0.0, 1.0, 2.0, 3.0} and abs((taken.w0 == 2).sum() / (taken.w0 == 1).sum() - 0.5) < 0.06
+
+
+def test_deep_forest_keeps_node_ids(spark):
+    from tillcast.catalog import plan
+    from tillcast.plans.forecast import Forecast, ForestConfig
+    deep = Forecast(plan(spark, SF_SMALL), ForestConfig(num_trees=3, max_depth=30, max_memory_mb=32)).metrics().first()
+    again = Forecast(plan(spark, SF_SMALL), ForestConfig(num_trees=3, max_depth=30, max_memory_mb=32, node_cache_depth=30)).metrics().first()
+    assert deep == again and (deep.num_trees, deep.max_depth, deep.max_memory_mb) == (3, 30, 32) and deep.n_nodes > 1000
+
+
 def test_forest_end_to_end(spark, tmp_path):
     from tillcast.catalog import plan
     from tillcast.plans.forecast import Forecast, ForestConfig

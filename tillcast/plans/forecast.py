@@ -15,8 +15,10 @@ wants a smaller forest says so, and the summary row shows what was fitted.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -28,6 +30,7 @@ from tillcast.operators.split import split_bounds, time_split
 from tillcast.operators.stage import stage
 from tillcast.plans import reports
 from tillcast.plans.features import FeaturePlan, feature_column
+from tillcast.session import ensure_checkpoint_dir
 from tillcast.sources import sinks
 
 # Forest settings of the reference that MLlib can express (fixed values).
@@ -42,10 +45,17 @@ class ForestConfig:
     max_bins: int = 32
     min_instances: int = 1
     seed: int = SEED
-    # memory of the split statistics: how many nodes are grown side by side,
-    # and so the order of the random feature draws, depends on it; one value
-    # for all machines makes equal forests
-    max_memory_mb: int = 64
+    # memory of the split statistics in each task: how many nodes are grown side
+    # by side, and so the order of the random feature draws, depends on it; runs
+    # that are to be equal take one value, which the summary row shows
+    max_memory_mb: int = 256
+    # trees deeper than this keep, for each line, the node it has reached, instead
+    # of walking every tree from its root at each level; the node ids are
+    # checkpointed to the shared folder every so many levels
+    node_cache_depth: int = 10
+    checkpoint_interval: int = 10
+    # one-tree fits that run side by side in the out-of-bag estimate
+    concurrent_fits: int = 4
 
 
 def assembled(fp: FeaturePlan, df: DataFrame | None = None) -> DataFrame:
@@ -64,7 +74,8 @@ def forest(cfg: ForestConfig, weight_col: str | None = None, bootstrap: bool = T
                                numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins,
                                minInstancesPerNode=cfg.min_instances,
                                featureSubsetStrategy=FEATURE_FRACTION, seed=cfg.seed,
-                               bootstrap=bootstrap, maxMemoryInMB=cfg.max_memory_mb)
+                               bootstrap=bootstrap, maxMemoryInMB=cfg.max_memory_mb,
+                               cacheNodeIds=cfg.max_depth > cfg.node_cache_depth, checkpointInterval=cfg.checkpoint_interval)
     if weight_col:
         rf.setWeightCol(weight_col)
     return rf
@@ -101,6 +112,26 @@ def poisson1(u):
     return out
 
 
+def bag_unit(line, bag):
+    """Uniform number of a line in a bag."""
+    return F.pmod(F.xxhash64(line, bag), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def left_out(line, spare, bag):
+    """Whether a bag leaves a line out: weight 0, or it is the line's spare bag."""
+    return (bag_unit(line, bag) < F.lit(math.exp(-1.0))) | F.coalesce(spare == bag, F.lit(False))
+
+
+def spare_bag(line, bags: int):
+    """The bag that leaves out a line which all bags would take; else null."""
+    taken = F.forall(F.sequence(F.lit(0), F.lit(bags - 1)), lambda b: bag_unit(line, b) >= F.lit(math.exp(-1.0)))
+    return F.when(taken, F.pmod(line, F.lit(bags)).cast("int"))
+
+
+def bag_weight(line, spare, bag: int):
+    return F.when(left_out(line, spare, F.lit(bag)), F.lit(0.0)).otherwise(poisson1(bag_unit(line, F.lit(bag))).cast("double"))
+
+
 class Forecast:
     """Fits and scores on one feature plan; results are DataFrames."""
 
@@ -114,6 +145,7 @@ class Forecast:
     @property
     def matrix(self) -> DataFrame:
         if not hasattr(self, "_matrix"):
+            ensure_checkpoint_dir(self.fp.base.sparkSession)  # of cached node ids
             f = time_split(self.fp.features, self.fp.cols.date, self.fp.cols.order)
             self._matrix = stage(assembled(self.fp, f), "matrix")
         return self._matrix
@@ -136,32 +168,50 @@ class Forecast:
         return self._scored
 
     def metrics(self) -> DataFrame:
-        """train R2, test R2, test RMSE, test MAE (M5) as one row."""
-        return summary(self.scored()).select("train_r2", "test_r2", "rmse", "mae")
+        """train R2, test R2, test RMSE, test MAE (M5) as one row, and the forest that was fitted."""
+        model = self.holdout_model()
+        return summary(self.scored()).select("train_r2", "test_r2", "rmse", "mae").withColumns({
+            "num_trees": F.lit(model.getNumTrees), "max_depth": F.lit(self.cfg.max_depth), "max_memory_mb": F.lit(self.cfg.max_memory_mb),
+            "n_nodes": F.lit(int(model.totalNumNodes))})
 
     def oob_predictions(self, bags: int | None = None) -> DataFrame:
         """Every train line with its out-of-bag prediction. Each bag draws
-        Poisson(1) row weights from a hash of the line and the bag and fits one
-        tree on the weighted rows; a line that no bag would leave out is left
-        out of the one its hash names. The prediction is the mean over the bags
-        that left the line out, taken on the line itself: no line is lost or merged.
-        There are as many bags as the forest has trees, if not told otherwise."""
+        Poisson(1) row weights and fits one tree on the weighted rows; a line that no
+        bag would leave out is left out of the one its hash names. The
+        prediction is the mean over the bags that left the line out, taken on the line
+        itself: no line is lost or merged. There are as many bags as the
+        forest has trees, if not told otherwise.
+
+        All weights of a line are one long, its hash: weight b is drawn from the hash
+        of that long and b where it is needed. The fits share one kept copy of the
+        train lines and run ``concurrent_fits`` at a time; scoring is one pass that
+        puts the trees' predictions into one array."""
         bags = self.cfg.num_trees if bags is None else bags
-        f = self.matrix.where(F.col("is_train") == 1)
         line = F.xxhash64(*[F.col(c) for c in self.fp.cols.order])
-        unit = [F.pmod(F.xxhash64(line, F.lit(b)), F.lit(1 << 53)) / F.lit(float(1 << 53)) for b in range(bags)]
-        f = f.withColumns({f"_w{b}": poisson1(u).cast("double") for b, u in enumerate(unit)})
-        spare = F.when(F.least(*[F.col(f"_w{b}") for b in range(bags)], F.lit(1e9)) > 0, F.pmod(line, F.lit(bags)))
-        f = stage(f.withColumn("_spare", spare).withColumns(
-            {f"_w{b}": F.when(F.col("_spare") == b, F.lit(0.0)).otherwise(F.col(f"_w{b}")) for b in range(bags)}).drop("_spare"), "bags")
+        f = self.matrix.where(F.col("is_train") == 1).select(*self.fp.cols.order, "_v", "features", line.alias("_line"))
+        f = f.withColumn("_spare", spare_bag(F.col("_line"), bags)).persist(StorageLevel.MEMORY_AND_DISK)
         one = replace(self.cfg, num_trees=1)
-        out = f
-        for b in range(bags):
-            model = forest(one, weight_col=f"_w{b}", bootstrap=False).fit(f.where(F.col(f"_w{b}") > 0))
-            out = model.setPredictionCol(f"_p{b}").transform(out)
-        left_out = [F.col(f"_w{b}") == 0 for b in range(bags)]
-        total = sum((F.when(z, F.col(f"_p{b}")).otherwise(0.0) for b, z in enumerate(left_out)), F.lit(0.0))
-        return out.select(*self.fp.cols.order, "_v", (total / sum(z.cast("int") for z in left_out)).alias("prediction"))
+        trees = [forest(one, weight_col=f"_w{b}", bootstrap=False) for b in range(bags)]
+
+        @inheritable_thread_target(f.sparkSession)
+        def fit(b: int):
+            weight = bag_weight(F.col("_line"), F.col("_spare"), b).alias(f"_w{b}")
+            return trees[b].fit(f.select("features", "_v", weight).where(F.col(f"_w{b}") > 0))
+        try:
+            f.count()  # kept once, before the fits ask for it side by side
+            with ThreadPoolExecutor(max(1, min(self.cfg.concurrent_fits, bags))) as pool:
+                models = list(pool.map(fit, range(bags)))
+            out = f
+            for b, model in enumerate(models):
+                out = model.setPredictionCol(f"_p{b}").transform(out)
+            # (bag, prediction) of the bags that left the line out
+            bag = F.transform(F.array(*[F.col(f"_p{b}") for b in range(bags)]),
+                              lambda p, b: F.when(left_out(F.col("_line"), F.col("_spare"), b), p))
+            own = F.filter(bag, lambda p: p.isNotNull())
+            mean = F.aggregate(own, F.lit(0.0), lambda t, p: t + p) / F.size(own)
+            return stage(out.select(*self.fp.cols.order, "_v", mean.alias("prediction")), "oob")
+        finally:
+            f.unpersist()
 
     def oob_r2(self, bags: int | None = None) -> DataFrame:
         """M9: out-of-bag R2 over all train lines."""
@@ -222,7 +272,7 @@ class Forecast:
         features, and the size of the forest that was fitted."""
         total = self.next_day_products().agg(F.sum("predicted_sale").alias("total_forecast"))
         row = with_scalars(with_scalars(total, summary(self.scored())), self.oob_r2(bags))
-        return row.withColumns({"n_features": F.lit(len(self.fp.feature_names)), "num_trees": F.lit(self.cfg.num_trees), "max_depth": F.lit(self.cfg.max_depth)})
+        return row.withColumns({"n_features": F.lit(len(self.fp.feature_names)), "num_trees": F.lit(self.cfg.num_trees), "max_depth": F.lit(self.cfg.max_depth), "max_memory_mb": F.lit(self.cfg.max_memory_mb)})
 
     def write_bundle(self, root: str) -> dict[str, str]:
         """Everything a run returns, a Parquet table each: products, metrics,
