@@ -55,6 +55,9 @@ SCREEN = {"width": 1280, "height": 800}
 #: A quote opens a value only right after the equals sign, and only if it is closed; elsewhere it is a plain character.
 ONE = r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*"|'[^']*'|[^ \t\n\r\f>]*+))?+"""
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^ \t\n\r\f/>]*)((?:[ \t\n\r\f/]++|" + ONE.replace("([^", "(?:[^").replace('("[', '(?:"[') + r")*+)>", re.S)
+#: For the rest of a page in which a tag was begun and never ended: quotes open nothing any more.
+LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^ \t\n\r\f/>]*)([^>]*)>", re.S)
+BEGUN = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(ONE)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 CSS = re.compile(r"""\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|[{};]""", re.S)
@@ -77,7 +80,7 @@ def attributes(text: str) -> dict:
 def build(page: str) -> tuple[Element, list[tuple[str, bool | None]]]:
     """The tree of a page, and its style sheets, each with whether it holds for a screen."""
     root, sheets, drawn = Element("html", {}), [], False
-    open_, at, size = [root], 0, len(page)
+    open_, at, size, tags, last = [root], 0, len(page), TAG, page.rfind(">")
 
     def close(to: int):
         del open_[to:]
@@ -109,7 +112,18 @@ def build(page: str) -> tuple[Element, list[tuple[str, bool | None]]]:
         return node
 
     while at < size:
-        m = TAG.search(page, at)
+        begin, m = page.find("<", at), None
+        while begin >= 0:
+            # beyond the last > nothing but an open comment is markup
+            if begin < last or page.startswith("<!--", begin):
+                m = tags.match(page, begin)
+                if m is None and tags is TAG and BEGUN.match(page, begin):
+                    # this tag goes on to the end of the page: every later one would be read to there as well
+                    tags = LOOSE
+                    m = tags.match(page, begin)
+                if m is not None:
+                    break
+            begin = page.find("<", begin + 1)
         if m is None:
             open_[-1].children.append(html.unescape(page[at:]))
             break
@@ -159,7 +173,7 @@ def build(page: str) -> tuple[Element, list[tuple[str, bool | None]]]:
         if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push("tr", {})
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
             if tag == "style":
                 sheets.append((page[at:end.start()], holds(attrs.get("media", ""))))
             elif tag in ("textarea", "xmp"):
@@ -175,7 +189,29 @@ def build(page: str) -> tuple[Element, list[tuple[str, bool | None]]]:
 
 
 def declared(style: str) -> dict:
-    return {k.strip().lower(): v.strip().lower().split("!")[0].strip() for k, _, v in (d.partition(":") for d in style.split(";")) if v}
+    """Property -> (whether it is important, value); a later one wins unless only the earlier is important."""
+    out: dict = {}
+    for name, _, value in (d.partition(":") for d in style.split(";")):
+        name, (value, _, mark) = name.strip().lower(), value.strip().lower().partition("!")
+        if value and (found := (mark.strip() == "important", value.strip()))[0] >= out.get(name, (False, ""))[0]:
+            out[name] = found
+    return out
+
+
+def top_level(body: str) -> str:
+    """A rule's own declarations, without the rules within it."""
+    out, start, depth = [], 0, 0
+    for m in CSS.finditer(body):
+        if m[0] == "{":
+            depth += 1
+        elif m[0] == "}":
+            depth -= depth > 0
+            if not depth:
+                start = m.end()
+        elif m[0] == ";" and not depth:
+            out.append(body[start:m.end()])
+            start = m.end()
+    return "".join(out) + ("" if depth else body[start:])
 
 
 def both(parts: list) -> bool | None:
@@ -254,35 +290,44 @@ def style_rules(sheet: str, hold: bool | None):
 
 
 def rules(sheets: list[tuple[str, bool | None]]) -> dict:
-    """display and visibility by simple selector; later rules win."""
+    """By simple selector, property -> (important, specificity, order, value) of the rule that wins."""
     out: dict = {}
+    order = 0
     for sheet, hold in sheets:
         sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S).replace("<!--", " ").replace("-->", " ")
         for selectors, body, holding in style_rules(sheet, hold):
-            while "{" in body and (flat := re.sub(r"[^{};]*\{[^{}]*\}", "", body)) != body:  # rules within a rule
-                body = flat
-            set_ = {k: v for k, v in declared(body).items() if k in ("display", "visibility")}
+            order += 1
+            set_ = {k: v for k, v in declared(top_level(body) if "{" in body else body).items() if k in ("display", "visibility")}
             if holding is None:
-                set_ = {k: v for k, v in set_.items() if v not in ("none", "hidden", "collapse")}
+                set_ = {k: v for k, v in set_.items() if v[1] not in ("none", "hidden", "collapse")}
             if set_ and holding is not False:
                 for s in selectors.split(","):
                     if (m := SELECTOR.match(s.strip())) and s.strip():
-                        out.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {}).update(set_)
+                        own = out.setdefault(((m[1] or "").lower(), m[2] or "", m[3] or ""), {})
+                        weight = (("", ".", "#").index(m[2] or ""), bool(m[1]))
+                        for name, (important, value) in set_.items():
+                            own[name] = max(own.get(name, (False,)), (important, weight, order, value))
     return out
 
 
+INLINE = (3, False)
+
+
 def styled(node: Element, sheet: dict) -> dict:
-    """display and visibility of an element: rules by tag, then class, then id, then its own."""
-    out = {}
+    """display and visibility of an element by importance, then specificity (its
+    own style before id, class and tag), then order of the rules."""
+    out: dict = {}
     if sheet:
         names = [("", "")] + [(".", c) for c in node.attributes.get("class", "").split()] + [("#", node.attributes.get("id", ""))]
         for kind, name in names:
             for tag in ("", node.tag):
                 if (tag or kind) and (found := sheet.get((tag, kind, name))):
-                    out.update(found)
+                    for k, v in found.items():
+                        out[k] = max(out.get(k, (False,)), v)
     if "style" in node.attributes:
-        out.update(declared(node.attributes["style"]))
-    return out
+        for k, (important, value) in declared(node.attributes["style"]).items():
+            out[k] = max(out.get(k, (False,)), (important, INLINE, 0, value))
+    return {k: v[3] for k, v in out.items()}
 
 
 class Flow:
@@ -377,22 +422,23 @@ def table_lines(node: Element, sheet: dict, visible: bool) -> list[str]:
                 lay(child, stray, sheet, see, False, 0)
 
     collect(node, visible)
-    taken: dict[int, int] = {}  # columns that cells of rows above still hold
+    taken: list[tuple[int, int, int]] = []  # columns (first, behind the last) that cells of rows above hold for so many rows more
     placed, widths = [], {}
     for cells in rows:
-        at, row, held = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
+        at, row, k, own = 0, [], 0, []
         for lines, across, down in cells:
-            while taken.get(at, 0) > 0:
-                at += 1
+            while k < len(taken) and taken[k][0] <= at:
+                at = max(at, taken[k][1])
+                k += 1
             row.append((at, lines))
-            if across == 1:
-                widths[at] = min(MAX_WIDTH, max([widths.get(at, 0), *map(len, lines)]))
-            for c in range(at, at + across):
-                if down > 1:
-                    held[c] = down - 1
-                widths.setdefault(c, 0)
+            widths[at] = max(widths.get(at, 0), min(MAX_WIDTH, max(map(len, lines), default=0)) if across == 1 else 0)
+            if down > 1:
+                if own and own[-1][1:] == (at, down - 1):
+                    own[-1] = (own[-1][0], at + across, down - 1)
+                else:
+                    own.append((at, at + across, down - 1))
             at += across
-        taken = held
+        taken = sorted([*((a, b, n - 1) for a, b, n in taken if n > 1), *own]) if taken or own else taken
         placed.append(row)
     starts, x = {}, 0
     for c in sorted(widths):
