@@ -16,9 +16,9 @@ a bucket of more than ``leaf`` is a candidate whole. Components of candidates
 are then compared with the original vectors in double precision, all pairs in
 blocks of bounded size, so links are exact and no pair is emitted.
 
-Edge cases: a vector that is null, zero, holds null or non-finite components or
-has another dimension than most links with nothing; equal vectors enter as one
-with their count; repeated rows are vectors of their own; an empty table gives
+Edge cases: a vector that is null, zero, or holds null or non-finite components
+links with nothing; vectors of different dimensions are never linked, each
+dimension is searched by itself; equal vectors enter as one with their count; repeated rows are vectors of their own; an empty table gives
 no rows.
 """
 
@@ -112,10 +112,10 @@ def multi_index(sample: np.ndarray, n: int, threshold: float, recall: float, eno
             return bits, each, tables, int(max((d.max() for d in distance), default=0)), (mean, projections)
 
 
-def usable(dimension: int):
+def usable():
     """Whether the column ``v`` holds a vector that can link."""
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size("v") == dimension) & fine & F.exists("v", lambda x: x != 0), F.lit(False))
+    return F.coalesce(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0), F.lit(False))
 
 
 def unit(flat: np.ndarray, dimension: int) -> np.ndarray:
@@ -162,22 +162,24 @@ def checked(rows: DataFrame, dimension: int, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.995,
                     max_sample: int = 10000, leaf: int = 256, block: int = 1024, seed: int = 0) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
-    spark = vectors.sparkSession
-    rows = first_columns(vectors, vec_id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>"))
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None or not sizes.d:
-        return alone
-    dimension = sizes.d
-    rows = rows.withColumn("ok", usable(dimension))
+    rows = first_columns(vectors, vec_id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>")).withColumn("ok", usable())
     keys = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")]
     every = stage(rows.select("vec_id", "ok", *keys), "embeddings-rows")
     # each different vector once, under a number that is given at this writing
     distinct = rows.where("ok").select("vec_id", "v", *keys).groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n_vectors"), F.first("v").alias("v"))
-    distinct = stage(distinct.withColumn("id", F.monotonically_increasing_id()), "embeddings-vectors")
-    n = distinct.count()
-    if not n:
-        return alone
+    distinct = stage(distinct.withColumn("id", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "embeddings-vectors")
+    result = distinct.where("false").select("k1", "k2", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
+    for d, n in sorted(map(tuple, distinct.groupBy("d").count().collect())):  # one row a dimension
+        own = distinct.where(F.col("d") == d)
+        result = result.unionAll(linked(own, n, d, threshold, recall, max_sample, leaf, block, seed) if n > 1 else own.select("k1", "k2", F.col("n_vectors") - 1, "rep"))
+    # what cannot link takes no part in the join, so that many nulls meet in no task
+    out = every.where("ok").join(result, ["k1", "k2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.unionAll(every.where("not ok").select("vec_id", F.lit(0).cast("long"), "vec_id", F.lit(True)))
+
+
+def linked(distinct: DataFrame, n: int, dimension: int, threshold: float, recall: float, max_sample: int, leaf: int, block: int, seed: int) -> DataFrame:
+    """(k1, k2, n_links, component_id) of the ``n`` different vectors of one dimension, rows (id, k1, k2, rep, n_vectors, v)."""
+    spark = distinct.sparkSession
     sample = distinct.orderBy(F.xxhash64("k1", F.lit(seed)), "k1", "k2").limit(max_sample).select("v").toArrow()
     sample = unit(sample.column(0).combine_chunks().flatten().to_numpy(), dimension)
     # a table sends on a few numbers of each vector, a block the vector
@@ -197,16 +199,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         release(codes, buckets)
     members = in_blocks(near.join(distinct.select("id", "n_vectors"), "id"), "component", F.col("id"), block)
     found = stage(checked(members.join(distinct.select("id", "v"), "id"), dimension, threshold), "embeddings-links")
-    linked = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "embeddings-components")
+    groups = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "embeddings-components")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    result = distinct.select("id", "k1", "k2", "rep", "n_vectors").join(linked, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    result = distinct.select("id", "k1", "k2", "rep", "n_vectors").join(groups, "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     result = stage(result, "embeddings-result")
-    release(distinct, near, found)
+    release(near, found)
     leads = result.groupBy("component").agg(F.min("rep").alias("component_id"))
-    result = result.join(leads, "component").select("k1", "k2", F.lit(True).alias("ok"), (F.col("n_vectors") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    # what cannot link takes no part in the join, so that many nulls meet in no task
-    out = every.where("ok").join(result, ["k1", "k2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    return out.unionAll(every.where("not ok").select("vec_id", F.lit(0).cast("long"), "vec_id", F.lit(True)))
+    return result.join(leads, "component").select("k1", "k2", (F.col("n_vectors") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
