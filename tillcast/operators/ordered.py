@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.operators.joins import with_scalars
+from tillcast.operators.joins import join_checked, with_scalars
 from tillcast.operators.stage import stage
 
 
@@ -85,17 +85,7 @@ def exact_median(df: DataFrame, keys: list[str] | tuple, value: str, out: str,
         j = with_scalars(hist, n, ["_n"])
     else:
         j = hist.join(n, keys)
-    k1 = F.floor((F.col("_n") - 1) / 2)
-    k2 = F.floor(F.col("_n") / 2)
-
-    def covers(k):
-        return (F.col("_b") <= k) & (k < F.col("_b") + F.col("_c"))
-
-    j = j.where(covers(k1) | covers(k2))
-    res = j.groupBy(*keys).agg(
-        F.max(F.when(covers(k1), F.col("_v"))).alias("_lo"),
-        F.max(F.when(covers(k2), F.col("_v"))).alias("_hi"))
-    return res.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+    return middle_values(j, keys, out)
 
 
 def average_tie_pct_rank(df: DataFrame, value: str, out: str, weight: str | None = None,
@@ -137,13 +127,41 @@ def unpivot(df: DataFrame, specs: list[tuple], names: tuple[str, ...]) -> DataFr
 
 
 def exact_medians(df: DataFrame, specs: list[tuple[str, str | None, str]],
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, accuracy: int = 2000) -> DataFrame:
     """Several exact medians in one pass: ``specs`` is a list of
     (name, key column or None for the whole table, value column).
-    Returns (_stat, _key, median) with the key as text ('' for the table)."""
+    Returns (_stat, _key, median) with the key as text ('' for the table).
+
+    Two passes: quantile summaries, merged map-side, give each group a bracket
+    of two of its values that its median lies between (a summary errs by
+    rows / ``accuracy`` ranks, the bracket leaves twice that on either side); then
+    rows below the bracket are only counted and those within it make up the histogram
+    in which the middle values are located. What is shuffled is bounded by
+    groups x bracket, also where nearly every value is different."""
     rows = unpivot(df, [(F.lit(name), F.col(key).cast("string") if key else F.lit(""), F.col(value).cast("double"))
                         for name, key, value in specs], ("_stat", "_key", "_val"))
-    return exact_median(rows.where(F.col("_key").isNotNull()), ["_stat", "_key"], "_val", "median", partitions)
+    rows = rows.where(F.col("_key").isNotNull() & F.col("_val").isNotNull())
+    keys, margin = ["_stat", "_key"], 2.0 / accuracy
+    ends = F.percentile_approx("_val", [0.5 - margin, 0.5 + margin], accuracy)
+    brackets = stage(rows.groupBy(*keys).agg(ends.alias("_ends"), F.count(F.lit(1)).alias("_n"))
+                     .select(*keys, F.col("_ends")[0].alias("_from"), F.col("_ends")[1].alias("_to"), "_n"), "median-brackets")
+    near = join_checked(rows, brackets, keys, "inner").where("_val <= _to")
+    # all that lies below the bracket is one value, before the others
+    value = F.when(F.col("_val") >= F.col("_from"), F.col("_val"))
+    hist = near.groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    return middle_values(prefix_before(hist, ["_v"], "_c", keys, "_b", partitions), keys, "median")
+
+
+def middle_values(hist: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Mean of the one or two middle values of each group, from rows (keys, _v
+    value, _c its count, _b rows before it, _n rows of the group)."""
+    k1, k2 = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+
+    def covers(k):
+        return (F.col("_b") <= k) & (k < F.col("_b") + F.col("_c"))
+    found = hist.where(covers(k1) | covers(k2)).groupBy(*keys).agg(
+        F.max(F.when(covers(k1), F.col("_v"))).alias("_lo"), F.max(F.when(covers(k2), F.col("_v"))).alias("_hi"))
+    return found.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
 
 
 def pct_ranks(parts: list[tuple[DataFrame, list[tuple[str, str, str | None]]]],

@@ -31,7 +31,8 @@ def _file_system(spark: SparkSession) -> tuple:
     return spark._jvm, spark._jsc.hadoopConfiguration()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written and read back; with ``by``, a folder for each value of that column (see :func:`part`)."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     folder = f"{root}/tillcast-stage/{spark.sparkContext.applicationId}"
@@ -39,12 +40,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         _FOLDERS.add(folder)
         atexit.register(_remove, *_file_system(spark), folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns]) if by else spark.read.parquet(path)
     out._staged_path = path
     return out
 
 
+def part(table: DataFrame, by: str, value: str) -> DataFrame:
+    """The rows of one value of a table staged by ``by``, read from its own
+    folder: the optimizer then knows its size. Other tables are filtered."""
+    path = getattr(table, "_staged_path", None)
+    if path:
+        jvm, conf = _file_system(table.sparkSession)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        if folder.getFileSystem(conf).exists(folder):
+            rest = [f for f in table.schema.fields if f.name != by]
+            return table.sparkSession.read.schema(type(table.schema)(rest)).parquet(f"{path}/{by}={value}")
+    return table.where(table[by] == value).drop(by)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes staged tables before the application ends, for callers that have
     written or collected all that reads them."""

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from tillcast.columns import SalesColumns
 from tillcast.functions import calendar as cal
 from tillcast.functions.numeric import log1p_, row_mean_skip_null, safe_div, safe_qty
-from tillcast.operators import series, stats
+from tillcast.operators import joins, series, stats
 from tillcast.operators.clean import clean_sales, split_valid
 from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta, soh_median
 from tillcast.operators.ordered import exact_medians, label_codes, pct_ranks
-from tillcast.operators.joins import join_checked, with_scalars
-from tillcast.operators.stage import stage
+from tillcast.operators.joins import estimated_bytes, join_checked, with_scalars
+from tillcast.operators.stage import part, stage
 from tillcast.sources.sheets import Sheets
 
 # ---- fixed values: the 141 features in matrix order ---------
@@ -151,13 +151,14 @@ class FeaturePlan:
     def meta(self) -> DataFrame:
         return product_meta(self.sheets.sku_buy)
 
-    def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, name) if self.staged else df
+    def _stage(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        return stage(df, name, by) if self.staged else df
 
     @cached_property
     def base(self) -> DataFrame:
-        """Filled lines + price, stock and calendar columns, staged once."""
-        return self._stage(self.base_plan, "base")
+        """Filled lines + price, stock and calendar columns, staged once, each
+        line with an address (``_row``) that holds as it is written."""
+        return stage(self.base_plan.withColumn("_row", F.monotonically_increasing_id()), "base") if self.staged else self.base_plan
 
     @cached_property
     def base_plan(self) -> DataFrame:
@@ -208,21 +209,21 @@ class FeaturePlan:
     def medians(self) -> DataFrame:
         """All exact medians of the plan in one histogram pass (staged)."""
         specs = [(n, self._col(k), self._col(v)) for n, k, v in self.MEDIANS if self._col(k)]
-        return self._stage(exact_medians(self.base, specs), "medians")
+        return self._stage(exact_medians(self.base, specs), "medians", "_stat")
 
     def median_table(self, name: str, key: str) -> DataFrame:
         kt = self.base.schema[key].dataType
-        return (self.medians.where(F.col("_stat") == name)
+        return (part(self.medians, "_stat", name)
                 .select(F.col("_key").cast(kt).alias(key), F.col("median").alias(name)))
 
     @cached_property
     def codes(self) -> DataFrame:
         """All label codes in one pass over the distinct texts (staged)."""
         specs = [(n, self._col(c)) for n, c in self.CODES if self._col(c)]
-        return self._stage(label_codes(self.base, specs), "codes")
+        return self._stage(label_codes(self.base, specs), "codes", "_cn")
 
     def code_table(self, name: str, col: str) -> DataFrame:
-        return (self.codes.where((F.col("_cn") == name) & F.col("_val").isNotNull())
+        return (part(self.codes, "_cn", name).where(F.col("_val").isNotNull())
                 .select(F.col("_val").alias(col), F.col("code").alias(name)))
 
     def missing_codes(self) -> DataFrame:
@@ -237,10 +238,10 @@ class FeaturePlan:
         c = self.cols
         parts = [(self.base, [("SalQty_rank", c.qty, None), ("Price_rank", "PricePerUnit", None), ("QtyXPrice_rank", "QtyXPrice", None)]),
                  (self.M_stats, [("MatAvg_rank", "Mat_AvgSale", "_Mat_rows")])]
-        return self._stage(pct_ranks(parts), "ranks")
+        return self._stage(pct_ranks(parts), "ranks", "_rk")
 
     def rank_table(self, name: str, col: str) -> DataFrame:
-        return (self.ranks.where(F.col("_rk") == name)
+        return (part(self.ranks, "_rk", name)
                 .select(F.col("_x").alias(col), F.col("pct").alias(name)))
 
     @cached_property
@@ -361,6 +362,22 @@ class FeaturePlan:
                           F.col("heat_index").alias("w_heat_index"))
 
     # ---- feature groups (each adds columns to a frame that has base) -------
+    def _attached(self, f: DataFrame, tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
+        """``f`` with the column ``out`` of each (table, column it is joined on, out).
+
+        Small tables are broadcast. A table of near-unique values or texts is joined
+        with the narrow rows (address, value) instead, and what all such tables
+        gave is brought to the wide lines by one join on the address, which no key can skew."""
+        large = [t for t in tables if self.staged and estimated_bytes(t[0]) > joins.BROADCAST_MAX_BYTES]
+        for table, col, _ in tables:
+            if not any(table is t for t, _, _ in large):
+                f = join_checked(f, table, col)
+        own = None
+        for table, col, out in large:
+            found = self.base.select("_row", col).where(F.col(col).isNotNull()).join(table, col).select("_row", out)
+            own = found if own is None else own.join(found, "_row", "full_outer")
+        return f if own is None else f.join(own, "_row", "left")
+
     def with_globals(self, df: DataFrame) -> DataFrame:
         return with_scalars(df, self.G, ["global_mean", "min_date", "max_mat_count"])
 
@@ -485,25 +502,21 @@ class FeaturePlan:
     def with_ranks(self, df: DataFrame) -> DataFrame:
         """F107-F110: average-tie percent ranks (MatAvg_rank comes with M)."""
         c = self.cols
-        f = df
-        for col, out in ((c.qty, "SalQty_rank"), ("PricePerUnit", "Price_rank"),
-                         ("QtyXPrice", "QtyXPrice_rank")):
-            f = join_checked(f, self.rank_table(out, col), col)
-        return f
+        return self._attached(df, [(self.rank_table(out, col), col, out) for col, out in (
+            (c.qty, "SalQty_rank"), ("PricePerUnit", "Price_rank"), ("QtyXPrice", "QtyXPrice_rank"))])
 
     def with_codes(self, df: DataFrame) -> DataFrame:
         """F111-F116: label codes of the six text columns; a missing text has a
         code of its own, not that of the first class."""
         c = self.cols
         f = with_scalars(df, self.missing_codes())
+        f = self._attached(f, [(self.code_table(name, col), col, name) for name, role in self.CODES
+                               if (col := self._col(role)) and name not in f.columns])
         for name, role in self.CODES:
-            col = self._col(role)
-            if not col:
+            if not self._col(role):
                 f = f.withColumn(name, F.lit(None).cast("long"))
-                continue
-            if name not in f.columns:
-                f = join_checked(f, self.code_table(name, col), col)
-            f = f.withColumn(name, F.coalesce(name, f"_missing_{name}")).drop(f"_missing_{name}")
+            else:
+                f = f.withColumn(name, F.coalesce(name, f"_missing_{name}")).drop(f"_missing_{name}")
         return f
 
     def with_weather(self, df: DataFrame) -> DataFrame:
