@@ -22,6 +22,7 @@ and null ids are documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+from array import array
 from operator import itemgetter
 
 import numpy as np
@@ -44,7 +45,7 @@ def cut(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     if len(common) < 2:  # itemgetter gives one item bare
         return np.array([index_a[e] for e in common], np.int64), np.array([index_b[e] for e in common], np.int64)
     pick = itemgetter(*common)
-    return np.array(pick(index_a)), np.array(pick(index_b))
+    return np.frombuffer(array("q", pick(index_a)), np.int64), np.frombuffer(array("q", pick(index_b)), np.int64)
 
 
 def links(ends_a: list[int], ends_b: list[int], cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +106,14 @@ class Aligner:
         """(ids A, ids B, group ends in A, group ends in B, links A, links B), or None without tokens."""
         if not text:
             return None
-        a, b = self.encode_a(" " + text), self.encode_b.encode(text)
+        a, b = np.frombuffer(array("q", self.encode_a(" " + text)), np.int64), self.encode_b.encode(text)
         want = (" " + text).encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+        ends_a = np.cumsum(self.length_a[a]).tolist()
+        # byte-level tokens are the bytes that were cut; only the other side can lose some
+        if ends_a[-1] != len(want) or b"".join(map(self.bytes_b.__getitem__, b)) != want:
             return None
-        a, b = np.array(a), np.array(b)
-        ends_a, ends_b = np.cumsum(self.length_a[a]).tolist(), np.cumsum(self.length_b[b]).tolist()
+        b = np.frombuffer(array("q", b), np.int64)
+        ends_b = np.cumsum(self.length_b[b]).tolist()
         cut_a, cut_b = cut(ends_a, ends_b)
         return a, b, cut_a, cut_b, *links(ends_a, ends_b, cut_a, cut_b)
 
