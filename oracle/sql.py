@@ -617,6 +617,50 @@ FROM vals v JOIN bads b ON v.pos = b.pos GROUP BY v.pos, v.feature"""
         f", {R('DailyRoll3')} AS DailyRoll3, CAST(dow AS BIGINT) AS DayOfWeek "
         f"FROM (SELECT *, row_number() OVER (PARTITION BY material_no ORDER BY {ORDER_DESC}) AS rn "
         "FROM feat WHERE material_no IS NOT NULL) WHERE rn = 1")
+    ahead = ", ".join([f"(SELECT avg(day_total) FROM DI WHERE day_idx >= idx - {n}) AS n_DailyRoll{n}" for n in (2, 3, 5, 7)]
+                      + [f"(SELECT sum(power({_beta(s)}, idx - day_idx - 1) * day_total) / sum(power({_beta(s)}, idx - day_idx - 1)) FROM DI) AS n_DailyEWM{s}" for s in (3, 5)])
+    fresh = {f"DailyRoll{n}": f"n_DailyRoll{n}" for n in (2, 3, 5, 7)} | {f"DailyEWM{s}": f"n_DailyEWM{s}" for s in (3, 5)} | {
+        "PrevDayTotalSale": "prev", "PrevDayTotalQty": "prev_qty", "PrevDayRowCount": "prev_n", "DailyMomentum": "prev - n_DailyRoll3",
+        "DailyTrend3v7": "n_DailyRoll3 / nullif(n_DailyRoll7 + 1, 0)", "PrevDayXPrice": "prev * ppu", "PrevDayXQty": "prev * sal_qty",
+        "DailyRoll3XQty": "n_DailyRoll3 * sal_qty", "DailyRoll3XPrice": "n_DailyRoll3 * ppu", "DailyEWM3XQty": "n_DailyEWM3 * sal_qty",
+        "DOW_AvgDailyTotal": "n_dow", "SaleVsDOWTotal": "prev / nullif(n_dow + 1, 0)"}
+    S["next_day_lags"] = "WITH " + prelude() + f""",
+nx AS (SELECT max(invoice_date) + INTERVAL 1 DAY AS fd, max(day_idx) + 1 AS idx FROM DI),
+st AS (SELECT d.day_total AS prev, d.day_qty AS prev_qty, CAST(d.day_count AS DOUBLE) AS prev_n, {ahead},
+              coalesce((SELECT DOW_AvgDailyTotal FROM DOWA WHERE dow = isodow(fd) - 1), (SELECT global_mean FROM G)) AS n_dow
+       FROM nx JOIN D0 d ON d.invoice_date = fd - INTERVAL 1 DAY)
+SELECT material_no, {", ".join(f"{R(e)} AS {n}" for n, e in fresh.items())}
+FROM (SELECT *, row_number() OVER (PARTITION BY material_no ORDER BY {ORDER_DESC}) AS rn FROM base WHERE material_no IS NOT NULL) CROSS JOIN st WHERE rn = 1"""
+    train = f""", sp AS (SELECT *, CAST(row_number() OVER (ORDER BY {ORDER}) <= floor(count(*) OVER () * {DBL(0.8)}) AS INTEGER) AS is_train FROM feat),
+prior AS (SELECT CAST(sum(sale_value) AS DOUBLE) / count(sale_value) AS prior FROM sp WHERE is_train = 1),
+mat AS (SELECT material_no, CAST(sum(sale_value) AS DOUBLE) AS ms, count(sale_value) AS mn FROM sp WHERE is_train = 1 GROUP BY material_no),
+md0 AS (SELECT material_no, invoice_date, sum(sale_value) AS s, count(sale_value) AS n FROM sp WHERE is_train = 1 GROUP BY 1, 2),
+mdd AS (SELECT material_no, invoice_date, CAST(sum(s) OVER w AS DOUBLE) AS ds, sum(n) OVER w AS dn FROM md0
+        WINDOW w AS (PARTITION BY material_no ORDER BY invoice_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+enc AS (SELECT sp.*, (coalesce(CASE WHEN is_train = 1 THEN ds ELSE ms END, 0.0) + {DBL(5.0)} * prior)
+               / (coalesce(CASE WHEN is_train = 1 THEN dn ELSE mn END, 0) + {DBL(5.0)}) AS TE_Train_Mat
+        FROM sp CROSS JOIN prior LEFT JOIN mat ON mat.material_no = sp.material_no
+        LEFT JOIN mdd ON mdd.material_no = sp.material_no AND mdd.invoice_date = sp.invoice_date)"""
+    S["train_side_encoding"] = "WITH " + prelude() + train + f"\nSELECT {_ids_sql(_pairs(['TE_Train_Mat']), [('is_train', 'is_train')])} FROM enc"
+    one = lambda side, c: (f"SELECT '{side}' AS fit_on, count(*) AS n, {R(f'1 - sum((v - {c}) * (v - {c})) / nullif(var_pop(v) * count(*), 0)')} AS r2, "
+                           f"{R(f'sqrt(sum((v - {c}) * (v - {c})) / count(*))')} AS rmse, {R(f'sum(abs(v - {c})) / count(*)')} AS mae FROM enc WHERE is_train = 0")
+    S["encoding_holdout"] = "WITH " + prelude() + train + "\n" + one("all", "TE_Smooth_Mat") + " UNION ALL " + one("train", "TE_Train_Mat")
+    S["weather_by_date"] = "WITH " + prelude() + f""",
+rd AS (SELECT date_trunc('hour', ts) + to_days(CAST((event_id * 37) % 2400 - 10592 AS INTEGER)) AS t, event_id, value / 20 + 15 AS temperature,
+              value / 10 + 40 AS humidity, CAST(user_id % 7 AS DOUBLE) AS wind_speed, CAST(user_id % 3 = 0 AS INTEGER) AS is_rainy
+       FROM events WHERE event_type = 'signup'),
+rt AS (SELECT t, arg_max(temperature, event_id) AS temperature, arg_max(humidity, event_id) AS humidity, arg_max(wind_speed, event_id) AS wind_speed,
+              arg_max(is_rainy, event_id) AS is_rainy FROM rd GROUP BY t),
+wx AS (SELECT b.*, coalesce(rt.temperature, 30.0) AS temperature, coalesce(rt.humidity, 68.0) AS humidity, coalesce(rt.wind_speed, 5.0) AS wind_speed,
+              coalesce(rt.is_rainy, 0) AS is_rainy FROM base b ASOF LEFT JOIN rt ON b.invoice_date >= rt.t)
+SELECT {_ids_sql([(c, c) for c in ('temperature', 'humidity', 'wind_speed')] + [('temperature * sal_qty', 'TempXQty'), (_traffic('dow', 'is_rainy'), 'TrafficIndex')], [('is_rainy', 'is_rainy')])} FROM wx"""
+    S["split_masters"] = "WITH " + prelude() + f""",
+booked AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN '1' ELSE material_no END AS material_no, sale_value FROM sales),
+several AS (SELECT CAST(l.l_partkey AS VARCHAR) AS material_no, s.s_name AS vendor, r.r_name AS type
+            FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) l JOIN part p ON p.p_partkey = l.l_partkey
+            JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT b.material_no, m.vendor, m.type, count(*) AS n_lines, {MONEY('sum(b.sale_value)')} AS total_sale
+FROM booked b LEFT JOIN several m ON m.material_no = b.material_no GROUP BY 1, 2, 3"""
     S["profile"] = q(
         "SELECT count(*) AS n_rows, count(DISTINCT invoice_date) AS n_days, min(invoice_date) AS first_date, "
         "max(invoice_date) AS last_date, CAST(sum(is_festive) AS BIGINT) AS n_festive_rows, "

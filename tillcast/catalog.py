@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from tillcast.functions import calendar as cal
 from tillcast.functions.numeric import money, r4
 from tillcast.operators import series
+from tillcast.operators.asof import asof_join
 from tillcast.operators.clean import clean_indent
 from tillcast.operators.enrich import master_multiplicity, product_meta
 from tillcast.operators.joins import with_scalars
+from tillcast.operators.skew import split_join
 from tillcast.operators.split import split_bounds as _split_bounds
 from tillcast.operators.split import time_split as _time_split
 from tillcast.operators.stats import group_stats
 from tillcast.plans import reports
 from tillcast.plans.features import FEATURES, FeaturePlan, feature_column
-from tillcast.sources.sheets import load_table, tpch_all_masters, tpch_sheets
-from tillcast.sources.weather import parse_weather, read_weather, weather_context
+from tillcast.sources.sheets import load_table, tpch_all_masters, tpch_sheets, tpch_weather_history
+from tillcast.sources.weather import DEFAULT_HUMIDITY, DEFAULT_TEMP, DEFAULT_WIND, parse_weather, read_weather, weather_context
 
 NEXT_DATE = "2025-03-22"   # forecast day of the reference's default run
 FILTER_CATEGORY = "STANDARD"
@@ -415,6 +417,48 @@ def q_next_day_rows(spark, d):
                        r4("DailyRoll3").alias("DailyRoll3"), F.col("DayOfWeek").cast("long").alias("DayOfWeek"))
 
 
+def q_next_day_lags(spark, d):
+    """Q6: next-day rows with the daily lags of the day after the last."""
+    fp = plan(spark, d)
+    state = series.advanced_to(fp.daily, fp.cols.date)
+    rows = reports.refreshed_lags(_next_rows(spark, fp), state, series.dow_average_total(fp.daily, fp.cols.date), fp.G, "sal_qty")
+    return rows.select("material_no", *[r4(c).alias(c) for c in REFRESHED])
+
+
+REFRESHED = ["PrevDayTotalSale", "PrevDayTotalQty", "PrevDayRowCount", "DailyRoll2", "DailyRoll3", "DailyRoll5", "DailyRoll7", "DailyEWM3", "DailyEWM5",
+             "DailyMomentum", "DailyTrend3v7", "PrevDayXPrice", "PrevDayXQty", "DailyRoll3XQty", "DailyRoll3XPrice", "DailyEWM3XQty", "DOW_AvgDailyTotal", "SaleVsDOWTotal"]
+
+
+def q_train_side_encoding(spark, d):
+    """Q4: encodings of the train side, earlier days only on it."""
+    from tillcast.plans.train_side import train_side_encoding
+    return train_side_encoding(plan(spark, d)).select(*_ids(_same(["TE_Train_Mat"]), [("is_train", "is_train")]))
+
+
+def q_encoding_holdout(spark, d):
+    from tillcast.plans.train_side import encoding_holdout
+    return encoding_holdout(plan(spark, d))
+
+
+def q_weather_by_date(spark, d):
+    """Q5: each line with the latest landed reading before its day."""
+    fp = plan(spark, d)
+    f = asof_join(fp.base.drop("is_rainy"), tpch_weather_history(spark, d), fp.cols.date, "reading_time", "event_id", ["temperature", "humidity", "wind_speed", "is_rainy"])
+    f = f.withColumns({"temperature": F.coalesce("temperature", F.lit(DEFAULT_TEMP)), "humidity": F.coalesce("humidity", F.lit(DEFAULT_HUMIDITY)),
+                       "wind_speed": F.coalesce("wind_speed", F.lit(DEFAULT_WIND)), "is_rainy": F.coalesce("is_rainy", F.lit(0))})
+    return f.select(*_ids([*_same(["temperature", "humidity", "wind_speed"]), (F.col("temperature") * F.col("sal_qty"), "TempXQty"),
+                           (cal.traffic_index("DayOfWeek", "is_rainy"), "TrafficIndex")], [("is_rainy", "is_rainy")]))
+
+
+def q_split_masters(spark, d):
+    """J1 with several master rows a material, and one material that a third of the lines are booked on."""
+    fp = plan(spark, d)
+    lines = fp.sales.select(F.when(F.col("l_orderkey") % 3 == 0, F.lit("1")).otherwise(F.col("material_no")).alias("material_no"), "l_orderkey", "l_linenumber", "sale_value")
+    masters = tpch_all_masters(spark, d).select(F.col("sap_code").alias("material_no"), "vendor", "type")
+    return (split_join(lines, masters, "material_no").groupBy("material_no", "vendor", "type")
+            .agg(F.count(F.lit(1)).alias("n_lines"), money(F.sum("sale_value")).alias("total_sale")))
+
+
 # ---- profile and reports on a deterministic score ------------------------
 def q_profile(spark, d):
     fp = plan(spark, d)
@@ -575,6 +619,11 @@ CATALOG = {
     "feature_matrix": q_feature_matrix,
     "last_row_per_material": q_last_row_per_material,
     "next_day_rows": q_next_day_rows,
+    "next_day_lags": q_next_day_lags,
+    "train_side_encoding": q_train_side_encoding,
+    "encoding_holdout": q_encoding_holdout,
+    "weather_by_date": q_weather_by_date,
+    "split_masters": q_split_masters,
     "profile": q_profile,
     "season_counts": q_season_counts,
     "category_list": q_category_list,

@@ -113,3 +113,23 @@ def dow_average_total(daily: DataFrame, date: str, total: str = "day_total",
     keys = list(keys)
     return (daily.groupBy(*keys, F.weekday(date).alias("DayOfWeek"))
             .agg(F.avg(total).alias("DOW_AvgDailyTotal")))
+
+
+def advanced_to(daily: DataFrame, date: str, next_date: str | None = None) -> DataFrame:
+    """One row: the series' state on the forecast day (P23 with refreshed lags,
+    SURVEY Q6), as if that day were the next of the series: the calendar day before it, and
+    rolling and exponentially weighted means of all observed days before. Without
+    ``next_date`` the day after the last. Days from the forecast day on don't count."""
+    day = daily.schema[date].dataType
+    if next_date:
+        past = daily.where(F.col(date) < F.lit(next_date).cast(day))
+        ahead = daily.sparkSession.range(1).select(F.lit(next_date).cast(day).alias(date))
+    else:
+        past = daily
+        ahead = daily.agg((F.max(date) + F.expr("INTERVAL 1 DAY")).cast(day).alias(date))
+    ahead = ahead.select(date, F.lit(True).alias("_ahead"))
+    whole = past.withColumn("_ahead", F.lit(False)).unionByName(ahead, allowMissingColumns=True)
+    d = earlier_day_means(prev_calendar_day(with_day_index(whole, date), date))
+    return d.where("_ahead").select(
+        F.col(date).alias("forecast_day"), "PrevDayTotalSale", "PrevDayTotalQty", "PrevDayRowCount",
+        *[f"DailyRoll{n}" for n in ROLL_WINDOWS], *[f"DailyEWM{s}" for s in EWM_SPANS])

@@ -109,6 +109,25 @@ def next_day_rows(last: DataFrame, ctx: DataFrame, qty: str, soh: str) -> DataFr
     return f.withColumns(over)
 
 
+def refreshed_lags(rows: DataFrame, state: DataFrame, dow_means: DataFrame, global_mean: DataFrame, qty: str) -> DataFrame:
+    """Next-day rows whose daily lags are those of the forecast day (Q6, an option; the
+    original leaves them as on the last line): ``state`` is the one row of
+    :func:`series.advanced_to`, ``dow_means`` the mean day total by day of week."""
+    q, p = F.col(qty), F.col("PricePerUnit")
+    names = [c for c in state.columns if c != "forecast_day"]
+    s = with_scalars(state, global_mean, ["global_mean"]).withColumn("DayOfWeek", F.weekday("forecast_day"))
+    s = s.join(F.broadcast(dow_means), "DayOfWeek", "left")  # seven rows at most
+    s = s.select(*[F.col(c).alias(f"_n_{c}") for c in names], F.coalesce("DOW_AvgDailyTotal", "global_mean").alias("_n_dow"))
+    f = with_scalars(rows, s)
+    new = {c: F.col(f"_n_{c}") for c in names}
+    prev, roll3, roll7 = new["PrevDayTotalSale"], new["DailyRoll3"], new["DailyRoll7"]
+    new |= {"DailyMomentum": prev - roll3, "DailyTrend3v7": F.try_divide(roll3, roll7 + 1),
+            "PrevDayXPrice": prev * p, "PrevDayXQty": prev * q, "DailyRoll3XQty": roll3 * q, "DailyRoll3XPrice": roll3 * p,
+            "DailyEWM3XQty": new["DailyEWM3"] * q, "DOW_AvgDailyTotal": F.col("_n_dow"),
+            "SaleVsDOWTotal": F.try_divide(prev, F.col("_n_dow") + 1)}
+    return f.withColumns(new).drop(*[c for c in f.columns if c.startswith("_n_")])
+
+
 def product_frame(last: DataFrame, meta: DataFrame, score: DataFrame, ctx: DataFrame,
                   material: str, value: str, qty: str, soh: str, indent: str,
                   score_col: str = "score") -> DataFrame:

@@ -163,3 +163,13 @@ def tpch_all_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = load_table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("supp")).distinct()
     rows = _master(spark, sf_dir, load_table(spark, sf_dir, "part"), pairs)
     return rows.withColumn("sheet_row", -F.col("supp")).drop("supp")
+
+
+def tpch_weather_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landed history of weather readings on the sales calendar, from the
+    sign-up events: each is moved by whole days, so that days without a reading
+    and several readings at one time occur."""
+    e = load_table(spark, sf_dir, "events").where("event_type = 'signup'")
+    moved = F.date_trunc("hour", F.col("ts").cast("timestamp")) + F.make_dt_interval((F.pmod(F.col("event_id") * 37, F.lit(2400)) - 10592).cast("int"))
+    return e.select(moved.alias("reading_time"), "event_id", (F.col("value") / 20 + 15).alias("temperature"), (F.col("value") / 10 + 40).alias("humidity"),
+                    F.pmod("user_id", F.lit(7)).cast("double").alias("wind_speed"), (F.pmod("user_id", F.lit(3)) == 0).cast("int").alias("is_rainy"))
