@@ -24,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.operators.skew import split_join
+
 from .common import first_columns, stage, table
 
 #: Suffixes of two labels under which names are registered; all others have one label. Fixed values.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx",
                       "com.sg", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk"]
-SALTS = 32
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -43,14 +44,14 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix(name: Column) -> Column:
+def suffix(name: Column, two_labels=TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(two.isin(*two_labels), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def domain(name: Column) -> Column:
+def domain(name: Column, two_labels=TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+    return F.when(two.isin(*two_labels), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(name: Column, at: Column, rules=RULES) -> tuple[Column, Column]:
@@ -71,11 +72,11 @@ def prior_weight(level: DataFrame, prior: Column) -> Column:
     return level.agg(((1 - rho) / rho).alias("weight")).scalar()
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+def reputation(outcomes: DataFrame, two_labels=TWO_LABEL_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
     """From rows (host, bad): tables of suffixes, domains and hosts with their
     posterior means, the hosts with their posterior weight, and the overall rate."""
     hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    hosts = stage(hosts.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))}), "reputation-hosts")
+    hosts = stage(hosts.withColumns({"domain": domain(F.col("host"), two_labels), "suffix": suffix(F.col("host"), two_labels)}), "reputation-hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     base = F.coalesce(suffixes.agg(F.sum("bad") / F.sum("n")).scalar(), F.lit(0.0))
@@ -92,24 +93,24 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Co
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
-          z: float = 1.0, limit: float = 0.3) -> DataFrame:
+          z: float = 1.0, limit: float = 0.3, two_labels=TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's posterior ``rate`` and ``bound``.
 
     Each different host is judged once: urls are grouped by host before the
     tables of the levels are joined, so that a hot host is one row there. Pages
-    meet their host's judgement by a salted join, SALTS rows for each host."""
+    meet their host's judgement by a join that splits the hosts measured to hold
+    more than a task's share of pages, and no others. ``two_labels``: the suffixes of two
+    labels under which names are registered."""
     pages = first_columns(pages, page_id=id_col, url=url_col).select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    suffixes, domains, hosts, base = reputation(outcomes)
-    names = pages.select("host").distinct().withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    suffixes, domains, hosts, base = reputation(outcomes, two_labels)
+    names = pages.select("host").distinct().withColumns({"domain": domain(F.col("host"), two_labels), "suffix": suffix(F.col("host"), two_labels)})
     rate = F.coalesce("host_rate", "domain_rate", "suffix_rate", base)
     # an unknown host has what its domain's or suffix's posterior weighs, and no outcome at all counts as one
     weight = F.coalesce("host_weight", "domain_weight", "suffix_weight", F.lit(1.0))
     names = (names.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
              .select("host", rate.alias("rate"), (rate - z * F.sqrt(rate * (1 - rate) / (weight + 1))).alias("bound")))
-    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return pages.join(names, ["host", "salt"]).select(
+    return split_join(pages, names, "host", "inner").select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("bound") > limit, "block").otherwise("allow")).alias("verdict"), "rate", "bound")
 
