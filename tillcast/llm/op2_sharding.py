@@ -8,8 +8,9 @@ the group's vector, so that all three are balanced jointly.
 Scale: a group above 1/(64 x shards) of any dimension is large; there are fewer
 than 3 x 64 x shards of them, and they are placed first, by the driver. All others
 are dealt to blocks by hash, and every block fills its share of what the large
-groups leave of each shard, in parallel. A group above one shard's capacity is
-split by a hash of its rows (a shard could not hold it); no other group is.
+groups leave of each shard, in parallel. A group whose bytes are above one shard's
+share is split by a hash of its rows (the law could not hold); no other group
+is, however many rows it has.
 
 Edge cases: a null text counts as an empty one (size 1); an empty table gives
 no rows; repeated rows are rows of their group; ties go to the lowest shard.
@@ -65,12 +66,12 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     most = F.greatest(*[f"v_{d}" for d in DIMENSIONS])
 
     # groups that no shard can hold, in pieces; then all large ones
-    torn = [r.g for r in groups.where(most > 1 / shards).select("g").collect()]  # fewer than 3 x shards
+    torn = [r.g for r in groups.where(F.col("v_bytes") > 1 / shards).select("g").collect()]  # fewer than ``shards``
     pieces = 8 * shards
     piece = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit(1)), F.lit(pieces)).cast("int")
     if torn:
         cut = (rows.where(F.col("g").isin(torn)).groupBy("g", piece.alias("piece")).agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-               .select("g", "piece", *share).collect())  # fewer than 3 x shards x pieces
+               .select("g", "piece", *share).collect())  # fewer than shards x pieces
     else:
         cut = []
     whole = groups.where((most > 1 / (64 * shards)) & ~F.col("g").isin(torn) if torn else most > 1 / (64 * shards)).collect()
@@ -79,6 +80,12 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     room = [[1 / shards] * shards for _ in DIMENSIONS]
     put = place([r[3] for r in large], room)
     chosen = spark.createDataFrame([(g, p, n, s) for (g, p, n, _), s in zip(large, put)], "g long, piece int, pieces int, shard int")
+    # a shard that a group has filled beyond its share of tokens or rows still takes its share
+    # of bytes, which the law is about, and the tokens and rows that come with them
+    left = [sum(r) for r in room]
+    for d in (1, 2):
+        need = max(left[d], 0.0) / left[0] if left[0] > 0 else 0.0
+        room[d] = [max(b, 0.0) * need if x <= 0 else x for x, b in zip(room[d], room[0])]
     left = [sum(r) for r in room]
 
     blocks = math.ceil(total.n / groups_per_block)
