@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,17 @@ def test_old_days_of_any_size_keep_their_weight(spark, null_at):
         ref = s.rolling(n, min_periods=1).mean().fillna(0)
         # pandas keeps a running sum, which 1e25 spoils for later windows
         assert out[f"DailyRoll{n}"].tolist()[n + 2:] == pytest.approx([10.0] * (len(vals) - n - 2)) and out[f"DailyRoll{n}"][1] == pytest.approx(ref[1])
+
+
+def test_ewm_over_many_blocks_of_several_series(spark):
+    # more than 8 blocks, so that block sums are carried in two steps, beside a short series
+    rng = np.random.default_rng(3)
+    long, short = rng.uniform(1, 1000, 8 * series.BLOCK + 200), rng.uniform(1, 1000, 5)
+    start = dt.datetime(2001, 1, 1)
+    rows = [("a", start + dt.timedelta(days=i), float(v)) for i, v in enumerate(long)] + [("b", start + dt.timedelta(days=i), float(v)) for i, v in enumerate(short)]
+    daily = spark.createDataFrame(rows, "k string, day timestamp, day_total double")
+    got = series.earlier_day_means(series.with_day_index(daily, "day", ["k"]), keys=["k"]).toPandas().sort_values(["k", "day"])
+    assert len(got) == len(rows)
+    for k, values in (("a", long), ("b", short)):
+        want = pd.Series(values).ewm(span=5).mean().shift(1).fillna(0.0).to_numpy()
+        assert np.allclose(got[got.k == k].DailyEWM5.to_numpy(), want, rtol=1e-9)

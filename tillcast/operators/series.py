@@ -6,7 +6,7 @@ index through prefix counts, and every BLOCK of consecutive indexes is one
 window partition, so a single long series spreads over all tasks. A rolling
 mean sees the last days of the block before (sent along as a halo); an
 exponentially weighted mean is the block's own decayed sums plus what the
-blocks before have left, a scan over block totals by log2(blocks) equi-joins.
+blocks before have left, a scan over block totals in log8(blocks) steps.
 No term is left out, however old.
 """
 
@@ -54,20 +54,23 @@ def prev_calendar_day(daily: DataFrame, date: str, keys: list[str] | tuple = (),
                                       for c, n in zip(cols, names)])
 
 
-def _carried(totals: DataFrame, keys: list[str], betas: dict[int, float]) -> DataFrame:
+def _carried(totals: DataFrame, keys: list[str], betas: dict[int, float], base: int = 8) -> DataFrame:
     """Per block the decayed sums of all days up to its end. ``totals`` has each
-    block's own sums ``e{span}`` and weights ``w{span}``; in step s a block adds
-    what the block s before it has gathered so far, decayed over s blocks."""
+    block's own sums ``e{span}`` and weights ``w{span}``; in a step of s blocks each
+    adds what the blocks s, 2s .. (base - 1) s before it have gathered so far, decayed, in
+    this order, so that equal runs give equal sums."""
     last = totals.agg(F.max("_b")).first()[0] or 0
+    cols = [f"{c}{s}" for s in betas for c in "ew"]
     step = 1
     while step <= last:
-        back = totals.select(*keys, (F.col("_b") + step).alias("_b"),
-                             *[F.col(f"{c}{s}").alias(f"_{c}{s}") for s in betas for c in "ew"])
-        decay = {s: F.lit(beta ** (BLOCK * step)) for s, beta in betas.items()}
-        totals = stage(totals.join(back, [*keys, "_b"], "left").select(
-            *keys, "_b", *[(F.col(f"{c}{s}") + F.coalesce(F.col(f"_{c}{s}") * decay[s], F.lit(0.0))).alias(f"{c}{s}")
-                           for s in betas for c in "ew"]), "ewm-carry")
-        step *= 2
+        decay = {f"{c}{s}": F.pow(F.lit(beta ** (BLOCK * step)), F.col("_j")) for s, beta in betas.items() for c in "ew"}
+        sent = totals.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(base - 1)))).select(
+            *keys, (F.col("_b") + F.col("_j") * step).alias("_b"), F.struct("_j", *[(F.col(c) * decay[c]).alias(c) for c in cols]).alias("_s"))
+        got = sent.where(F.col("_b") <= last).groupBy(*keys, "_b").agg(F.sort_array(F.collect_list("_s")).alias("_s"))  # ``base`` at most
+        # a block that its series does not have got sums of others only
+        totals = stage(got.where(F.col("_s")[0]["_j"] == 0).select(
+            *keys, "_b", *[F.aggregate(F.col(f"_s.{c}"), F.lit(0.0), lambda t, x: t + x).alias(c) for c in cols]), "ewm-carry")
+        step *= base
     return totals
 
 

@@ -67,13 +67,6 @@ def group_stats(df: DataFrame, key: str | list[str], prefix: str, value: str, qt
     return out
 
 
-def weighted_mean(df: DataFrame, key: str, x: str, w: str, out: str) -> DataFrame:
-    """Per key: sum(x*w) / (sum(w) + 1) (A4, the +1 smoothing of the reference)."""
-    return (df.where(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.try_divide(F.coalesce(F.sum(F.col(x) * F.col(w)), F.lit(0.0)),
-                              F.coalesce(F.sum(w), F.lit(0.0)) + 1).alias(out)))
-
-
 def leave_one_out(total: Column, count: Column, own: Column) -> Column:
     """(group sum - own value) / (group count - 1 + 1e-9)."""
     return (total - own) / (count - 1 + F.lit(1e-9))
