@@ -14,7 +14,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 QUERIES = ["enrich_left_joins", "loo_encoding", "material_stats", "events_ewm", "rolling_means", "pct_ranks", "time_split",
-           "category_summary", "feature_matrix"]
+           "category_summary", "feature_matrix", "last_row_per_material", "split_masters", "weather_by_date"]
 
 
 def main():
