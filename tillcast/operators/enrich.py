@@ -33,7 +33,10 @@ def first_per_key(df: DataFrame, key: str, order: str, cols: list[str]) -> DataF
 def enrich_joins(sales: DataFrame, sku_buy: DataFrame, indent: DataFrame, crt: DataFrame,
                  cols: SalesColumns, dedup_masters: bool = False, legacy_nan_text: bool = False) -> DataFrame:
     """Left joins on the material key; duplicated master rows multiply
-    the invoice lines unless ``dedup_masters`` (Q3). Adds match flags."""
+    the invoice lines unless ``dedup_masters`` (Q3). Adds match flags.
+
+    The masters are joined with each other first (full outer joins, so each key has as
+    many rows as its masters' rows multiply to) and the lines are joined once."""
     sku = strip_text(sku_buy, legacy_nan_text).select(_key("sap_code").alias("_k"), F.col("vendor"),
                                      F.col("type"), F.lit(1).alias("_sku_hit"), "sheet_row")
     if dedup_masters:
@@ -44,7 +47,8 @@ def enrich_joins(sales: DataFrame, sku_buy: DataFrame, indent: DataFrame, crt: D
                                       F.lit(1).alias("_indent_hit"))
     crt_ = clean_crt_size(crt).select(_key("material").alias("_k"), "crt_size", "no_crts")
     f = sales.withColumn("_k", _key(cols.material))
-    f = f.join(sku, "_k", "left").join(ind, "_k", "left").join(crt_, "_k", "left")
+    known = [m.where(F.col("_k").isNotNull()) for m in (sku, ind, crt_)]   # a missing key finds nothing
+    f = f.join(known[0].join(known[1], "_k", "full_outer").join(known[2], "_k", "full_outer"), "_k", "left")
     return f.drop("_k").withColumnRenamed("vendor", cols.vendor).withColumnRenamed("type", cols.type) \
         .withColumnRenamed("soh", cols.soh).withColumnRenamed("indent", cols.indent) \
         .withColumnRenamed("crt_size", cols.crt_size).withColumnRenamed("no_crts", cols.no_crts)

@@ -127,20 +127,33 @@ def unpivot(df: DataFrame, specs: list[tuple], names: tuple[str, ...]) -> DataFr
 
 
 def exact_medians(df: DataFrame, specs: list[tuple[str, str | None, str]],
-                  partitions: int | None = None, accuracy: int = 2000) -> DataFrame:
+                  partitions: int | None = None, accuracy: int = 2000, small: int = 4096) -> DataFrame:
     """Several exact medians in one pass: ``specs`` is a list of
     (name, key column or None for the whole table, value column).
     Returns (_stat, _key, median) with the key as text ('' for the table).
 
-    Two passes: quantile summaries, merged map-side, give each group a bracket
+    The medians of groups of at most ``small`` rows are taken from all values of the
+    group at once, those of one key column together. Larger groups, of which there
+    are few, in two passes: quantile summaries, merged map-side, give each group a bracket
     of two of its values that its median lies between (a summary errs by
     rows / ``accuracy`` ranks, the bracket leaves twice that on either side); then
     rows below the bracket are only counted and those within it make up the histogram
     in which the middle values are located. What is shuffled is bounded by
     groups x bracket, also where nearly every value is different."""
-    rows = unpivot(df, [(F.lit(name), F.col(key).cast("string") if key else F.lit(""), F.col(value).cast("double"))
-                        for name, key, value in specs], ("_stat", "_key", "_val"))
-    rows = rows.where(F.col("_key").isNotNull() & F.col("_val").isNotNull())
+    rows, out = None, None
+    for key in dict.fromkeys(key for _, key, _ in specs):
+        of = [(name, value) for name, k, value in specs if k == key]
+        f = df.select((F.col(key).cast("string") if key else F.lit("")).alias("_key"), *[F.col(v).cast("double").alias(f"_v{i}") for i, (_, v) in enumerate(of)])
+        f = f.where(F.col("_key").isNotNull())
+        if key:
+            large = stage(f.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select("_key"), "large-groups")
+            whole = join_checked(f, large, "_key", "left_anti").groupBy("_key").agg(*[F.median(f"_v{i}").alias(f"_v{i}") for i in range(len(of))])
+            whole = unpivot(whole, [(F.lit(n), F.col("_key"), F.col(f"_v{i}")) for i, (n, _) in enumerate(of)], ("_stat", "_key", "median")).where(F.col("median").isNotNull())
+            out = whole if out is None else out.unionByName(whole)
+            f = join_checked(f, large, "_key", "left_semi")
+        f = unpivot(f, [(F.lit(n), F.col("_key"), F.col(f"_v{i}")) for i, (n, _) in enumerate(of)], ("_stat", "_key", "_val"))
+        rows = f if rows is None else rows.unionByName(f)
+    rows = rows.where(F.col("_val").isNotNull())
     keys, margin = ["_stat", "_key"], 2.0 / accuracy
     ends = F.percentile_approx("_val", [0.5 - margin, 0.5 + margin], accuracy)
     brackets = stage(rows.groupBy(*keys).agg(ends.alias("_ends"), F.count(F.lit(1)).alias("_n"))
@@ -149,7 +162,8 @@ def exact_medians(df: DataFrame, specs: list[tuple[str, str | None, str]],
     # all that lies below the bracket is one value, before the others
     value = F.when(F.col("_val") >= F.col("_from"), F.col("_val"))
     hist = near.groupBy(*keys, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
-    return middle_values(prefix_before(hist, ["_v"], "_c", keys, "_b", partitions), keys, "median")
+    found = middle_values(prefix_before(hist, ["_v"], "_c", keys, "_b", partitions), keys, "median")
+    return found if out is None else found.unionByName(out)
 
 
 def middle_values(hist: DataFrame, keys: list[str], out: str) -> DataFrame:

@@ -40,7 +40,7 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         _FOLDERS.add(folder)
         atexit.register(_remove, *_file_system(spark), folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns]) if by else spark.read.parquet(path)
     out._staged_path = path

@@ -112,9 +112,12 @@ def tpch_sheets(spark: SparkSession, sf_dir: str) -> Sheets:
     li = load_table(spark, sf_dir, "lineitem")
     orders = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     part = load_table(spark, sf_dir, "part")
+    # by the text that the masters are joined on later, as it is trimmed there: the lines
+    # are dealt out by it once, before they have the part's texts
+    text_key = lambda c: F.trim(F.trim(F.col(c).cast("string")))
+    texts = part.select(text_key("p_partkey").alias("_part"), "p_partkey", "p_type", "p_brand", "p_name").hint("merge")
     sales = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-             .join(part.select("p_partkey", "p_type", "p_brand", "p_name"),
-                   li.l_partkey == F.col("p_partkey"))
+             .join(texts, text_key("l_partkey") == F.col("_part"))
              .select(
                  F.col("o_orderdate").alias("invoice_date"),
                  F.col("l_partkey").cast("string").alias("material_no"),
