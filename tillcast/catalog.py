@@ -544,7 +544,7 @@ def q_day_labels(spark, d):
 
 def _pairs(fp):
     """Lines with a stand-in prediction (the material mean) and their side of the split."""
-    f = _time_split(_fact_with(fp, fp.with_material), "invoice_date", fp.cols.order)
+    f = fp.with_material(fp.with_globals(_split(fp)))   # split first: the statistics are joined once
     return f.withColumn("prediction", F.col("Mat_AvgSale"))
 
 

@@ -2,7 +2,8 @@
 
 The first ``floor(n * frac)`` lines in (date, tie-break) order are train. Day
 counts (one row per day) with prefix counts give each day's first position;
-only the day that holds the cut is numbered line by line, again with prefix
+the day that holds the cut is one row, which all lines are compared with as a
+scalar, so the lines are not shuffled. Only that day's lines are numbered, again with prefix
 counts, so neither the table nor the boundary day sits in one task. Lines
 without a date are the last, as missing values sort in the reference.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillcast.operators.joins import with_scalars
 from tillcast.operators.ordered import prefix_before
+from tillcast.operators.stage import stage
 
 TRAIN_FRACTION = 0.80  # fixed value of the reference
 
@@ -23,14 +25,17 @@ def time_split(df: DataFrame, date: str, order_cols: list[str] | tuple,
     days = df.groupBy(date).agg(F.count(F.lit(1)).alias("_day_n"))
     # a missing date is a group of its own, after all days
     days = prefix_before(days.withColumn("_no_date", F.col(date).isNull().cast("int")), ["_no_date", date], "_day_n", (), "_day_before")
-    days = days.select(F.col(date).alias("_day"), "_day_n", "_day_before")
-    cut = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(frac))).cast("long").alias("_cut"))
-    f = with_scalars(df.join(days, F.col(date).eqNullSafe(F.col("_day"))).drop("_day"), cut, ["_cut"])
-    on_cut = (F.col("_day_before") < F.col("_cut")) & (F.col("_cut") < F.col("_day_before") + F.col("_day_n"))
-    clear = f.where(~on_cut).withColumn(out, (F.col("_day_before") + F.col("_day_n") <= F.col("_cut")).cast("int"))
+    total = days.agg(F.floor(F.sum("_day_n") * F.lit(float(frac))).cast("long").alias("_cut"))
+    # one row: the day that the cut falls into, and how many of its lines come before the cut; none when all lines are train
+    cut = with_scalars(days, total).where((F.col("_day_before") <= F.col("_cut")) & (F.col("_cut") < F.col("_day_before") + F.col("_day_n")))
+    cut = cut.select(F.col(date).alias("_day"), (F.col("_cut") - F.col("_day_before")).alias("_of_day"))
+    f = with_scalars(df, stage(cut, "cut"), ["_day", "_of_day"])
+    on_cut = F.col("_of_day").isNotNull() & F.col(date).eqNullSafe(F.col("_day"))
+    before = F.col("_of_day").isNull() | F.coalesce(F.col(date) < F.col("_day"), F.col(date).isNotNull())
+    clear = f.where(~on_cut).withColumn(out, before.cast("int"))
     bnd = prefix_before(f.where(on_cut), list(order_cols), None, (), "_pos")
-    bnd = bnd.withColumn(out, (F.col("_day_before") + F.col("_pos") < F.col("_cut")).cast("int")).drop("_pos")
-    return clear.unionByName(bnd).drop("_day_n", "_day_before", "_cut")
+    bnd = bnd.withColumn(out, (F.col("_pos") < F.col("_of_day")).cast("int")).drop("_pos")
+    return clear.unionByName(bnd).drop("_day", "_of_day")
 
 
 def split_bounds(split: DataFrame, date: str, flag: str = "is_train") -> DataFrame:
