@@ -67,7 +67,12 @@ def soh_median(sales: DataFrame, sku_buy: DataFrame, indent: DataFrame, crt: Dat
     times = F.lit(1) if dedup_masters else F.coalesce("_skus", F.lit(1))
     f = ind.join(lines, "_k").join(sku_n, "_k", "left").join(crt_n, "_k", "left")
     f = f.select("soh", (F.col("_lines") * times * F.coalesce("_crts", F.lit(1))).alias("_weight"))
-    med = exact_median(f, [], "soh", "median_soh", weight="_weight")
+    return median_or_zero(f, "soh", "_weight")
+
+
+def median_or_zero(f: DataFrame, soh: str, weight: str | None = None) -> DataFrame:
+    """One row: exact median of a stock column, 0 where it has no value."""
+    med = exact_median(f, [], soh, "median_soh", weight=weight)
     one = f.sparkSession.range(1).select(F.lit(0.0).alias("_none"))
     return one.join(F.broadcast(med), how="left").select(F.coalesce("median_soh", "_none").alias("median_soh"))
 

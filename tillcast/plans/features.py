@@ -28,7 +28,7 @@ from tillcast.functions import calendar as cal
 from tillcast.functions.numeric import log1p_, row_mean_skip_null, safe_div, safe_qty
 from tillcast.operators import joins, series, stats
 from tillcast.operators.clean import clean_sales, split_valid
-from tillcast.operators.enrich import enrich_joins, fill_defaults, product_meta, soh_median
+from tillcast.operators.enrich import enrich_joins, fill_defaults, median_or_zero, product_meta, soh_median
 from tillcast.operators.ordered import exact_medians, label_codes, pct_ranks
 from tillcast.operators.joins import estimated_bytes, join_checked, with_scalars
 from tillcast.operators.stage import part, stage
@@ -138,15 +138,24 @@ class FeaturePlan:
         s = self.sheets
         return enrich_joins(self.sales, s.sku_buy, s.indent, s.crt_size, self.cols, self.dedup_masters, self.legacy_nan_text)
 
+    @cached_property
+    def _staged_joined(self) -> DataFrame:
+        """The joined lines, staged once, each with an address (``_row``) that holds as
+        it is written. What a line's own columns give is not written."""
+        return stage(self.joined.withColumn("_row", F.monotonically_increasing_id()), "base")
+
     @cached_property
     def median_soh(self) -> DataFrame:
-        """One row: the stock fill, computed before the wide joins."""
+        """One row: the stock fill, from the stock of the staged lines (few different
+        values, counted before the shuffle), so that the lines are joined only once."""
         s = self.sheets
+        if self.staged:
+            return self._stage(median_or_zero(self._staged_joined, self.cols.soh), "median-soh")
         return self._stage(soh_median(self.sales, s.sku_buy, s.indent, s.crt_size, self.cols, self.dedup_masters), "median-soh")
 
     @cached_property
     def filled(self) -> DataFrame:
-        return fill_defaults(self.joined, self.cols, self.median_soh)
+        return self.lines.drop("_row") if self.staged else fill_defaults(self.joined, self.cols, self.median_soh)
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -157,9 +166,13 @@ class FeaturePlan:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Filled lines, staged once, each with an address (``_row``) that holds as
-        it is written. What a line's own columns give is not written."""
-        return stage(self.filled.withColumn("_row", F.monotonically_increasing_id()), "base") if self.staged else self.filled
+        """Filled lines; staged ones with their address, filled as they are read."""
+        if not self.staged:
+            return self.filled
+        f = fill_defaults(self._staged_joined, self.cols, self.median_soh)
+        f = f.select(*[f"`{c}`" for c in f.columns if c != "_row"], "_row")
+        f._staged_path = self._staged_joined._staged_path
+        return f
 
     @cached_property
     def base(self) -> DataFrame:
